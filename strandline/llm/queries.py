@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, langid, mixing, quality_rules, substring_dedup, token_files
+from . import ann, bpe, jaccard_join, langid, line_dedup, mixing, quality_rules, substring_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,36 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_texts(_docs(spark, sf_dir), words=3, num=90, den=100)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_OP2_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, pos - 1 AS pos, line FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), worded AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+    SELECT doc_id, k, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3 FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+    SELECT doc_id, k FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, k) AS n FROM windows WHERE line3 IS NOT NULL) WHERE n > 1
+), dead AS (
+    SELECT DISTINCT w.doc_id, w.pos FROM worded w JOIN later l ON w.doc_id = l.doc_id AND w.k BETWEEN l.k AND l.k + 2
+), kept AS (
+    SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.pos) AS text FROM lines ANTI JOIN dead ON lines.doc_id = dead.doc_id AND lines.pos = dead.pos GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed,
+    length(coalesce(kept.text, ''))::BIGINT AS kept_chars, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM worded GROUP BY 1) n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM dead GROUP BY 1) g ON g.doc_id = d.doc_id
+LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
@@ -53,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": _OP2_SQL}
