@@ -4,20 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import quality_rules
-from strandline.llm.common import save, work_dir
+from strandline.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
+from strandline.llm.common import WHITE, row_key, save, work_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the rules' posterior rejects go."""
-    verdict = quality_rules.judge(docs, docs.columns)
-    return verdict.filter("kept").select(*docs.columns)
+    return quality_rules.judge(docs, docs.columns).filter("kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", keep_good)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later repeated runs of lines go, and documents of which no word is left."""
+    out = line_dedup.remove_lines(docs)
+    out = out.filter((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(WHITE)) != ""))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (five words, 0.8): of each group of linked documents the one of smallest doc_id stays."""
+    folder = work_dir(spark)
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    ids = save(keyed.select("doc_id", F.col("__key").alias("key")), folder, "ids")
+    groups = jaccard_join.similar_texts(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")).distinct()
+    best = ids.join(groups, "key").groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
+    stay = save(best.select(F.col("best.key").alias("__key")), folder, "stay")
+    return keyed.join(stay.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each source's documents as often as its quota of blocks takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: ids of each text and the text decoded from them."""
+    out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_group),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
 #: Expectation-maximisation and byte-pair encoding have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, row_key, save, word_count, work_dir
+from .common import SEPARATORS, WHITE, row_key, save, word_count, work_dir
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -62,7 +62,7 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: str, order: l
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_words: int = 250_000, seed: int = 42) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source, source_size, target, key, taken) for each row of ``docs`` (doc_id, text, source).
 
     A null or empty text has size 0 and takes 0. Null is a source of its own, last in order. Rows equal in doc_id,
     source and size are told apart by position only and take the same words in all. Equal seeds give equal results.
@@ -90,25 +90,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     placed = dealt.withColumn("upto", upto)
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("in_shard")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
-    return placed.select("doc_id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "key", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of ``docs`` as the mix holds them: each as many times as it is taken whole, then its first words.
 
-    Columns stay; ``n_chars`` is set to the length of what is taken. A row of which nothing is taken is left out, save
+    ``docs`` has doc_id, text, source and any others, which stay; ``n_chars`` is set to the length of what is taken. A row of which nothing is taken is left out, save
     those without any word, which no target counts. Words of a partly taken row are joined by one space.
     """
     columns = docs.columns
-    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text")).withColumn("__size", word_count(F.col("text")))
-    taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.floor(F.col("__taken") / F.col("__rows")).cast("long").alias("__taken"))
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n")))
+    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
+    taken = mix(docs, **how).groupBy("key").agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken")).hint("merge")
+    joined = keyed.join(taken, keyed["__key"] == taken["key"])
     whole = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__taken") / F.col("__size"))).cast("int")
     rest = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = joined.withColumn("__copy", F.explode(copies))
-    first = F.concat_ws(" ", F.slice(F.split(F.btrim(F.col("text"), F.lit(WHITE)), r"[\x20\x09-\x0D]+"), F.lit(1), F.greatest(F.col("__copy"), F.lit(1))))
+    first = F.concat_ws(" ", F.slice(F.split(F.btrim(F.col("text"), F.lit(WHITE)), SEPARATORS), F.lit(1), F.greatest(F.col("__copy"), F.lit(1))))
     rows = rows.withColumn("text", F.when(F.col("__copy") < 0, F.col("text")).otherwise(first))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
