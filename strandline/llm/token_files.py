@@ -17,6 +17,7 @@ file again. Rows of one partition stream through; a task holds one batch and one
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,13 +34,26 @@ MAGIC = b"SLDA"
 WIDTHS = (10, 6, 16)
 BLOCK = 512
 #: Entries that a worker's cache of words holds before it starts afresh.
-CACHE = 800_000
+CACHE = 1_200_000
+#: Marks that can be taken from the end of a word.
+MARKS = b".,;:!?*%&$#"
 
 _coders: dict[str, WordCoder] = {}
 
 
-class WordCoder:
-    """Ids of texts by a tokenizers file whose pieces never reach over white space; each distinct word is encoded once."""
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class WordCoder(dict):
+    """Ids of words by a tokenizers file whose pieces never reach over white space; each distinct word is encoded once.
+
+    A word that is one run of Latin letters, lower-case and composed, is one piece: it goes straight to the library's
+    model. Marks after a letter are a piece of their own, so such a word is the ids of its stem and of its marks.
+    """
 
     def __init__(self, path: str):
         import os
@@ -47,24 +61,34 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-1:].isalpha():
+            out = self[stem] + self[word[len(stem) :]]
+        else:
+            s = word.decode()
+            if s.isascii() and s.isalpha() and s.islower():
+                ids = [t.id for t in self.model.tokenize(s)]
+            elif s.isalpha() and max(s) < "\u0180" and s == s.lower() and unicodedata.is_normalized("NFC", s):
+                ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word]))]
+            else:
+                ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, then ``end``."""
-        cuts = [t.split() for t in texts]  # ASCII white space
-        new = set().union(*cuts) - self.seen.keys()
-        if len(self.seen) + len(new) > CACHE:
-            self.seen.clear()
-            new = set().union(*cuts)
-        fresh = list(new)
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = e.ids
-                self.seen[w] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, c)) + end for c in cuts]
+        if len(self) > CACHE:
+            self.clear()
+        get = self.__getitem__
+        # The tokenizer lower-cases: A-Z can go first, save where a special token's own spelling could arise.
+        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) + end for t in texts]
 
 
 def word_coder(path: str) -> WordCoder:
@@ -152,8 +176,21 @@ class TokenFile:
             at = whole + np.bitwise_count(bits[at >> 3] >> (8 - (at & 7)).astype(np.uint8))
         return out
 
+    def span(self, a: int, b: int, level: int = 0) -> np.ndarray:
+        """The ids at places a to b: what follows each other on a level does so on the next."""
+        width = WIDTHS[level]
+        out = _unpack(self.parts[3 + 3 * level], width, np.arange(a, b))
+        if level + 1 < len(WIDTHS) and b > a:
+            bits, ranks = np.frombuffer(self.parts[4 + 3 * level], np.uint8), np.frombuffer(self.parts[5 + 3 * level], "<u4")
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3])[a & 7 : (a & 7) + b - a].view(bool)
+            block = a // BLOCK
+            first = int(ranks[block]) + int(np.unpackbits(bits[block * BLOCK // 8 : (a + 7) >> 3])[: a - block * BLOCK].sum())
+            if n := int(more.sum()):
+                out[more] |= self.span(first, first + n, level + 1) << np.uint32(width)
+        return out
+
     def document(self, k: int) -> np.ndarray:
-        return self.take(np.arange(self.starts[k], self.ends[k]))
+        return self.span(int(self.starts[k]), int(self.ends[k]))
 
 
 def _filesystem(folder: str):
@@ -222,8 +259,8 @@ def read_files(files: DataFrame) -> DataFrame:
     parts = parts.select(F.col("part").alias("of"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
     placed = files.withColumn("inside", inside).join(parts, F.col("part") == F.col("of")).select("path", (F.col("base") + F.col("inside")).alias("first"))
-    # One file a task at most; the list is a row for each file.
-    placed = placed.repartition(F.col("path"))
+    # Dealt to a fixed number of tasks: by size the short list would be taken for little work.
+    placed = placed.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col("path"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +272,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 a = 0
                 while a < len(file.ends):  # documents of about ``step`` ids at a time
                     b = max(a + 1, int(np.searchsorted(file.ends, file.starts[a] + step, "right")))
-                    raw = file.take(np.arange(file.starts[a], file.ends[b - 1])).astype("<u4").tobytes()
+                    raw = file.span(int(file.starts[a]), int(file.ends[b - 1])).astype("<u4").tobytes()
                     z = int(file.starts[a]) * 4
                     crcs += [zlib.crc32(raw[x * 4 - z : y * 4 - z]) for x, y in zip(file.starts[a:b].tolist(), file.ends[a:b].tolist())]
                     a = b
