@@ -58,7 +58,8 @@ def remove_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     folder = work_dir(docs.sparkSession)
     keyed = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text"))
     later = later_runs(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), folder, run).select(F.col("key").alias("__of"), F.col("starts").alias("__starts"))
-    joined = keyed.join(later, F.col("__key") == F.col("__of"), "left")
+    # The same plan at every size: a small table of deletions would be broadcast, a large one not.
+    joined = keyed.join(later.hint("merge"), F.col("__key") == F.col("__of"), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     joined = joined.withColumn("__lines", lines)
     size = F.size(F.filter("__lines", _has_word)).cast("long")
