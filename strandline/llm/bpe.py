@@ -22,35 +22,46 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+# A row is a token: its word, place, the next token's place and id, and rank and place of the pair they make (as one
+# number, so that the least is the leftmost of the least rank). Only a contracted token and the one before it look
+# their pairs up again.
 _ENCODE = """
-WITH RECURSIVE state(w, p, t, done) AS (
-    SELECT w, p, t, false FROM pieces
-    UNION ALL
-    SELECT w, p, CASE WHEN best IS NOT NULL AND p = best & 16777215 THEN (best >> 24)::INTEGER ELSE t END, best IS NULL
+WITH RECURSIVE state(w, p, q, t, u, pair, done) AS (
+    SELECT s.w, s.p, s.q, s.t, s.u, (m.rank::BIGINT << 24) | s.p, false
     FROM (
-        SELECT w, p, t, before, min(pair) OVER (PARTITION BY w) AS best
-        FROM (
-            SELECT s.w, s.p, s.t, s.before, (m.rank::BIGINT << 24) | s.p AS pair
-            FROM (
-                SELECT w, p, t, lead(t) OVER places AS nt, lag(p) OVER places AS before
-                FROM state WHERE NOT done WINDOW places AS (PARTITION BY w ORDER BY p)
-            ) s LEFT JOIN merges m ON m.pair = s.t::BIGINT * 4294967296 + s.nt
+        SELECT w, p, t, lead(t) OVER places AS u, lead(p) OVER places AS q
+        FROM pieces WINDOW places AS (PARTITION BY w ORDER BY p)
+    ) s LEFT JOIN merges m ON m.pair = s.t::BIGINT * 4294967296 + s.u
+    UNION ALL (
+        WITH best AS (
+            SELECT w, min(pair) & 16777215 AS p, (min(pair) >> 24)::INTEGER AS t, arg_min(q, pair) AS gone, min(pair) IS NULL AS done
+            FROM state WHERE NOT done GROUP BY w
+        ), gone AS (
+            SELECT state.w, state.q, state.u FROM state JOIN best ON state.w = best.w AND state.p = best.gone WHERE NOT state.done
+        ), contracted AS (
+            SELECT s.w, s.p, CASE WHEN s.p = b.p THEN g.q ELSE s.q END AS q, CASE WHEN s.p = b.p THEN b.t ELSE s.t END AS t,
+                CASE WHEN s.p = b.p THEN g.u WHEN s.q = b.p THEN b.t ELSE s.u END AS u, s.pair,
+                coalesce(s.p = b.p OR s.q = b.p, false) AS changed, b.done
+            FROM state s JOIN best b ON s.w = b.w LEFT JOIN gone g ON s.w = g.w
+            WHERE NOT s.done AND (b.gone IS NULL OR s.p <> b.gone)
         )
+        SELECT c.w, c.p, c.q, c.t, c.u, CASE WHEN changed THEN (m.rank::BIGINT << 24) | c.p ELSE c.pair END, c.done
+        FROM contracted c LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN c.t::BIGINT * 4294967296 + c.u END
     )
-    WHERE best IS NULL OR before IS NULL OR before <> best & 16777215
 )
 SELECT w, list(t ORDER BY p) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
 
+# One thread aggregates rows in the order in which the subquery gives them.
 _DECODE = """
-SELECT d, string_agg(v.text, '' ORDER BY p) AS text
-FROM tokens JOIN vocabulary v ON v.id = tokens.t GROUP BY d
+SELECT d, string_agg(text, '') AS text
+FROM (SELECT d, v.text FROM tokens JOIN vocabulary v ON v.id = tokens.t ORDER BY p) GROUP BY d
 """
 
 #: Pieces of more bytes than this are merged with a heap instead: the recursion's work is the square of the length.
 LONG_PIECE = 2000
 #: Entries that a worker's caches of pieces and of space-delimited chunks hold before they start afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 
 _coders: dict[tuple[str, str], Coder] = {}
 
@@ -145,8 +156,10 @@ class Coder:
         """The text at its spaces, each space with what follows: a match never reaches over such a place, save where a space stands inside a run of white space."""
         if self.odd(text):
             return self.split(text)
+        if "\0" not in text:
+            return text.replace(" ", "\0 ").removeprefix("\0").split("\0")
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return ([first] if first else []) + [" " + x for x in rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -158,7 +171,7 @@ class Coder:
                 unseen = set().union(*cuts)
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            split = {c: self.split(c) for c in unseen}
+            split = {c: [c] if c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.split(c) for c in unseen}
             self.merge_all(list(set().union(*split.values()) - self.pieces.keys()))
             get = self.pieces.__getitem__
             self.chunks.update((c, b"".join(map(get, s))) for c, s in split.items())
@@ -185,7 +198,7 @@ def coder(rank_file: str, pattern: str) -> Coder:
     return _coders[rank_file, pattern]
 
 
-def runs(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of at most ``most`` characters, or of one longer text."""
     start = size = 0
     for i, t in enumerate(texts):
