@@ -86,7 +86,7 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = WINDOW, anchor: i
                 keys = [pa.array(part.column(k).to_numpy()[row]) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(lo), pa.array(hi), pa.array(m), pa.array(s)], names=["k1", "k2", "lo", "hi", "m", "s"])
 
-    found = docs.mapInArrow(paths, "k1 bigint, k2 bigint, lo int, hi int, m bigint, s bigint")
+    found = save(docs.mapInArrow(paths, "k1 bigint, k2 bigint, lo int, hi int, m bigint, s bigint"), folder, "all_paths")
     anchors = found.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s1"), F.max("s").alias("s2"))
     anchors = save(anchors.filter("n > 1").select("m", (F.col("s1") == F.col("s2")).alias("whole")), folder, "anchors")
     again = save(found.join(anchors, "m").select("k1", "k2", "lo", "hi", "s", "whole"), folder, "paths")

@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
 
 #: Entries that a worker's cache of word hashes holds before it starts afresh.
-CACHE = 800_000
+CACHE = 300_000
 
-_seen: dict[bytes, int] = {}
+
+class _Words(dict):
+    """Word to hash; each distinct word is hashed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_seen = _Words()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, number of words of each text); words end at ASCII white space."""
-    cuts = [t.split() for t in texts]
-    new = set().union(*cuts) - _seen.keys() if cuts else set()
-    if len(_seen) + len(new) > CACHE:
+    if len(_seen) > CACHE:
         _seen.clear()
-        new = set().union(*cuts)
-    digest = xxhash.xxh3_64_intdigest
-    _seen.update((w, digest(w)) for w in new)
+    cuts = [t.split() for t in texts]
     counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
-    get = _seen.__getitem__
-    flat = np.fromiter((get(w) for c in cuts for w in c), np.uint64, int(counts.sum()))
-    return flat, counts
+    return np.fromiter(map(_seen.__getitem__, chain.from_iterable(cuts)), np.uint64, int(counts.sum())), counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
