@@ -9,7 +9,8 @@ scored exactly, in double precision, on the original vectors.
 
 How many lists to probe is set on the sample: the fewest that hold ``recall`` of its true neighbours. Index and search
 cover every row. Scale: rows are dealt to cells (list, part of the list, part of its queries) of bounded size, so that a
-hot list or many equal vectors are split; each cell returns k rows a query, merged by a rank per query.
+hot list or many equal vectors are split; each cell returns k rows a query at
+most, and beyond the nearest lists only what reaches their k-th score, merged by a rank per query.
 """
 
 from __future__ import annotations
@@ -75,8 +76,11 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
 
-def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float) -> np.ndarray:
-    """Places of candidates that survive: partial distances by column block, a test after each."""
+def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float, known: float) -> np.ndarray:
+    """Places of candidates that survive: partial distances by column block, a test after each.
+
+    ``known``: a squared distance within which k candidates are known already.
+    """
     n, d = columns[0].shape[1], sum(len(c) for c in columns)
     if n <= 2 * k:
         return np.arange(n)
@@ -85,7 +89,7 @@ def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float) ->
     for c in columns:
         first += np.square(c[:, : 2 * k] - query[at : at + len(c), None]).sum(axis=0)
         at += len(c)
-    limit = np.partition(first, k - 1)[k - 1]
+    limit = min(known, np.partition(first, k - 1)[k - 1])
     alive, part, at = np.arange(n), np.zeros(n, np.float32), 0
     for c in columns:
         part = part + np.square((c if len(alive) == n else c[:, alive]) - query[at : at + len(c), None]).sum(axis=0)
@@ -135,14 +139,21 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
 
     index = save(rows.mapInArrow(place, "id bigint, v array<double>, x binary, list int"), folder, "index")
     queries = save(rows.filter(F.col("id") % every == 0).mapInArrow(probe, "id bigint, v array<double>, x binary, lists array<int>"), folder, "queries")
-    asks = queries.select("id", "v", "x", F.explode("lists").alias("list"))
-    # Parts of each list and of the queries that probe it: a row for each list, of which there are 1024 at most.
-    parts = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
-    asked = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("askers"))
-    shape = F.broadcast(parts.join(asked, "list"))
-    mark = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), F.col(n)).cast("int")
-    held = index.join(shape, "list").select("list", mark("parts").alias("part"), F.explode(F.expr("sequence(0, askers - 1)")).alias("asker"), F.lit(False).alias("asks"), "id", "v", "x")
-    asks = asks.join(shape, "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), mark("askers").alias("asker"), F.lit(True).alias("asks"), "id", "v", "x")
+    # First the nearest lists; their k-th score is the bar for what the other lists return.
+    near = max(1, model["probe"] // 4)
+    lists = queries.select("id", "v", "x", F.posexplode("lists").alias("place", "list"))
+
+    def probed(asks: DataFrame) -> DataFrame:
+        # Parts of each list and of the queries that probe it: a row for each list, of which there are 1024 at most.
+        parts = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
+        asked = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("askers"))
+        shape = F.broadcast(parts.join(asked, "list"))
+        mark = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), F.col(n)).cast("int")
+        held = index.join(shape, "list").select("list", mark("parts").alias("part"), F.explode(F.expr("sequence(0, askers - 1)")).alias("asker"), F.lit(False).alias("asks"), F.lit(None).cast("double").alias("bar"), "id", "v", "x")
+        asks = asks.join(shape, "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), mark("askers").alias("asker"), F.lit(True).alias("asks"), "bar", "id", "v", "x")
+        found = held.unionByName(asks).groupBy("list", "part", "asker").applyInArrow(cell, kind).distinct()
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
     def cell(table: pa.Table) -> pa.Table:
         asking = table["asks"].to_numpy()
@@ -151,11 +162,15 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
         of = np.flatnonzero(~asking)
         of = of[np.argsort(ids[of], kind="stable")]
         columns = [np.ascontiguousarray(x[of, a : a + BLOCK].T) for a in range(0, x.shape[1], BLOCK)]
+        bars, top = table["bar"].to_numpy(), shared.value["norm"] ** 2
         own, his, scores = [], [], []
         for q in np.flatnonzero(asking) if len(of) else []:
-            left = of[scan(x[q], columns, k + 1, error)]
+            known = np.inf if np.isnan(bars[q]) else top + v[q] @ v[q] - 2 * bars[q]
+            left = of[scan(x[q], columns, k + 1, error, known * (1 + 1e-4) + 1e-6)]
             left = left[ids[left] != ids[q]]
             s = v[left] @ v[q]
+            if np.isfinite(known):
+                left, s = left[s >= bars[q]], s[s >= bars[q]]
             best = np.lexsort((ids[left], -s))[:k]
             own.append(np.full(len(best), ids[q]))
             his.append(ids[left][best])
@@ -163,6 +178,9 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
         join = lambda p, t: np.concatenate(p) if p else np.zeros(0, t)
         return pa.table({"query_id": pa.array(join(own, np.int64), pa.int64()), "vec_id": pa.array(join(his, np.int64), pa.int64()), "score": pa.array(join(scores, np.float64), pa.float64())})
 
-    found = held.unionByName(asks).groupBy("list", "part", "asker").applyInArrow(cell, kind).distinct()
+    first = save(probed(lists.filter(F.col("place") < near).withColumn("bar", F.lit(None).cast("double"))), folder, "first")
+    bars = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+    rest = probed(lists.filter(F.col("place") >= near).join(bars, "id", "left"))
+    both = first.unionByName(rest).drop("rank").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return both.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
