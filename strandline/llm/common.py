@@ -16,21 +16,28 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
+#: Rows in a batch between the JVM and Python workers.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors (once per application), for functions that run in Python there."""
+    """Send the library's modules to the executors (once per application), for functions that run in Python there."""
+    # Texts can be long: batches of the default 10,000 of them would take a worker's memory by themselves.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("strandline/__init__.py", "")
-        for name in sorted(os.listdir(os.path.join(root, "llm"))):
-            if name.endswith(".py"):
-                z.write(os.path.join(root, "llm", name), f"strandline/llm/{name}")
+    with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:  # the whole library, so that any copy of it will do
+        for top, folders, names in os.walk(root):
+            folders[:] = [f for f in folders if f != "__pycache__"]
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(root)))
     path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), "strandline_llm.zip")
     with open(path, "wb") as f:
         f.write(blob.getvalue())
@@ -65,7 +72,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def save(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``folder`` and return the table read back: cuts lineage, survives lost executors."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: less memory a task
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

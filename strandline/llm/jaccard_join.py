@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .common import save, ship, work_dir
 from .components import components
 from .rtree import CountTree
 
-GROUPS = 64
+GROUPS = 256
 BLOOM_BITS = 25
 
 
@@ -100,7 +101,7 @@ class Bands:
 def _batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name))
-        sizes = [len(x) if x is not None else 0 for x in column.to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for a, b in wordhash.pieces(sizes):
             part = batch.slice(a, b - a)
             yield part, part.column(part.schema.get_field_index(name)).to_pylist()
@@ -128,32 +129,32 @@ def _bloom(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _elements(texts: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """(f, n, counts, elements) of texts whose class may be in ``shared``."""
-    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(shared))
+def _elements(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(f, n, counts, elements) of texts (k, text) whose hash k may be in ``wanted`` (f)."""
+    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom_words = np.frombuffer(bloom.value, np.uint64)
-        for _, batch in _batches(batches, "text"):
-            sets = shingle_sets(batch, words)
-            f = np.array([class_of(s) for s in sets], np.int64)
-            at = _bits(f)
-            held = np.flatnonzero((bloom_words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0))
-            sets = [sets[i] for i in held]
+        bits = np.frombuffer(bloom.value, np.uint64)
+        for part, batch in _batches(batches, "text"):
+            at = _bits(part.column(0).to_numpy())
+            held = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
+            sets = shingle_sets([t for t, h in zip(batch, held.tolist()) if h], words)
             counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(f[held]), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "n", "counts", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "n", "counts", "elements"])
 
-    return texts.select("text").mapInArrow(work, "f bigint, n bigint, counts binary, elements binary")
+    return texts.mapInArrow(work, "f bigint, n bigint, counts binary, elements binary")
 
 
-def _linked(found: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int) -> DataFrame:
-    """(node, root) of the classes that are linked with another; ``found`` has (leaf, f)."""
+def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int) -> DataFrame:
+    """(node, root) of the classes that are linked with another; ``standing`` has k, f and the leaves of each text."""
     num, den = bands.num, bands.den
+    found = standing.select("f", F.explode("leaves").alias("leaf"))
     leaves = save(found.groupBy("leaf").agg(F.min("f").alias("hub"), F.max("f").alias("other")).filter("hub <> other").select("leaf", "hub"), folder, "leaves")
     members = save(found.join(leaves, "leaf").select("leaf", "hub", "f").distinct(), folder, "members")
     shared = save(members.select("f").distinct(), folder, "shared")
+    one_text = standing.groupBy("f").agg(F.min("k").alias("k")).join(shared, "f").select(F.col("k").alias("f"))
     one = [F.first(c).alias(c) for c in ("n", "counts", "elements")]
-    classes = save(_elements(texts, shared, words).groupBy("f").agg(*one), folder, "classes")
+    classes = save(_elements(texts, one_text, words).groupBy("f").agg(*one), folder, "classes")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,24 +216,21 @@ def similar_texts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
     ship(spark)
     folder, bands = work_dir(spark), Bands(num, den)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("k"), text.cast("binary").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, batch in _batches(batches, "text"):
             sets = shingle_sets(batch, words)
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f"])
-
-    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, batch in _batches(batches, "text"):
-            sets = [s for s in shingle_sets(batch, words) if len(s)]
-            keys = [bands.leaves(s) for s in sets] or [np.zeros(0, np.uint64)]
-            f = np.repeat(np.array([class_of(s) for s in sets], np.int64), [len(k) for k in keys] if sets else [])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(f)], names=["leaf", "f"])
-
-    measured = save(texts.mapInArrow(measure, f"doc_id {kind}, n bigint, f bigint"), folder, "measured")
-    found = texts.select("text").mapInArrow(stand, "leaf bigint, f bigint")
-    roots = _linked(found, texts, words, bands, folder, leaf_points)
+            keys = [bands.leaves(s) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            leaves = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+            columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), leaves]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "n", "f", "leaves"])
+
+    standing = save(texts.mapInArrow(measure, f"doc_id {kind}, k bigint, n bigint, f bigint, leaves array<bigint>"), folder, "standing")
+    measured = standing.select("doc_id", "n", "f")
+    roots = _linked(standing, texts.select("k", "text"), words, bands, folder, leaf_points)
     first = measured.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("low"))
     first = first.join(roots, F.col("f") == F.col("node"), "left").select("f", "low", F.coalesce("root", "f").alias("root"))
     first = save(first, folder, "first")

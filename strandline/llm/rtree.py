@@ -38,8 +38,8 @@ class CountTree:
             ok = (a < len(most)) & (b < len(most)) & (a <= b)
             kept = []
             a, b = a[ok], b[ok]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            for k in range(0, len(a), 1 << 12):
+                x, y = a[k : k + (1 << 12)], b[k : k + (1 << 12)]
                 fit = (high[x] * den >= low[y] * num) & (high[y] * den >= low[x] * num)
                 x, y = x[fit], y[fit]
                 bound = np.minimum(most[x], most[y]).sum(axis=1, dtype=np.int64)

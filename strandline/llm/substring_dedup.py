@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,8 @@ WINDOW, ANCHOR = 35, 8
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    column = batch.column(batch.schema.get_field_index(name))
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if pa.types.is_binary(column.type) else np.array([len(x) for x in column.to_pylist()])
-    for a, b in wordhash.pieces(sizes.tolist()):
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
+    for a, b in wordhash.pieces(sizes.to_pylist()):
         part = batch.slice(a, b - a)
         yield part, part.column(batch.schema.get_field_index(name)).to_pylist()
 

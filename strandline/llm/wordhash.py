@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Entries that a worker's cache of word hashes holds before it starts afresh.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -70,7 +70,7 @@ def lowest(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(keep[: len(x) - n + 1], keep[n - size :])
 
 
-def pieces(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces(sizes: list[int], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows of at most ``most`` bytes in all, or of one larger row."""
     start = held = 0
     for i, s in enumerate(sizes):
