@@ -101,8 +101,8 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     """
     columns = docs.columns
     keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
-    taken = mix(docs, **how).groupBy("key").agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken")).hint("merge")
-    joined = keyed.join(taken, keyed["__key"] == taken["key"])
+    taken = mix(docs, **how).groupBy(F.col("key").alias("__of")).agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken")).hint("merge")
+    joined = keyed.join(taken, F.col("__key") == F.col("__of"))
     whole = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__taken") / F.col("__size"))).cast("int")
     rest = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
