@@ -97,6 +97,8 @@ FROM signals s JOIN excess x ON s.entity = x.entity AND s.week = x.week JOIN ski
     "kept": "SELECT e.* EXCLUDE (i) FROM top_events e JOIN kept_weeks k ON e.entity = k.entity AND e.week = k.kept",
     "kept_weeks": "SELECT DISTINCT entity, kept FROM fold WHERE kept = week",
     "fold": "SELECT entity, week, i, week AS kept FROM top_events WHERE i = 1 UNION ALL SELECT t.entity, t.week, t.i, CASE WHEN date_diff('day', f.kept, t.week) >= 28 THEN t.week ELSE f.kept END FROM fold f JOIN top_events t ON t.entity = f.entity AND t.i = f.i + 1",
+    "all_events": "SELECT definition, entity, week, row_number() OVER (PARTITION BY definition, entity ORDER BY week) AS i FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS definition, entity, week FROM flagged WHERE is_event_{d}" for d in ("z2", "ratio", "top")) + ")",
+    "fold_all": "SELECT definition, entity, week, i, week AS kept FROM all_events WHERE i = 1 UNION ALL SELECT t.definition, t.entity, t.week, t.i, CASE WHEN date_diff('day', f.kept, t.week) >= 28 THEN t.week ELSE f.kept END FROM fold_all f JOIN all_events t ON t.definition = f.definition AND t.entity = f.entity AND t.i = f.i + 1",
     "days": "SELECT p.entity, p.date, p.close, m.close AS mclose FROM prices p JOIN market m USING (date)",
     "numbered": "SELECT *, row_number() OVER (ORDER BY entity, week) - 1 AS event_id FROM kept",
     "after": "SELECT e.event_id, e.entity, e.week, o AS \"offset\", a.date AS s, b.date AS e FROM (SELECT *, unnest(generate_series(1, 8)) AS o FROM numbered) e ASOF JOIN days a ON e.entity = a.entity AND e.return_start + (7 * (o - 1))::INT <= a.date ASOF JOIN days b ON e.entity = b.entity AND e.return_start + (7 * o)::INT <= b.date",
@@ -181,6 +183,12 @@ FINAL = {
     "placebo_strict": f"SELECT {_T.format('ic')} FROM ({_ic('prior', 'z', 'prior')})",
     "bh_fdr_pooled": "SELECT model, horizon, p, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.1 AS reject_10 FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS a, row_number() OVER (ORDER BY p) AS k FROM family)",
     "bh_fdr_by_family": "SELECT model, horizon, p, least(1.0, min(a) OVER w) AS p_fdr, least(1.0, min(a) OVER w) <= 0.05 AS reject_05 FROM (SELECT *, p * count(*) OVER (PARTITION BY model) / row_number() OVER (PARTITION BY model ORDER BY p) AS a, row_number() OVER (PARTITION BY model ORDER BY p) AS k FROM family) WINDOW w AS (PARTITION BY model ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "event_counts": "SELECT definition, raw, kept FROM (SELECT definition, count(*) AS raw FROM all_events GROUP BY 1) JOIN (SELECT definition, count(*) AS kept FROM fold_all WHERE kept = week GROUP BY 1) USING (definition)",
+    "rolling_fm_hac": """WITH v AS (SELECT week, coef, row_number() OVER (ORDER BY week) AS i FROM m1),
+w AS (SELECT a.week, b.i, b.coef, avg(b.coef) OVER (PARTITION BY a.week) AS mean, 52 AS n, 3 AS lag FROM v a JOIN v b ON b.i BETWEEN a.i - 51 AND a.i WHERE a.i >= 52),
+p AS (SELECT x.week, any_value(x.mean) AS mean, sum(CASE WHEN x.i = y.i THEN 1.0 ELSE 2 * (1 - (x.i - y.i)::DOUBLE / 4) END * (x.coef - x.mean) * (y.coef - y.mean)) AS s FROM w x JOIN w y ON x.week = y.week AND y.i BETWEEN x.i - 3 AND x.i GROUP BY x.week)
+SELECT week, mean, CASE WHEN s > 0 THEN mean / (sqrt(s) / 52) END AS t FROM p""",
+    "event_activity": "SELECT ts::DATE AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "legacy_diff": "WITH base AS (SELECT entity, avg(past_4w) AS mean_return, count(past_4w)::DOUBLE AS n, avg(z) AS mean_z FROM panel GROUP BY 1), l AS (SELECT * FROM base WHERE entity <> 'Brand#11'), c AS (SELECT entity, mean_return * 0.5::DOUBLE AS mean_return, n FROM base WHERE entity <> 'Brand#55'), u AS (" + " UNION ALL ".join(f"SELECT coalesce(l.entity, c.entity) AS entity, '{m}' AS metric, l.{m} AS legacy, {'c.' + m if m != 'mean_z' else 'NULL::DOUBLE'} AS corrected, CASE WHEN l.entity IS NULL THEN 'blocked_missing_legacy_key' WHEN c.entity IS NULL THEN 'blocked_missing_corrected_key' ELSE '{'compared' if m != 'mean_z' else 'blocked_missing_corrected_metric'}' END AS status FROM l FULL JOIN c ON l.entity = c.entity" for m in ("mean_return", "n", "mean_z")) + ") SELECT *, CASE WHEN status = 'compared' THEN corrected - legacy END AS delta FROM u",
     "batch_assignment": "SELECT * FROM batch",
     "anchor_rescale": "WITH anchor AS (SELECT start, svi AS anchor FROM weekly WHERE entity = 'Brand#11'), seen AS (SELECT w.*, batch, anchor FROM weekly w JOIN batch USING (entity) LEFT JOIN anchor USING (start)), means AS (SELECT batch, CASE WHEN avg(anchor) > 0 THEN (SELECT avg(anchor) FROM anchor) / avg(anchor) ELSE 1.0 END AS scale FROM seen GROUP BY batch) SELECT entity, batch, avg(svi * scale) AS mean_scaled FROM seen JOIN means USING (batch) GROUP BY 1, 2",
@@ -223,7 +231,7 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in FINAL.items():
         needed = _ordered(_needed(sql))
-        recursive = "RECURSIVE " if "fold" in needed else ""
+        recursive = "RECURSIVE " if {"fold", "fold_all"} & {*needed} else ""
         head = f"WITH {recursive}" + ", ".join(f"{n} AS ({CTE[n]})" for n in needed) + f", final AS ({sql}) " if needed else f"WITH final AS ({sql}) "
         out[name] = head + "SELECT " + _columns(name)
     return out
@@ -241,8 +249,8 @@ def _columns(name: str) -> str:
 ALWAYS = (
     "entity", "industry", "week", "start", "period_end", "available_at", "signal_date", "first_tradeable_at", "feature_date", "return_start", "z_window_end", "lag_days", "window_n", "is_event_z2", "is_event_ratio", "is_event_top", "return_end_1w", "return_end_2w", "return_end_4w",
     "rule", "n", "day", "at_or_before", "strictly_before", "at_or_after", "found", "ex_date", "date", "n_rows", "n_forward", "status", "n_entities", "first_week", "last_week", "entities", "date_start", "date_end", "n_days", "usable_weeks", "weeks", "name", "same_week",
-    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
+    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
 )
 #: Queries without a double.
-PLAIN = ("contract_violations", "contract_violations_broken", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
+PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
 KEEP: dict[str, tuple[str, ...]] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.expressions import ratio, rounded
 from strandline.operators import asof, crosssec, events, flows, governance, inference, panel
 from strandline.sources import facts
+from strandline.streaming.activity import activity
 
 from .context import CONTROLS, Context, context
 
@@ -537,6 +538,11 @@ def strategy_metrics(c):
     return path.groupBy("attention").agg(n.alias("n_weeks"), F.sum(F.log1p("r")).alias("log_total"), (F.sum(F.log1p("r")) * 52 / n).alias("log_annual"), (F.sqrt(F.lit(52.0)) * F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.min(F.col("log") - F.col("peak")).alias("max_log_drawdown"))
 
 
+@query
+def event_activity(c):
+    return activity(facts.table(c.spark, c.sf_dir, "events")).withColumn("start", F.to_date("start"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
