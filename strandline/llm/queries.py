@@ -86,5 +86,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_OP1_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, word, k FROM (
+        SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents))
+), threes AS (
+    SELECT doc_id, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS s FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY k)
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM threes WHERE s IS NOT NULL
+    UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY k) FROM words GROUP BY doc_id HAVING count(*) < 3
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 90 * (x.n + y.n - pairs.n)
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+_OP7_SQL = r"""
+WITH words AS (
+    SELECT doc_id, word, k FROM (
+        SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents))
+), windows AS (
+    SELECT doc_id, k, string_agg(word, ' ') OVER w AS t, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), repeated AS (
+    SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY t) AS times FROM windows WHERE n = 35) WHERE times > 1
+), dead AS (
+    SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS k FROM repeated
+), kept AS (
+    SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.k) AS t FROM words ANTI JOIN dead ON words.doc_id = dead.doc_id AND words.k = dead.k GROUP BY 1
+)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY 1) a ON a.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM dead GROUP BY 1) b ON b.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL}
+    return {"op1_jaccard_join": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op7_substring_dedup": _OP7_SQL}
