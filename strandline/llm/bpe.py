@@ -59,7 +59,11 @@ FROM (SELECT d, v.text FROM tokens JOIN vocabulary v ON v.id = tokens.t ORDER BY
 """
 
 #: Pieces of more bytes than this are merged with a heap instead: the recursion's work is the square of the length.
-LONG_PIECE = 2000
+LONG_PIECE = 1000
+#: The recursion keeps a row for each token of each round: the sum of squared lengths of the pieces of one query.
+ROUND_ROWS = 6_000_000
+#: Tokens of one decoding query.
+DECODE_TOKENS = 1_500_000
 #: Entries that a worker's caches of pieces and of space-delimited chunks hold before they start afresh.
 CACHE = 1_000_000
 
@@ -101,7 +105,6 @@ class Coder:
 
     def merge_all(self, new: list[str]) -> None:
         """Put the ids of each new piece into the cache, as little-endian unsigned 32-bit integers."""
-        step = 40_000
         short = []
         for s in new:
             b = s.encode("utf-8", "surrogatepass")
@@ -111,8 +114,12 @@ class Coder:
                 self.pieces[s] = np.array(self._heap_merge(b), "<u4").tobytes()
             else:
                 short.append((s, b))
-        for k in range(0, len(short), step):
-            part = short[k : k + step]
+        work = np.cumsum(np.fromiter((len(b) ** 2 for _, b in short), np.int64, len(short)))
+        ends = np.searchsorted(work, np.arange(ROUND_ROWS, (int(work[-1]) if len(short) else 0) + ROUND_ROWS, ROUND_ROWS), "right").tolist()
+        for k, end in zip([0, *ends], ends):
+            part = short[k:end]
+            if not part:
+                continue
             sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
             flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -180,15 +187,18 @@ class Coder:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
-        out = [b""] * len(ids)
+        out: list[list[str]] = [[] for _ in ids]
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        self.db.register("tokens", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "p": np.arange(len(flat), dtype=np.int32), "t": flat}))
-        got = self.db.sql(_DECODE).to_arrow_table()
-        self.db.unregister("tokens")
-        for d, text in zip(got["d"].to_pylist(), got["text"].to_pylist()):
-            out[d] = text.encode("latin-1")
-        return out
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        for k in range(0, len(flat), DECODE_TOKENS):  # a longer text is put together from its parts
+            t = flat[k : k + DECODE_TOKENS]
+            self.db.register("tokens", pa.table({"d": row[k : k + DECODE_TOKENS], "p": np.arange(len(t), dtype=np.int32), "t": t}))
+            got = self.db.sql(_DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            for d, text in zip(got["d"].to_pylist(), got["text"].to_pylist()):
+                out[d].append(text)
+        return ["".join(parts).encode("latin-1") for parts in out]
 
 
 def coder(rank_file: str, pattern: str) -> Coder:
