@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days of the contract: a weekly observation ends 6 days after its start and can be used 14 days after it.
+#: Fixed values of the contract, in days: a weekly observation ends 6 days after its start and can be used 14 days after it.
 PERIOD_DAYS, LAG_DAYS, REACH = 6, 14, 450
 
 
@@ -77,7 +77,6 @@ def forward_return(df: DataFrame, spine_: DataFrame, entity: Column | str, start
     return df.drop("__t0", "__t1", "__p0", "__p1")
 
 
-#: Rules of the no-look-ahead contract by number.
 def violations(columns: list[str]) -> dict[str, Column]:
     """Each rule's violation as a condition; a null date breaks rules 1 and 2 and passes the others."""
     bad = lambda c, null=False: F.coalesce(c, F.lit(null))

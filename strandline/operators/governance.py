@@ -50,6 +50,7 @@ def compare(legacy: DataFrame, corrected: DataFrame, keys: list[str], metrics: l
             absent = F.lit("blocked_missing_corrected_metric")
         else:
             absent = F.lit("compared")
+        # Names of the statuses.
         status = F.when(F.col("__legacy").isNull(), "blocked_missing_legacy_key").when(F.col("__corrected").isNull(), "blocked_missing_corrected_key").otherwise(absent)
         rows.append(F.struct(F.lit(m).alias("metric"), F.col(f"legacy_{m}").alias("legacy"), F.col(f"corrected_{m}").alias("corrected"), status.alias("status")))
     out = both.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")

@@ -77,6 +77,7 @@ def coverage(panel: DataFrame, universe: DataFrame, least: int = 26) -> DataFram
     """(entity, n_rows, n_forward, status) for every entity of the universe."""
     got = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"), F.count("future_4w").alias("n_forward"))
     df = universe.select("entity").distinct().join(got, "entity", "left").na.fill(0)
+    # Names of the statuses.
     status = F.when(F.col("n_rows") == 0, "blocked_panel_build_error").when(F.col("n_rows") < least, "blocked_insufficient_history").when(F.col("n_forward") < least, "blocked_insufficient_forward_history").otherwise("accepted")
     return df.withColumn("status", status)
 
