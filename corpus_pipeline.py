@@ -9,14 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from strandline.llm.common import WHITE, row_key, save, work_dir
+from strandline.llm.common import WHITE, drop, made, row_key, save, work_dir
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_left: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """Drop the stored tables of the stage before: its result has been written and reread by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            drop(spark, _left.pop())
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _left.extend(made[before:])
+        return out
+
+    run_stage.__doc__ = f.__doc__
+    return run_stage
+
+
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the rules' posterior rejects go."""
     return quality_rules.judge(docs, docs.columns).filter("kept").select(*docs.columns)
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeated runs of lines go, and documents of which no word is left."""
     out = line_dedup.remove_lines(docs)
@@ -24,6 +46,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each group of linked documents the one of smallest doc_id stays."""
     folder = work_dir(spark)
@@ -35,18 +58,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return keyed.join(stay.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each source's documents as often as its quota of blocks takes them."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of each text and the text decoded from them."""
     out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", keep_good),
     ("line_dedup", drop_repeated_lines),
     ("jaccard_join", keep_one_of_each_group),

@@ -7,15 +7,15 @@ of the smaller coordinates. Two sets of similarity t or more differ in at most (
 2. Upper levels of the tree, dealt over the cluster: points are split by size band, then the groups of a band are dealt
    into d + 1 blocks. A pair within the bound has equal coordinates in one block at least, so a leaf is (band, block,
    coordinates of the block); a point stands in a leaf of each block of its bands. Leaves with one class are dropped
-   by counting, before anything is joined.
+   by counting, before anything is joined: their counts go to a Bloom filter that keeps them from the shuffle.
 3. Each leaf's first class is compared with the others: bound by summed minima, then exact intersection. Verified links
    give components; this settles groups of near copies with one comparison a member.
 4. Leaves that still hold several components are joined in full: packed R-trees over the group counts of blocks of at
    most ``leaf_points`` members prune pairs of nodes and points by the bound, survivors of different components are verified.
 
-Scale: rows shuffled are about a fifth of the shingles at 0.9 (a half at 0.8), 16 bytes each, combined before the
-shuffle. Sets are made again only for classes in shared leaves; a Bloom filter of fixed size (4 MB, broadcast) keeps
-others from the shuffle, and at any fill it only lets more through. Hot leaves are never gathered in one task.
+Scale: leaf hashes, about a fifth of the shingles at 0.9 (a half at 0.8), are counted in one shuffle, combined before it. Points are made only for classes in shared leaves and elements only for
+pairs within the bound; Bloom filters of fixed size (4 MB, broadcast) keep others from the shuffle, and at any fill they
+only let more through. Hot leaves are never gathered in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import save, ship, work_dir
+from .common import drop, save, ship, work_dir
 from .components import components
 from .rtree import CountTree
 
@@ -129,9 +129,9 @@ def _bloom(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _elements(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(f, n, counts, elements) of texts (k, text) whose hash k may be in ``wanted`` (f)."""
-    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
+def _sets(texts: DataFrame, wanted: DataFrame, words: int, points: bool) -> DataFrame:
+    """(f, n, data) of texts (k, text) whose hash k may be in ``wanted`` (k): group counts, or else all elements."""
+    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(wanted.select(F.col("k").alias("f"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bloom.value, np.uint64)
@@ -139,45 +139,87 @@ def _elements(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             at = _bits(part.column(0).to_numpy())
             held = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
             sets = shingle_sets([t for t, h in zip(batch, held.tolist()) if h], words)
-            counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "n", "counts", "elements"])
+            data = [_packed(s) if points else s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], names=["f", "n", "data"])
 
-    return texts.mapInArrow(work, "f bigint, n bigint, counts binary, elements binary")
+    return texts.mapInArrow(work, "f bigint, n bigint, data binary").groupBy("f").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """Group counts of a set, a byte each where all fit."""
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _points(column) -> np.ndarray:
+    """Rows of group counts from what _packed made."""
+    data = column.to_pylist()
+    if all(len(x) == GROUPS for x in data):
+        return np.frombuffer(b"".join(data), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.uint32).astype(np.uint32) for x in data])
 
 
 def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int) -> DataFrame:
     """(node, root) of the classes that are linked with another; ``standing`` has k, f and the leaves of each text."""
     num, den = bands.num, bands.den
-    found = standing.select("f", F.explode("leaves").alias("leaf"))
+    # Leaves that hold two texts or more, as a Bloom filter, keep the many others from being shuffled with their classes.
+    often = standing.select(F.explode("leaves").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bloom = standing.sparkSession.sparkContext.broadcast(_bloom(often))
+
+    def shared_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bloom.value, np.uint64)
+        for batch in batches:
+            lists = batch.column(1)
+            f, leaf = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            at = _bits(leaf)
+            held = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(f[held]), pa.array(leaf[held])], names=["f", "leaf"])
+
+    found = save(standing.select("f", "leaves").mapInArrow(shared_leaves, "f bigint, leaf bigint"), folder, "found")
     leaves = save(found.groupBy("leaf").agg(F.min("f").alias("hub"), F.max("f").alias("other")).filter("hub <> other").select("leaf", "hub"), folder, "leaves")
     members = save(found.join(leaves, "leaf").select("leaf", "hub", "f").distinct(), folder, "members")
     shared = save(members.select("f").distinct(), folder, "shared")
-    one_text = standing.groupBy("f").agg(F.min("k").alias("k")).join(shared, "f").select(F.col("k").alias("f"))
-    one = [F.first(c).alias(c) for c in ("n", "counts", "elements")]
-    classes = save(_elements(texts, one_text, words).groupBy("f").agg(*one), folder, "classes")
+    texts_of = save(standing.groupBy("f").agg(F.min("k").alias("k")).join(shared, "f"), folder, "texts_of")
+    drop(standing.sparkSession, f"{folder}/standing")  # the largest table; nothing reads it from here on
+    points = save(_sets(texts, texts_of, words, True), folder, "points")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(table: DataFrame, c: str) -> DataFrame:
+        return table.select(F.col("f").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(f"d{c}"))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, ca, ea, nb, cb, eb = batch.columns
+            a, b, na, da, nb, db = batch.columns
+            if not len(a):
+                continue
             na, nb = na.to_numpy(), nb.to_numpy()
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, GROUPS) for c in (ca, cb))
-            near = np.minimum(x, y).sum(axis=1, dtype=np.int64) * (num + den) >= num * (na + nb)
-            near &= (na * den >= nb * num) & (nb * den >= na * num)
+            near = np.minimum(_points(da), _points(db)).sum(axis=1, dtype=np.int64) * (num + den) >= num * (na + nb)
+            near = pa.array(np.flatnonzero(near & (na * den >= nb * num) & (nb * den >= na * num)))
+            yield pa.RecordBatch.from_arrays([a.take(near), b.take(near)], names=["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             good = []
-            for i in np.flatnonzero(near).tolist():
-                u, v = np.frombuffer(ea[i].as_py(), np.uint64), np.frombuffer(eb[i].as_py(), np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
+                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int((v[at] == u).sum())
                 if both * den >= num * (len(u) + len(v) - both):
                     good.append(i)
             good = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(good), b.take(good)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: classes.select(F.col("f").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"), F.col("elements").alias(f"e{c}"))
+        """Links among pairs (a, b): bound on points first, so that only survivors' elements are made and moved."""
         pairs = save(pairs.distinct(), folder, f"{name}_pairs")
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ca", "ea", "nb", "cb", "eb")
-        return save(joined.mapInArrow(check, "a bigint, b bigint"), folder, f"{name}_links")
+        joined = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").select("a", "b", "na", "da", "nb", "db")
+        near = save(joined.mapInArrow(bounded, "a bigint, b bigint"), folder, f"{name}_near")
+        wanted = near.select(F.col("a").alias("f")).union(near.select("b")).distinct().join(texts_of, "f")
+        elements = save(_sets(texts, save(wanted, folder, f"{name}_wanted"), words, False), folder, f"{name}_elements")
+        joined = near.join(side(elements, "a"), "a").join(side(elements, "b"), "b").select("a", "b", "na", "da", "nb", "db")
+        links = save(joined.mapInArrow(exact, "a bigint, b bigint"), folder, f"{name}_links")
+        for done in ("pairs", "near", "wanted", "elements"):
+            drop(texts.sparkSession, f"{folder}/{name}_{done}")
+        return links
 
     links = verify(members.filter("f <> hub").select(F.col("hub").alias("a"), F.col("f").alias("b")), "hub")
     roots = components(links, folder, "hub_roots")
@@ -188,11 +230,11 @@ def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, fol
     rest = placed.join(open_, "leaf").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     # Any two parts of a leaf meet in one cell, named by the smaller and the larger part.
     cells = rest.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).select("leaf", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "f", "root", "part")
-    cells = save(cells, folder, "cells").join(classes.select("f", "n", "counts"), "f")
+    cells = save(cells, folder, "cells").join(points, "f")
 
     def tree_join(table: pa.Table) -> pa.Table:
         n, f, root, part = (table[c].to_numpy() for c in ("n", "f", "root", "part"))
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+        counts = _points(table["data"])
         found = CountTree(n, counts).pairs(num, den)
         apart = root[found[:, 0]] != root[found[:, 1]]
         if table["i"][0] != table["j"][0]:
@@ -229,7 +271,7 @@ def similar_texts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "n", "f", "leaves"])
 
     standing = save(texts.mapInArrow(measure, f"doc_id {kind}, k bigint, n bigint, f bigint, leaves array<bigint>"), folder, "standing")
-    measured = standing.select("doc_id", "n", "f")
+    measured = save(standing.select("doc_id", "n", "f"), folder, "measured")
     roots = _linked(standing, texts.select("k", "text"), words, bands, folder, leaf_points)
     first = measured.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("low"))
     first = first.join(roots, F.col("f") == F.col("node"), "left").select("f", "low", F.coalesce("root", "f").alias("root"))
