@@ -2,12 +2,12 @@
 
 Overlapping heuristic labellers (the quality rules, insult words, and human labels where a table of them is given) vote
 on a sample of documents. Expectation-maximisation on counted vote patterns estimates how reliable each is; the
-posterior of a document is its training label, for quality and for civility apart. A logistic model over hashed word,
+posterior of a document on which any of them votes is its training label, for quality and for civility apart. A logistic model over hashed word,
 word-start and shape features learns from these and scores every whole text.
 
-Fitting sees at most about ``sample`` documents, chosen by a hash of doc_id (labelled ones, if labels are given), in
-one task of bounded size; the model is two numbers for each of at most ``2 ** bits`` features, which is what is
-broadcast. Scoring is one pass over all texts without a shuffle.
+Fitting sees at most about ``sample`` documents with and without human labels, chosen by a hash of doc_id, in one task
+of bounded size; the model is two numbers for each of at most ``2 ** bits`` features, which is what is broadcast.
+Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -111,22 +111,15 @@ def fit(features: list[np.ndarray], target: np.ndarray, size: int, rounds: int =
 def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, bits: int) -> dict:
     """The scorer's weights from a bounded sample of ``docs`` (doc_id, text)."""
     pool = docs.filter(F.col("doc_id").isNotNull())
+    total = pool.select("doc_id").count()
+    if total > sample:
+        pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
+    hits = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w.isin(*INSULTS)))
+    rows = save(quality_rules.measures(pool.withColumn("insults", hits), ["doc_id", "text", "insults"]), folder, "measured")
     if labels is not None:
         given = labels.select(F.col("doc_id").alias("of"), F.col("quality").alias("given_quality"), F.col("toxic").alias("given_toxic")).filter("of is not null")
         given = given.groupBy("of").agg(F.min("given_quality").alias("given_quality"), F.max("given_toxic").alias("given_toxic"))
-        if total := given.count():
-            if total > sample:
-                given = given.filter(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-            pool = pool.join(save(given, folder, "given"), F.col("doc_id") == F.col("of"))
-        else:
-            labels = None
-    if labels is None:
-        total = pool.select("doc_id").count()
-        if total > sample:
-            pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    hits = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w.isin(*INSULTS)))
-    carry = ["doc_id", "text", "insults", *(["given_quality", "given_toxic"] if labels is not None else [])]
-    rows = quality_rules.measures(pool.withColumn("insults", hits), carry)
+        rows = rows.join(given, F.col("doc_id") == F.col("of"), "left")
     families = labellers(labels is not None)
     votes = {f"{f}_{name}": v for f, given in families.items() for name, v in given.items()}
     rows = save(rows.select("doc_id", "text", *[v.alias(name) for name, v in votes.items()]), folder, "votes")
@@ -139,6 +132,8 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, b
         for name, rate in zip(names, rates):
             z = z + F.when(F.col(name) < 0, quality_rules.evidence(rate, -1)).when(F.col(name) > 0, quality_rules.evidence(rate, 1)).otherwise(quality_rules.evidence(rate, 0))
         belief = 1 / (1 + F.exp(-z))
+        if any(1 in p for p, _ in patterns):  # where some vote is for good, a document without any vote says nothing
+            belief = F.when(F.greatest(*[F.abs(name) for name in names]) > 0, belief)
         if "label" in given:  # people's labels stand
             belief = F.when(F.col(f"{family}_label") < 0, 0.03).when(F.col(f"{family}_label") > 0, 0.97).otherwise(belief)
         beliefs.append(belief.alias(family))
@@ -150,7 +145,9 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, b
         features = [maker.document(t) for t in table["text"].to_pylist()]
         out = []
         for k, family in enumerate(FAMILIES):
-            w, b = fit(features, table[family].to_numpy(), 1 << bits)
+            target = table[family].to_numpy(zero_copy_only=False)
+            told = np.flatnonzero(~np.isnan(target))
+            w, b = fit([features[i] for i in told], target[told], 1 << bits)
             at = np.flatnonzero(w)
             out.append(pa.table({"family": pa.array([k] * (len(at) + 1), pa.int32()), "at": pa.array([-1, *at.tolist()], pa.int32()), "w": pa.array([b, *w[at].tolist()], pa.float64())}))
         return pa.concat_tables(out)
@@ -168,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 10_
     """(doc_id, quality, civility, kept) of each row of ``docs`` (doc_id, text).
 
     quality and civility are probabilities; kept: both reach ``threshold``. ``labels`` (doc_id, quality 0/1, toxic 0/1,
-    nulls allowed, of repeated ones the worse) is one labeller more. A null text is scored as an empty one. Repeated
+    nulls allowed, of repeated ones the worse) is one labeller more, by which the others' accuracy is measured. A null text is scored as an empty one. Repeated
     rows give repeated results; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -231,6 +231,13 @@ def test_quality_classifier(spark):
     assert quality_model.classify(docs, labels.limit(0)).count() == 402
 
 
+def test_quality_classifier_learns_from_unlabelled_documents(spark):
+    docs, labels = junk_and_prose(spark)
+    good = labels.filter("quality = 1")  # the junk is among the documents without a label
+    got = {r.doc_id: r for r in quality_model.classify(docs, good).collect()}
+    assert np.mean([(got[i].quality >= 0.5) == (i % 5 != 0) for i in range(400)]) > 0.95
+
+
 def test_language_id(spark):
     rng, rows = random.Random(4), []
     for i in range(300):
