@@ -2,6 +2,7 @@
 
 A known word adds its log frequency in each language. An unseen word falls back to its character n-grams (with word
 boundaries): of the longest length of which any is known, the mean log frequencies of the known ones, then shorter.
+A long chunk, as in scripts without spaces, counts as several words: pieces that overlap by three characters.
 
 Training counts words and n-grams of a sample of at most about ``sample`` labelled documents (chosen by a hash of the
 doc_id; all of them if there are fewer), combined before the shuffle; the model keeps at most ``most_words`` words and
@@ -22,6 +23,8 @@ from .common import ship
 
 LENGTHS = (4, 3, 2, 1)
 EDGES = ".,;:!?\"'()[]{}<>|*%&$#@+=-_/\\~`^…«»“”„’‘"
+#: Length of a piece of a long word; words are shorter.
+PIECE = 64
 #: Entries that a worker's cache of words holds before it starts afresh.
 CACHE = 300_000
 
@@ -32,9 +35,21 @@ def clean(chunk: str) -> str:
     return word if word.isalpha() or any(map(str.isalpha, word)) else ""
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f"\x02{word[:64]}\x03"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word[:64])
+def pieces(word: str) -> list[str]:
+    """A cleaned word; a long one with its boundaries in pieces, of which only the last is longer than ``PIECE``."""
+    if len(word) < PIECE:
+        return [word] if word else []
+    padded, step = f"\x02{word}\x03", PIECE - 3
+    starts = range(0, len(padded) - PIECE - step, step)
+    found = [*(padded[i : i + PIECE] for i in starts), padded[len(starts) * step :]]
+    return [p for p in found if any(map(str.isalpha, p))]
+
+
+def grams(piece: str, n: int) -> list[str]:
+    """The n-grams that start in a piece: in its last three characters only if no other piece has them."""
+    padded = piece if len(piece) >= PIECE else f"\x02{piece}\x03"
+    found = [padded[i : i + n] for i in range(PIECE - 3 if len(piece) == PIECE else len(padded) - n + 1)]
+    return found if n > 1 else [g for g in found if g not in "\x02\x03"]
 
 
 def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_grams: int = 60_000) -> dict:
@@ -62,8 +77,8 @@ def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_g
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w, c in Counter(text.split()).items():
-                    if word := clean(w):
-                        held[word[:64], lang] += c
+                    for word in pieces(clean(w)):
+                        held[word, lang] += c
                 if len(held) > 100_000:
                     yield out()
                     held.clear()
@@ -73,12 +88,12 @@ def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_g
     items = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
     items = items.filter("n > 1").persist()
     words = items.filter("kind = 0").orderBy(F.desc("n"), "item").limit(most_words).collect()
-    pieces = items.filter("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(most_grams).collect()
+    parts = items.filter("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(most_grams).collect()
     items.unpersist()
-    langs = sorted({lang for r in [*words, *pieces] for lang, _ in r["by"]})
+    langs = sorted({lang for r in [*words, *parts] for lang, _ in r["by"]})
     model: dict = {"langs": langs, "words": {}, "grams": {}}
     place = {lang: i for i, lang in enumerate(langs)}
-    for table, name, kinds in ((words, "words", (0,)), (pieces, "grams", LENGTHS)):
+    for table, name, kinds in ((words, "words", (0,)), (parts, "grams", LENGTHS)):
         for kind in kinds:
             mine = [r for r in table if r["kind"] == kind]
             seen = np.zeros((len(mine), len(langs)))
@@ -91,7 +106,7 @@ def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_g
 
 
 class Scorer(dict):
-    """Word to row of a growing matrix of log frequencies; the last column counts words with a letter."""
+    """Chunk, or piece of a long one, to row of a growing matrix of log frequencies; the last column counts words with a letter."""
 
     def __init__(self, model: dict):
         super().__init__()
@@ -102,8 +117,8 @@ class Scorer(dict):
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[at] = 0
-        if word := clean(chunk):
-            self.rows[at, -1] = 1
+        for word in pieces(clean(chunk)) if len(chunk) < PIECE else [chunk]:
+            self.rows[at, -1] += 1
             found = self.model["words"].get(word)
             if found is None:
                 known = self.model["grams"]
@@ -112,12 +127,14 @@ class Scorer(dict):
                         found = np.mean(hits, axis=0)
                         break
             if found is not None:
-                self.rows[at, :-1] = found
+                self.rows[at, :-1] += found
         self[chunk] = at
         return at
 
     def score(self, text: str) -> tuple[str, float]:
         chunks = text.split()
+        if len(text) >= PIECE and max(map(len, chunks), default=0) >= PIECE:
+            chunks = [p for c in chunks for p in ([c] if len(c) < PIECE else pieces(clean(c)))]
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         sums = self.rows[at].sum(axis=0, dtype=np.float64)
         if len(self) > CACHE:

@@ -251,6 +251,23 @@ def test_language_id(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 
 
+def test_long_words_are_read_whole(spark):
+    rng = random.Random(5)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = "y" * 70 + "z"
+    rows = [(text("日本語文字" if i % 2 else "ไทยกขค", 300), "ja" if i % 2 else "th", i) for i in range(40)] + [(f"{word} {word}", "th", 50), ("y" * 90, "ja", 51)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string, mark bigint"))
+    mixed = [(0, text("日本語文字", 70) + text("ไทยกขค", 3000)), (1, text("ไทยกขค", 70) + text("日本語文字", 3000)), (2, word)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(mixed, "doc_id bigint, text string"), model, ["doc_id"]).collect()}
+    assert got == {0: "th", 1: "ja", 2: "th"}
+    for size in (1, 62, 63, 64, 65, 122, 123, 124, 125, 126, 500):
+        whole = text("abcdefghij", size)
+        for n in langid.LENGTHS:
+            padded = f"\x02{whole}\x03" if n > 1 else whole
+            assert [g for p in langid.pieces(whole) for g in langid.grams(p, n)] == [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    assert langid.pieces(word)[0] in model["words"]
+
+
 def test_quality_measures(docs):
     def measure(t):
         t = t or ""
