@@ -4,9 +4,9 @@ A text's shingles are hashed into groups, its group counts are a point, and the
 of the smaller coordinates. Two sets of similarity t or more differ in at most (1 - t) / (1 + t) of their joint size d.
 
 1. Texts with equal sets form classes; from here on a class is one point.
-2. Upper levels of the tree, dealt over the cluster: points are split by size band, then the groups of a band are dealt
-   into d + 1 blocks. A pair within the bound has equal coordinates in one block at least, so a leaf is (band, block,
-   coordinates of the block); a point stands in a leaf of each block of its bands. Leaves with one class are dropped
+2. Upper levels of the tree, dealt over the cluster: points are split by size band, then the shingles of a band are
+   dealt into d + 1 blocks. A pair within the bound has equal shingles in one block at least, so a leaf is (band, block,
+   hash of the sum of the block's shingle hashes): no group count takes part here; a point stands in a leaf of each block of its bands. Leaves with one class are dropped
    by counting, before anything is joined: their counts go to a Bloom filter that keeps them from the shuffle.
 3. Each leaf's first class is compared with the others: bound by summed minima, then exact intersection. Verified links
    give components; this settles groups of near copies with one comparison a member.
