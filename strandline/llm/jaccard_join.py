@@ -1,21 +1,26 @@
 """Similarity join of texts on word shingles with a count-vector R-tree.
 
-A text's shingles are hashed into groups, its group counts are a point, and the overlap of two texts is at most the sum
-of the smaller coordinates. Two sets of similarity t or more differ in at most (1 - t) / (1 + t) of their joint size d.
+A text's shingles are hashed into groups; its counts of 2 ** 40 groups are its point, kept sparse. Folded to fewer
+groups (sums of coordinates) a point stays a point, and in any of them the overlap of two texts is at most the sum of
+the smaller coordinates. Points of similarity t or more differ in at most (1 - t) / (1 + t) of their joint size d.
 
 1. Texts with equal sets form classes; from here on a class is one point.
-2. Upper levels of the tree, dealt over the cluster: points are split by size band, then the shingles of a band are
-   dealt into d + 1 blocks. A pair within the bound has equal shingles in one block at least, so a leaf is (band, block,
-   hash of the sum of the block's shingle hashes): no group count takes part here; a point stands in a leaf of each block of its bands. Leaves with one class are dropped
-   by counting, before anything is joined: their counts go to a Bloom filter that keeps them from the shuffle.
-3. Each leaf's first class is compared with the others: bound by summed minima, then exact intersection. Verified links
-   give components; this settles groups of near copies with one comparison a member.
-4. Leaves that still hold several components are joined in full: packed R-trees over the group counts of blocks of at
-   most ``leaf_points`` members prune pairs of nodes and points by the bound, survivors of different components are verified.
-
-Scale: leaf hashes, about a fifth of the shingles at 0.9 (a half at 0.8), are counted in one shuffle, combined before it. Points are made only for classes in shared leaves and elements only for
-pairs within the bound; Bloom filters of fixed size (4 MB, broadcast) keep others from the shuffle, and at any fill they
-only let more through. Hot leaves are never gathered in one task.
+2. Upper levels of the tree, dealt over the cluster: points are split by size band, then the coordinates of a band are
+   dealt into d + 1 blocks. A pair within the bound has equal coordinates in one block at least, so a leaf is (band,
+   block, the counts there, as a hash linear in them); a point stands in a leaf of each block of its bands. Leaves with
+   one class are dropped by counting, before anything is joined: their counts go to a Bloom filter that keeps them from
+   the shuffle.
+3. Each leaf's first class is compared with the others: bound by summed minima over ``GROUPS`` folded coordinates, then
+   exact intersection. Verified links give components; groups of near copies settle with one comparison a member.
+4. Leaves that still hold several components are joined in full (of leaves with the same members one is): packed R-trees
+   over blocks of at most ``leaf_points`` members prune nodes and points by the bound. A cell hands on its surviving
+   pairs of different components if they are no more than its points; the few denser cells fetch their points' sets,
+   verify inside and hand on only links that join components there. What leaves a cell is linear in its points.
+
+Scale: leaf hashes, about a fifth of the shingles at 0.9 (a half at 0.8), are counted in one shuffle, combined before it.
+Points are made only for classes in shared leaves, sets only for pairs within the bound. Bloom filters are sized by what
+they hold, up to 2 ** ``MOST_BITS`` bits (32 MB, broadcast); texts wanted beyond that are found by a join. Hot leaves are
+never gathered in one task.
 """
 
 from __future__ import annotations
@@ -33,8 +38,14 @@ from .common import drop, save, ship, work_dir
 from .components import components
 from .rtree import CountTree
 
-GROUPS = 256
-BLOOM_BITS = 25
+#: Coordinates of the points that are moved, and to which the trees' nodes fold them.
+GROUPS, NODE_GROUPS = 4096, 256
+#: Largest Bloom filter: 32 MB. One of a table has ten bits a row or more below that.
+MOST_BITS = 28
+#: Rows of cells that one call joins at about, and points of a cell that needs no tree.
+BUCKET, SMALL = 2000, 24
+#: Bytes of sets in one part of a leaf, two of which meet in a cell.
+CELL_BYTES = 8 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -53,6 +64,11 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def groups(s: np.ndarray) -> np.ndarray:
+    """The group of each element, of 2 ** 40."""
+    return s >> np.uint64(24)
+
+
 def class_of(s: np.ndarray) -> int:
     """64-bit identity of a set, signed."""
     x = np.uint64((int(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) * 31 + len(s)) % 2**64)
@@ -85,12 +101,13 @@ class Bands:
             k += 1
 
     def leaves(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of the leaves in which the set stands."""
-        out = []
+        """Hashes of the leaves in which the set's point stands."""
+        out, group = [], groups(s)
+        unit = wordhash.mix(group + np.uint64(0x632BE59BD9B4E019))  # what one count of the group adds to a leaf's hash
         for k, blocks, differences in self.levels(len(s)):
-            block = (wordhash.mix(s + np.uint64(k)) % np.uint64(blocks)).astype(np.int64)
+            block = (wordhash.mix(group + np.uint64(k)) % np.uint64(blocks)).astype(np.int64)
             sums, held = np.zeros(blocks, np.uint64), np.bincount(block, minlength=blocks)
-            np.add.at(sums, block, s)
+            np.add.at(sums, block, unit)
             keys = wordhash.mix(wordhash.mix(sums) + np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xD6E8FEB86659FD93 % 2**64))
             # With fewer empty blocks than blocks that must agree, one that agrees is not empty.
             empty = held == 0
@@ -107,80 +124,146 @@ def _batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.
             yield part, part.column(part.schema.get_field_index(name)).to_pylist()
 
 
-def _bits(f: np.ndarray) -> np.ndarray:
-    """Two places in the Bloom filter for each class."""
-    f = f.view(np.uint64)
-    return np.stack([wordhash.mix(f ^ np.uint64(k)) >> np.uint64(64 - BLOOM_BITS) for k in (1, 2)]).astype(np.int64)
+class Bloom:
+    """Bloom filter of longs with two places each; at any fill it only lets more through."""
 
+    def __init__(self, bits: int, data: bytes):
+        self.bits, self.data = bits, data
 
-def _bloom(ids: DataFrame) -> bytes:
-    """Bloom filter of the longs in column f: 2 ** BLOOM_BITS bits whatever their number."""
+    @staticmethod
+    def places(f: np.ndarray, bits: int) -> np.ndarray:
+        f = f.view(np.uint64)
+        return np.stack([wordhash.mix(f ^ np.uint64(k)) >> np.uint64(64 - bits) for k in (1, 2)]).astype(np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _bits(batch.column(0).to_numpy()).ravel()
-            masks = np.uint64(1) << (at & 63).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(masks.view(np.int64))], names=["word", "mask"])
+    @classmethod
+    def of(cls, ids: DataFrame, count: int) -> Bloom:
+        """The filter of the longs in column f of ``ids``, of which there are about ``count``."""
+        bits = min(MOST_BITS, max(16, (10 * count).bit_length()))
 
-    words = ids.select("f").mapInArrow(work, "word bigint, mask bigint")
-    table = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** BLOOM_BITS / 64 rows
-    out = np.zeros(2**BLOOM_BITS // 64, np.int64)
-    out[table["word"].to_numpy()] = table["mask"].to_numpy()
-    return out.tobytes()
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = cls.places(batch.column(0).to_numpy(), bits).ravel()
+                masks = np.uint64(1) << (at & 63).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(masks.view(np.int64))], names=["word", "mask"])
+
+        words = ids.select("f").mapInArrow(work, "word bigint, mask bigint")
+        table = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** (MOST_BITS - 6) rows
+        out = np.zeros(2**bits // 64, np.int64)
+        out[table["word"].to_numpy()] = table["mask"].to_numpy()
+        return cls(bits, out.tobytes())
+
+    def held(self, f: np.ndarray) -> np.ndarray:
+        at, words = self.places(f, self.bits), np.frombuffer(self.data, np.uint64)
+        return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, points: bool) -> DataFrame:
-    """(f, n, data) of texts (k, text) whose hash k may be in ``wanted`` (k): group counts, or else all elements."""
-    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(wanted.select(F.col("k").alias("f"))))
+    """(f, n, data) of texts (k, text) whose hash k may be in the stored table ``wanted`` (k): points, or else all elements."""
+    count, bloom = wanted.count(), None
+    if 10 * count < 2**MOST_BITS:
+        bloom = texts.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.col("k").alias("f")), count))
+    else:
+        texts = texts.join(wanted.select("k").distinct().hint("merge"), "k", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bloom.value, np.uint64)
         for part, batch in _batches(batches, "text"):
-            at = _bits(part.column(0).to_numpy())
-            held = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
+            held = bloom.value.held(part.column(0).to_numpy()) if bloom else np.ones(len(batch), bool)
             sets = shingle_sets([t for t, h in zip(batch, held.tolist()) if h], words)
-            data = [_packed(s) if points else s.tobytes() for s in sets]
+            data = [packed(s) if points else s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], names=["f", "n", "data"])
 
-    return texts.mapInArrow(work, "f bigint, n bigint, data binary").groupBy("f").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    return texts.select("k", "text").mapInArrow(work, "f bigint, n bigint, data binary").groupBy("f").agg(F.first("n").alias("n"), F.first("data").alias("data"))
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """Group counts of a set, a byte each where all fit."""
-    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+def packed(s: np.ndarray) -> bytes:
+    """The point of a set: steps between its sorted groups in a byte each (255: go on without a count), or all counts."""
+    group = np.sort((groups(s) % np.uint64(GROUPS)).astype(np.int64))
+    step = np.diff(group, prepend=0)
+    if len(s) + int((step // 255).sum()) < GROUPS:
+        out = np.full(len(s) + int((step // 255).sum()), 255, np.uint8)
+        out[np.cumsum(step // 255 + 1) - 1] = step % 255
+        return out.tobytes()
+    counts = np.bincount(group, minlength=GROUPS)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def _points(column) -> np.ndarray:
-    """Rows of group counts from what _packed made."""
-    data = column.to_pylist()
-    if all(len(x) == GROUPS for x in data):
-        return np.frombuffer(b"".join(data), np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.uint32).astype(np.uint32) for x in data])
+class Points:
+    """Points from what ``packed`` made: (row, group) of each count, to be folded to any number of groups."""
+
+    def __init__(self, data: list[bytes]):
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        steps = np.frombuffer(b"".join(x for x in data if len(x) < GROUPS), np.uint8)
+        short = np.flatnonzero(sizes < GROUPS)
+        row = np.repeat(short, sizes[short])
+        upto = np.cumsum(steps, dtype=np.int64)
+        before = np.concatenate([[0], upto])[np.cumsum(sizes[short]) - sizes[short]] if len(short) else upto
+        counted = steps != 255
+        found = [(row[counted], (upto - np.repeat(before, sizes[short]))[counted], np.ones(int(counted.sum()), np.int64))]
+        for i in np.flatnonzero(sizes >= GROUPS).tolist():
+            counts = np.frombuffer(data[i], np.uint8 if len(data[i]) == GROUPS else np.uint32)
+            at = np.flatnonzero(counts)
+            found.append((np.full(len(at), i), at, counts[at].astype(np.int64)))
+        self.row, self.group, self.weight = (np.concatenate(x) for x in zip(*found))
+        self.rows = len(data)
+
+    def counts(self, groups: int, chosen: np.ndarray | None = None) -> np.ndarray:
+        """A row of counts of each point, or of the ``chosen`` ones in ascending order."""
+        row, group, weight, rows = self.row, self.group, self.weight, self.rows
+        if chosen is not None:
+            place = np.full(rows, -1)
+            place[chosen] = np.arange(len(chosen))
+            kept = place[row] >= 0
+            row, group, weight, rows = place[row[kept]], group[kept], weight[kept], len(chosen)
+        wide = weight.sum() > 65_535
+        out = np.zeros((rows, groups), np.uint32 if wide else np.uint16)
+        np.add.at(out.ravel(), row * groups + group % groups, weight.astype(out.dtype))
+        return out.astype(np.uint8) if out.max(initial=0) < 256 else out
+
+
+def within(pa_: Points, na: np.ndarray, pb: Points, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Places of the pairs (row i of each) whose bound on the overlap allows a similarity of num / den."""
+    left = np.flatnonzero((na * den >= nb * num) & (nb * den >= na * num))
+    for groups_ in (NODE_GROUPS, GROUPS):
+        if len(left):
+            bound = np.minimum(pa_.counts(groups_, left), pb.counts(groups_, left)).sum(axis=1, dtype=np.int64)
+            left = left[bound * (num + den) >= num * (na + nb)[left]]
+    return left
+
+
+def overlap(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+
+
+def _apart(root: np.ndarray, part: np.ndarray, two: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Of the pairs of rows of cells, those of different components and, where ``two`` parts meet, of different parts."""
+    i, j = found.T
+    return (root[i] != root[j]) & (~two[i] | (part[i] != part[j]))
 
 
 def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int) -> DataFrame:
     """(node, root) of the classes that are linked with another; ``standing`` has k, f and the leaves of each text."""
-    num, den = bands.num, bands.den
+    spark, num, den = standing.sparkSession, bands.num, bands.den
     # Leaves that hold two texts or more, as a Bloom filter, keep the many others from being shuffled with their classes.
-    often = standing.select(F.explode("leaves").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bloom = standing.sparkSession.sparkContext.broadcast(_bloom(often))
+    often = save(standing.select(F.explode("leaves").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), folder, "often")
+    bloom = spark.sparkContext.broadcast(Bloom.of(often, often.count()))
 
     def shared_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bloom.value, np.uint64)
         for batch in batches:
-            lists = batch.column(1)
-            f, leaf = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-            at = _bits(leaf)
-            held = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(f[held]), pa.array(leaf[held])], names=["f", "leaf"])
-
-    found = save(standing.select("f", "leaves").mapInArrow(shared_leaves, "f bigint, leaf bigint"), folder, "found")
-    leaves = save(found.groupBy("leaf").agg(F.min("f").alias("hub"), F.max("f").alias("other")).filter("hub <> other").select("leaf", "hub"), folder, "leaves")
-    members = save(found.join(leaves, "leaf").select("leaf", "hub", "f").distinct(), folder, "members")
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            f, n, leaf = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), lists.flatten().to_numpy()
+            held = bloom.value.held(leaf)
+            yield pa.RecordBatch.from_arrays([pa.array(f[held]), pa.array(n[held]), pa.array(leaf[held])], names=["f", "n", "leaf"])
+
+    found = save(standing.select("f", "n", "leaves").mapInArrow(shared_leaves, "f bigint, n bigint, leaf bigint"), folder, "found")
+    leaves = found.groupBy("leaf").agg(F.min(F.struct("f", "n")).alias("hub"), F.max("f").alias("other")).filter("hub.f <> other")
+    leaves = save(leaves.select("leaf", F.col("hub.f").alias("hub"), F.col("hub.n").alias("hub_n")), folder, "leaves")
+    members = save(found.join(leaves, "leaf").select("leaf", "hub", "hub_n", "f", "n").distinct(), folder, "members")
     shared = save(members.select("f").distinct(), folder, "shared")
     texts_of = save(standing.groupBy("f").agg(F.min("k").alias("k")).join(shared, "f"), folder, "texts_of")
-    drop(standing.sparkSession, f"{folder}/standing")  # the largest table; nothing reads it from here on
+    for done in ("standing", "often", "found"):  # the largest tables; nothing reads them from here on
+        drop(spark, f"{folder}/{done}")
     points = save(_sets(texts, texts_of, words, True), folder, "points")
 
     def side(table: DataFrame, c: str) -> DataFrame:
@@ -189,11 +272,7 @@ def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, fol
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, da, nb, db = batch.columns
-            if not len(a):
-                continue
-            na, nb = na.to_numpy(), nb.to_numpy()
-            near = np.minimum(_points(da), _points(db)).sum(axis=1, dtype=np.int64) * (num + den) >= num * (na + nb)
-            near = pa.array(np.flatnonzero(near & (na * den >= nb * num) & (nb * den >= na * num)))
+            near = pa.array(within(Points(da.to_pylist()), na.to_numpy(), Points(db.to_pylist()), nb.to_numpy(), num, den))
             yield pa.RecordBatch.from_arrays([a.take(near), b.take(near)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,48 +280,108 @@ def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, fol
             good = []
             for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
                 u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                both = int((v[at] == u).sum())
+                both = overlap(u, v)
                 if both * den >= num * (len(u) + len(v) - both):
                     good.append(i)
             good = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among pairs (a, b): bound on points first, so that only survivors' elements are made and moved."""
-        pairs = save(pairs.distinct(), folder, f"{name}_pairs")
-        joined = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").select("a", "b", "na", "da", "nb", "db")
-        near = save(joined.mapInArrow(bounded, "a bigint, b bigint"), folder, f"{name}_near")
-        wanted = near.select(F.col("a").alias("f")).union(near.select("b")).distinct().join(texts_of, "f")
-        elements = save(_sets(texts, save(wanted, folder, f"{name}_wanted"), words, False), folder, f"{name}_elements")
-        joined = near.join(side(elements, "a"), "a").join(side(elements, "b"), "b").select("a", "b", "na", "da", "nb", "db")
+    def elements(wanted: DataFrame, name: str) -> DataFrame:
+        """All elements of the classes f of ``wanted``."""
+        return save(_sets(texts, save(wanted.distinct().join(texts_of, "f"), folder, f"{name}_wanted"), words, False), folder, f"{name}_elements")
+
+    def verify(near: DataFrame, name: str) -> DataFrame:
+        """Links among the stored pairs (a, b) within the bound."""
+        sets = elements(near.select(F.col("a").alias("f")).union(near.select("b")), name)
+        joined = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "na", "da", "nb", "db")
         links = save(joined.mapInArrow(exact, "a bigint, b bigint"), folder, f"{name}_links")
-        for done in ("pairs", "near", "wanted", "elements"):
-            drop(texts.sparkSession, f"{folder}/{name}_{done}")
+        for done in ("near", "wanted", "elements"):
+            drop(spark, f"{folder}/{name}_{done}")
         return links
 
-    links = verify(members.filter("f <> hub").select(F.col("hub").alias("a"), F.col("f").alias("b")), "hub")
+    sized = (F.col("n") * den >= F.col("hub_n") * num) & (F.col("hub_n") * den >= F.col("n") * num)
+    pairs = save(members.filter(sized & (F.col("f") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("f").alias("b")).distinct(), folder, "pairs")
+    joined = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").select("a", "b", "na", "da", "nb", "db")
+    links = verify(save(joined.mapInArrow(bounded, "a bigint, b bigint"), folder, "hub_near"), "hub")
+    drop(spark, f"{folder}/pairs")
     roots = components(links, folder, "hub_roots")
-    placed = save(members.join(roots, F.col("f") == F.col("node"), "left").select("leaf", "f", F.coalesce("root", "f").alias("root")), folder, "placed")
-    open_ = placed.groupBy("leaf").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members")).filter("r1 <> r2")
-    # Two members are the hub and one that was compared with it.
-    open_ = save(open_.filter("members > 2").select("leaf", F.ceil(F.col("members") / leaf_points).cast("int").alias("parts")), folder, "open")
+    placed = save(members.join(roots, F.col("f") == F.col("node"), "left").select("leaf", "f", "n", F.coalesce("root", "f").alias("root")), folder, "placed")
+    drop(spark, f"{folder}/members")
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "f")).alias(f"who{k}") for k in (0, 1)]
+    open_ = placed.groupBy("leaf").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"), *who).filter("r1 <> r2")
+    # Two members are the hub and one that was compared with it. Leaves with the same members hold the same pairs.
+    open_ = open_.filter("members > 2").groupBy("who0", "who1", "members", "size").agg(F.min("leaf").alias("leaf"))
+    parts = F.greatest(F.ceil(F.col("members") / leaf_points), F.least(F.col("members"), F.ceil(F.col("size") * 8 / CELL_BYTES)))
+    open_ = save(open_.select("leaf", parts.cast("int").alias("parts")), folder, "open")
     rest = placed.join(open_, "leaf").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     # Any two parts of a leaf meet in one cell, named by the smaller and the larger part.
     cells = rest.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).select("leaf", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "f", "root", "part")
-    cells = save(cells, folder, "cells").join(points, "f")
+    cells = save(cells, folder, "cells")
+    drop(spark, f"{folder}/placed")
+    cell = ["leaf", "i", "j"]
+    # Most cells are small: several are worked on in one call, about BUCKET rows of them.
+    buckets = max(1, -(-cells.count() // BUCKET))
 
     def tree_join(table: pa.Table) -> pa.Table:
+        """The pairs of different components within the bound; of a cell that has more of them than points, its name."""
+        table = table.sort_by([(c, "ascending") for c in [*cell, "f"]]).combine_chunks()
+        names = np.stack([table[c].to_numpy() for c in cell], axis=1)
+        starts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1)))
+        ends = np.append(starts[1:], len(names))
         n, f, root, part = (table[c].to_numpy() for c in ("n", "f", "root", "part"))
-        counts = _points(table["data"])
-        found = CountTree(n, counts).pairs(num, den)
-        apart = root[found[:, 0]] != root[found[:, 1]]
-        if table["i"][0] != table["j"][0]:
-            apart &= part[found[:, 0]] != part[found[:, 1]]
-        pairs = np.sort(f[found[apart]], axis=1)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    more = verify(cells.groupBy("leaf", "i", "j").applyInArrow(tree_join, "a bigint, b bigint"), "tree")
+        held = Points(table["data"].to_pylist())
+        nodes, found = held.counts(NODE_GROUPS), []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            found.append(CountTree(n[a:b], nodes[a:b]).pairs(num, den) + a if b - a > SMALL else np.stack(np.triu_indices(b - a, 1), axis=1) + a)
+        found = np.concatenate(found)
+        found = found[_apart(root, part, names[:, 1] != names[:, 2], found)]
+        x, y = found.T
+        found = found[(n[x] * den >= n[y] * num) & (n[y] * den >= n[x] * num)]
+        for counts in (nodes, None):
+            counts, near = held.counts(GROUPS) if counts is None else counts, []
+            for k in range(0, len(found), 1 << 11):
+                x, y = found[k : k + (1 << 11)].T
+                near.append(np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (n[x] + n[y]))
+            found = found[np.concatenate(near)] if near else found
+        of = np.searchsorted(starts, found[:, 0], "right") - 1
+        dense = np.bincount(of, minlength=len(starts)) > ends - starts
+        found, of = found[~dense[of]], of[~dense[of]]
+        pairs, rows = np.sort(f[found], axis=1), np.concatenate([starts[of], starts[dense]])
+        void = np.arange(len(rows)) >= len(pairs)
+        two = [pa.array(np.concatenate([pairs[:, k], np.zeros(int(dense.sum()), np.int64)]), pa.int64(), mask=void) for k in (0, 1)]
+        return pa.table({**{c: pa.array(names[rows, k], pa.int32() if k else pa.int64()) for k, c in enumerate(cell)}, "a": two[0], "b": two[1]})
+
+    def set_join(table: pa.Table) -> pa.Table:
+        """Exact links of different components in one cell, only such as join components there."""
+        table = table.sort_by("f")
+        f, n, root = (table[c].to_numpy() for c in ("f", "n", "root"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["data"].to_pylist()]
+        of, links = {r: r for r in root.tolist()}, []
+
+        def top(x: int) -> int:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        counts = np.stack([np.bincount((groups(s) % np.uint64(NODE_GROUPS)).astype(np.int64), minlength=NODE_GROUPS) for s in sets])
+        found = CountTree(n, counts.astype(np.uint32)).pairs(num, den)
+        for i, j in found[_apart(root, table["part"].to_numpy(), np.repeat(table["i"][0] != table["j"][0], len(f)), found)].tolist():
+            a, b = top(int(root[i])), top(int(root[j]))
+            if a != b:
+                both = overlap(sets[i], sets[j])
+                if both * den >= num * (n[i] + n[j] - both):
+                    of[max(a, b)] = min(a, b)
+                    links.append(sorted((int(f[i]), int(f[j]))))
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+    near = save(cells.join(points, "f").groupBy(F.pmod(F.xxhash64(*cell), F.lit(buckets))).applyInArrow(tree_join, "leaf bigint, i int, j int, a bigint, b bigint"), folder, "survivors")
+    more = verify(save(near.filter("a is not null").select("a", "b").distinct(), folder, "tree_near"), "tree")
+    dense = save(near.filter("a is null").select(*cell), folder, "dense")
+    if not dense.isEmpty():
+        inside = save(cells.join(dense, cell), folder, "inside")
+        sets = elements(inside.select("f"), "dense")
+        more = more.union(save(inside.join(sets, "f").groupBy(*cell).applyInArrow(set_join, "a bigint, b bigint"), folder, "dense_links"))
     return roots if more.isEmpty() else components(links.union(more), folder, "roots")
 
 
