@@ -4,9 +4,10 @@ A known word adds its log frequency in each language. An unseen word falls back
 boundaries): of the longest length of which any is known, the mean log frequencies of the known ones, then shorter.
 A long chunk, as in scripts without spaces, counts as several words: pieces that overlap by three characters.
 
-Training counts words and n-grams of a sample of at most about ``sample`` labelled documents (chosen by a hash of the
-doc_id; all of them if there are fewer), combined before the shuffle; the model keeps at most ``most_words`` words and
-``most_grams`` n-grams, so what is broadcast has a fixed bound. Prediction is one pass over the texts without a shuffle.
+Training counts the words and n-grams of at most about ``sample`` labelled documents, combined before the shuffle. Each
+language has an equal part of the sample (chosen by a hash of the doc_id); what a small language cannot fill goes to the
+others, so that a hot language pushes out no item of a small one. All items of the sample are kept. Prediction is one
+pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +54,28 @@ def grams(piece: str, n: int) -> list[str]:
     return found if n > 1 else [g for g in found if g not in "\x02\x03"]
 
 
-def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_grams: int = 60_000) -> dict:
-    """Model from the rows of ``docs`` (text, lang, mark) whose text and lang are not null; mark is a 64-bit hash."""
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's documents that are sampled: equal numbers, as far as there are so many."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(counts) - k))
+        out[lang], left = take / n, left - take
+    return out
+
+
+def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
+    """Model from the rows of ``docs`` (text, lang, mark) whose text and lang are not null; mark is a 64-bit hash.
+
+    Of more than ``most_langs`` languages those with the most documents are learned.
+    """
     ship(docs.sparkSession)
     rows = docs.select("text", "lang", "mark").filter("text is not null and lang is not null")
-    total = docs.select("lang", "mark").filter("lang is not null").count()
-    if total > sample:
-        rows = rows.filter(F.pmod(F.col("mark"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    share = shares({r["lang"]: r["count"] for r in counts.collect()}, sample)
+    if not share:
+        return {"langs": [], "words": {}, "grams": {}, "logs": np.zeros((0, 0), np.float32)}
+    part = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(1_000_000 * part))])
+    rows = rows.filter(F.pmod(F.col("mark"), F.lit(1_000_000)) < part[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -85,23 +102,21 @@ def train(docs: DataFrame, sample: int = 8_000, most_words: int = 60_000, most_g
         yield out()
 
     counts = rows.select("text", "lang").mapInArrow(count, "kind int, item string, lang string, n bigint")
-    items = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    items = items.filter("n > 1").persist()
-    words = items.filter("kind = 0").orderBy(F.desc("n"), "item").limit(most_words).collect()
-    parts = items.filter("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(most_grams).collect()
-    items.unpersist()
-    langs = sorted({lang for r in [*words, *parts] for lang, _ in r["by"]})
+    table = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).toArrow()  # items of the sample
+    kinds, seen = table["kind"].to_numpy(), table["n"].to_numpy()
+    langs = sorted(share)
+    lang = pc.index_in(table["lang"], pa.array(langs)).to_numpy()
     model: dict = {"langs": langs, "words": {}, "grams": {}}
-    place = {lang: i for i, lang in enumerate(langs)}
-    for table, name, kinds in ((words, "words", (0,)), (parts, "grams", LENGTHS)):
-        for kind in kinds:
-            mine = [r for r in table if r["kind"] == kind]
-            seen = np.zeros((len(mine), len(langs)))
-            for i, r in enumerate(mine):
-                for lang, n in r["by"]:
-                    seen[i, place[lang]] = n
-            logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * (len(mine) + 1))).astype(np.float32)
-            model[name].update(zip([r["item"] for r in mine], logs))
+    logs = []
+    for kind in (0, *LENGTHS):
+        mine = np.flatnonzero(kinds == kind)
+        items = table["item"].take(pa.array(mine)).combine_chunks().dictionary_encode()
+        found = np.zeros((len(items.dictionary), len(langs)), np.float32)
+        np.add.at(found, (items.indices.to_numpy(), lang[mine]), seen[mine].astype(np.float32))
+        at = sum(map(len, logs))
+        model["grams" if kind else "words"].update(zip(items.dictionary.to_pylist(), range(at, at + len(found))))
+        logs.append(np.log((found + 0.5) / (found.sum(axis=0) + 0.5 * (len(found) + 1))).astype(np.float32))
+    model["logs"] = np.concatenate(logs)
     return model
 
 
@@ -119,15 +134,12 @@ class Scorer(dict):
         self.rows[at] = 0
         for word in pieces(clean(chunk)) if len(chunk) < PIECE else [chunk]:
             self.rows[at, -1] += 1
-            found = self.model["words"].get(word)
-            if found is None:
-                known = self.model["grams"]
-                for n in LENGTHS:
-                    if hits := [known[g] for g in grams(word, n) if g in known]:
-                        found = np.mean(hits, axis=0)
-                        break
-            if found is not None:
-                self.rows[at, :-1] += found
+            hits = [i] if (i := self.model["words"].get(word)) is not None else []
+            known, left = self.model["grams"], iter(LENGTHS)
+            while not hits and (n := next(left, 0)):
+                hits = [known[g] for g in grams(word, n) if g in known]
+            if hits:
+                self.rows[at, :-1] += self.model["logs"][hits].mean(axis=0)
         self[chunk] = at
         return at
 
@@ -146,8 +158,6 @@ class Scorer(dict):
         return self.model["langs"][best], float(1 / np.exp(np.minimum(z - z[best], 0)).sum())
 
 
-
-
 def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """``carry``, lang_pred, score (posterior of the language under equal priors, 0 to 1) of each row of ``docs``.
 
