@@ -7,8 +7,9 @@ query adds up partial distances block by block. After each block a hypothesis te
 distance, scaled to all dimensions, is above the current k-th distance by more than its error allows. What is left is
 scored exactly, in double precision, on the original vectors.
 
-How many lists to probe is set on the sample: the fewest that hold ``recall`` of its true neighbours. Index and search
-cover every row. Scale: rows are dealt to cells (list, part of the list, part of its queries) of bounded size, so that a
+How many lists to probe is set on the sample: the fewest that hold ``recall`` of its true neighbours. There is a list
+for each ``list_rows`` vectors, up to ``most_lists``, and the sample has 16 vectors a list or more (131,072 at most).
+Index and search cover every row. Scale: rows are dealt to cells (list, part of the list, part of its queries) of bounded size, so that a
 hot list or many equal vectors are split; each cell returns k rows a query at
 most, and beyond the nearest lists only what reaches their k-th score, merged by a rank per query.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import save, ship, work_dir
 
 BLOCK = 16
+#: Vectors of the sample for each list, at least.
+SAMPLE_LIST = 16
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -72,8 +75,21 @@ def turn(x: np.ndarray, norm: float | None, rotation: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    distance = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
-    return np.argsort(distance, axis=1, kind="stable")[:, :n]
+    """The ``n`` nearest centres of each row, in order; a block of rows at a time."""
+    own = (centres * centres).sum(axis=1)[None, :]
+    step, out = max(1, (1 << 22) // len(centres)), [np.zeros((0, min(n, len(centres))), np.int64)]
+    for k in range(0, len(x), step):
+        distance = own - 2 * x[k : k + step] @ centres.T
+        out.append(distance.argmin(axis=1)[:, None] if n == 1 else np.argsort(distance, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
+
+
+def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``v`` with ``q``, each added up component by component: equal rows score equally."""
+    out = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        out += v[:, j] * q[j]
+    return out
 
 
 def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float, known: float) -> np.ndarray:
@@ -102,13 +118,13 @@ def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float, kno
     return alive
 
 
-def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k: int = 20, recall: float = 0.96, sample: int = 16_384, list_rows: int = 1000, cell_rows: int = 4096, error: float = 2.1, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k: int = 20, recall: float = 0.96, sample: int = 16_384, list_rows: int = 1000, most_lists: int = 8192, cell_rows: int = 4096, error: float = 2.1, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k nearest other rows.
 
     Nearest is the largest inner product of the original vectors in double precision; ties go to the smaller id. Rows
     without an id, and vectors that are null, zero, of another length than most, or hold a null or non-finite component
     take no part. A row never finds its own id. With fewer candidates than k all are returned. Rows equal in id and
-    vector count once. An empty table gives an empty result; other columns are ignored.
+    vector count once; of rows equal in id only, each is a candidate and a query, and the best 20 by score of all. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -118,8 +134,10 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
     kind = "query_id bigint, vec_id bigint, score double"
     if not total:
         return spark.createDataFrame([], kind).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    lists = max(1, min(total // list_rows, most_lists))
+    sample = max(sample, SAMPLE_LIST * lists)
     picked = rows if total <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    model = fit(_matrix(picked.orderBy("id").limit(2 * sample).select("v").toArrow()["v"]), norm, max(1, min(1024, total // list_rows)), k, recall, seed)
+    model = fit(_matrix(picked.orderBy("id").limit(2 * sample).select("v").toArrow()["v"]), norm, lists, k, recall, seed)
     shared = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +162,7 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
     lists = queries.select("id", "v", "x", F.posexplode("lists").alias("place", "list"))
 
     def probed(asks: DataFrame) -> DataFrame:
-        # Parts of each list and of the queries that probe it: a row for each list, of which there are 1024 at most.
+        # Parts of each list and of the queries that probe it: a row for each list, of which there are ``most_lists`` at most.
         parts = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
         asked = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("askers"))
         shape = F.broadcast(parts.join(asked, "list"))
@@ -168,7 +186,7 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
             known = np.inf if np.isnan(bars[q]) else top + v[q] @ v[q] - 2 * bars[q]
             left = of[scan(x[q], columns, k + 1, error, known * (1 + 1e-4) + 1e-6)]
             left = left[ids[left] != ids[q]]
-            s = v[left] @ v[q]
+            s = inner(v[left], v[q])
             if np.isfinite(known):
                 left, s = left[s >= bars[q]], s[s >= bars[q]]
             best = np.lexsort((ids[left], -s))[:k]
