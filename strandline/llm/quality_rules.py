@@ -78,33 +78,31 @@ VOTES = (-1, 0, 1)
 Rates = list[dict[int, tuple[float, float]]]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 50, weight: float = 0.02, anchor: int | None = None) -> tuple[float, Rates]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 50, weight: float = 0.02, priors: dict[int, dict[int, tuple[float, float]]] | None = None) -> tuple[float, Rates]:
     """(share of good, for each rule and vote its probability among bad and among good documents).
 
     Expectation-maximisation on counted vote patterns, begun from "one bad vote makes a document doubtful". A rule's
-    two accuracies are P(bad vote | bad) and P(good vote | good). A prior worth ``weight`` of all documents steadies
-    rules that seldom vote; a bad vote never speaks for good quality, nor a good vote against it. Votes of the rule in
-    place ``anchor`` are taken for the truth where it votes.
+    two accuracies are P(bad vote | bad) and P(good vote | good). A prior for these rates, worth ``weight`` of all
+    documents and one more, steadies rules that seldom vote (at every size alike, as the share of documents that such a
+    rule speaks of does not depend on it); ``priors`` has those of single rules. The share of good documents has no
+    prior beyond one document of each kind. A bad vote never speaks for good quality, nor a good vote against it.
     """
-
-    def believed(p: tuple[int, ...], otherwise: float) -> float:
-        return otherwise if anchor is None or not p[anchor] else 0.97 if p[anchor] > 0 else 0.03
-
-    prior = {-1: (0.3, 0.02), 0: (0.6, 0.38), 1: (0.1, 0.6)}
-    belief = {p: believed(p, 0.15 if -1 in p else 0.95) for p, _ in patterns}
+    usual = {-1: (0.3, 0.02), 0: (0.6, 0.38), 1: (0.1, 0.6)}
+    prior = [(priors or {}).get(r, usual) for r in range(rules)]
+    belief = {p: 0.15 if -1 in p else 0.95 for p, _ in patterns}
     weight = 1 + weight * sum(c for _, c in patterns)
-    share, rates = 0.85, [dict(prior) for _ in range(rules)]
+    share, rates = 0.85, [dict(x) for x in prior]
     for _ in range(rounds):
         good = sum(belief[p] * c for p, c in patterns)
         bad = sum(c for _, c in patterns) - good
-        share = min(0.99, max(0.5, (good + 0.85 * weight) / (good + bad + weight)))
+        share = (good + 1) / (good + bad + 2)
         for r in range(rules):
-            tally = {v: [weight * prior[v][0], weight * prior[v][1]] for v in VOTES}
+            tally = {v: [weight * prior[r][v][0], weight * prior[r][v][1]] for v in VOTES}
             for p, c in patterns:
                 tally[p[r]][0] += (1 - belief[p]) * c
                 tally[p[r]][1] += belief[p] * c
             rates[r] = {v: (tally[v][0] / (bad + weight), tally[v][1] / (good + weight)) for v in VOTES}
-        belief = {p: believed(p, posterior(p, share, rates)) for p, _ in patterns}
+        belief = {p: posterior(p, share, rates) for p, _ in patterns}
     return share, rates
 
 
