@@ -1,13 +1,17 @@
 """Quality classifier: weak labels by expectation-maximisation, then a hashed linear scorer.
 
 Overlapping heuristic labellers (the quality rules, insult words, and human labels where a table of them is given) vote
-on a sample of documents. Expectation-maximisation on counted vote patterns estimates how reliable each is; the
-posterior of a document on which any of them votes is its training label, for quality and for civility apart. A logistic model over hashed word,
-word-start and shape features learns from these and scores every whole text.
+on a sample of documents. Expectation-maximisation on counted vote patterns estimates how reliable each is, people
+included: a human label is one vote more, with a prior of few errors, and may be outvoted. The posterior of a document
+on which any labeller votes is its training label, for quality and for civility apart. A logistic model over hashed
+word, word-start and shape features learns from these and scores every whole text.
 
-Fitting sees at most about ``sample`` documents with and without human labels, chosen by a hash of doc_id, in one task
-of bounded size; the model is two numbers for each of at most ``2 ** bits`` features, which is what is broadcast.
-Scoring is one pass over all texts without a shuffle.
+Insult words are not a fixed list alone: where labels are given, words that stand in far more toxic documents than
+others join it, at most ``most_words`` of them, in whatever language.
+
+Fitting sees at most about ``sample`` documents with and without human labels, chosen by a hash of doc_id; their
+features (hashes of distinct words, not texts) meet in one task of bounded size. The model is two numbers for each of at
+most ``2 ** bits`` features, which is what is broadcast. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from . import quality_rules
 from .common import save, ship, work_dir
 
 FAMILIES = ("quality", "civility")
-#: Insults that the word labellers look for.
+#: Insults that the word labellers look for, with or without labels.
 INSULTS = ("idiot", "loser", "moron", "scum", "stupid", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "jerk", "filth", "vermin", "retard", "bastard")
+#: Probabilities of a bad, no and good human label among bad and among good documents, before any is seen.
+HUMAN = {-1: (0.60, 0.01), 0: (0.39, 0.39), 1: (0.01, 0.60)}
 #: Entries that a worker's cache of words holds before it starts afresh.
 CACHE = 500_000
 
@@ -108,50 +114,84 @@ def fit(features: list[np.ndarray], target: np.ndarray, size: int, rounds: int =
     return weights, b
 
 
-def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, bits: int) -> dict:
-    """The scorer's weights from a bounded sample of ``docs`` (doc_id, text)."""
-    pool = docs.filter(F.col("doc_id").isNotNull())
-    total = pool.select("doc_id").count()
-    if total > sample:
-        pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    hits = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w.isin(*INSULTS)))
-    rows = save(quality_rules.measures(pool.withColumn("insults", hits), ["doc_id", "text", "insults"]), folder, "measured")
-    if labels is not None:
-        given = labels.select(F.col("doc_id").alias("of"), F.col("quality").alias("given_quality"), F.col("toxic").alias("given_toxic")).filter("of is not null")
-        given = given.groupBy("of").agg(F.min("given_quality").alias("given_quality"), F.max("given_toxic").alias("given_toxic"))
-        rows = rows.join(given, F.col("doc_id") == F.col("of"), "left")
-    families = labellers(labels is not None)
-    votes = {f"{f}_{name}": v for f, given in families.items() for name, v in given.items()}
-    rows = save(rows.select("doc_id", "text", *[v.alias(name) for name, v in votes.items()]), folder, "votes")
+def insult_words(told: DataFrame, most_words: int) -> list[str]:
+    """Words of far more toxic than other documents of ``told`` (words, given_toxic): 5 times the share, and no chance find."""
+    totals = told.groupBy("given_toxic").count().collect()
+    n = {r["given_toxic"]: r["count"] for r in totals}
+    bad, good = n.get(1, 0), n.get(0, 0)
+    if not bad or not good:
+        return []
+    each = told.select("given_toxic", F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''")
+    each = each.groupBy("w").agg(F.count_if(F.col("given_toxic") == 1).alias("b"), F.count_if(F.col("given_toxic") == 0).alias("g"))
+    base = F.lit(bad / (bad + good))
+    z = (F.col("b") - (F.col("b") + F.col("g")) * base) / F.sqrt((F.col("b") + F.col("g")) * base * (1 - base) + 1)
+    often = (F.col("b") >= 5) & (F.col("b") / bad >= 5 * (F.col("g") + 1) / good) & (z >= 5)
+    return [r["w"] for r in each.filter(often).orderBy(z.desc(), "w").limit(most_words).collect()]
+
+
+def posteriors(rows: DataFrame, families: dict[str, dict[str, Column]]) -> list[Column]:
+    """For each family the posterior of each row of ``rows`` by its votes, null where none of its labellers votes."""
     beliefs = []
     for family, given in families.items():
         names = [f"{family}_{name}" for name in given]
         patterns = sorted((tuple(r[:-1]), r[-1]) for r in rows.groupBy(*names).agg(F.count(F.lit(1))).collect())  # at most 3 ** voters
-        share, rates = quality_rules.estimate(patterns, len(names), anchor=list(given).index("label") if "label" in given else None)
+        human = {list(given).index("label"): HUMAN} if "label" in given else None
+        share, rates = quality_rules.estimate(patterns, len(names), priors=human)
         z = F.lit(float(np.log(share / (1 - share))))
         for name, rate in zip(names, rates):
             z = z + F.when(F.col(name) < 0, quality_rules.evidence(rate, -1)).when(F.col(name) > 0, quality_rules.evidence(rate, 1)).otherwise(quality_rules.evidence(rate, 0))
         belief = 1 / (1 + F.exp(-z))
         if any(1 in p for p, _ in patterns):  # where some vote is for good, a document without any vote says nothing
             belief = F.when(F.greatest(*[F.abs(name) for name in names]) > 0, belief)
-        if "label" in given:  # people's labels stand
-            belief = F.when(F.col(f"{family}_label") < 0, 0.03).when(F.col(f"{family}_label") > 0, 0.97).otherwise(belief)
         beliefs.append(belief.alias(family))
-    believed = rows.select(F.lit(0).alias("all"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *beliefs)
+    return beliefs
 
-    def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+
+def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, bits: int, most_words: int = 200) -> dict:
+    """The scorer's weights from a bounded sample of ``docs`` (doc_id, text)."""
+    pool = docs.filter(F.col("doc_id").isNotNull())
+    total = pool.select("doc_id").count()
+    if total > sample:
+        pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
+    pool = pool.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    if labels is None:
+        known = []
+    else:
+        given = labels.select(F.col("doc_id").alias("of"), F.col("quality").alias("given_quality"), F.col("toxic").alias("given_toxic")).filter("of is not null")
+        given = given.groupBy("of").agg(F.min("given_quality").alias("given_quality"), F.max("given_toxic").alias("given_toxic"))
+        pool = save(pool.join(given, F.col("doc_id") == F.col("of"), "left").drop("of"), folder, "pool")
+        known = insult_words(pool.select("words", "given_toxic").filter("given_toxic is not null"), most_words)
+    lexicon = sorted({*INSULTS, *known})
+    pool = pool.withColumn("insults", F.size(F.filter("words", lambda w: w.isin(*lexicon))))
+    carry = [c for c in pool.columns if c not in ("words", "text")] + ["text"]
+    rows = save(quality_rules.measures(pool, carry), folder, "measured")
+    families = labellers(labels is not None)
+    votes = {f"{f}_{name}": v for f, given in families.items() for name, v in given.items()}
+    rows = save(rows.select("doc_id", "text", *[v.alias(name) for name, v in votes.items()]), folder, "votes")
+    believed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *posteriors(rows, families))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Features(bits)
-        features = [maker.document(t) for t in table["text"].to_pylist()]
+        for batch in batches:
+            found = [maker.document(t) for t in batch.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], names=["doc_id", "at", *FAMILIES])
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        features = [np.asarray(x.values) for x in table["at"]]
         out = []
         for k, family in enumerate(FAMILIES):
-            target = table[family].to_numpy(zero_copy_only=False)
+            target = table[family].to_numpy(zero_copy_only=False).astype(float)
             told = np.flatnonzero(~np.isnan(target))
             w, b = fit([features[i] for i in told], target[told], 1 << bits)
             at = np.flatnonzero(w)
             out.append(pa.table({"family": pa.array([k] * (len(at) + 1), pa.int32()), "at": pa.array([-1, *at.tolist()], pa.int32()), "w": pa.array([b, *w[at].tolist()], pa.float64())}))
         return pa.concat_tables(out)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    believed = believed.mapInArrow(hashed, f"doc_id {kind}, at array<int>, quality double, civility double").withColumn("all", F.lit(0))
     model = {"bits": bits, "w": np.zeros((1 << bits, len(FAMILIES))), "b": np.zeros(len(FAMILIES))}
     for k, at, w in believed.groupBy("all").applyInArrow(learn, "family int, at int, w double").collect():
         if at < 0:
@@ -165,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 10_
     """(doc_id, quality, civility, kept) of each row of ``docs`` (doc_id, text).
 
     quality and civility are probabilities; kept: both reach ``threshold``. ``labels`` (doc_id, quality 0/1, toxic 0/1,
-    nulls allowed, of repeated ones the worse) is one labeller more, by which the others' accuracy is measured. A null text is scored as an empty one. Repeated
+    nulls allowed, of repeated ones the worse) is one labeller more, whose accuracy is estimated like the others'. A null text is scored as an empty one. Repeated
     rows give repeated results; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
