@@ -52,15 +52,52 @@ WITH RECURSIVE state(w, p, q, t, u, pair, done) AS (
 SELECT w, list(t ORDER BY p) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
 
-# One thread aggregates rows in the order in which the subquery gives them.
+# The same contraction for long pieces. Rows are replaced by key, so that the state stays as long as the pieces, and a
+# round contracts every place of a word's least rank, from the left and without overlaps: where each token of the
+# vocabulary encodes to itself, no pair of a lower rank can arise from such a step, so the order is that of single steps.
+_ENCODE_LONG = """
+WITH RECURSIVE state(w, p, q, t, pair) USING KEY (w, p) AS (
+    SELECT s.w, s.p, s.q, s.t, m.rank
+    FROM (
+        SELECT w, p, t, lead(t) OVER places AS u, lead(p) OVER places AS q
+        FROM pieces WINDOW places AS (PARTITION BY w ORDER BY p)
+    ) s LEFT JOIN merges m ON m.pair = s.t::BIGINT * 4294967296 + s.u
+    UNION (
+        WITH alive AS (
+            SELECT * FROM recurring.state WHERE t IS NOT NULL
+        ), least AS (
+            SELECT w, min(pair) AS rank FROM alive GROUP BY w HAVING min(pair) IS NOT NULL
+        ), hit AS (
+            SELECT a.w, a.p, a.q, coalesce(lag(a.q) OVER (PARTITION BY a.w ORDER BY a.p) = a.p, false) AS follows
+            FROM alive a JOIN least ON a.w = least.w AND a.pair = least.rank
+        ), run AS (
+            SELECT w, p, q, count(*) FILTER (NOT follows) OVER (PARTITION BY w ORDER BY p) AS run FROM hit
+        ), chosen AS (
+            SELECT w, p, q FROM (SELECT w, p, q, row_number() OVER (PARTITION BY w, run ORDER BY p) AS k FROM run) WHERE k % 2 = 1
+        ), contracted AS (
+            SELECT a.w, a.p, CASE WHEN c.p IS NULL THEN a.q ELSE gone.q END AS q, CASE WHEN c.p IS NULL THEN a.t ELSE least.rank END AS t
+            FROM alive a JOIN least ON a.w = least.w LEFT JOIN chosen c ON c.w = a.w AND c.p = a.p
+            LEFT JOIN alive gone ON gone.w = c.w AND gone.p = c.q ANTI JOIN chosen x ON x.w = a.w AND x.q = a.p
+        ), paired AS (
+            SELECT w, p, q, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM contracted
+        )
+        SELECT s.w, s.p, s.q, s.t, m.rank FROM paired s LEFT JOIN merges m ON m.pair = s.t::BIGINT * 4294967296 + s.u
+        UNION ALL SELECT w, q, NULL, NULL, NULL FROM chosen
+    )
+)
+SELECT w, list(t ORDER BY p) AS ids FROM state WHERE t IS NOT NULL GROUP BY w ORDER BY w
+"""
+
 _DECODE = """
-SELECT d, string_agg(text, '') AS text
-FROM (SELECT d, v.text FROM tokens JOIN vocabulary v ON v.id = tokens.t ORDER BY p) GROUP BY d
+SELECT d, string_agg(v.text, '' ORDER BY p) AS text FROM tokens JOIN vocabulary v ON v.id = tokens.t GROUP BY d
 """
 
-#: Pieces of more bytes than this are merged with a heap instead: the recursion's work is the square of the length.
-LONG_PIECE = 1000
-#: The recursion keeps a row for each token of each round: the sum of squared lengths of the pieces of one query.
+#: The pattern whose matches reach over a space only inside a run of white space: a fixed value.
+BY_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces of more bytes go to the keyed recursion, of yet more to a heap: a round there costs the length of the piece,
+#: so that 16,000 bytes of random letters take 9 seconds (the heap: 0.05).
+LONG_PIECE, HEAP_PIECE = 1000, 16_384
+#: The first recursion keeps a row for each token of each round: the sum of squared lengths of the pieces of one query.
 ROUND_ROWS = 6_000_000
 #: Tokens of one decoding query.
 DECODE_TOKENS = 1_500_000
@@ -81,6 +118,7 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         # \s of the library is Unicode white space, without the separators that Python's own class adds.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?=\p{White_Space}|\Z)").replace(r"\s", r"\p{White_Space}")).findall
+        self.by_spaces = pattern == BY_SPACES
         self.odd = regex.compile(r"\p{White_Space} (?:\p{White_Space}|\Z)").search
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
@@ -105,31 +143,32 @@ class Coder:
 
     def merge_all(self, new: list[str]) -> None:
         """Put the ids of each new piece into the cache, as little-endian unsigned 32-bit integers."""
-        short = []
+        short, long = [], []
         for s in new:
             b = s.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(b)) is not None:
                 self.pieces[s] = whole.to_bytes(4, "little")
-            elif len(b) > LONG_PIECE:
+            elif len(b) > HEAP_PIECE:
                 self.pieces[s] = np.array(self._heap_merge(b), "<u4").tobytes()
             else:
-                short.append((s, b))
-        work = np.cumsum(np.fromiter((len(b) ** 2 for _, b in short), np.int64, len(short)))
-        ends = np.searchsorted(work, np.arange(ROUND_ROWS, (int(work[-1]) if len(short) else 0) + ROUND_ROWS, ROUND_ROWS), "right").tolist()
-        for k, end in zip([0, *ends], ends):
-            part = short[k:end]
-            if not part:
-                continue
-            sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
-            flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("pieces", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "p": place.astype(np.int32), "t": self.of_byte[flat]}))
-            ids = self.db.sql(_ENCODE).to_arrow_table()["ids"].combine_chunks()
-            self.db.unregister("pieces")
-            ends = ids.offsets.to_numpy() * 4
-            data = ids.values.to_numpy().astype("<u4").tobytes()
-            for (s, _), a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
-                self.pieces[s] = data[a:b]
+                (long if len(b) > LONG_PIECE else short).append((s, b))
+        for part in _portions(short, [len(b) ** 2 for _, b in short], ROUND_ROWS):
+            self._contract(part, _ENCODE)
+        for part in _portions(long, [len(b) for _, b in long], HEAP_PIECE):
+            self._contract(part, _ENCODE_LONG)
+
+    def _contract(self, part: list[tuple[str, bytes]], query: str) -> None:
+        """Put the ids of some pieces into the cache by one recursive query."""
+        sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
+        flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.db.register("pieces", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "p": place.astype(np.int32), "t": self.of_byte[flat]}))
+        ids = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
+        self.db.unregister("pieces")
+        ends = ids.offsets.to_numpy() * 4
+        data = ids.values.to_numpy().astype("<u4").tobytes()
+        for (s, _), a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
+            self.pieces[s] = data[a:b]
 
     def _heap_merge(self, b: bytes) -> list[int]:
         """The same contraction for one very long piece: a heap of pairs over a linked list of tokens."""
@@ -160,8 +199,11 @@ class Coder:
         return [self.ranks[t] for t in tokens if t is not None]
 
     def _cut(self, text: str) -> list[str]:
-        """The text at its spaces, each space with what follows: a match never reaches over such a place, save where a space stands inside a run of white space."""
-        if self.odd(text):
+        """The text at its spaces, each space with what follows; at every match where a match may reach over such a place.
+
+        By ``BY_SPACES`` that is only so where a space stands inside a run of white space; by other patterns it may be so anywhere.
+        """
+        if not self.by_spaces or self.odd(text):
             return self.split(text)
         if "\0" not in text:
             return text.replace(" ", "\0 ").removeprefix("\0").split("\0")
@@ -178,7 +220,7 @@ class Coder:
                 unseen = set().union(*cuts)
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            split = {c: [c] if c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.split(c) for c in unseen}
+            split = {c: [c] if self.by_spaces and c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.split(c) for c in unseen}
             self.merge_all(list(set().union(*split.values()) - self.pieces.keys()))
             get = self.pieces.__getitem__
             self.chunks.update((c, b"".join(map(get, s))) for c, s in split.items())
@@ -201,6 +243,19 @@ class Coder:
         return ["".join(parts).encode("latin-1") for parts in out]
 
 
+def _portions(items: list, work: list[int], most: int) -> Iterator[list]:
+    """Consecutive items of about ``most`` work together."""
+    held, part = 0, []
+    for x, w in zip(items, work):
+        if part and held + w > most:
+            yield part
+            held, part = 0, []
+        part.append(x)
+        held += w
+    if part:
+        yield part
+
+
 def coder(rank_file: str, pattern: str) -> Coder:
     """This worker's coder; kept between tasks."""
     if (rank_file, pattern) not in _coders:
