@@ -5,13 +5,17 @@ whose smallest ``anchor``-word k-mer (by hash, leftmost on ties) is the same occ
 equal anchors, so a window whose anchor stands once in the corpus cannot repeat, and its whole path is settled by one
 row instead of one for each window.
 
-1. Each text gives its paths: anchor, hash of the path's words, place.
+1. Each text gives its paths: anchor, place, and a 128-bit digest of the words at that place.
 2. A join on the anchor keeps paths whose anchor repeats. Where all occurrences of an anchor have one and the same path
-   the graph does not branch there and the path is repeated as a whole; where paths differ, those that stand twice are.
+   no node of it has a second neighbour: the path does not branch and is repeated as a whole; where paths differ, those
+   that stand twice are.
 3. Only windows of the other, branching paths (and of one occurrence of each path that stands twice) are compared one
-   by one, by two independent 64-bit hashes.
+   by one.
 4. The places (text, first word, last word) of what repeats go back to the texts and mark the words to remove.
 
+Hashes of anchors only bring places together. What is removed is settled by the words at the source coordinates: their
+bytes, joined by spaces, have equal 128-bit digests (for paths and for single windows).
+
 Scale: rows that are shuffled are about a fourteenth of the words, then only repeated paths; counts are combined before
 each shuffle, and every join is of two stored tables, so that a hot key is split. Places are kept for each distinct
 text (by two 64-bit hashes), so exact copies cost one mark. The texts themselves are shuffled twice, to meet branching
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +48,10 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[pa.Recor
 
 
 def _paths(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, path hash) of each path of the texts."""
+    """(row, first window, last window, anchor hash) of each path of the texts."""
     h, counts = wordhash.word_hashes(texts)
     if len(h) < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64))
     starts = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(h)) - starts[row]
@@ -61,9 +66,18 @@ def _paths(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(inside)) - 1
     a, b = inside[first], inside[last]
-    w = wordhash.run_hashes(h, window)
-    whole = wordhash.mix(w[a] * np.uint64(3) + wordhash.mix(w[b] + np.uint64(7)) + (b - a).astype(np.uint64))
-    return row[a], place[a].astype(np.int32), place[b].astype(np.int32), k[at[first]].view(np.int64), whole.view(np.int64)
+    return row[a], place[a].astype(np.int32), place[b].astype(np.int32), k[at[first]].view(np.int64)
+
+
+def _digests(texts: list[bytes], row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """Two longs for the words lo to end of each row's text: halves of a 128-bit digest of their bytes."""
+    out, at, words = [], -1, []
+    for r, a, b in zip(row.tolist(), lo.tolist(), end.tolist()):
+        if r != at:
+            at, words = r, texts[r].split()
+        out.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
+    two = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1)]
 
 
 def _spread(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,18 +96,19 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = WINDOW, anchor: i
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch):
-                row, lo, hi, m, s = _paths(texts, window, anchor)
+                row, lo, hi, m = _paths(texts, window, anchor)
                 keys = [pa.array(part.column(k).to_numpy()[row]) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(lo), pa.array(hi), pa.array(m), pa.array(s)], names=["k1", "k2", "lo", "hi", "m", "s"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(lo), pa.array(hi), pa.array(m), *_digests(texts, row, lo, hi + window)], names=["k1", "k2", "lo", "hi", "m", "s", "s2"])
 
-    found = save(docs.mapInArrow(paths, "k1 bigint, k2 bigint, lo int, hi int, m bigint, s bigint"), folder, "all_paths")
-    anchors = found.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s1"), F.max("s").alias("s2"))
-    anchors = save(anchors.filter("n > 1").select("m", (F.col("s1") == F.col("s2")).alias("whole")), folder, "anchors")
-    again = save(found.join(anchors, "m").select("k1", "k2", "lo", "hi", "s", "whole"), folder, "paths")
+    found = save(docs.mapInArrow(paths, "k1 bigint, k2 bigint, lo int, hi int, m bigint, s bigint, s2 bigint"), folder, "all_paths")
+    ends = [f("s" if k == 0 else "s2").alias(f"{f.__name__}{k}") for k in (0, 1) for f in (F.min, F.max)]
+    anchors = found.groupBy("m").agg(F.count(F.lit(1)).alias("n"), *ends)
+    anchors = save(anchors.filter("n > 1").select("m", ((F.col("min0") == F.col("max0")) & (F.col("min1") == F.col("max1"))).alias("whole")), folder, "anchors")
+    again = save(found.join(anchors, "m").select("k1", "k2", "lo", "hi", "s", "s2", "whole"), folder, "paths")
     branching = again.filter(~F.col("whole"))
     one = F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
-    twice = save(branching.groupBy("s").agg(F.count(F.lit(1)).alias("n"), one).filter("n > 1").select("s", "one", F.lit(True).alias("twice")), folder, "twice")
-    branching = save(branching.join(twice.drop("one"), "s", "left").select("k1", "k2", "lo", "hi", F.coalesce("twice", F.lit(False)).alias("twice")), folder, "branching")
+    twice = save(branching.groupBy("s", "s2").agg(F.count(F.lit(1)).alias("n"), one).filter("n > 1").select("s", "s2", "one", F.lit(True).alias("twice")), folder, "twice")
+    branching = save(branching.join(twice.drop("one"), ["s", "s2"], "left").select("k1", "k2", "lo", "hi", F.coalesce("twice", F.lit(False)).alias("twice")), folder, "branching")
     settled = again.filter("whole").select("k1", "k2", "lo", "hi").unionByName(branching.filter("twice").select("k1", "k2", "lo", "hi"))
     settled = settled.select("k1", "k2", "lo", (F.col("hi") + window - 1).alias("hi"))
 
@@ -104,17 +119,12 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = WINDOW, anchor: i
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch):
-                h, counts = wordhash.word_hashes(texts)
-                starts = np.cumsum(counts) - counts
                 row, lo, hi = _spread(part.column(3))
                 n = hi - lo + 1
                 which = np.repeat(np.arange(len(row)), n)
                 place = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                flat = starts[row[which]] + place
-                one = wordhash.run_hashes(h, window)
-                two = wordhash.run_hashes(wordhash.mix(h), window, 0xD6E8FEB86659FD93)
                 keys = [pa.array(part.column(k).to_numpy()[row[which]]) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(one[flat].view(np.int64)), pa.array(two[flat].view(np.int64))], names=["k1", "k2", "lo", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), *_digests(texts, row[which], place, place + window)], names=["k1", "k2", "lo", "h1", "h2"])
 
     each = docs.join(open_, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(windows, "k1 bigint, k2 bigint, lo int, h1 bigint, h2 bigint")
     each = save(each, folder, "windows")
