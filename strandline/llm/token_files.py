@@ -2,8 +2,8 @@
 
 Ids are split into chunks of ``WIDTHS`` bits, lowest first. Level k holds the k-th chunk of every id that has one; a
 bitmap beside each level but the last says which of its ids go on, and a rank directory (ones before each block of
-512 bits) tells where the next level has them. So the id at any place is found by one read and one rank a level,
-without decoding what stands before it.
+512 bits) tells where the next level has them. So the id at any place is found by reading a few bytes, one count and one
+block of the bitmap a level, without reading or decoding what stands before it.
 
 A file: ``SLDA``, version, number of documents and of ids, lengths of the sections (all little-endian); then doc ids,
 end offsets of the documents, null marks, and for each level its packed chunks, bitmap and directory.
@@ -16,11 +16,13 @@ file again. Rows of one partition stream through; a task holds one batch and one
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,16 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: Settings of a tokenizers file under which pieces never reach over white space and letters are lower-cased: fixed values.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 class WordCoder(dict):
-    """Ids of words by a tokenizers file whose pieces never reach over white space; each distinct word is encoded once.
+    """Ids of texts by a tokenizers file. If its settings are ``BY_WORDS``, each distinct word is encoded once.
 
     A word that is one run of Latin letters, lower-case and composed, is one piece: it goes straight to the library's
     model. Marks after a letter are a piece of their own, so such a word is the ids of its stem and of its marks.
@@ -64,6 +74,9 @@ class WordCoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.by_words = all(settings.get(k) == v for k, v in BY_WORDS.items())
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -84,6 +97,9 @@ class WordCoder(dict):
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, then ``end``."""
+        if not self.by_words:  # another tokenizer: whole texts go to the library
+            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [struct.pack(f"<{len(e.ids)}I", *e.ids) + end for e in found]
         if len(self) > CACHE:
             self.clear()
         get = self.__getitem__
@@ -108,13 +124,12 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     return b"".join(out)
 
 
-def _unpack(data: bytes, width: int, places: np.ndarray) -> np.ndarray:
-    """The values at ``places`` of what _pack made."""
+def _unpack(data: bytes, width: int, bits: np.ndarray) -> np.ndarray:
+    """The values that begin at the places ``bits``, counted in bits from the start of ``data``."""
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    at = places.astype(np.int64) * width
-    byte = at >> 3
+    byte = bits >> 3
     word = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
-    return word >> (24 - width - (at & 7)).astype(np.uint32) & np.uint32((1 << width) - 1)
+    return word >> (24 - width - (bits & 7)).astype(np.uint32) & np.uint32((1 << width) - 1)
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -137,55 +152,67 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
 
 
 class TokenFile:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file through ``read`` (offset, size): a header, then only the bytes asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes]):
+        head = read(0, 24)
+        if head[:4] != MAGIC:
             raise ValueError("not a token file")
-        _, docs, self.n = struct.unpack_from("<IQQ", data, 4)
-        n = 3 + 3 * len(WIDTHS) - 2
-        sizes = struct.unpack_from(f"<{n}Q", data, 24)
-        at, self.parts = 24 + 8 * n, []
-        for s in sizes:
-            self.parts.append(data[at : at + s])
-            at += s
-        self.doc_ids = [None if null else d for d, null in zip(np.frombuffer(self.parts[0], "<i8").tolist(), self.parts[2])]
-        self.ends = np.frombuffer(self.parts[1], "<u8").astype(np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-
-    def take(self, places: np.ndarray) -> np.ndarray:
-        """The ids at any places, by one rank a level."""
-        out = np.zeros(len(places), np.uint32)
-        at, who, shift = np.asarray(places, np.int64), np.arange(len(places)), 0
+        _, self.docs, self.n = struct.unpack_from("<IQQ", head, 4)
+        parts = 3 + 3 * len(WIDTHS) - 2
+        self.sizes = struct.unpack(f"<{parts}Q", read(24, 8 * parts))
+        self.offsets = (24 + 8 * parts + np.concatenate([[0], np.cumsum(self.sizes)])).tolist()
+        self.read = read
+
+    def _part(self, k: int, a: int = 0, b: int | None = None) -> bytes:
+        """Bytes a to b of section k."""
+        b = self.sizes[k] if b is None else min(b, self.sizes[k])
+        return self.read(self.offsets[k] + a, b - a) if b > a else b""
+
+    @cached_property
+    def doc_ids(self) -> list[int | None]:
+        return [None if null else d for d, null in zip(np.frombuffer(self._part(0), "<i8").tolist(), self._part(2))]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.frombuffer(self._part(1), "<u8").astype(np.int64)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+
+    def _rank(self, level: int, a: int) -> int:
+        """Ids before place a of a level that go on to the next: the directory's count and the bits of one block."""
+        block = a // BLOCK
+        before = struct.unpack("<I", self._part(5 + 3 * level, 4 * block, 4 * block + 4))[0]
+        bits = np.frombuffer(self._part(4 + 3 * level, block * BLOCK // 8, (a + 7) >> 3), np.uint8)
+        return before + int(np.unpackbits(bits)[: a - block * BLOCK].sum())
+
+    def at(self, place: int) -> int:
+        """The id at one place: a few bytes, a block of the bitmap and a count a level."""
+        out = shift = 0
         for k, width in enumerate(WIDTHS):
-            level = self.parts[3 + 3 * k :]
-            out[who] |= _unpack(level[0], width, at) << np.uint32(shift)
-            if k + 1 == len(WIDTHS):
-                break
-            bits, ranks = np.frombuffer(level[1], np.uint8), np.frombuffer(level[2], "<u4")
-            more = bits[at >> 3] >> (7 - (at & 7)) & 1 > 0
-            at, who, shift = at[more], who[more], shift + width
-            if not len(at):
-                break
-            # Rank: the directory's count, whole bytes of the block, bits of the last byte.
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)]) if len(at) > 64 else None
-            if before is not None:
-                whole = before[at >> 3]
-            else:
-                whole = np.array([int(ranks[p // BLOCK]) + int(np.bitwise_count(bits[p // BLOCK * BLOCK // 8 : p >> 3]).sum()) for p in at.tolist()], np.int64)
-            at = whole + np.bitwise_count(bits[at >> 3] >> (8 - (at & 7)).astype(np.uint8))
+            byte = place * width >> 3
+            out |= int(_unpack(self._part(3 + 3 * k, byte, byte + 3), width, np.array([place * width & 7]))[0]) << shift
+            if k + 1 == len(WIDTHS) or not self._part(4 + 3 * k, place >> 3, (place >> 3) + 1)[0] >> (7 - (place & 7)) & 1:
+                return out
+            place, shift = self._rank(k, place), shift + width
         return out
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at any places."""
+        return np.array([self.at(p) for p in np.asarray(places).tolist()], np.uint32)
+
     def span(self, a: int, b: int, level: int = 0) -> np.ndarray:
         """The ids at places a to b: what follows each other on a level does so on the next."""
         width = WIDTHS[level]
-        out = _unpack(self.parts[3 + 3 * level], width, np.arange(a, b))
+        byte = a * width >> 3
+        out = _unpack(self._part(3 + 3 * level, byte, (b * width + 7) >> 3), width, np.arange(a, b) * width - byte * 8)
         if level + 1 < len(WIDTHS) and b > a:
-            bits, ranks = np.frombuffer(self.parts[4 + 3 * level], np.uint8), np.frombuffer(self.parts[5 + 3 * level], "<u4")
-            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3])[a & 7 : (a & 7) + b - a].view(bool)
-            block = a // BLOCK
-            first = int(ranks[block]) + int(np.unpackbits(bits[block * BLOCK // 8 : (a + 7) >> 3])[: a - block * BLOCK].sum())
+            bits = np.frombuffer(self._part(4 + 3 * level, a >> 3, (b + 7) >> 3), np.uint8)
+            more = np.unpackbits(bits)[a & 7 : (a & 7) + b - a].view(bool)
             if n := int(more.sum()):
+                first = self._rank(level, a)
                 out[more] |= self.span(first, first + n, level + 1) << np.uint32(width)
         return out
 
@@ -203,7 +230,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_
     """Write the ids of every whole text of ``docs`` (doc_id, text) in ascending doc_id order; the list of the files.
 
     Returns (part, number, path, n_docs, n_ids). A null text counts as empty and holds only ``end_id``; null doc_ids
-    come first; equal doc_ids stand together in any order. An empty table writes no file.
+    come first; equal doc_ids stand together in any order. doc_id is an integer. An empty table writes no file.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -266,17 +293,17 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, name = _filesystem(path)
-                with fs.open_input_stream(name) as f:
-                    file = TokenFile(f.read())
-                crcs, step = [], 1 << 20
-                a = 0
-                while a < len(file.ends):  # documents of about ``step`` ids at a time
-                    b = max(a + 1, int(np.searchsorted(file.ends, file.starts[a] + step, "right")))
-                    raw = file.span(int(file.starts[a]), int(file.ends[b - 1])).astype("<u4").tobytes()
-                    z = int(file.starts[a]) * 4
-                    crcs += [zlib.crc32(raw[x * 4 - z : y * 4 - z]) for x, y in zip(file.starts[a:b].tolist(), file.ends[a:b].tolist())]
-                    a = b
-                columns = [pa.array(file.doc_ids, pa.int64()), pa.array(file.starts + first), pa.array(file.ends - file.starts), pa.array(crcs, pa.int64())]
+                with fs.open_input_file(name) as f:
+                    file = TokenFile(lambda at, size, f=f: f.read_at(size, at))
+                    crcs, step = [], 1 << 20
+                    a = 0
+                    while a < len(file.ends):  # documents of about ``step`` ids at a time
+                        b = max(a + 1, int(np.searchsorted(file.ends, file.starts[a] + step, "right")))
+                        raw = file.span(int(file.starts[a]), int(file.ends[b - 1])).astype("<u4").tobytes()
+                        z = int(file.starts[a]) * 4
+                        crcs += [zlib.crc32(raw[x * 4 - z : y * 4 - z]) for x, y in zip(file.starts[a:b].tolist(), file.ends[a:b].tolist())]
+                        a = b
+                    columns = [pa.array(file.doc_ids, pa.int64()), pa.array(file.starts + first), pa.array(file.ends - file.starts), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -176,10 +176,14 @@ def test_byte_bpe_on_odd_white_space():
     coder = bpe.coder(RANKS, P.PATTERN)
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     rng, letters = random.Random(3), list(" \n\tab1.,'é\x00\x1c　x漢s")
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["ab" * 3000]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["ab" * 3000, "aab" * 700 + "b" * 777, "".join(rng.choice("etaoinshrdlu") for _ in range(4000)), "x" * 30_000]
     ids = coder.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [own.encode_ordinary(t) for t in texts]
     assert coder.decode(ids) == [t.encode() for t in texts]
+    assert P.PATTERN == bpe.BY_SPACES and all(coder._heap_merge(t) == [r] for t, r in coder.ranks.items() if len(t) < 40)
+    other = bpe.Coder(RANKS, r"\S+ \S+|.|\n")
+    own = tiktoken.Encoding("own", pat_str=r"\S+ \S+|.|\n", mergeable_ranks=coder.ranks, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(["a b c d", "one two"])] == [own.encode_ordinary(t) for t in ("a b c d", "one two")]
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -198,10 +202,14 @@ def test_token_files(spark, docs, empty, tmp_path):
 def test_codes_are_addressable(n):
     rng = np.random.default_rng(n)
     ids = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
-    file = token_files.TokenFile(token_files.build(ids, [None], [n]))
+    data, asked = token_files.build(ids, [None], [n]), []
+    file = token_files.TokenFile(lambda at, size: asked.append(size) or data[at : at + size])
     assert file.doc_ids == [None] and (file.document(0) == ids).all()
     for p in rng.integers(0, max(n, 1), 20 if n else 0):
-        assert file.take(np.array([p])) == ids[p]
+        del asked[:]
+        assert file.at(p) == ids[p] and sum(asked) <= 3 * 3 + 2 * (1 + 4 + token_files.BLOCK // 8)
+    for a, b in rng.integers(0, n + 1, (20, 2)).tolist():
+        assert (file.span(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
 
 
 # 4, 8, 10 --------------------------------------------------------------------------------------------------------
