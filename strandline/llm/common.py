@@ -108,6 +108,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
-    """Only the columns that an operator reads, so that other columns cannot clash with its own names."""
-    return df.select("doc_id", "text", *more)
+def whole(df: DataFrame) -> Column:
+    """The whole row of ``df`` as one column ``row``: other columns of an operator cannot clash with names inside it."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+
+
+def unwrapped(df: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of ``df`` from the column ``row`` that ``whole`` made, some of them replaced."""
+    return [(instead[c] if c in instead else F.col("row")[c]).alias(c) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -1,14 +1,16 @@
 """Removal of repeated runs of lines by winnowing.
 
-DataFrame functions only. Lines without a word are left alone and stand in no run. Every ``run`` consecutive lines of a
-text are a window; its fingerprint is the smallest line hash in it. Equal windows have equal fingerprints, so a window
-whose fingerprint was selected at one place only cannot repeat. For the others the match is extended both ways over the
-window by comparing the hash of all its lines; of equal windows the first by (doc_id, place) stays and the lines that
-the later ones cover are deleted.
-
-Scale: a row of a few longs a line is shuffled, most dropped after counting fingerprints (combined before the shuffle);
-tables are stored between joins, so hot lines are split by the skewed-join rule. The texts meet their deletions in one
-join by row key.
+DataFrame functions only. Lines without a word are left alone and stand in no run. Of every ``run`` consecutive lines of
+a text the one of smallest hash (leftmost on ties) is selected: the selected places are the text's fingerprints, of which
+any run of that length holds one. Equal runs select equal fingerprints, so only places whose fingerprint stands at
+another place too are joined. From each of them the match is extended both ways, over the lines before and after the
+fingerprint that stand in a window that selected it, by comparing two independent hashes of every line; of equal windows
+the first by (doc_id, place) stays and the lines that the later ones cover are deleted. Windows overlap, so a longer run
+goes as a whole.
+
+Scale: one row for each selected place is stored, about half of the lines; most are dropped after counting fingerprints
+(combined before the shuffle). Tables are stored between joins, so hot lines are split by the skewed-join rule. The
+texts meet their deletions in one join by row key.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, row_key, save, work_dir
+from .common import WHITE, row_key, save, unwrapped, whole, work_dir
 
 RUN = 3
 
@@ -28,19 +30,29 @@ def _has_word(line: Column) -> Column:
 def later_runs(docs: DataFrame, folder: str, run: int) -> DataFrame:
     """(key, starts): for each row key the places (among lines with a word, from 0) where a later window starts."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _has_word)
-    hashed = docs.select("key", "doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).filter(F.size("h") >= run)
+    two = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+    hashed = docs.select("key", "doc_id", two.alias("h")).filter(F.size("h") >= run)
     inner = F.sequence(F.lit(1), F.greatest(F.size("h") - (run - 1), F.lit(1)))
-    parts = lambda i: [F.element_at("h", i + k) for k in range(run)]
-    least = lambda i: F.least(*parts(i)) if run > 1 else F.element_at("h", i)
-    print_at = lambda i: (i - 2 + F.array_position(F.array(*parts(i)), least(i))).cast("int")
-    windows = F.transform(inner, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(*parts(i)).alias("w1"), F.xxhash64(F.lit(7), *parts(i)).alias("w2"), least(i).alias("print"), print_at(i).alias("print_at")))
-    each = hashed.select("key", "doc_id", F.explode(windows).alias("x")).select("key", "doc_id", "x.*")
-    each = save(each, folder, "windows")
-    # Neighbouring windows select the same line: a fingerprint repeats if two places, not two windows, hold it.
-    spot = F.struct("key", "print_at")
-    repeats = each.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
-    repeats = save(repeats.filter("a <> b").select("print"), folder, "prints")
-    near = save(each.join(repeats, "print").select("key", "doc_id", "at", "w1", "w2"), folder, "near")
+
+    def parts(i: Column, name: str) -> list[Column]:
+        return [F.element_at("h", i + k)[name] for k in range(run)]
+
+    def window(i: Column) -> Column:
+        least = F.least(*parts(i, "a")) if run > 1 else parts(i, "a")[0]
+        place = (i - 2 + F.array_position(F.array(*parts(i, "a")), least)).cast("int")
+        return F.struct((i - 1).alias("at"), F.xxhash64(*parts(i, "a")).alias("w1"), F.xxhash64(*parts(i, "b")).alias("w2"), least.alias("print"), place.alias("place"))
+
+    cut = hashed.select("key", "doc_id", F.transform(inner, window).alias("w"))
+    # Selected places never go back, so the windows that selected one follow each other, at most ``run`` of them.
+    fresh = F.filter("w", lambda x, i: (i == 0) | (F.get("w", i - 1)["place"] != x["place"]))
+    around = lambda x: F.filter(F.slice("w", x["at"] + 1, F.lit(run)), lambda y: y["place"] == x["place"])
+    chosen = F.transform(fresh, lambda x: F.struct(x["print"].alias("print"), x["place"].alias("place"), F.transform(around(x), lambda y: F.struct(y["at"].alias("at"), y["w1"].alias("w1"), y["w2"].alias("w2"))).alias("windows")))
+    prints = save(cut.select("key", "doc_id", F.explode(chosen).alias("x")).select("key", "doc_id", "x.*"), folder, "prints")
+    spot = F.struct("key", "place")
+    repeats = prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
+    repeats = save(repeats.filter("a <> b").select("print"), folder, "repeats")
+    near = prints.join(repeats, "print").select("key", "doc_id", F.explode("windows").alias("x")).select("key", "doc_id", "x.*")
+    near = save(near, folder, "near")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "at")
     first = save(near.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", "first"), folder, "first")
     later = near.join(first, ["w1", "w2"]).filter((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
@@ -53,25 +65,25 @@ def remove_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     Adds n_lines (lines with a word) and n_removed. A later run is one of which an equal run stands earlier: at a
     smaller doc_id (nulls last), or before it in the same text; windows are judged on the input. Rows equal in doc_id
     and text are one text and are treated alike. Lines without a word stay. A null text stays null; text left without
-    any line becomes empty. Existing columns n_lines and n_removed are replaced; an empty table gives an empty one.
+    any line becomes empty. Existing columns n_lines and n_removed are replaced, others stay under any name; an empty
+    table gives an empty one.
     """
     folder = work_dir(docs.sparkSession)
-    keyed = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text"))
-    later = later_runs(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), folder, run).select(F.col("key").alias("__of"), F.col("starts").alias("__starts"))
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = docs.select(whole(docs), "text", "doc_id", row_key("doc_id", "text").alias("key"))
+    later = later_runs(keyed.select("key", "doc_id", "text"), folder, run).select(F.col("key").alias("of"), "starts")
     # The same plan at every size: a small table of deletions would be broadcast, a large one not.
-    joined = keyed.join(later.hint("merge"), F.col("__key") == F.col("__of"), "left")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    joined = joined.withColumn("__lines", lines)
-    size = F.size(F.filter("__lines", _has_word)).cast("long")
-    numbered = F.transform(F.filter(F.transform("__lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: _has_word(s["x"])), lambda s, k: F.struct(s["i"].alias("i"), k.alias("k")))
-    gone_places = F.array_distinct(F.flatten(F.transform(F.coalesce("__starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + run - 1))))
-    joined = joined.withColumn("n_lines", size).withColumn("__numbered", F.when(F.col("__starts").isNotNull(), numbered))
-    joined = joined.withColumn("__gone", gone_places)
+    joined = keyed.join(later.hint("merge"), F.col("key") == F.col("of"), "left").select("row", "text", "starts")
+    joined = joined.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    size = F.size(F.filter("lines", _has_word)).cast("long")
+    numbered = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: _has_word(s["x"])), lambda s, k: F.struct(s["i"].alias("i"), k.alias("k")))
+    gone = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + run - 1))))
+    joined = joined.withColumn("n_lines", size).withColumn("numbered", F.when(F.col("starts").isNotNull(), numbered)).withColumn("gone", gone)
     # From places among the lines with a word to places among all lines.
-    dead = F.when(F.size("__numbered") > 0, F.transform("__gone", lambda k: F.element_at("__numbered", k + 1)["i"])).otherwise(F.array().cast("array<int>"))
-    joined = joined.withColumn("__dead", dead).drop("__numbered", "__starts", "__of")
-    marked = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dead"))
-    left = F.array_join(F.transform(marked, lambda i: F.element_at("__lines", i + 1)), "\n")
-    joined = joined.withColumn("n_removed", F.size("__gone").cast("long"))
+    dead = F.when(F.size("numbered") > 0, F.transform("gone", lambda k: F.element_at("numbered", k + 1)["i"])).otherwise(F.array().cast("array<int>"))
+    joined = joined.withColumn("dead", dead).drop("numbered", "starts")
+    marked = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dead"))
+    left = F.array_join(F.transform(marked, lambda i: F.element_at("lines", i + 1)), "\n")
+    joined = joined.withColumn("n_removed", F.size("gone").cast("long"))
     joined = joined.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text")))
-    return joined.drop("__key", "__lines", "__gone", "__dead")
+    return joined.select(*unwrapped(docs, text=F.col("text")), "n_lines", "n_removed")

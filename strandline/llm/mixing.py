@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, WHITE, row_key, save, word_count, work_dir
+from .common import SEPARATORS, WHITE, row_key, save, unwrapped, whole, word_count, work_dir
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Shards that share their quota in one window.
+HERD = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -81,7 +83,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     dealt = dealt.select("doc_id", "source", "size", "key", "mark", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     shards = shards.join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of", "shards")
-    shards = apportion(shards, ["source"], "words", "quota", [F.col("shard")], "blocks")
+    # In two levels, first to groups of shards: no window holds all shards of a hot source.
+    shards = shards.withColumn("herd", F.floor(F.col("shard") / HERD))
+    herds = shards.groupBy("source", "herd").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"))
+    herds = apportion(herds, ["source"], "words", "quota", [F.col("herd")], "blocks")
+    herds = herds.select(F.col("source").alias("of"), F.col("herd").alias("in_herd"), F.col("blocks").alias("herd_quota"))
+    shards = shards.join(herds, F.col("source").eqNullSafe(F.col("of")) & (F.col("herd") == F.col("in_herd"))).drop("of", "in_herd")
+    shards = apportion(shards, ["source", "herd"], "words", "herd_quota", [F.col("shard")], "blocks")
     n = F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("long")
     shards = shards.withColumn("n", n).withColumn("blocks", F.least(F.col("blocks"), (F.col("n") * F.floor(F.lit(cap))).cast("long")))
     shards = shards.select(F.col("source").alias("of"), F.col("shard").alias("in_shard"), "source_size", "target", F.floor(F.col("blocks") / F.col("n")).cast("long").alias("passes"), ((F.col("blocks") % F.col("n")) * block_words).alias("rest"))
@@ -96,19 +104,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
 def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of ``docs`` as the mix holds them: each as many times as it is taken whole, then its first words.
 
-    ``docs`` has doc_id, text, source and any others, which stay; ``n_chars`` is set to the length of what is taken. A row of which nothing is taken is left out, save
-    those without any word, which no target counts. Words of a partly taken row are joined by one space.
+    ``docs`` has doc_id, text, source and any others, which stay under any name; ``n_chars``, if there, is set to the
+    length of what is taken. A row of which nothing is taken is left out, save those without any word, which no target
+    counts. Words of a partly taken row are joined by one space. Rows equal in doc_id, source and text are numbered, and
+    each gets the taken words of its number.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
-    taken = mix(docs, **how).groupBy(F.col("key").alias("__of")).agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken")).hint("merge")
-    joined = keyed.join(taken, F.col("__key") == F.col("__of"))
-    whole = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__taken") / F.col("__size"))).cast("int")
-    rest = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(F.lit(0)).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = joined.withColumn("__copy", F.explode(copies))
-    first = F.concat_ws(" ", F.slice(F.split(F.btrim(F.col("text"), F.lit(WHITE)), SEPARATORS), F.lit(1), F.greatest(F.col("__copy"), F.lit(1))))
-    rows = rows.withColumn("text", F.when(F.col("__copy") < 0, F.col("text")).otherwise(first))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    keyed = docs.select(whole(docs), "text", row_key("doc_id", "source", "text").alias("key"))
+    alike = Window.partitionBy("key")
+    keyed = keyed.withColumn("n", F.row_number().over(alike.orderBy(F.xxhash64("row"))))
+    taken = mix(docs, **how).select("key", "size", "taken")
+    taken = taken.select(F.col("key").alias("of"), "size", "taken", F.row_number().over(alike.orderBy(F.desc("taken"))).alias("place"))
+    joined = keyed.join(taken.hint("merge"), (F.col("key") == F.col("of")) & (F.col("n") == F.col("place")))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(-1), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = joined.withColumn("copy", F.explode(copies))
+    first = F.concat_ws(" ", F.slice(F.split(F.btrim(F.col("text"), F.lit(WHITE)), SEPARATORS), F.lit(1), F.greatest(F.col("copy"), F.lit(1))))
+    rows = rows.withColumn("text", F.when(F.col("copy") < 0, F.col("text")).otherwise(first))
+    return rows.select(*unwrapped(docs, text=F.col("text"), n_chars=F.length("text").cast("long")))
