@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Stages carry the whole row as one column, so that further columns of any name pass through. Null texts count as empty:
+quality rules reject them, as they do all texts under 50 words. An empty table gives an empty one at every stage.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from strandline.llm.common import WHITE, drop, made, row_key, save, work_dir
+from strandline.llm.common import WHITE, drop, made, row_key, save, unwrapped, whole, work_dir
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,27 +39,29 @@ def _stage(f: Stage) -> Stage:
 @_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the rules' posterior rejects go."""
-    return quality_rules.judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    judged = quality_rules.judge(docs.select(whole(docs), "text"), ["row"])
+    return judged.filter("kept").select(*unwrapped(docs))
 
 
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeated runs of lines go, and documents of which no word is left."""
-    out = line_dedup.remove_lines(docs)
+    out = line_dedup.remove_lines(docs.select(whole(docs), "doc_id", "text"))
     out = out.filter((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(WHITE)) != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*unwrapped(docs, text=F.col("text"), n_chars=length))
 
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each group of linked documents the one of smallest doc_id stays."""
     folder = work_dir(spark)
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    ids = save(keyed.select("doc_id", F.col("__key").alias("key")), folder, "ids")
-    groups = jaccard_join.similar_texts(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")).distinct()
+    keyed = docs.select(whole(docs), "doc_id", "text", row_key("doc_id", "text").alias("key"))
+    ids = save(keyed.select("doc_id", "key"), folder, "ids")
+    groups = jaccard_join.similar_texts(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")).distinct()
     best = ids.join(groups, "key").groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
-    stay = save(best.select(F.col("best.key").alias("__key")), folder, "stay")
-    return keyed.join(stay.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    stay = save(best.select("best.key"), folder, "stay")
+    return keyed.join(stay.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*unwrapped(docs))
 
 
 @_stage
