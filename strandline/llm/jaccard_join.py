@@ -10,8 +10,9 @@ the smaller coordinates. Points of similarity t or more differ in at most (1 - t
    block, the counts there, as a hash linear in them); a point stands in a leaf of each block of its bands. Leaves with
    one class are dropped by counting, before anything is joined: their counts go to a Bloom filter that keeps them from
    the shuffle.
-3. Each leaf's first class is compared with the others: bound by summed minima over ``GROUPS`` folded coordinates, then
-   exact intersection. Verified links give components; groups of near copies settle with one comparison a member.
+3. In each leaf a hub is compared with the others: bound by summed minima over ``GROUPS`` folded coordinates, then exact
+   intersection. Verified links give components. ``hub_rounds`` such rounds, the later ones with the members of most
+   links as hubs, settle groups of near copies with one comparison a member and round.
 4. Leaves that still hold several components are joined in full (of leaves with the same members one is): packed R-trees
    over blocks of at most ``leaf_points`` members prune nodes and points by the bound. A cell hands on its surviving
    pairs of different components if they are no more than its points; the few denser cells fetch their points' sets,
@@ -241,7 +242,7 @@ def _apart(root: np.ndarray, part: np.ndarray, two: np.ndarray, found: np.ndarra
     return (root[i] != root[j]) & (~two[i] | (part[i] != part[j]))
 
 
-def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int) -> DataFrame:
+def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, folder: str, leaf_points: int, hub_rounds: int) -> DataFrame:
     """(node, root) of the classes that are linked with another; ``standing`` has k, f and the leaves of each text."""
     spark, num, den = standing.sparkSession, bands.num, bands.den
     # Leaves that hold two texts or more, as a Bloom filter, keep the many others from being shuffled with their classes.
@@ -299,25 +300,43 @@ def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, fol
             drop(spark, f"{folder}/{name}_{done}")
         return links
 
+    # Rounds of hubs: each leaf's hub is compared with its members of other components. After the first round it is the
+    # member with the most links so far that has not been one, as is the text of which others are edited copies.
     sized = (F.col("n") * den >= F.col("hub_n") * num) & (F.col("hub_n") * den >= F.col("n") * num)
-    pairs = save(members.filter(sized & (F.col("f") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("f").alias("b")).distinct(), folder, "pairs")
-    joined = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").select("a", "b", "na", "da", "nb", "db")
-    links = verify(save(joined.mapInArrow(bounded, "a bigint, b bigint"), folder, "hub_near"), "hub")
-    drop(spark, f"{folder}/pairs")
-    roots = components(links, folder, "hub_roots")
-    placed = save(members.join(roots, F.col("f") == F.col("node"), "left").select("leaf", "f", "n", F.coalesce("root", "f").alias("root")), folder, "placed")
-    drop(spark, f"{folder}/members")
     who = [F.bit_xor(F.xxhash64(F.lit(k), "f")).alias(f"who{k}") for k in (0, 1)]
-    open_ = placed.groupBy("leaf").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"), *who).filter("r1 <> r2")
-    # Two members are the hub and one that was compared with it. Leaves with the same members hold the same pairs.
-    open_ = open_.filter("members > 2").groupBy("who0", "who1", "members", "size").agg(F.min("leaf").alias("leaf"))
+    asked, links = members.select("leaf", "hub", "hub_n", F.col("hub").alias("hub_root"), "f", "n", F.col("f").alias("root")), None
+    for k in range(hub_rounds):
+        pairs = asked.filter(sized & (F.col("f") != F.col("hub")) & (F.col("root") != F.col("hub_root")))
+        pairs = save(pairs.select(F.col("hub").alias("a"), F.col("f").alias("b")).distinct(), folder, f"pairs{k}")
+        joined = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").select("a", "b", "na", "da", "nb", "db")
+        new = verify(save(joined.mapInArrow(bounded, "a bigint, b bigint"), folder, f"hub{k}_near"), f"hub{k}")
+        drop(spark, f"{folder}/pairs{k}")
+        if k and new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        roots = components(links, folder, f"hub{k}_roots")
+        placed = members.select("leaf", "f", "n").join(roots, F.col("f") == F.col("node"), "left").select("leaf", "f", "n", F.coalesce("root", "f").alias("root"))
+        placed = save(placed, folder, f"placed{k}")
+        # Two members are the hub and one that was compared with it. Leaves with the same members hold the same pairs.
+        open_ = placed.groupBy("leaf").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"), *who)
+        open_ = open_.filter("r1 <> r2 and members > 2").groupBy("who0", "who1", "members", "size").agg(F.min("leaf").alias("leaf"))
+        open_ = save(open_.select("leaf", "members", "size"), folder, f"open{k}")
+        hubs = asked.select("leaf", "hub").distinct() if k == 0 else hubs.select("leaf", "hub").union(past)
+        past = save(hubs.join(open_, "leaf").select("leaf", "hub"), folder, f"past{k}")
+        members = save(placed.join(open_, "leaf").select("leaf", "f", "n", "root"), folder, f"members{k}")
+        drop(spark, f"{folder}/placed{k}")
+        linked = links.select(F.col("a").alias("of")).union(links.select("b")).groupBy("of").agg(F.count(F.lit(1)).alias("links"))
+        fresh = members.join(past, (members["leaf"] == past["leaf"]) & (F.col("f") == F.col("hub")), "left_anti").join(linked, F.col("f") == F.col("of"), "left")
+        best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "f", "n", "root")).alias("best")
+        hubs = fresh.groupBy("leaf").agg(best).select("leaf", F.col("best.f").alias("hub"), F.col("best.n").alias("hub_n"), F.col("best.root").alias("hub_root"))
+        hubs = save(hubs, folder, f"hubs{k}")
+        asked = members.join(hubs, "leaf")
     parts = F.greatest(F.ceil(F.col("members") / leaf_points), F.least(F.col("members"), F.ceil(F.col("size") * 8 / CELL_BYTES)))
-    open_ = save(open_.select("leaf", parts.cast("int").alias("parts")), folder, "open")
-    rest = placed.join(open_, "leaf").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
+    open_ = open_.select("leaf", parts.cast("int").alias("parts"))
+    rest = members.join(open_, "leaf").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     # Any two parts of a leaf meet in one cell, named by the smaller and the larger part.
     cells = rest.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).select("leaf", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "f", "root", "part")
     cells = save(cells, folder, "cells")
-    drop(spark, f"{folder}/placed")
     cell = ["leaf", "i", "j"]
     # Most cells are small: several are worked on in one call, about BUCKET rows of them.
     buckets = max(1, -(-cells.count() // BUCKET))
@@ -385,7 +404,7 @@ def _linked(standing: DataFrame, texts: DataFrame, words: int, bands: Bands, fol
     return roots if more.isEmpty() else components(links.union(more), folder, "roots")
 
 
-def similar_texts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, leaf_points: int = 400) -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, leaf_points: int = 400, hub_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Two rows link when intersection over union of their shingle sets is num / den or more; component_id is the smallest
@@ -411,7 +430,7 @@ def similar_texts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
 
     standing = save(texts.mapInArrow(measure, f"doc_id {kind}, k bigint, n bigint, f bigint, leaves array<bigint>"), folder, "standing")
     measured = save(standing.select("doc_id", "n", "f"), folder, "measured")
-    roots = _linked(standing, texts.select("k", "text"), words, bands, folder, leaf_points)
+    roots = _linked(standing, texts.select("k", "text"), words, bands, folder, leaf_points, hub_rounds)
     first = measured.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("low"))
     first = first.join(roots, F.col("f") == F.col("node"), "left").select("f", "low", F.coalesce("root", "f").alias("root"))
     first = save(first, folder, "first")
