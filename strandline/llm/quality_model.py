@@ -114,18 +114,23 @@ def fit(features: list[np.ndarray], target: np.ndarray, size: int, rounds: int =
     return weights, b
 
 
+def spoken(text: str) -> Column:
+    """Lower-case runs of letters of a text."""
+    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
+
+
 def insult_words(told: DataFrame, most_words: int) -> list[str]:
-    """Words of far more toxic than other documents of ``told`` (words, given_toxic): 5 times the share, and no chance find."""
+    """Words of far more toxic than other documents of ``told`` (text, given_toxic): 5 times the share, and no chance find."""
     totals = told.groupBy("given_toxic").count().collect()
     n = {r["given_toxic"]: r["count"] for r in totals}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return []
-    each = told.select("given_toxic", F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''")
-    each = each.groupBy("w").agg(F.count_if(F.col("given_toxic") == 1).alias("b"), F.count_if(F.col("given_toxic") == 0).alias("g"))
+    each = told.select("given_toxic", F.explode(F.array_distinct(spoken("text"))).alias("w")).filter("w <> ''")
+    each = each.groupBy("w").agg(F.count_if(F.col("given_toxic") == 1).alias("b"), F.count_if(F.col("given_toxic") == 0).alias("g")).filter("b >= 5")
     base = F.lit(bad / (bad + good))
     z = (F.col("b") - (F.col("b") + F.col("g")) * base) / F.sqrt((F.col("b") + F.col("g")) * base * (1 - base) + 1)
-    often = (F.col("b") >= 5) & (F.col("b") / bad >= 5 * (F.col("g") + 1) / good) & (z >= 5)
+    often = (F.col("b") / bad >= 5 * (F.col("g") + 1) / good) & (z >= 5)
     return [r["w"] for r in each.filter(often).orderBy(z.desc(), "w").limit(most_words).collect()]
 
 
@@ -153,22 +158,19 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, b
     total = pool.select("doc_id").count()
     if total > sample:
         pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    pool = pool.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    if labels is None:
-        known = []
-    else:
+    if labels is not None:
         given = labels.select(F.col("doc_id").alias("of"), F.col("quality").alias("given_quality"), F.col("toxic").alias("given_toxic")).filter("of is not null")
         given = given.groupBy("of").agg(F.min("given_quality").alias("given_quality"), F.max("given_toxic").alias("given_toxic"))
-        pool = save(pool.join(given, F.col("doc_id") == F.col("of"), "left").drop("of"), folder, "pool")
-        known = insult_words(pool.select("words", "given_toxic").filter("given_toxic is not null"), most_words)
+        pool = pool.join(given, F.col("doc_id") == F.col("of"), "left").drop("of")
+    pool = save(pool, folder, "pool")
+    known = [] if labels is None else insult_words(pool.select("text", "given_toxic").filter("given_toxic is not null"), most_words)
     lexicon = sorted({*INSULTS, *known})
-    pool = pool.withColumn("insults", F.size(F.filter("words", lambda w: w.isin(*lexicon))))
-    carry = [c for c in pool.columns if c not in ("words", "text")] + ["text"]
-    rows = save(quality_rules.measures(pool, carry), folder, "measured")
+    pool = pool.withColumn("insults", F.size(F.filter(spoken("text"), lambda w: w.isin(*lexicon))))
+    rows = save(quality_rules.measures(pool, pool.columns), folder, "measured")
     families = labellers(labels is not None)
     votes = {f"{f}_{name}": v for f, given in families.items() for name, v in given.items()}
-    rows = save(rows.select("doc_id", "text", *[v.alias(name) for name, v in votes.items()]), folder, "votes")
-    believed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *posteriors(rows, families))
+    rows = rows.select("doc_id", "text", *[v.alias(name) for name, v in votes.items()])
+    believed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *posteriors(rows.drop("text"), families))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Features(bits)
