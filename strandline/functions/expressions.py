@@ -32,3 +32,8 @@ def rolling(aggregate: Column, window: WindowSpec, least: int, of: Column | None
 def wide(key: str, value: Column, keys: list, name: str) -> list[Column]:
     """One conditional aggregate for each key: a pivot to a known list of columns in a single pass."""
     return [F.max(F.when(F.col(key) == k, value)).alias(name.format(k)) for k in keys]
+
+
+def half_width(coef: Column, t: Column, z: float = 1.96) -> Column:
+    """Half the width of a coefficient's interval, from its t."""
+    return z * F.abs(coef) / F.abs(F.nullif(t, F.lit(0.0)))

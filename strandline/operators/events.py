@@ -16,14 +16,34 @@ def flagged(panel: DataFrame) -> DataFrame:
     return quantile_flag(panel, "z", 0.9, "is_event_top")
 
 
-def non_overlapping(events: DataFrame, gap: int = GAP_DAYS) -> DataFrame:
+DEFINITIONS = ("z2", "ratio", "top")
+
+
+def defined(panel: DataFrame) -> DataFrame:
+    """(definition, entity, week, return_start, z) of the raw events of all definitions; ``panel`` is flagged."""
+    names = F.array(*[F.when(F.col(f"is_event_{d}"), F.lit(d)) for d in DEFINITIONS])
+    return panel.withColumn("definition", F.explode(F.array_compact(names))).select("definition", "entity", "week", "return_start", "z")
+
+
+def non_overlapping(events: DataFrame, gap: int = GAP_DAYS, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Events of an entity at least ``gap`` days after the last one kept: a fold over its ordered weeks."""
     def step(kept, week):
         return F.when((F.size(kept) == 0) | (F.datediff(week, F.element_at(kept, -1)) >= gap), F.concat(kept, F.array(week))).otherwise(kept)
 
-    weeks = events.groupBy("entity").agg(F.array_sort(F.collect_set("week")).alias("w"))
-    kept = weeks.select("entity", F.explode(F.aggregate("w", F.array().cast("array<date>"), step)).alias("week"))
-    return events.join(kept, ["entity", "week"])
+    weeks = events.groupBy(*by).agg(F.array_sort(F.collect_set("week")).alias("w"))
+    kept = weeks.select(*by, F.explode(F.aggregate("w", F.array().cast("array<date>"), step)).alias("week"))
+    return events.join(kept, [*by, "week"])
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """Adds event_id: the place, from 0, in order of entity and week within the definition.
+
+    Counts of entities are summed up first, so that no task sorts all events.
+    """
+    each = events.groupBy("definition", "entity").agg(F.count(F.lit(1)).alias("__n"))
+    before = each.select("definition", "entity", (F.sum("__n").over(Window.partitionBy("definition").orderBy("entity")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("definition", "entity").orderBy("week"))
+    return events.withColumn("__place", place).join(before, ["definition", "entity"]).withColumn("event_id", (F.col("__before") + F.col("__place") - 1).cast("long")).drop("__before", "__place")
 
 
 def common_days(prices: DataFrame, market: DataFrame) -> DataFrame:
@@ -32,15 +52,14 @@ def common_days(prices: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def windows(events: DataFrame, prices: DataFrame, market: DataFrame, spine: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
-    """(event_id, entity, week, offset, start, end, stock_return, market_return, ar) of raw closes.
+    """(entity, week, offset, start, end, stock_return, market_return, ar) of raw closes, for each event (entity, week).
 
     ``spine`` is that of common_days. Offsets from 1 count weeks from the anchor (return_start); offset 0 ends on the last day before it and earlier ones
     each end where the next begins, a week before. Rows without bounds or a return are left out.
     """
     days = common_days(prices, market)
     both = days.select("entity", "date", "close").join(market.select("date", F.col("close").alias("mclose")), "date")
-    order = Window.orderBy("entity", "week")
-    ev = events.select("entity", "week", "return_start", (F.row_number().over(order) - 1).alias("event_id"))
+    ev = events.select("entity", "week", "return_start").distinct()
     after = ev.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(post))))
     after = asof.snap(after, spine, "entity", F.expr("date_add(return_start, 7 * (offset - 1))"), start="at_or_after")
     after = asof.snap(after, spine, "entity", F.expr("date_add(return_start, 7 * offset)"), end="at_or_after")
@@ -48,29 +67,30 @@ def windows(events: DataFrame, prices: DataFrame, market: DataFrame, spine: Data
     for k in range(pre + 1):
         chain = asof.snap(chain, spine, "entity", F.date_sub(f"t{k}", 7), **{f"t{k + 1}": "at_or_before"})
     hops = F.array(*[F.struct(F.lit(-k).alias("offset"), F.col(f"t{k + 1}").alias("start"), F.col(f"t{k}").alias("end")) for k in range(pre + 1)])
-    before = chain.select("entity", "week", "return_start", "event_id", F.explode(hops).alias("h")).select("entity", "week", "return_start", "event_id", "h.*")
+    before = chain.select("entity", "week", "return_start", F.explode(hops).alias("h")).select("entity", "week", "return_start", "h.*")
     bounds = after.unionByName(before).filter(F.col("end") > F.col("start"))
     a = both.select("entity", F.col("date").alias("start"), F.col("close").alias("p0"), F.col("mclose").alias("m0"))
     b = both.select("entity", F.col("date").alias("end"), F.col("close").alias("p1"), F.col("mclose").alias("m1"))
     rows = bounds.join(a, ["entity", "start"]).join(b, ["entity", "end"])
     rows = rows.withColumn("stock_return", F.col("p1") / F.nullif("p0", F.lit(0.0)) - 1).withColumn("market_return", F.col("m1") / F.nullif("m0", F.lit(0.0)) - 1)
     rows = rows.withColumn("ar", F.col("stock_return") - F.col("market_return")).filter(F.col("ar").isNotNull())
-    return rows.select("event_id", "entity", "week", "offset", "start", "end", "stock_return", "market_return", "ar")
+    return rows.select("entity", "week", "offset", "start", "end", "stock_return", "market_return", "ar")
 
 
 def cumulative(window: DataFrame) -> DataFrame:
-    """Adds car (from the first offset) and car_signal (from offset 1 on)."""
-    w = Window.partitionBy("event_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Adds car (from the first offset) and car_signal (from offset 1 on) of each event of a definition."""
+    w = Window.partitionBy("definition", "event_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return window.withColumn("car", F.sum("ar").over(w)).withColumn("car_signal", F.when(F.col("offset") >= 1, F.sum(F.when(F.col("offset") >= 1, F.col("ar"))).over(w)))
 
 
 def by_offset(window: DataFrame) -> DataFrame:
-    """(offset, aar, caar, caar_from_signal, n_events, aar_t)."""
+    """(definition, offset, aar, caar, caar_from_signal, n_events, aar_t)."""
     t = F.when(F.count("ar") > 1, F.avg("ar") / F.nullif(F.stddev_samp("ar") / F.sqrt(F.count("ar")), F.lit(0.0)))
-    return cumulative(window).groupBy("offset").agg(F.avg("ar").alias("aar"), F.avg("car").alias("caar"), F.avg("car_signal").alias("caar_from_signal"), F.count("car").alias("n_events"), t.alias("aar_t"))
+    return cumulative(window).groupBy("definition", "offset").agg(F.avg("ar").alias("aar"), F.avg("car").alias("caar"), F.avg("car_signal").alias("caar_from_signal"), F.count("car").alias("n_events"), t.alias("aar_t"))
 
 
 def final_car(window: DataFrame) -> DataFrame:
-    """(event_id, entity, week, car) of events observed at the last offset that any event has after the signal."""
-    last = window.filter("offset >= 1").agg(F.max("offset").alias("__last"))
-    return cumulative(window).join(F.broadcast(last), F.col("offset") == F.col("__last")).select("event_id", "entity", "week", F.col("car_signal").alias("car"))
+    """(definition, event_id, entity, week, car) of events observed at the last offset that any event of the definition has after the signal."""
+    last = window.filter("offset >= 1").groupBy("definition").agg(F.max("offset").alias("__last"))
+    reached = cumulative(window).join(F.broadcast(last), "definition").filter(F.col("offset") == F.col("__last"))  # a row for each definition
+    return reached.select("definition", "event_id", "entity", "week", F.col("car_signal").alias("car"))

@@ -37,7 +37,7 @@ def price_features(prices: DataFrame, market: DataFrame) -> DataFrame:
     """Rolling features of (entity, date, adj, volume, cents) with the market's returns (date, close)."""
     mw = Window.partitionBy("entity").orderBy("date")
     mkt = market.select("date", (ratio(F.col("close"), F.lag("close").over(mw)) - 1).alias("mkt"))
-    filled = F.last("adj", True).over(trailing(1_000_000))
+    filled = F.last("adj", True).over(mw.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     df = prices.withColumn("filled", filled).withColumn("ret", ratio(F.col("filled"), F.lag("filled").over(Window.partitionBy("entity").orderBy("date"))) - 1)
     df = df.join(mkt, "date", "left")
     w20, w60, w130 = trailing(20), trailing(60), trailing(130)

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .panel import average_rank
+
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, sha256) of the files below a folder, read and hashed by the executors."""
@@ -71,3 +73,26 @@ def batches(universe: DataFrame, anchor: str, size: int = 4) -> DataFrame:
 def scale(reference_mean: Column, batch_mean: Column) -> Column:
     """Factor that brings a batch's anchor to the reference mean; 1 where the batch's mean is not positive."""
     return F.when(batch_mean > 0, reference_mean / batch_mean).otherwise(F.lit(1.0))
+
+
+def repeat_stability(readings: dict[str, DataFrame]) -> DataFrame:
+    """(first, second, n, r, rho, mean_abs_diff) of each pair of readings (entity, start, svi), on the keys in all of them."""
+    names, both = list(readings), None
+    for name, df in readings.items():
+        df = df.select("entity", "start", F.col("svi").alias(name))
+        both = df if both is None else both.join(df, ["entity", "start"])
+    both = both.withColumns({f"rank_{n}": average_rank(n, ["entity"], False) for n in names})
+    rows = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.corr(a, b).alias("r"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_abs_diff"), F.count(F.lit(1)).alias("n")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return both.groupBy("entity").agg(F.array(*rows).alias("x")).select("entity", F.explode("x").alias("x")).select("entity", "x.*")
+
+
+def manifest_entries(series: DataFrame, request: dict, least: int = 1) -> DataFrame:
+    """Manifest entries (entity, status, n_weeks, first_week, last_week, error, request_sha256) of collected series.
+
+    A series of fewer than ``least`` weeks is an error entry. The request's hash is that of its canonical JSON.
+    """
+    canonical = F.to_json(F.struct(*[F.lit(request[k]).alias(k) for k in sorted(request)]))
+    got = series.groupBy("entity").agg(F.count(F.lit(1)).alias("n_weeks"), F.min("start").alias("first_week"), F.max("start").alias("last_week"))
+    short = F.col("n_weeks") < least
+    status = F.when(short, "error").otherwise("ok")
+    return got.select("entity", status.alias("status"), "n_weeks", "first_week", "last_week", F.when(short, F.lit("series too short")).alias("error"), F.sha2(canonical, 256).alias("request_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -75,51 +76,47 @@ def t_test(value: Column) -> list[Column]:
     return [F.avg(value).alias("mean"), n.alias("n"), F.when(n > 1, F.avg(value) / F.nullif(F.stddev_samp(value) / F.sqrt(n), F.lit(0.0))).alias("t")]
 
 
-def student_p(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t by the continued fraction of the incomplete beta function."""
-    if t is None or df is None or df <= 0 or math.isnan(t):
-        return math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+def student_p_column(t: str | Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom: the finite series of its distribution.
 
-    def fraction(a: float, b: float, x: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 500):
-            for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + n * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + n / c
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-16:
-                break
-        return h
-
-    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-
-def student_p_column(t: str, df: Column) -> Column:
-    """student_p of columns, Arrow-batched."""
-
-    def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([student_p(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
-
-    return F.pandas_udf(p, "double")(t, df)
-
-
-def normal_p_column(t: str) -> Column:
-    """Two-sided p-values of a standard normal statistic."""
-
-    def p(t: pd.Series) -> pd.Series:
-        return pd.Series([math.erfc(abs(a) / math.sqrt(2)) if pd.notna(a) else None for a in t], dtype="float64")
-
-    return F.pandas_udf(p, "double")(t)
+    With theta = atan(t / sqrt(df)) the terms are products of cos(theta) ** 2 and ratios of odd and even numbers.
+    """
+    t = F.abs(F.col(t) if isinstance(t, str) else t)
+    df = df.cast("int")
+    theta = F.atan(t / F.sqrt(df))
+    c2 = 1 / (1 + t * t / df)
+    even = df % 2 == 0
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((df - 1) / 2).cast("int")))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(acc: Column, j: Column) -> Column:
+        ratio_ = F.when(even, (2 * j - 1) / (2 * j)).otherwise((2 * j) / (2 * j + 1))
+        term = F.when(j <= F.floor((df - 2) / 2), acc["term"] * c2 * ratio_).otherwise(F.lit(0.0))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    total = F.aggregate(steps, zero, add)["sum"]
+    inside = F.when(even, F.sin(theta) * total).when(df == 1, 2 * theta / F.lit(math.pi))
+    inside = inside.otherwise(2 / F.lit(math.pi) * (theta + F.sin(theta) * F.cos(theta) * total))
+    return F.when(t.isNotNull() & (df >= 1), F.greatest(F.lit(0.0), 1 - inside))
+
+
+def normal_p_column(t: str | Column, terms: int = 200) -> Column:
+    """Two-sided p-value of a standard normal statistic, by the series of positive terms of the error function."""
+    t = F.abs(F.col(t) if isinstance(t, str) else t)
+    x = F.least(t, F.lit(9.0)) / F.lit(math.sqrt(2))  # beyond 9 the result is 0 in double precision
+    zero = F.struct(x.alias("term"), x.alias("sum"))
+    add = lambda acc, k: F.struct((acc["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (acc["sum"] + acc["term"] * 2 * x * x / (2 * k + 1)).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, add)["sum"]
+    return F.when(t.isNotNull(), F.greatest(F.lit(0.0), 1 - F.lit(2 / math.sqrt(math.pi)) * F.exp(-x * x) * total))
+
+
+def summary(coefs: DataFrame, by: list[str], weeks: DataFrame) -> DataFrame:
+    """hac_mean of weekly coefficients (by, week, coef, r2) with p, significant, avg_r2 and the weeks of ``weeks`` skipped."""
+    n = weeks.select("week").distinct().agg(F.count(F.lit(1)).alias("__weeks"))
+    fit = coefs.groupBy(*by).agg(F.avg("r2").alias("avg_r2"), F.countDistinct("week").alias("__held"))
+    out = hac_mean(coefs, by, "coef", "week").join(fit, by).crossJoin(F.broadcast(n))  # one row
+    out = out.withColumn("p", student_p_column("t", F.col("n") - 1)).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
+    return out.withColumn("n_skipped", F.col("__weeks") - F.col("__held")).drop("__weeks", "__held")
 
 
 def bh(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
@@ -131,43 +128,61 @@ def bh(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     return df.withColumn("p_fdr", F.least(F.lit(1.0), F.min("__a").over(later))).drop("__r", "__a")
 
 
-def two_way_fe(panel: DataFrame, y: str, x: str, controls: list[str], rounds: int = 200) -> DataFrame:
-    """(coef, se, t, n, r2) of x with entity and week effects, errors clustered by week.
+def two_way_fe(rows: DataFrame, by: list[str], y: str, x: str, controls: list[str], keep: Callable[[DataFrame], DataFrame], steps: int = 40, each: int = 4) -> DataFrame:
+    """(by, coef, se, t, n, r2, note) of x for each regression: entity and week effects, errors clustered by week.
 
-    Effects and controls leave by Frisch-Waugh-Lovell: y, x and controls are demeaned by entity and week in turn until
-    nothing changes, in one task over the regression's columns, as the panel has one row an entity and week.
+    ``rows`` has a row for each regression (``by``), entity and week. Effects leave by demeaning over weeks and entities
+    in turn, ``each`` times between stored tables (``keep``), until nothing changes; controls leave by the sums of
+    products of what is left, a few numbers for each regression. A regression without enough rows or without variation
+    of x gives nulls and a note.
     """
     names = [y, x, *controls]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, weeks = pd.factorize(pdf["entity"])[0], pd.factorize(pdf["week"])[0]
-        m = pdf[names].to_numpy(float)
-        n, s, g = len(m), e.max() + 1 if len(e) else 0, weeks.max() + 1 if len(e) else 0
-        k = 1 + len(names) - 1 + max(s - 1, 0) + max(g - 1, 0)
-        if n <= k:
-            return pd.DataFrame({"coef": [None], "se": [None], "t": [None], "n": [n], "r2": [None]}, dtype="float64")
-        q = m.copy()
-        for _ in range(rounds):
-            was = q.copy()
-            for codes, size in ((e, s), (weeks, g)):
-                held = np.bincount(codes, minlength=size)
-                for j in range(q.shape[1]):
-                    q[:, j] -= (np.bincount(codes, weights=q[:, j], minlength=size) / held)[codes]
-            if np.abs(q - was).max() < 1e-13:
-                break
-        c = q[:, 2:]
-        free = lambda v: v - c @ np.linalg.lstsq(c, v, rcond=None)[0]
-        yy, xx = free(q[:, 0]), free(q[:, 1])
-        sxx = float(xx @ xx)
-        b = float(xx @ yy) / sxx
-        rest = yy - b * xx
-        score = np.bincount(weeks, weights=xx * rest, minlength=g)
-        v = float(score @ score) / sxx**2 * g / (g - 1) * (n - 1) / (n - k)
-        total = float(((m[:, 0] - m[:, 0].mean()) ** 2).sum())
-        return pd.DataFrame({"coef": [b], "se": [math.sqrt(v)], "t": [b / math.sqrt(v)], "n": [n], "r2": [1 - float(rest @ rest) / total]})
-
-    df = panel.select("entity", "week", *names).dropna()
-    return df.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(lambda pdf: fit(pdf.sort_values(["entity", "week"])), "coef double, se double, t double, n double, r2 double")
+    df = rows.select(*by, "entity", "week", *names).dropna()
+    df = keep(df.withColumn("__y", F.col(y)))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("s"), F.countDistinct("week").alias("g"), F.var_pop("__y").alias("__var"), *[F.stddev_pop(c).alias(f"__{c}") for c in names])
+    for _ in range(steps):
+        q = df.select(*df.columns, *[F.col(c).alias(f"__was_{c}") for c in names])
+        for _ in range(each):
+            for unit in ("week", "entity"):
+                w = Window.partitionBy(*by, unit)
+                q = q.withColumns({c: F.col(c) - F.avg(c).over(w) for c in names})
+        q = keep(q)
+        change = q.groupBy(*by).agg(*[F.max(F.abs(F.col(c) - F.col(f"__was_{c}"))).alias(f"d_{c}") for c in names]).join(sizes, by)
+        moved = change.agg(F.max(F.greatest(*[F.col(f"d_{c}") / F.greatest(F.col(f"__{c}"), F.lit(1e-300)) for c in names]))).first()[0]
+        df = q.select(*df.columns)
+        if moved is None or moved < 1e-11:
+            break
+    products = {(i, j): F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
+    found = []
+    for r in df.groupBy(*by).agg(*products.values()).join(sizes, by).collect():  # a row for each regression
+        gram = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
+        k = 1 + len(names) - 1 + r["s"] - 1 + r["g"] - 1
+        scale = np.array([r[f"__{c}"] ** 2 * r["n"] for c in names])
+        note = "too few rows" if r["n"] <= k or r["g"] < 2 else "no variation" if (np.diag(gram)[1:] <= 1e-12 * scale[1:]).any() else None
+        take = np.linalg.lstsq(gram[2:, 2:], gram[2:, :2], rcond=None)[0] if controls and not note else np.zeros((len(controls), 2))
+        found.append((*[r[c] for c in by], r["n"], r["g"], k, r["__var"], note, *map(float, take[:, 0]), *map(float, take[:, 1])))
+    kinds = dict(df.dtypes)
+    parts = [f"__{side}{j}" for side in "yx" for j in range(len(controls))]
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "n bigint, g bigint, k bigint, __var double, note string", *[f"{p} double" for p in parts]])
+    small = df.sparkSession.createDataFrame(found, schema)
+    free = df.join(F.broadcast(small), by)  # a row for each regression
+    for side, c in (("y", y), ("x", x)):
+        out = F.col(c)
+        for j, control in enumerate(controls):
+            out = out - F.col(f"__{side}{j}") * F.col(control)
+        free = free.withColumn(f"__free_{side}", out)
+    slope = free.groupBy(*by).agg((F.sum(F.col("__free_x") * F.col("__free_y")) / F.nullif(F.sum(F.col("__free_x") * F.col("__free_x")), F.lit(0.0))).alias("coef"), F.sum(F.col("__free_x") * F.col("__free_x")).alias("__sxx"))
+    slope = keep(slope)
+    rest = F.col("__free_y") - F.col("coef") * F.col("__free_x")
+    weekly = free.join(F.broadcast(slope), by).groupBy(*by, "week").agg(F.sum(F.col("__free_x") * rest).alias("__score"), F.sum(rest * rest).alias("__ssr"))
+    total = weekly.groupBy(*by).agg(F.sum(F.col("__score") * F.col("__score")).alias("__meat"), F.sum("__ssr").alias("__ssr"))
+    out = small.join(slope, by, "left").join(total, by, "left")
+    n, g, k = (F.col(c) for c in ("n", "g", "k"))
+    good = F.col("note").isNull()
+    se = F.sqrt(F.col("__meat")) / F.col("__sxx") * F.sqrt(g / (g - 1) * (n - 1) / (n - k))
+    out = out.withColumn("coef", F.when(good, F.col("coef"))).withColumn("se", F.when(good, se))
+    out = out.withColumn("t", F.col("coef") / F.nullif("se", F.lit(0.0))).withColumn("r2", F.when(good, 1 - F.col("__ssr") / F.nullif(F.col("__var") * n, F.lit(0.0))))
+    return out.select(*by, "coef", "se", "t", "n", "r2", "note")
 
 
 def bootstrap(values: DataFrame, value: str, key: str, by: str, n: int = 2000, seed: int = 42) -> DataFrame:

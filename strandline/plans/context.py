@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import asof, events, features, flows, inference, panel
+from strandline.functions.expressions import rounded
+from strandline.operators import asof, crosssec, events, features, flows, inference, panel
 from strandline.sources import facts, store
 
 _contexts: dict[tuple[str, str], Context] = {}
 
-CONTROLS = ["past_1w", "past_4w", "volume_ratio_4w", "volatility_12w", "turnover_log"]
+#: Controls of the full models, in the order in which models take them up.
+CONTROLS = ["past_4w", "past_12w", "volume_ratio_4w", "volatility_12w", "liquidity_rank"]
+HORIZONS = (1, 2, 4)
 
 
 class Context:
@@ -67,8 +70,8 @@ class Context:
 
     @cached_property
     def panel(self) -> DataFrame:
-        df = panel.build(self.attention, self.spine, self.features)
-        return self.keep(df.withColumn("turnover_log", F.when(F.col("turnover") > 0, F.log("turnover"))))
+        """Asserted to look nowhere ahead before anything reads it."""
+        return self.keep(asof.assert_contract(panel.build(self.attention, self.spine, self.features)))
 
     @cached_property
     def residual_panel(self) -> DataFrame:
@@ -84,14 +87,104 @@ class Context:
         days = self.keep(asof.spine(self.flow_days.select("entity", "date", F.lit(0.0).alias("close"))))
         return self.keep(flows.panel_flows(self.panel, flows.rolled(self.flow_days, self.prices), days, self.raw_spine))
 
+    @cached_property
+    def raw_events(self) -> DataFrame:
+        return self.keep(events.defined(events.flagged(self.panel)))
+
+    @cached_property
+    def all_events(self) -> DataFrame:
+        """Kept events of all definitions, numbered."""
+        return self.keep(events.numbered(events.non_overlapping(self.raw_events, by=("definition", "entity"))))
+
     @cached_property
     def kept_events(self) -> DataFrame:
-        return self.keep(events.non_overlapping(events.flagged(self.panel).filter("is_event_top")))
+        return self.all_events.filter("definition = 'top'")
 
     @cached_property
-    def event_windows(self) -> DataFrame:
+    def all_windows(self) -> DataFrame:
+        """Event windows of all definitions; an event of several is looked up once."""
         days = events.common_days(self.prices, self.market).select("entity", "date", "close")
-        return self.keep(events.windows(self.kept_events, self.prices, self.market, self.keep(asof.spine(days))))
+        rows = events.windows(self.all_events, self.prices, self.market, self.keep(asof.spine(days)))
+        return self.keep(self.all_events.select("definition", "event_id", "entity", "week").join(rows, ["entity", "week"]))
+
+    @cached_property
+    def event_windows(self) -> DataFrame:
+        return self.all_windows.filter("definition = 'top'")
+
+    def regressions(self, frame: DataFrame, models: dict[str, list[str]], dummies: dict[str, str] | None = None, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+        """(model, horizon, week, term, coef, n, r2) of each model's weekly regressions of forward excess returns."""
+        out = None
+        for model, terms in models.items():
+            for n in horizons:
+                df = inference.least_squares(frame, f"future_excess_{n}w", terms, dummies=(dummies or {}).get(model))
+                df = df.withColumn("model", F.lit(model)).withColumn("horizon", F.lit(n))
+                out = df if out is None else out.unionByName(df)
+        return out
+
+    @cached_property
+    def attention_models(self) -> DataFrame:
+        """Weekly coefficients of attention: alone, with momentum, volume and volatility, liquidity rank and industry effects."""
+        models = {"M1": ["z"], "M2": ["z", *CONTROLS[:2]], "M3": ["z", *CONTROLS[:4]], "M4": ["z", *CONTROLS]}
+        return self.keep(self.regressions(self.panel, models, {"M4": "industry"}))
+
+    @cached_property
+    def flow_models(self) -> DataFrame:
+        base = ["z", *CONTROLS[:2]]
+        models = {
+            "A": base, "B": [*base, "total_ratio_4w"], "C": [*base, "foreign_ratio_4w", "trust_ratio_4w", "dealer_ratio_4w"],
+            "D": [*base, "total_ratio_4w", "volume_ratio_4w", "volatility_12w"],
+            "flow_shares": [*base, "total_value_4w"], "flow_money": [*base, "total_money_4w"], "flow_ratio": [*base, "total_ratio_4w"],
+        }
+        return self.keep(self.regressions(self.panel4, models))
+
+    @cached_property
+    def interaction_models(self) -> DataFrame:
+        df = self.panel4.withColumn("z_x_past", F.col("z") * F.col("past_4w")).withColumn("z_x_flow", F.col("z") * F.col("total_ratio_4w"))
+        return self.keep(self.regressions(df, {"E": ["z", *CONTROLS[:2], "total_ratio_4w", "z_x_past", "z_x_flow"]}))
+
+    @cached_property
+    def winsorized(self) -> DataFrame:
+        """The panel with attention clipped at its pooled quantiles, once for each tail."""
+        out = None
+        for tail in ("0.0", "0.01", "0.05"):
+            df = crosssec.winsorized(self.panel, ["z"], float(tail)).withColumn("model", F.lit(f"winsor_{tail}"))
+            out = df if out is None else out.unionByName(df)
+        return self.keep(out)
+
+    @cached_property
+    def effects_models(self) -> DataFrame:
+        """Two-way fixed effects of all horizons, and of four weeks for each clipping of attention, in one computation."""
+        names = ["entity", "week", "z", *CONTROLS]
+        horizons = F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.col(f"future_excess_{n}w").alias("y")) for n in HORIZONS])).alias("h")
+        rows = self.panel.select(F.lit("M5").alias("model"), *names, horizons).select("model", *names, "h.*")
+        clipped = self.winsorized.select("model", *names, F.lit(4).alias("horizon"), F.col("future_excess_4w").alias("y"))
+        fe = inference.two_way_fe(rows.unionByName(clipped), ["model", "horizon"], "y", "z", CONTROLS, self.keep)
+        return self.keep(fe.withColumn("p", inference.normal_p_column("t")))
+
+    @cached_property
+    def tests(self) -> DataFrame:
+        """(family, test, horizon, p): the tests that are corrected together."""
+        car = self.event_tests.select(F.lit("event_study_caar").alias("family"), F.col("definition").alias("test"), F.lit(8).alias("horizon"), F.col("p_clustered").alias("p"))
+        fm = inference.summary(self.attention_models.filter("term = 'z'"), ["model", "horizon"], self.panel)
+        fm = fm.select("model", "horizon", "p").unionByName(self.effects_models.filter("model = 'M5'").select("model", "horizon", "p"))
+        inter = inference.summary(self.interaction_models.filter("term not in ('past_4w', 'past_12w')"), ["term", "horizon"], self.panel4)
+        fm = fm.select(F.lit("fama_macbeth").alias("family"), F.col("model").alias("test"), "horizon", "p")
+        inter = inter.select(F.lit("interaction_model").alias("family"), F.col("term").alias("test"), "horizon", "p")
+        # p-values enter the correction rounded, so that ties do not hang on the last bits of a sum.
+        return self.keep(car.unionByName(fm).unionByName(inter).withColumn("p", rounded("p", 9)))
+
+    @cached_property
+    def event_tests(self) -> DataFrame:
+        """One row for each event definition: counts, naive and date-clustered tests of the final cumulative return."""
+        raw = self.raw_events.groupBy("definition").agg(F.count(F.lit(1)).alias("n_raw"))
+        same = self.all_events.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("definition", "week")))
+        kept = same.groupBy("definition").agg(F.count(F.lit(1)).alias("n_kept"), F.countDistinct("entity").alias("n_stocks"), F.max("same").alias("max_same_week"))
+        car = events.final_car(self.all_windows)
+        naive = car.groupBy("definition").agg(*inference.t_test(F.col("car")), F.stddev_samp("car").alias("std"))
+        naive = naive.withColumn("p", inference.student_p_column("t", F.col("n") - 1))
+        clustered = inference.hac_mean(car.groupBy("definition", "week").agg(F.avg("car").alias("car")), ["definition"], "car", "week")
+        clustered = clustered.select("definition", F.col("n").alias("n_calendar_weeks"), F.col("t").alias("t_clustered"), inference.student_p_column("t", F.col("n") - 1).alias("p_clustered"))
+        return self.keep(raw.join(kept, "definition").join(naive, "definition").join(clustered, "definition"))
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:

@@ -9,7 +9,7 @@ def r(x: str, places: int = 6) -> str:
     return f"(floor(({x}) * {10**places}.0::DOUBLE + 0.5) / {10**places}.0::DOUBLE)"
 
 
-PAST, AHEAD, CTRL = (1, 4, 8, 12, 26), (1, 2, 4), ("past_1w", "past_4w", "volume_ratio_4w", "volatility_12w", "turnover_log")
+PAST, AHEAD, CTRL = (1, 4, 8, 12, 26), (1, 2, 4), ("past_4w", "past_12w", "volume_ratio_4w", "volatility_12w", "liquidity_rank")
 
 
 def _roll(agg: str, n: int, least: int, of: str, by: str = "date") -> str:
@@ -50,6 +50,54 @@ def _slope(source: str, y: str, x: str = "z") -> str:
     return f"""SELECT week, regr_slope({y}, {x}) AS coef, count(*) AS n, regr_r2({y}, {x}) AS r2 FROM {source} WHERE {y} IS NOT NULL AND {x} IS NOT NULL GROUP BY week HAVING count(*) >= 7 AND min({x}) < max({x})"""
 
 
+def _student(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t by its finite series, terms by way of the gamma function."""
+    theta, c2 = f"atan(abs({t}) / sqrt({df}))", f"ln(1 / (1 + ({t}) * ({t}) / ({df})))"
+    even = f"sin({theta}) * list_sum(list_transform(range(0, ({df}) // 2), lambda j: exp(lgamma(2.0 * j + 1) - 2 * lgamma(j + 1.0) - j * ln(4.0) + j * {c2})))"
+    odd = f"2 / pi() * ({theta} + CASE WHEN {df} > 1 THEN sin({theta}) * cos({theta}) * list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda j: exp(j * ln(4.0) + 2 * lgamma(j + 1.0) - lgamma(2.0 * j + 2) + j * {c2}))) ELSE 0 END)"
+    return f"CASE WHEN {t} IS NOT NULL AND {df} >= 1 THEN greatest(0.0, 1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END) END"
+
+
+def _normal(t: str) -> str:
+    x = f"(least(abs({t}), 9.0) / sqrt(2.0))"
+    term = f"k * ln(2.0) + (2 * k + 1) * ln({x}) - lgamma(2.0 * k + 3) + (k + 1) * ln(2.0) + lgamma(k + 2.0)"
+    return f"greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 200), lambda k: exp({term}))))"
+
+
+def _project(source: str, columns: list[str], others: list[str], part: str, passed: str) -> str:
+    """``source`` with ``columns`` made orthogonal to each of ``others`` in turn, within ``part``."""
+    for j, o in enumerate(others):
+        left = [*others[j + 1 :], *columns]
+        free = ", ".join(f"{v} - {o} * sum({v} * {o}) OVER w / nullif(sum({o} * {o}) OVER w, 0) AS {v}" for v in left)
+        low = f"least(low, sum({o} * {o}) OVER w / nullif(sum({o}_raw * {o}_raw) OVER w, 0))"
+        raws = ", ".join(f"{v}_raw" for v in [*others, *columns])
+        source = f"(SELECT {passed}, {raws}, {low} AS low, {free} FROM {source} WINDOW w AS (PARTITION BY {part}))"
+    return source
+
+
+def _ols(source: str, y: str, target: str, others: list[str], effects: str | None = None) -> str:
+    """(week, coef, n, r2) of ``target`` among the regressors of ``y`` in each week: every other one projected out first."""
+    names = {**{f"o{i}": c for i, c in enumerate(others)}, "x": target, "y": y}
+    complete = f"(SELECT week, {effects or "''"} AS effect, {', '.join(f'({c})::DOUBLE AS {k}' for k, c in names.items())} FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names.values())})"
+    part = "week, effect"
+    centred = f"(SELECT week, effect, 1.0::DOUBLE AS low, {', '.join(f'{k} - avg({k}) OVER (PARTITION BY {part}) AS {k}, {k} - avg({k}) OVER (PARTITION BY week) AS {k}_raw' for k in names)} FROM {complete})"
+    free = _project(centred, ["x", "y"], [f"o{i}" for i in range(len(others))], "week", "week, effect")
+    fit = f"(SELECT *, sum(x * y) OVER (PARTITION BY week) / nullif(sum(x * x) OVER (PARTITION BY week), 0) AS b FROM {free})"
+    k = 1 + len(others) + 1
+    return f"""SELECT week, any_value(b) AS coef, count(*) AS n, 1 - sum((y - b * x) * (y - b * x)) / nullif(sum(y_raw * y_raw), 0) AS r2 FROM {fit} GROUP BY week
+HAVING count(*) >= {k} + count(DISTINCT effect) - 1 + 5 AND min(low) > 1e-13 AND sum(x * x) > 1e-13 * sum(x_raw * x_raw)"""
+
+
+def _models(source: str, models: dict[str, list[str]], target: str = "z", effects: dict[str, str] | None = None, label: str = "model") -> str:
+    return " UNION ALL ".join(f"SELECT *, '{m}' AS {label}, {n} AS horizon FROM ({_ols(source, f'future_excess_{n}w', target, others, (effects or {}).get(m))})" for m, others in models.items() for n in AHEAD)
+
+
+def _fm(coefs: str, by: str, panel: str) -> str:
+    """Summary of weekly coefficients: mean with its error and test, fit, skipped weeks."""
+    return f"""SELECT h.*, avg_r2, {_student('t', '(n - 1)')} AS p, coalesce({_student('t', '(n - 1)')} < 0.05, false) AS significant, (SELECT count(DISTINCT week) FROM {panel}) - held AS n_skipped
+FROM {_hac(coefs, by, 'coef')} h JOIN (SELECT {by}, avg(r2) AS avg_r2, count(DISTINCT week) AS held FROM {coefs} GROUP BY ALL) USING ({by})"""
+
+
 def _each(template, model: str) -> str:
     return " UNION ALL ".join(f"SELECT *, '{model}' AS model, {n} AS horizon FROM ({template(n)})" for n in AHEAD)
 
@@ -57,6 +105,8 @@ def _each(template, model: str) -> str:
 _MARKET = "(SELECT date, close AS px FROM market)"
 _PX = "(SELECT entity, date, adj AS px FROM adjusted)"
 
+_FE = ("y", "x", "o0", "o1", "o2", "o3", "o4")
+
 CTE = {
     "trades": "SELECT p_brand AS entity, l.* FROM lineitem l JOIN part ON l_partkey = p_partkey",
     "prices": "SELECT entity, substr(entity, 7, 1) AS industry, l_shipdate::DATE AS date, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / 100.0::DOUBLE / sum(l_quantity) AS close, sum(l_quantity) AS volume, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS money, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM trades GROUP BY 1, 2, 3",
@@ -87,7 +137,7 @@ CTE = {
 weekly_return, market_weekly_return, weekly_excess, {r('k.r', 4)} AS past_52w_skip4w, past.* EXCLUDE (entity, week), ahead.* EXCLUDE (entity, week),
 {r('CASE WHEN vol_ma20 > 0 THEN volume / vol_ma20 END', 4)} AS volume_ratio_4w, {r('CASE WHEN vol_ma60 > 0 THEN volume / vol_ma60 END', 4)} AS volume_ratio_12w, {r('turnover_ma20', 0)} AS turnover, {r('money', 0)} AS trading_value, {r('volatility_20', 4)} AS volatility_4w, {r('volatility_60', 4)} AS volatility_12w, {r('beta', 4)} AS beta_26w, {r('max_drawdown', 4)} AS max_drawdown_12w
 FROM signals s JOIN excess x ON s.entity = x.entity AND s.week = x.week JOIN skip k ON s.entity = k.entity AND s.week = k.week JOIN past ON s.entity = past.entity AND s.week = past.week JOIN ahead ON s.entity = ahead.entity AND s.week = ahead.week JOIN features f ON s.entity = f.entity AND s.feature_date = f.date""",
-    "panel": "SELECT *, CASE WHEN turnover > 0 THEN ln(turnover) END AS turnover_log, CASE WHEN turnover IS NOT NULL THEN rank() OVER (PARTITION BY week ORDER BY turnover DESC NULLS LAST) + (count(*) OVER (PARTITION BY week, turnover) - 1) / 2.0 END AS liquidity_rank FROM panel0",
+    "panel": "SELECT *, CASE WHEN turnover IS NOT NULL THEN rank() OVER (PARTITION BY week ORDER BY turnover DESC NULLS LAST) + (count(*) OVER (PARTITION BY week, turnover) - 1) / 2.0 END AS liquidity_rank FROM panel0",
     "flow_days": "SELECT entity, l_shipdate::DATE AS date, " + ", ".join(f"sum(CASE WHEN l_returnflag = '{k}' THEN CASE WHEN l_linestatus = 'O' THEN l_quantity WHEN l_linestatus = 'F' THEN -l_quantity ELSE 0 END ELSE 0 END) AS {v}_net" for k, v in (("A", "foreign"), ("N", "trust"), ("R", "dealer"))) + ", sum(CASE WHEN l_linestatus = 'O' THEN l_quantity WHEN l_linestatus = 'F' THEN -l_quantity ELSE 0 END) AS total_net FROM trades GROUP BY 1, 2",
     "flow_rolled": "SELECT f.*, " + ", ".join(f"{_roll(f'sum({c})', n, least, c)} AS {c}_{w}" for c in ("foreign_net", "trust_net", "dealer_net", "total_net", "volume") for n, least, w in ((5, 3, "1w"), (20, 10, "4w"))) + " FROM (SELECT f.*, volume FROM flow_days f LEFT JOIN prices p USING (entity, date)) f",
     "panel_flow": "SELECT k.entity, k.week, " + ", ".join(f"{n}_net_1w AS {n}_value_1w, {n}_net_4w AS {n}_value_4w, {n}_net_1w / nullif(volume_1w, 0) AS {n}_ratio_1w, {n}_net_4w / nullif(volume_4w, 0) AS {n}_ratio_4w, {n}_net_4w * p.close AS {n}_money_4w" for n in ("foreign", "trust", "dealer", "total")) + " FROM panel k ASOF JOIN flow_rolled f ON k.entity = f.entity AND k.feature_date >= f.date ASOF LEFT JOIN prices p ON k.entity = p.entity AND k.feature_date >= p.date",
@@ -97,17 +147,43 @@ FROM signals s JOIN excess x ON s.entity = x.entity AND s.week = x.week JOIN ski
     "kept": "SELECT e.* EXCLUDE (i) FROM top_events e JOIN kept_weeks k ON e.entity = k.entity AND e.week = k.kept",
     "kept_weeks": "SELECT DISTINCT entity, kept FROM fold WHERE kept = week",
     "fold": "SELECT entity, week, i, week AS kept FROM top_events WHERE i = 1 UNION ALL SELECT t.entity, t.week, t.i, CASE WHEN date_diff('day', f.kept, t.week) >= 28 THEN t.week ELSE f.kept END FROM fold f JOIN top_events t ON t.entity = f.entity AND t.i = f.i + 1",
+    "kept_all": "SELECT k.definition, k.entity, k.week, f.return_start, row_number() OVER (PARTITION BY k.definition ORDER BY k.entity, k.week) - 1 AS event_id FROM (SELECT DISTINCT definition, entity, week FROM fold_all WHERE kept = week) k JOIN flagged f ON f.entity = k.entity AND f.week = k.week",
     "all_events": "SELECT definition, entity, week, row_number() OVER (PARTITION BY definition, entity ORDER BY week) AS i FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS definition, entity, week FROM flagged WHERE is_event_{d}" for d in ("z2", "ratio", "top")) + ")",
     "fold_all": "SELECT definition, entity, week, i, week AS kept FROM all_events WHERE i = 1 UNION ALL SELECT t.definition, t.entity, t.week, t.i, CASE WHEN date_diff('day', f.kept, t.week) >= 28 THEN t.week ELSE f.kept END FROM fold_all f JOIN all_events t ON t.definition = f.definition AND t.entity = f.entity AND t.i = f.i + 1",
     "days": "SELECT p.entity, p.date, p.close, m.close AS mclose FROM prices p JOIN market m USING (date)",
-    "numbered": "SELECT *, row_number() OVER (ORDER BY entity, week) - 1 AS event_id FROM kept",
+    "numbered": "SELECT *, row_number() OVER (ORDER BY entity, week) - 1 AS event_id FROM (SELECT DISTINCT entity, week, return_start FROM kept_all)",
     "after": "SELECT e.event_id, e.entity, e.week, o AS \"offset\", a.date AS s, b.date AS e FROM (SELECT *, unnest(generate_series(1, 8)) AS o FROM numbered) e ASOF JOIN days a ON e.entity = a.entity AND e.return_start + (7 * (o - 1))::INT <= a.date ASOF JOIN days b ON e.entity = b.entity AND e.return_start + (7 * o)::INT <= b.date",
     **{f"hop{k}": (f"SELECT e.*, d.date AS t0 FROM numbered e ASOF LEFT JOIN days d ON e.entity = d.entity AND e.return_start > d.date" if k == 0 else f"SELECT e.*, d.date AS t{k} FROM hop{k - 1} e ASOF LEFT JOIN days d ON e.entity = d.entity AND e.t{k - 1} - 7 >= d.date") for k in range(6)},
     "before": " UNION ALL ".join(f"SELECT event_id, entity, week, {-k} AS \"offset\", t{k + 1} AS s, t{k} AS e FROM hop5" for k in range(5)),
     "windows0": "SELECT w.*, b.close / nullif(a.close, 0) - 1 AS stock_return, b.mclose / nullif(a.mclose, 0) - 1 AS market_return FROM (SELECT * FROM after UNION ALL SELECT * FROM before) w JOIN days a ON w.entity = a.entity AND w.s = a.date JOIN days b ON w.entity = b.entity AND w.e = b.date WHERE w.e > w.s",
-    "event_windows": "SELECT *, stock_return - market_return AS ar FROM windows0 WHERE stock_return - market_return IS NOT NULL",
-    "cars": "SELECT *, sum(ar) OVER w AS car, CASE WHEN \"offset\" >= 1 THEN sum(CASE WHEN \"offset\" >= 1 THEN ar END) OVER w END AS car_signal FROM event_windows WINDOW w AS (PARTITION BY event_id ORDER BY \"offset\")",
-    "final_car": "SELECT event_id, entity, week, car_signal AS car FROM cars WHERE \"offset\" = (SELECT max(\"offset\") FROM event_windows WHERE \"offset\" >= 1)",
+    "window_rows": "SELECT *, stock_return - market_return AS ar FROM windows0 WHERE stock_return - market_return IS NOT NULL",
+    "windows_all": "SELECT k.definition, k.event_id, w.* EXCLUDE (event_id) FROM window_rows w JOIN kept_all k ON w.entity = k.entity AND w.week = k.week",
+    "event_windows": "SELECT * EXCLUDE (definition) FROM windows_all WHERE definition = 'top'",
+    "cars": "SELECT *, sum(ar) OVER w AS car, CASE WHEN \"offset\" >= 1 THEN sum(CASE WHEN \"offset\" >= 1 THEN ar END) OVER w END AS car_signal FROM windows_all WINDOW w AS (PARTITION BY definition, event_id ORDER BY \"offset\")",
+    "final_cars": "SELECT definition, event_id, entity, week, car_signal AS car FROM cars JOIN (SELECT definition, max(\"offset\") AS last FROM windows_all WHERE \"offset\" >= 1 GROUP BY 1) USING (definition) WHERE \"offset\" = last",
+    "final_car": "SELECT * EXCLUDE (definition) FROM final_cars WHERE definition = 'top'",
+    "event_tests": f"""SELECT r.definition, n_raw, n_kept, n_stocks, max_same_week, c.mean, c.n, c.t, c.std, {_student('c.t', '(c.n - 1)')} AS p, h.n AS n_calendar_weeks, h.t AS t_clustered, {_student('h.t', '(h.n - 1)')} AS p_clustered
+FROM (SELECT definition, count(*) AS n_raw FROM all_events GROUP BY 1) r JOIN (SELECT definition, count(*) AS n_kept, count(DISTINCT entity) AS n_stocks, max(same) AS max_same_week FROM (SELECT *, count(*) OVER (PARTITION BY definition, week) AS same FROM kept_all) GROUP BY 1) k USING (definition)
+JOIN (SELECT definition, avg(car) AS mean, count(car) AS n, avg(car) / nullif(stddev_samp(car) / sqrt(count(car)), 0) AS t, stddev_samp(car) AS std FROM final_cars GROUP BY 1) c USING (definition)
+JOIN {_hac('(SELECT definition, week, avg(car) AS car FROM final_cars GROUP BY 1, 2)', 'definition', 'car')} h USING (definition)""",
+    "fm": _models("panel", {"M1": [], "M2": list(CTRL[:2]), "M3": list(CTRL[:4]), "M4": list(CTRL)}, effects={"M4": "industry"}),
+    "flow_fm": _models("panel4", {"A": list(CTRL[:2]), "B": [*CTRL[:2], "total_ratio_4w"], "C": [*CTRL[:2], "foreign_ratio_4w", "trust_ratio_4w", "dealer_ratio_4w"], "D": [*CTRL[:2], "total_ratio_4w", "volume_ratio_4w", "volatility_12w"],
+        "flow_shares": [*CTRL[:2], "total_value_4w"], "flow_money": [*CTRL[:2], "total_money_4w"], "flow_ratio": [*CTRL[:2], "total_ratio_4w"]}),
+    "inter": " UNION ALL ".join(_models("(SELECT *, z * past_4w AS z_x_past, z * total_ratio_4w AS z_x_flow FROM panel4)", {t: [o for o in ("z", "past_4w", "past_12w", "total_ratio_4w", "z_x_past", "z_x_flow") if o != t]}, t, label="term") for t in ("z", "total_ratio_4w", "z_x_past", "z_x_flow")),
+    "canonical": _models("panel", {"baseline": [], **{f"z + {x}": [x] for x in ("past_4w", "past_12w", "past_26w", "past_52w_skip4w", "past_1w")}}),
+    "winsor": " UNION ALL ".join(f"SELECT p.* EXCLUDE (z), 'winsor_{t}' AS model, {'z' if t == '0.0' else f'CASE WHEN z IS NOT NULL THEN greatest(least(z, (SELECT quantile_cont(z, 1 - {t}) FROM panel)), (SELECT quantile_cont(z, {t}) FROM panel)) END'} AS z FROM panel p" for t in ("0.0", "0.01", "0.05")),
+    "winsor_fm": " UNION ALL ".join(f"SELECT *, '{m}' AS model, {n} AS horizon FROM ({_slope(f'(SELECT * FROM winsor WHERE model = {chr(39)}{m}{chr(39)})', f'future_excess_{n}w')})" for m in ("winsor_0.0", "winsor_0.01", "winsor_0.05") for n in AHEAD),
+    "fe_rows": "SELECT model, horizon, entity, week, y::DOUBLE AS y, z::DOUBLE AS x, " + ", ".join(f"{c}::DOUBLE AS o{i}" for i, c in enumerate(CTRL)) + " FROM (" + " UNION ALL ".join([*[f"SELECT 'M5' AS model, {n} AS horizon, entity, week, future_excess_{n}w AS y, z, {', '.join(CTRL)} FROM panel" for n in AHEAD], f"SELECT model, 4 AS horizon, entity, week, future_excess_4w AS y, z, {', '.join(CTRL)} FROM winsor"]) + ") WHERE y IS NOT NULL AND z IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in CTRL),
+    "fe_it": "SELECT 0 AS it, * FROM fe_rows UNION ALL SELECT it + 1, model, horizon, entity, week, " + ", ".join(f"{v} - avg({v}) OVER (PARTITION BY model, horizon, entity) AS {v}" for v in _FE) + " FROM (SELECT it, model, horizon, entity, week, " + ", ".join(f"{v} - avg({v}) OVER (PARTITION BY model, horizon, week) AS {v}" for v in _FE) + " FROM fe_it WHERE it < 40)",
+    "fe": f"""SELECT model, horizon, coef, sqrt(meat) / sxx * sqrt(g / (g - 1.0) * (n - 1.0) / (n - (1 + {1 + len(CTRL)} + s - 1 + g - 1))) AS se, n, 1 - ssr / (vary * n) AS r2 FROM (
+SELECT model, horizon, any_value(coef) AS coef, sum(score * score) AS meat, sum(sxx) AS sxx, sum(ssr) AS ssr, count(*) AS g FROM (
+SELECT model, horizon, week, any_value(b) AS coef, sum(x * (y - b * x)) AS score, sum(x * x) AS sxx, sum((y - b * x) * (y - b * x)) AS ssr FROM (
+SELECT *, sum(x * y) OVER (PARTITION BY model, horizon) / sum(x * x) OVER (PARTITION BY model, horizon) AS b FROM {_project("(SELECT model, horizon, entity, week, 1.0::DOUBLE AS low, " + ", ".join(f"{v}, {v} AS {v}_raw" for v in _FE) + " FROM fe_it WHERE it = 40)", ["x", "y"], [f"o{i}" for i in range(len(CTRL))], "model, horizon", "model, horizon, entity, week")})
+GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT model, horizon, count(*) AS n, count(DISTINCT entity) AS s, var_pop(y) AS vary FROM fe_rows GROUP BY 1, 2) USING (model, horizon)""",
+    "fe_tests": f"SELECT model, horizon, coef, se, coef / se AS t, n, r2, NULL::VARCHAR AS note, {_normal('coef / se')} AS p FROM fe",
+    "residuals": "SELECT week, entity, y AS residual_z FROM (" + f"SELECT week, entity, y, low, count(*) OVER (PARTITION BY week) AS n FROM {_project('(SELECT week, entity, 1.0::DOUBLE AS low, ' + ', '.join(f'{k} - avg({k}) OVER (PARTITION BY week) AS {k}, {k} - avg({k}) OVER (PARTITION BY week) AS {k}_raw' for k in ('y', *[f'o{i}' for i in range(len(CTRL))])) + ' FROM (SELECT week, entity, z::DOUBLE AS y, ' + ', '.join(f'{c}::DOUBLE AS o{i}' for i, c in enumerate(CTRL)) + ' FROM panel WHERE z IS NOT NULL AND ' + ' AND '.join(f'{c} IS NOT NULL' for c in CTRL) + '))', ['y'], [f'o{i}' for i in range(len(CTRL))], 'week', 'week, entity')}" + f") WHERE n >= {1 + len(CTRL) + 5} AND low > 1e-13",
+    "residual_panel": "SELECT p.*, residual_z FROM panel p LEFT JOIN residuals r ON p.entity = r.entity AND p.week = r.week",
+    "residual_ics": _each(lambda n: _ic("residual_panel", "residual_z", f"future_excess_{n}w"), "residual_z"),
     "momentum": _tercile("panel", "past_4w", ("loser", "middle", "winner"), "momentum"),
     "double": _tercile("momentum", "z", ("low", "mid", "high"), "attention"),
     "m1": _slope("panel", "future_excess_4w"),
@@ -116,7 +192,8 @@ FROM signals s JOIN excess x ON s.entity = x.entity AND s.week = x.week JOIN ski
     "shock_all": _each(lambda n: _ic("panel", "shock", f"future_excess_{n}w"), "shock"),
     "placebo_panel": "SELECT *, lag(future_excess_1w) OVER (PARTITION BY entity ORDER BY week) AS placebo FROM panel",
     "prior": f"SELECT p.*, CASE WHEN a.date > b.date THEN a.px / nullif(b.px, 0) - 1 END AS prior FROM panel p ASOF LEFT JOIN {_PX} a ON p.entity = a.entity AND p.start - 1 > a.date ASOF LEFT JOIN {_PX} b ON p.entity = b.entity AND a.date - 7 >= b.date",
-    "family": f"SELECT model, horizon, floor(exp(-abs(t)) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS p FROM (SELECT model, horizon, t FROM {_hac('m1_all', 'model, horizon', 'coef')} UNION ALL SELECT model, horizon, t FROM {_hac('ic_all', 'model, horizon', 'ic')})",
+    "tests": "SELECT family, test, horizon, floor(p * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS p FROM (SELECT 'event_study_caar' AS family, definition AS test, 8 AS horizon, p_clustered AS p FROM event_tests UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM (" + _fm("fm", "model, horizon", "panel") + ") UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM fe_tests WHERE model = 'M5' UNION ALL SELECT 'interaction_model', term, horizon, p FROM (" + _fm("inter", "term, horizon", "panel4") + "))",
+    "pooled": "SELECT family, test, horizon, p, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS a, row_number() OVER (ORDER BY p) AS k FROM tests)",
     "batch": "SELECT entity, floor((row_number() OVER (ORDER BY entity) - 1) / 4)::BIGINT AS batch FROM (SELECT DISTINCT entity FROM weekly WHERE entity <> 'Brand#11')",
 }
 
@@ -127,10 +204,7 @@ _RULES = {
     **{f"r10_return_end_{n}w": f"return_end_{n}w < return_start + {7 * n}" for n in AHEAD},
 }
 _count_rules = lambda source: " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS n FROM {source}" for k, v in _RULES.items())
-_summary = lambda ic: f"SELECT h.*, mean / nullif(std, 0) AS icir, positive_share FROM {_hac(ic, 'model, horizon', 'ic')} h JOIN (SELECT model, horizon, avg((ic > 1e-9)::INT::DOUBLE) AS positive_share FROM {ic} GROUP BY 1, 2) USING (model, horizon)"
-_winsor = "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT *, 'winsor_{t}' AS model, {n} AS horizon FROM ({_slope(f'(SELECT week, {clip("z", t)} AS z, {clip(f"future_excess_{n}w", t)} AS y FROM panel)', 'y')})" for t in ("0.0", "0.01", "0.05") for n in AHEAD) + ")" if (clip := lambda c, t: c if t == "0.0" else f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, (SELECT quantile_cont({c}, 1 - {t}::DOUBLE) FROM panel)), (SELECT quantile_cont({c}, {t}::DOUBLE) FROM panel)) END") else ""
-
+_summary = lambda ic: f"SELECT h.*, mean / nullif(std, 0) AS icir, positive_share, {_student('t', '(n - 1)')} AS p FROM {_hac(ic, 'model, horizon', 'ic')} h JOIN (SELECT model, horizon, avg((ic > 1e-9)::INT::DOUBLE) AS positive_share FROM {ic} GROUP BY 1, 2) USING (model, horizon)"
 FINAL = {
     "weekly_svi": "SELECT entity, start, svi FROM weekly",
     "svi_annotated": "SELECT entity, start, svi, period_end, available_at, signal_date FROM annotated",
@@ -150,7 +224,7 @@ FINAL = {
     "rolling_volatility": "SELECT entity, date, volatility_20, volatility_60 FROM features",
     "max_drawdown": "SELECT entity, date, drawdown, max_drawdown FROM features",
     "rolling_beta": "SELECT entity, date, beta FROM features",
-    "panel_v03": "SELECT * EXCLUDE (signal_date, return_start, z_window_end, turnover_log) FROM panel",
+    "panel_v03": "SELECT * EXCLUDE (signal_date, return_start, z_window_end) FROM panel",
     "liquidity_rank": "SELECT entity, week, turnover, liquidity_rank FROM panel",
     "coverage_manifest": "SELECT entity, coalesce(n_rows, 0) AS n_rows, coalesce(n_forward, 0) AS n_forward, CASE WHEN n_rows IS NULL THEN 'blocked_panel_build_error' WHEN n_rows < 26 THEN 'blocked_insufficient_history' WHEN n_forward < 26 THEN 'blocked_insufficient_forward_history' ELSE 'accepted' END AS status FROM (SELECT DISTINCT entity FROM weekly) LEFT JOIN (SELECT entity, count(*) AS n_rows, count(future_4w) AS n_forward FROM panel GROUP BY entity) USING (entity)",
     "panel_provenance": "SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, min(week) AS first_week, max(week) AS last_week FROM panel",
@@ -165,7 +239,27 @@ FINAL = {
     "nonoverlap_events": "SELECT entity, week, z FROM kept",
     "calendar_clustering": "SELECT entity, week, count(*) OVER (PARTITION BY week) AS same_week FROM kept",
     "event_windows": "SELECT event_id, entity, week, \"offset\", s AS start_day, e AS end_day, stock_return, market_return, ar FROM event_windows",
-    "caar_by_offset": "SELECT \"offset\", avg(ar) AS aar, avg(car) AS caar, avg(car_signal) AS caar_from_signal, count(car) AS n_events, CASE WHEN count(ar) > 1 THEN avg(ar) / nullif(stddev_samp(ar) / sqrt(count(ar)), 0) END AS aar_t FROM cars GROUP BY 1",
+    "caar_by_offset": "SELECT \"offset\", avg(ar) AS aar, avg(car) AS caar, avg(car_signal) AS caar_from_signal, count(car) AS n_events, CASE WHEN count(ar) > 1 THEN avg(ar) / nullif(stddev_samp(ar) / sqrt(count(ar)), 0) END AS aar_t FROM cars WHERE definition = 'top' GROUP BY 1",
+    "caar_by_definition": "SELECT definition, \"offset\", avg(ar) AS aar, avg(car) AS caar, avg(car_signal) AS caar_from_signal, count(car) AS n_events, CASE WHEN count(ar) > 1 THEN avg(ar) / nullif(stddev_samp(ar) / sqrt(count(ar)), 0) END AS aar_t FROM cars GROUP BY 1, 2",
+    "event_summary": "SELECT * FROM event_tests",
+    "event_pvalues": "SELECT definition, mean, n, t, p FROM event_tests",
+    "fm_weekly_controls": "SELECT * FROM fm WHERE model IN ('M2', 'M3')",
+    "fm_weekly_industry": "SELECT * FROM fm WHERE model = 'M4'",
+    "fm_summary": _fm("fm", "model, horizon", "panel"),
+    "fm_interaction": "SELECT *, 'E' AS model FROM inter",
+    "interaction_summary": _fm("inter", "horizon, term", "panel4"),
+    "flow_regressions": "SELECT * FROM flow_fm WHERE model NOT LIKE 'flow_%'",
+    "flow_summary": _fm("(SELECT * FROM flow_fm WHERE model NOT LIKE 'flow_%')", "model, horizon", "panel4"),
+    "flow_scaling": _fm("(SELECT * FROM flow_fm WHERE model LIKE 'flow_%')", "model, horizon", "panel4"),
+    "fm_summary_pvalues": f"SELECT *, {_student('t', '(n - 1)')} AS p, {_student('t', '(n - 1)')} < 0.05 AS significant FROM " + _hac("m1_all", "model, horizon", "coef"),
+    "canonical_momentum": _fm("canonical", "model, horizon", "panel"),
+    "residual_attention": "SELECT entity, week, residual_z FROM residual_panel",
+    "residual_ic": _summary("residual_ics"),
+    "two_way_fe": "SELECT * FROM fe_tests WHERE model = 'M5'",
+    "winsorized_fe": "SELECT * FROM fe_tests WHERE model <> 'M5'",
+    "regression_with_fdr": "SELECT f.model, f.horizon, f.mean, f.t, p_fdr, p_fdr <= 0.1 AS reject_10, 1.96 * abs(f.mean) / abs(f.t) AS half_width FROM (" + _fm("fm", "model, horizon", "panel") + ") f JOIN pooled q ON q.family = 'fama_macbeth' AND q.test = f.model AND q.horizon = f.horizon",
+    "events_with_fdr": "SELECT e.definition, e.mean, e.t_clustered, p_fdr, p_fdr <= 0.1 AS reject_10, p_fdr <= 0.05 AS reject_05 FROM event_tests e LEFT JOIN pooled q ON q.family = 'event_study_caar' AND q.test = e.definition",
+    "manifest_entries": "SELECT entity, CASE WHEN n_weeks < 26 THEN 'error' ELSE 'ok' END AS status, n_weeks, first_week, last_week, CASE WHEN n_weeks < 26 THEN 'series too short' END AS error, sha256('{\"geo\":\"TW\",\"timeframe\":\"today 5-y\"}') AS request_sha256 FROM (SELECT entity, count(*) AS n_weeks, min(start) AS first_week, max(start) AS last_week FROM weekly GROUP BY 1)",
     "event_ttest": f"SELECT {_T.format('car')} FROM final_car",
     "car_date_clustered": "SELECT * FROM " + _hac("(SELECT week, avg(car) AS car FROM final_car GROUP BY week)", "", "car"),
     "weekly_terciles": "SELECT entity, week, momentum, attention FROM double",
@@ -177,12 +271,12 @@ FINAL = {
     "ic_weekly": "SELECT * FROM ic_all",
     "ic_summary": _summary("ic_all"),
     "ic_attention_shock": _summary("shock_all"),
-    "winsorized_fm": "SELECT * FROM " + _hac(f"({_winsor})", "model, horizon", "coef"),
-    "subperiod_fm": "SELECT * FROM " + _hac("(SELECT m1.*, CASE WHEN week < (SELECT list_sort(list(DISTINCT week))[count(DISTINCT week) // 2 + 1] FROM panel) THEN 'first' ELSE 'second' END AS model FROM m1)", "model", "coef"),
+    "winsorized_fm": _fm("winsor_fm", "model, horizon", "panel"),
+    "subperiod_fm": "WITH mid AS (SELECT list_sort(list(DISTINCT week))[count(DISTINCT week) // 2 + 1] AS mid FROM panel), halves AS (SELECT m1_all.* EXCLUDE (model), CASE WHEN week < mid THEN 'first' ELSE 'second' END AS model FROM m1_all, mid), span AS (SELECT CASE WHEN week < mid THEN 'first' ELSE 'second' END AS model, min(week) AS first_week, max(week) AS last_week FROM panel, mid GROUP BY 1) SELECT h.*, " + _student("t", "(n - 1)") + " AS p, first_week, last_week FROM " + _hac("halves", "model, horizon", "coef") + " h JOIN span USING (model)",
     "placebo_lag": f"SELECT {_T.format('ic')} FROM ({_ic('placebo_panel', 'z', 'placebo')})",
     "placebo_strict": f"SELECT {_T.format('ic')} FROM ({_ic('prior', 'z', 'prior')})",
-    "bh_fdr_pooled": "SELECT model, horizon, p, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.1 AS reject_10 FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS a, row_number() OVER (ORDER BY p) AS k FROM family)",
-    "bh_fdr_by_family": "SELECT model, horizon, p, least(1.0, min(a) OVER w) AS p_fdr, least(1.0, min(a) OVER w) <= 0.05 AS reject_05 FROM (SELECT *, p * count(*) OVER (PARTITION BY model) / row_number() OVER (PARTITION BY model ORDER BY p) AS a, row_number() OVER (PARTITION BY model ORDER BY p) AS k FROM family) WINDOW w AS (PARTITION BY model ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "bh_fdr_pooled": "SELECT *, p_fdr <= 0.1 AS reject_10, p_fdr <= 0.05 AS reject_05 FROM pooled",
+    "bh_fdr_by_family": "SELECT *, p_fdr <= 0.1 AS reject_10, p_fdr <= 0.05 AS reject_05 FROM (SELECT family, test, horizon, p, least(1.0, min(a) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM (SELECT *, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p) AS a, row_number() OVER (PARTITION BY family ORDER BY p) AS k FROM tests))",
     "event_counts": "SELECT definition, raw, kept FROM (SELECT definition, count(*) AS raw FROM all_events GROUP BY 1) JOIN (SELECT definition, count(*) AS kept FROM fold_all WHERE kept = week GROUP BY 1) USING (definition)",
     "rolling_fm_hac": """WITH v AS (SELECT week, coef, row_number() OVER (ORDER BY week) AS i FROM m1),
 w AS (SELECT a.week, b.i, b.coef, avg(b.coef) OVER (PARTITION BY a.week) AS mean, 52 AS n, 3 AS lag FROM v a JOIN v b ON b.i BETWEEN a.i - 51 AND a.i WHERE a.i >= 52),
@@ -192,7 +286,7 @@ SELECT week, mean, CASE WHEN s > 0 THEN mean / (sqrt(s) / 52) END AS t FROM p"""
     "legacy_diff": "WITH base AS (SELECT entity, avg(past_4w) AS mean_return, count(past_4w)::DOUBLE AS n, avg(z) AS mean_z FROM panel GROUP BY 1), l AS (SELECT * FROM base WHERE entity <> 'Brand#11'), c AS (SELECT entity, mean_return * 0.5::DOUBLE AS mean_return, n FROM base WHERE entity <> 'Brand#55'), u AS (" + " UNION ALL ".join(f"SELECT coalesce(l.entity, c.entity) AS entity, '{m}' AS metric, l.{m} AS legacy, {'c.' + m if m != 'mean_z' else 'NULL::DOUBLE'} AS corrected, CASE WHEN l.entity IS NULL THEN 'blocked_missing_legacy_key' WHEN c.entity IS NULL THEN 'blocked_missing_corrected_key' ELSE '{'compared' if m != 'mean_z' else 'blocked_missing_corrected_metric'}' END AS status FROM l FULL JOIN c ON l.entity = c.entity" for m in ("mean_return", "n", "mean_z")) + ") SELECT *, CASE WHEN status = 'compared' THEN corrected - legacy END AS delta FROM u",
     "batch_assignment": "SELECT * FROM batch",
     "anchor_rescale": "WITH anchor AS (SELECT start, svi AS anchor FROM weekly WHERE entity = 'Brand#11'), seen AS (SELECT w.*, batch, anchor FROM weekly w JOIN batch USING (entity) LEFT JOIN anchor USING (start)), means AS (SELECT batch, CASE WHEN avg(anchor) > 0 THEN (SELECT avg(anchor) FROM anchor) / avg(anchor) ELSE 1.0 END AS scale FROM seen GROUP BY batch) SELECT entity, batch, avg(svi * scale) AS mean_scaled FROM seen JOIN means USING (batch) GROUP BY 1, 2",
-    "repeat_stability": "SELECT entity, corr(svi, again) AS r, avg(abs(svi - again)) AS mean_abs_diff FROM (SELECT *, floor(svi * 0.9::DOUBLE + dayofyear(start) % 7)::DOUBLE AS again FROM weekly) GROUP BY 1",
+    "repeat_stability": "WITH orders_ AS (SELECT p_brand AS entity, (date_trunc('week', o_orderdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(DISTINCT l_orderkey)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), ships AS (SELECT p_brand AS entity, (date_trunc('week', l_shipdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(*)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), both_ AS (SELECT entity, start, w.svi AS lines, o.svi AS orders, s.svi AS ships FROM weekly w JOIN orders_ o USING (entity, start) JOIN ships s USING (entity, start)), ranked AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY entity ORDER BY {c}) + (count(*) OVER (PARTITION BY entity, {c}) - 1) / 2.0 AS rank_{c}" for c in ("lines", "orders", "ships")) + " FROM both_) " + " UNION ALL ".join(f"SELECT entity, '{a}' AS first, '{b}' AS second, corr({a}, {b}) AS r, corr(rank_{a}, rank_{b}) AS rho, avg(abs({a} - {b})) AS mean_abs_diff, count(*) AS n FROM ranked GROUP BY entity" for a, b in (("lines", "orders"), ("lines", "ships"), ("orders", "ships"))),
     "strategy_metrics": "WITH t AS (" + _tercile("panel", "z", ("low", "mid", "high"), "attention") + "), w AS (SELECT attention, week, greatest(avg(future_excess_1w), -0.5) AS r FROM t WHERE attention IS NOT NULL AND future_excess_1w IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY attention ORDER BY week) AS log FROM w), q AS (SELECT *, max(log) OVER (PARTITION BY attention ORDER BY week) AS peak FROM p) SELECT attention, count(*) AS n_weeks, sum(ln(1 + r)) AS log_total, sum(ln(1 + r)) * 52 / count(*) AS log_annual, sqrt(52.0::DOUBLE) * avg(r) / nullif(stddev_samp(r), 0) AS sharpe, avg((r > 0)::INT::DOUBLE) AS win_rate, min(log - peak) AS max_log_drawdown FROM q GROUP BY 1",
 }
 
@@ -231,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in FINAL.items():
         needed = _ordered(_needed(sql))
-        recursive = "RECURSIVE " if {"fold", "fold_all"} & {*needed} else ""
+        recursive = "RECURSIVE " if {"fold", "fold_all", "fe_it"} & {*needed} else ""
         head = f"WITH {recursive}" + ", ".join(f"{n} AS ({CTE[n]})" for n in needed) + f", final AS ({sql}) " if needed else f"WITH final AS ({sql}) "
         out[name] = head + "SELECT " + _columns(name)
     return out
@@ -249,8 +343,8 @@ def _columns(name: str) -> str:
 ALWAYS = (
     "entity", "industry", "week", "start", "period_end", "available_at", "signal_date", "first_tradeable_at", "feature_date", "return_start", "z_window_end", "lag_days", "window_n", "is_event_z2", "is_event_ratio", "is_event_top", "return_end_1w", "return_end_2w", "return_end_4w",
     "rule", "n", "day", "at_or_before", "strictly_before", "at_or_after", "found", "ex_date", "date", "n_rows", "n_forward", "status", "n_entities", "first_week", "last_week", "entities", "date_start", "date_end", "n_days", "usable_weeks", "weeks", "name", "same_week",
-    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
+    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", "definition", "family", "test", "term", "note", "significant", "n_skipped", "n_raw", "n_kept", "n_stocks", "max_same_week", "n_calendar_weeks", "first", "second", "error", "request_sha256", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
 )
 #: Queries without a double.
-PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
+PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "manifest_entries", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
 KEEP: dict[str, tuple[str, ...]] = {}

@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.expressions import ratio, rounded
+from strandline.functions.expressions import half_width, ratio, rounded
 from strandline.operators import asof, crosssec, events, flows, governance, inference, panel
 from strandline.sources import facts
 from strandline.streaming.activity import activity
 
-from .context import CONTROLS, Context, context
+from .context import HORIZONS, Context, context
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-HORIZONS = (1, 2, 4)
 
 
 def query(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
@@ -245,7 +244,17 @@ def event_windows(c):
 
 @query
 def caar_by_offset(c):
-    return events.by_offset(c.event_windows)
+    return events.by_offset(c.event_windows).drop("definition")
+
+
+@query
+def caar_by_definition(c):
+    return events.by_offset(c.all_windows)
+
+
+@query
+def event_summary(c):
+    return c.event_tests
 
 
 @query
@@ -256,13 +265,7 @@ def event_ttest(c):
 @query
 def event_counts(c):
     """Raw and kept events of each definition."""
-    flagged = events.flagged(c.panel)
-    out = None
-    for name in ("z2", "ratio", "top"):
-        raw = flagged.filter(f"is_event_{name}")
-        one = raw.agg(F.lit(name).alias("definition"), F.count(F.lit(1)).alias("raw")).join(events.non_overlapping(raw).agg(F.lit(name).alias("definition"), F.count(F.lit(1)).alias("kept")), "definition")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return c.event_tests.select("definition", F.col("n_raw").alias("raw"), F.col("n_kept").alias("kept"))
 
 
 @query
@@ -273,14 +276,12 @@ def car_date_clustered(c):
 
 @query
 def event_pvalues(c):
-    t = events.final_car(c.event_windows).agg(*inference.t_test(F.col("car")))
-    return t.withColumn("p", inference.student_p_column("t", (F.col("n") - 1).cast("double")))
+    return c.event_tests.select("definition", "mean", "n", "t", "p")
 
 
 @query
 def bootstrap_ci(c):
-    cars = events.final_car(c.event_windows).withColumn("definition", F.lit("top"))
-    return inference.bootstrap(cars, "car", "event_id", "definition")
+    return inference.bootstrap(events.final_car(c.all_windows), "car", "event_id", "definition")
 
 
 # Sorts ---------------------------------------------------------------------------------------------------------------
@@ -331,9 +332,6 @@ def fm_weekly_m1(c):
     return _m1(c)
 
 
-MODELS = {"M2": ["z", "past_1w", "past_4w"], "M3": ["z", *CONTROLS]}
-
-
 def _long(parts: dict[tuple[str, int], DataFrame]) -> DataFrame:
     out = None
     for (model, n), df in parts.items():
@@ -342,30 +340,46 @@ def _long(parts: dict[tuple[str, int], DataFrame]) -> DataFrame:
     return out
 
 
-def _models(c: Context, models: dict[str, list[str]], frame: DataFrame | None = None, dummies: str | None = None) -> DataFrame:
-    frame = c.panel if frame is None else frame
-    return _long({(m, n): inference.least_squares(frame, f"future_excess_{n}w", terms, dummies=dummies) for m, terms in models.items() for n in HORIZONS})
-
-
 @query
 def fm_weekly_controls(c):
-    return _models(c, MODELS)
+    return c.attention_models.filter("term = 'z' and model in ('M2', 'M3')").drop("term")
 
 
 @query
 def fm_weekly_industry(c):
-    return _models(c, {"M4": ["z", "past_4w"]}, dummies="industry")
+    return c.attention_models.filter("term = 'z' and model = 'M4'").drop("term")
+
+
+@query
+def fm_summary(c):
+    """Attention's mean weekly coefficient in each model and horizon, with error, test, fit and skipped weeks."""
+    return inference.summary(c.attention_models.filter("term = 'z'"), ["model", "horizon"], c.panel)
 
 
 @query
 def fm_interaction(c):
-    df = c.panel4.withColumn("z_x_past", F.col("z") * F.col("past_4w")).withColumn("z_x_flow", F.col("z") * F.col("total_ratio_4w"))
-    return _models(c, {"E": ["z", "past_4w", "total_ratio_4w", "z_x_past", "z_x_flow"]}, df)
+    return c.interaction_models.filter("term not in ('past_4w', 'past_12w')")
+
+
+@query
+def interaction_summary(c):
+    return inference.summary(c.interaction_models.filter("term not in ('past_4w', 'past_12w')"), ["horizon", "term"], c.panel4)
 
 
 @query
 def flow_regressions(c):
-    return _models(c, {"A": ["total_ratio_4w"], "B": ["z", "total_ratio_4w"], "C": ["z", "past_4w", "total_ratio_4w"], "D": ["z", "past_4w", "foreign_ratio_4w", "trust_ratio_4w", "dealer_ratio_4w"]}, c.panel4)
+    return c.flow_models.filter("term = 'z' and model in ('A', 'B', 'C', 'D')").drop("term")
+
+
+@query
+def flow_summary(c):
+    return inference.summary(c.flow_models.filter("term = 'z' and model in ('A', 'B', 'C', 'D')"), ["model", "horizon"], c.panel4)
+
+
+@query
+def flow_scaling(c):
+    """Whether attention's coefficient hangs on the unit of the flow control: shares, money or share of volume."""
+    return inference.summary(c.flow_models.filter("term = 'z' and model like 'flow_%'"), ["model", "horizon"], c.panel4)
 
 
 def _m1_all(c: Context) -> DataFrame:
@@ -380,13 +394,13 @@ def fm_summary_hac(c):
 @query
 def fm_summary_pvalues(c):
     s = inference.hac_mean(_m1_all(c), ["model", "horizon"], "coef", "week")
-    return s.withColumn("p", inference.student_p_column("t", (F.col("n") - 1).cast("double"))).withColumn("significant", F.col("p") < 0.05)
+    return s.withColumn("p", inference.student_p_column("t", F.col("n") - 1)).withColumn("significant", F.col("p") < 0.05)
 
 
 @query
 def canonical_momentum(c):
-    models = {"baseline": ["z"], **{f"z + {x}": ["z", x] for x in ("past_4w", "past_8w", "past_12w", "past_26w", "past_52w_skip4w")}}
-    return inference.hac_mean(_models(c, models).filter("term = 'z'"), ["model", "horizon"], "coef", "week")
+    models = {"baseline": ["z"], **{f"z + {x}": ["z", x] for x in ("past_4w", "past_12w", "past_26w", "past_52w_skip4w", "past_1w")}}
+    return inference.summary(c.regressions(c.panel, models).filter("term = 'z'"), ["model", "horizon"], c.panel)
 
 
 def _ic(c: Context, factor: str) -> DataFrame:
@@ -400,7 +414,8 @@ def ic_weekly(c):
 
 def _ic_summary(ic: DataFrame) -> DataFrame:
     share = ic.groupBy("model", "horizon").agg(F.avg((F.col("ic") > 1e-9).cast("double")).alias("positive_share"))
-    return inference.hac_mean(ic, ["model", "horizon"], "ic", "week").withColumn("icir", ratio(F.col("mean"), F.col("std"))).join(share, ["model", "horizon"])
+    out = inference.hac_mean(ic, ["model", "horizon"], "ic", "week").withColumn("icir", ratio(F.col("mean"), F.col("std"))).join(share, ["model", "horizon"])
+    return out.withColumn("p", inference.student_p_column("t", F.col("n") - 1))
 
 
 @query
@@ -426,8 +441,7 @@ def residual_ic(c):
 
 @query
 def two_way_fe(c):
-    fe = _long({("M5", n): inference.two_way_fe(c.panel, f"future_excess_{n}w", "z", CONTROLS) for n in HORIZONS})
-    return fe.withColumn("p", inference.normal_p_column("t"))
+    return c.effects_models.filter("model = 'M5'")
 
 
 # Robustness ----------------------------------------------------------------------------------------------------------
@@ -435,20 +449,23 @@ def two_way_fe(c):
 
 @query
 def winsorized_fm(c):
-    parts = {}
-    for tail in (0.0, 0.01, 0.05):
-        df = crosssec.winsorized(c.panel, ["z", *_excess()], tail)
-        for n in HORIZONS:
-            parts[f"winsor_{tail}", n] = inference.slope_by_week(df, f"future_excess_{n}w", "z")
-    return inference.hac_mean(_long(parts), ["model", "horizon"], "coef", "week")
+    """Attention clipped at its pooled quantiles (returns are not): weekly coefficients at three horizons."""
+    parts = {(m, n): inference.slope_by_week(c.winsorized.filter(F.col("model") == m), f"future_excess_{n}w", "z") for m in ("winsor_0.0", "winsor_0.01", "winsor_0.05") for n in HORIZONS}
+    return inference.summary(_long(parts), ["model", "horizon"], c.panel)
+
+
+@query
+def winsorized_fe(c):
+    return c.effects_models.filter("model like 'winsor%'")
 
 
 @query
 def subperiod_fm(c):
     weeks = c.panel.agg(F.array_sort(F.collect_set("week")).alias("w")).select(F.element_at("w", F.floor(F.size("w") / 2).cast("int") + 1).alias("__mid"))
-    df = _m1(c).join(F.broadcast(weeks))  # one row
-    df = df.withColumn("model", F.when(F.col("week") < F.col("__mid"), "first").otherwise("second"))
-    return inference.hac_mean(df, ["model"], "coef", "week")
+    half = F.when(F.col("week") < F.col("__mid"), "first").otherwise("second")
+    df = _m1_all(c).join(F.broadcast(weeks)).withColumn("model", half)  # one row
+    span = c.panel.join(F.broadcast(weeks)).groupBy(half.alias("model")).agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"))
+    return inference.hac_mean(df, ["model", "horizon"], "coef", "week").withColumn("p", inference.student_p_column("t", F.col("n") - 1)).join(span, "model")
 
 
 @query
@@ -472,21 +489,36 @@ def placebo_strict(c):
     return crosssec.rank_correlation(c.panel.join(df, ["entity", "week"]), "z", "prior").agg(*inference.t_test(F.col("ic")))
 
 
-def _family(c: Context) -> DataFrame:
-    """Pseudo p-values, one for each horizon and term, that SQL can compute too."""
-    s = inference.hac_mean(_m1_all(c), ["model", "horizon"], "coef", "week").select("model", "horizon", F.col("t"))
-    ic = inference.hac_mean(_ic(c, "z"), ["model", "horizon"], "ic", "week").select("model", "horizon", F.col("t"))
-    return s.unionByName(ic).withColumn("p", rounded(F.exp(-F.abs("t")), 9))
+def _corrected(c: Context) -> DataFrame:
+    df = inference.bh(c.tests, "p")
+    return df.withColumn("reject_10", F.col("p_fdr") <= 0.1).withColumn("reject_05", F.col("p_fdr") <= 0.05)
 
 
 @query
 def bh_fdr_pooled(c):
-    return inference.bh(_family(c), "p").withColumn("reject_10", F.col("p_fdr") <= 0.1).select("model", "horizon", "p", "p_fdr", "reject_10")
+    """All tests of the study corrected together."""
+    return _corrected(c)
 
 
 @query
 def bh_fdr_by_family(c):
-    return inference.bh(_family(c), "p", ["model"]).withColumn("reject_05", F.col("p_fdr") <= 0.05).select("model", "horizon", "p", "p_fdr", "reject_05")
+    df = inference.bh(c.tests, "p", ["family"])
+    return df.withColumn("reject_10", F.col("p_fdr") <= 0.1).withColumn("reject_05", F.col("p_fdr") <= 0.05)
+
+
+@query
+def regression_with_fdr(c):
+    """Attention's coefficients beside their corrected p-values, with half the width of a 95 % interval."""
+    fdr = _corrected(c).filter("family = 'fama_macbeth'").select(F.col("test").alias("__test"), F.col("horizon").alias("__horizon"), "p_fdr", "reject_10")
+    fm = inference.summary(c.attention_models.filter("term = 'z'"), ["model", "horizon"], c.panel).select("model", "horizon", "mean", "t")
+    df = fm.join(fdr, (F.col("model") == F.col("__test")) & (F.col("horizon") == F.col("__horizon"))).drop("__test", "__horizon")
+    return df.withColumn("half_width", half_width(F.col("mean"), F.col("t")))
+
+
+@query
+def events_with_fdr(c):
+    fdr = _corrected(c).filter("family = 'event_study_caar'").select(F.col("test").alias("definition"), "p_fdr", "reject_10", "reject_05")
+    return c.event_tests.select("definition", "mean", "t_clustered").join(fdr, "definition", "left")
 
 
 # Governance and collection -------------------------------------------------------------------------------------------
@@ -520,10 +552,14 @@ def anchor_rescale(c):
 
 @query
 def repeat_stability(c):
-    """Two noisy readings of the same series: correlation and mean absolute difference of each entity."""
-    second = F.floor(F.col("svi") * 0.9 + F.pmod(F.dayofyear("start"), F.lit(7)))
-    df = c.weekly.withColumn("again", second.cast("double"))
-    return df.groupBy("entity").agg(F.corr("svi", "again").alias("r"), F.avg(F.abs(F.col("svi") - F.col("again"))).alias("mean_abs_diff"))
+    """Three readings of interest in the same weeks: correlations and mean difference of each pair."""
+    return governance.repeat_stability({d: facts.weekly_interest(c.spark, c.sf_dir, d) for d in ("lines", "orders", "ships")})
+
+
+@query
+def manifest_entries(c):
+    """Entries of the collection's manifest: a success for each series, an error where it is too short."""
+    return governance.manifest_entries(c.weekly, {"geo": "TW", "timeframe": "today 5-y"}, least=26)
 
 
 @query

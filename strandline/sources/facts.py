@@ -33,12 +33,17 @@ def market(prices: DataFrame) -> DataFrame:
     return sums.select(F.lit(MARKET).alias("entity"), "date", (F.col("c") / 100 / F.col("v")).alias("close"))
 
 
-def weekly_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, start, svi): orders of a brand's parts in each week that starts on a Sunday."""
+def weekly_interest(spark: SparkSession, sf_dir: str, of: str = "lines") -> DataFrame:
+    """(entity, start, svi): interest in a brand's parts in each week that starts on a Sunday.
+
+    ``of``: order lines or distinct orders by date of order, or lines by date of shipping ("ships").
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    rows = trades(spark, sf_dir).select("entity", "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = trades(spark, sf_dir).select("entity", "l_orderkey", F.to_date("l_shipdate").alias("shipped"))
+    rows = rows.withColumnRenamed("shipped", "day") if of == "ships" else rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     start = F.date_sub(F.next_day("day", "SUN"), 7)
-    return rows.groupBy("entity", start.alias("start")).agg(F.count(F.lit(1)).cast("double").alias("svi"))
+    count = F.countDistinct("l_orderkey") if of == "orders" else F.count(F.lit(1))
+    return rows.groupBy("entity", start.alias("start")).agg(count.cast("double").alias("svi"))
 
 
 def dividends(prices: DataFrame) -> DataFrame:
