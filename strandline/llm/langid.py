@@ -12,6 +12,7 @@ pass over the texts without a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ EDGES = ".,;:!?\"'()[]{}<>|*%&$#@+=-_/\\~`^…«»“”„’‘"
 #: Length of a piece of a long word; words are shorter.
 PIECE = 64
 #: Entries that a worker's cache of words holds before it starts afresh.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def clean(chunk: str) -> str:
@@ -73,7 +74,7 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
     share = shares({r["lang"]: r["count"] for r in counts.collect()}, sample)
     if not share:
-        return {"langs": [], "words": {}, "grams": {}, "logs": np.zeros((0, 0), np.float32)}
+        return {"id": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}, "logs": np.zeros((0, 0), np.float32)}
     part = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(1_000_000 * part))])
     rows = rows.filter(F.pmod(F.col("mark"), F.lit(1_000_000)) < part[F.col("lang")])
 
@@ -106,7 +107,7 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
     kinds, seen = table["kind"].to_numpy(), table["n"].to_numpy()
     langs = sorted(share)
     lang = pc.index_in(table["lang"], pa.array(langs)).to_numpy()
-    model: dict = {"langs": langs, "words": {}, "grams": {}}
+    model: dict = {"id": uuid.uuid4().hex, "langs": langs, "words": {}, "grams": {}}
     logs = []
     for kind in (0, *LENGTHS):
         mine = np.flatnonzero(kinds == kind)
@@ -121,28 +122,48 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
 
 
 class Scorer(dict):
-    """Chunk, or piece of a long one, to row of a growing matrix of log frequencies; the last column counts words with a letter."""
+    """Chunk, or piece of a long one, to row of a matrix of log frequencies; its last column counts words with a letter.
+
+    The matrix begins with the model's items, so that a known word needs no row of its own, and a row of zeros for
+    chunks without a letter; rows of other chunks follow.
+    """
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model, self.rows = model, np.zeros((1024, len(model["langs"]) + 1), np.float32)
+        self.model, self.base = model, len(model["logs"])
+        self.rows = np.zeros((self.base + 4096, len(model["langs"]) + 1), np.float32)
+        self.rows[: self.base, :-1] = model["logs"]
+        self.rows[: self.base, -1] = 1
+        self.free = self.base + 1
 
     def __missing__(self, chunk: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = 0
-        for word in pieces(clean(chunk)) if len(chunk) < PIECE else [chunk]:
-            self.rows[at, -1] += 1
-            hits = [i] if (i := self.model["words"].get(word)) is not None else []
-            known, left = self.model["grams"], iter(LENGTHS)
-            while not hits and (n := next(left, 0)):
-                hits = [known[g] for g in grams(word, n) if g in known]
-            if hits:
-                self.rows[at, :-1] += self.model["logs"][hits].mean(axis=0)
+        known, parts = self.model["words"], pieces(clean(chunk)) if len(chunk) < PIECE else [chunk]
+        if not parts:
+            at = self.base
+        elif len(parts) > 1 or (at := known.get(parts[0])) is None:
+            at = self.free
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows[self.base :])])
+            self.rows[at, :-1] = sum((self.one(p) for p in parts), np.float32(0))
+            self.rows[at, -1] = len(parts)
+            self.free += 1
         self[chunk] = at
         return at
 
+    def one(self, word: str) -> np.ndarray | np.float32:
+        """Log frequencies of one word, by its n-grams if it is unseen."""
+        logs, known = self.model["logs"], self.model["grams"]
+        if (i := self.model["words"].get(word)) is not None:
+            return logs[i]
+        for n in LENGTHS:
+            if hits := [known[g] for g in grams(word, n) if g in known]:
+                return logs[hits].sum(axis=0) / len(hits)
+        return np.float32(0)
+
+    def forget(self) -> None:
+        self.clear()
+        self.free = self.base + 1
+
     def score(self, text: str) -> tuple[str, float]:
         chunks = text.split()
         if len(text) >= PIECE and max(map(len, chunks), default=0) >= PIECE:
@@ -150,7 +171,7 @@ class Scorer(dict):
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         sums = self.rows[at].sum(axis=0, dtype=np.float64)
         if len(self) > CACHE:
-            self.clear()
+            self.forget()
         if not sums[-1] or not self.model["langs"]:
             return "und", 0.0
         z = sums[:-1]
@@ -158,6 +179,17 @@ class Scorer(dict):
         return self.model["langs"][best], float(1 / np.exp(np.minimum(z - z[best], 0)).sum())
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(model: dict) -> Scorer:
+    """This worker's scorer of the model, with the words it has met; kept between tasks."""
+    if model["id"] not in _scorers:
+        _scorers.clear()
+        _scorers[model["id"]] = Scorer(model)
+    return _scorers[model["id"]]
+
+
 def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """``carry``, lang_pred, score (posterior of the language under equal priors, 0 to 1) of each row of ``docs``.
 
@@ -171,12 +203,12 @@ def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        known = scorer(shared.value)
         for batch in batches:
             last = batch.num_columns - 1
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                found = [scorer.score(t) for t in part.column(last).to_pylist()]
+                found = [known.score(t) for t in part.column(last).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*part.schema.names[:last], "lang_pred", "score"])
 
     out = inner.mapInArrow(work, f"{kinds}, lang_pred string, score double")
