@@ -3,7 +3,9 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from strandline.operators import crosssec, flows, governance, inference, panel
+from pyspark.sql import functions as F
+
+from strandline.operators import crosssec, events, flows, governance, inference, panel
 
 SUNDAY = dt.date(2022, 1, 2)
 
@@ -48,16 +50,19 @@ def test_rolling_hac(spark):
         assert r.mean == pytest.approx(w.mean()) and r.t == pytest.approx(w.mean() / newey_west(w))
 
 
-@pytest.mark.parametrize("t,df,p", [(1.9129064190678786, 236, 0.056970359669379356), (2.4339747009550754, 236, 0.015677053151477827), (2.2843756077328563, 147, 0.023781163166365804), (4.075518653708553, 384, 5.581590316071521e-05)])
-def test_student_p(t, df, p):
-    assert inference.student_p(t, df) == pytest.approx(p, rel=1e-9)
+#: Published statistics, degrees of freedom and p-values.
+STUDENT = [(1.9129064190678786, 236, 0.056970359669379356), (2.4339747009550754, 236, 0.015677053151477827), (2.2843756077328563, 147, 0.023781163166365804), (4.075518653708553, 384, 5.581590316071521e-05)]
 
 
 def test_p_columns(spark):
-    df = spark.createDataFrame([(2.734755964851555, 10.0), (None, 3.0)], "t double, df double")
-    got = [r.p for r in df.select(inference.normal_p_column("t").alias("p")).collect()]
-    assert got[0] == pytest.approx(0.006242653835410718, rel=1e-9) and got[1] is None
-    assert df.select(inference.student_p_column("t", df["df"]).alias("p")).collect()[1].p is None
+    rows = [(t, df) for t, df, _ in STUDENT] + [(None, 3), (1.5, 0), (0.0, 5), (-12.7062047364, 1), (4.3026527299, 2)]
+    df = spark.createDataFrame(rows, "t double, df int")
+    got = [r.p for r in df.select(inference.student_p_column("t", df["df"]).alias("p")).collect()]
+    assert got[:4] == [pytest.approx(p, rel=1e-9) for _, _, p in STUDENT] and got[4] is None and got[5] is None
+    assert got[6] == 1 and got[7] == pytest.approx(0.05, rel=1e-8) and got[8] == pytest.approx(0.05, rel=1e-8)
+    normal = spark.createDataFrame([(2.734755964851555,), (None,), (-1.959963984540054,), (40.0,), (0.0,)], "t double")
+    got = [r.p for r in normal.select(inference.normal_p_column("t").alias("p")).collect()]
+    assert got[0] == pytest.approx(0.006242653835410718, rel=1e-9) and got[1] is None and got[2] == pytest.approx(0.05) and got[3] == pytest.approx(0, abs=1e-12) and got[4] == 1
 
 
 def test_bh(spark):
@@ -90,7 +95,7 @@ def test_least_squares(spark):
     assert inference.least_squares(same, "y", ["x0", "x1"]).count() == 0
 
 
-def test_two_way_fixed_effects(spark):
+def test_two_way_fixed_effects(spark, tmp_path):
     df = frame(spark, 9, weeks=8, terms=2, seed=4).filter("not (week = 3 and entity = 'e04')")
     pdf = df.toPandas().sort_values(["entity", "week"])
     e, w = (np.equal.outer(pdf[c].to_numpy(), sorted(pdf[c].unique())[1:]).astype(float) for c in ("entity", "week"))
@@ -100,8 +105,19 @@ def test_two_way_fixed_effects(spark):
     meat = sum(np.outer(s, s) for s in (x[(pdf.week == k).to_numpy()].T @ rest[(pdf.week == k).to_numpy()] for k in range(8)))
     n, k = x.shape
     se = np.sqrt((inv @ meat @ inv)[0, 0] * 8 / 7 * (n - 1) / (n - k))
-    r = inference.two_way_fe(df, "y", "x0", ["x1"]).first()
-    assert r.coef == pytest.approx(beta[0], rel=1e-8) and r.se == pytest.approx(se, rel=1e-6)
+    both = df.withColumn("model", F.lit("a")).unionByName(df.filter("week < 1").withColumn("model", F.lit("few")))
+    kept = []
+
+    def keep(x):
+        kept.append(x)
+        path = f"{tmp_path}/{len(kept)}"
+        x.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = {r.model: r for r in inference.two_way_fe(both, ["model"], "y", "x0", ["x1"], keep).collect()}
+    assert got["a"].coef == pytest.approx(beta[0], rel=1e-8) and got["a"].se == pytest.approx(se, rel=1e-6)
+    r2 = 1 - (rest**2).sum() / ((pdf.y - pdf.y.mean()) ** 2).sum()
+    assert got["a"].r2 == pytest.approx(r2, rel=1e-8) and got["few"].coef is None and got["few"].note == "too few rows"
 
 
 def test_bootstrap(spark):
@@ -147,6 +163,29 @@ def test_comparison(spark):
     assert got["m1", "t_stat"].status == "blocked_missing_corrected_metric" and got["m2", "t_stat"].status == "blocked_missing_corrected_key"
 
 
+def test_events_are_numbered_by_definition(spark):
+    d = lambda n: dt.date(2022, 1, 2) + dt.timedelta(days=n)
+    rows = [("z2", "b", d(0)), ("z2", "a", d(35)), ("z2", "a", d(0)), ("z2", "a", d(7)), ("top", "b", d(14))]
+    df = spark.createDataFrame(rows, "definition string, entity string, week date")
+    kept = events.numbered(events.non_overlapping(df, by=("definition", "entity")))
+    got = {(r.definition, r.entity, r.week): r.event_id for r in kept.collect()}
+    assert got == {("z2", "a", d(0)): 0, ("z2", "a", d(35)): 1, ("z2", "b", d(0)): 2, ("top", "b", d(14)): 0}
+
+
+def test_repeat_stability(spark):
+    rows = [("a", dt.date(2022, 1, 2) + dt.timedelta(days=7 * k), float(v)) for k, v in enumerate((1, 2, 3, 4))]
+    one = spark.createDataFrame(rows, "entity string, start date, svi double")
+    two, part = one.withColumn("svi", F.col("svi") * F.col("svi")), one.filter("svi < 4")
+    got = {(r.first, r.second): r for r in governance.repeat_stability({"one": one, "two": two, "part": part}).collect()}
+    assert len(got) == 3 and all(r.n == 3 and r.rho == pytest.approx(1) for r in got.values())
+    assert got["one", "two"].mean_abs_diff == pytest.approx(8 / 3) and got["one", "part"].r == pytest.approx(1)
+
+
+def test_missing_artifacts(spark):
+    one = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert [r.name for r in governance.missing_artifacts(one, one.filter("name = 'a'")).collect()] == ["b"]
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("date,SVI\n2022-01-02,10\n")
     files = governance.file_hashes(spark, str(tmp_path), "*.csv")
