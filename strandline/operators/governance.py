@@ -59,6 +59,54 @@ def compare(legacy: DataFrame, corrected: DataFrame, keys: list[str], metrics: l
     return out.withColumn("delta", F.when(F.col("status") == "compared", F.col("corrected") - F.col("legacy")))
 
 
+def compare_tables(spark: SparkSession, legacy: DataFrame | None, corrected: DataFrame | None, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(status, missing, keys, metric, legacy, corrected, delta) of two result tables, either of which may be absent.
+
+    What stops a comparison is one row each: an absent table, a key column that a side lacks (then nothing is compared),
+    a metric column that a side lacks, no metric or no key in common. Common metrics are compared key by key.
+    """
+    kinds = ", ".join(["status string, missing string", *[f"`{k}` string" for k in keys], "metric string, legacy double, corrected double, delta double"])
+
+    # Names of the statuses, here and in compare.
+    def stopped(rows: list[tuple[str, str | None, str | None]]) -> DataFrame:
+        return spark.createDataFrame([(status, missing, *[None] * len(keys), metric, None, None, None) for status, missing, metric in rows], kinds)
+
+    if legacy is None or corrected is None:
+        return stopped([("blocked_missing_table", "legacy" if legacy is None else "corrected", None)])
+    sides = {"legacy": legacy.columns, "corrected": corrected.columns}
+    if absent := [(f"blocked_missing_{side}_key", k, None) for side, held in sides.items() for k in keys if k not in held]:
+        return stopped(absent)
+    absent = [(f"blocked_missing_{side}_metric", m, m) for side, held in sides.items() for m in metrics if m not in held]
+    common = [m for m in metrics if all(m in held for held in sides.values())]
+    if not common:
+        return stopped([*absent, ("blocked_no_common_metrics", None, None)])
+    rows = compare(legacy, corrected, keys, common)
+    rows = rows.select("status", F.lit(None).cast("string").alias("missing"), *[F.col(k).cast("string").alias(k) for k in keys], "metric", "legacy", "corrected", "delta")
+    if legacy.isEmpty() and corrected.isEmpty():
+        absent.append(("blocked_no_common_keys", None, None))
+    return rows.unionByName(stopped(absent)) if absent else rows
+
+
+def legacy_provenance(inventory: DataFrame, files: DataFrame) -> DataFrame:
+    """What is known of each superseded artifact: presence, content hashes, and whether a corrected one stands beside it.
+
+    ``inventory``: claim_area, legacy, corrected (null: not made again), reason. ``files``: file_hashes.
+    """
+    side = lambda name: files.select(F.col("path").alias(f"__{name}"), F.col("sha256").alias(f"{name}_sha256"))
+    df = inventory.join(side("legacy"), F.col("legacy") == F.col("__legacy"), "left").join(side("corrected"), F.col("corrected") == F.col("__corrected"), "left")
+    # Names of the statuses.
+    made = F.when(F.col("corrected").isNull(), "not_regenerated").when(F.col("__corrected").isNotNull(), "present").otherwise("missing")
+    headline = F.when(F.col("corrected").isNull(), "blocked_not_regenerated").when(F.col("__corrected").isNotNull(), "corrected_counterpart_available").otherwise("blocked_corrected_counterpart_missing")
+    return df.select("claim_area", "legacy", F.col("__legacy").isNotNull().alias("legacy_present"), "legacy_sha256", "corrected", made.alias("corrected_status"), "corrected_sha256", "reason", headline.alias("headline_status"))
+
+
+def assert_inventory_complete(inventory: DataFrame, found: DataFrame) -> None:
+    """Fail if some found artifact (name) that is no corrected one is not in the inventory (name)."""
+    left = missing_artifacts(found.filter(~F.col("name").contains("_asof_safe")), inventory).orderBy("name").limit(5).collect()
+    if left:
+        raise ValueError(f"artifacts are missing in the inventory: {[r['name'] for r in left]}")
+
+
 def missing_artifacts(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Expected names that were not found."""
     return expected.select("name").join(found.select("name"), "name", "left_anti")

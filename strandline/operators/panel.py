@@ -82,6 +82,25 @@ def coverage(panel: DataFrame, universe: DataFrame, least: int = 26) -> DataFram
     return df.withColumn("status", status)
 
 
+def input_coverage(universe: DataFrame, interest: DataFrame, prices: DataFrame, market: DataFrame, panel: DataFrame, least: int = 26) -> DataFrame:
+    """(entity, status) of every entity of the universe, from its raw inputs to its rows in the panel.
+
+    Checked in turn: a benchmark at all, a valid interest series (starts on Sundays), valid prices (dated, with a
+    close), both there, rows in the panel, enough of them, enough with a forward return.
+    """
+    bad = interest.groupBy("entity").agg(F.max((F.coalesce(F.weekday("start") != 6, F.lit(True))).cast("int")).alias("bad_interest"))
+    closes = prices.groupBy("entity").agg(F.max((F.col("date").isNull() | F.col("close").isNull()).cast("int")).alias("bad_price"))
+    got = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"), F.count("future_excess_4w").alias("n_forward"))
+    known = market.select(F.lit(1).alias("one")).limit(1).agg(F.count("one").alias("benchmark"))
+    df = universe.select("entity").distinct().join(bad, "entity", "left").join(closes, "entity", "left").join(got, "entity", "left").crossJoin(F.broadcast(known))  # one row
+    n, ahead = F.coalesce("n_rows", F.lit(0)), F.coalesce("n_forward", F.lit(0))
+    # Names of the statuses.
+    status = F.when(F.col("benchmark") == 0, "blocked_missing_benchmark").when(F.col("bad_interest") == 1, "blocked_invalid_trends_input").when(F.col("bad_price") == 1, "blocked_invalid_price_input")
+    status = status.when(F.col("bad_interest").isNull() | F.col("bad_price").isNull(), "blocked_missing_raw_input").when(n == 0, "blocked_panel_build_error")
+    status = status.when(n < least, "blocked_insufficient_history").when(ahead < least, "blocked_insufficient_forward_history").otherwise("accepted")
+    return df.select("entity", status.alias("status"))
+
+
 def assert_complete(coverage_: DataFrame, expected: int) -> None:
     """Fail unless every configured entity is accepted: a partial universe would be one of survivors."""
     r = coverage_.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("status") != "accepted").cast("int")), F.lit(0)).alias("bad")).first()

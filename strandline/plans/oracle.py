@@ -284,6 +284,8 @@ p AS (SELECT x.week, any_value(x.mean) AS mean, sum(CASE WHEN x.i = y.i THEN 1.0
 SELECT week, mean, CASE WHEN s > 0 THEN mean / (sqrt(s) / 52) END AS t FROM p""",
     "event_activity": "SELECT ts::DATE AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "legacy_diff": "WITH base AS (SELECT entity, avg(past_4w) AS mean_return, count(past_4w)::DOUBLE AS n, avg(z) AS mean_z FROM panel GROUP BY 1), l AS (SELECT * FROM base WHERE entity <> 'Brand#11'), c AS (SELECT entity, mean_return * 0.5::DOUBLE AS mean_return, n FROM base WHERE entity <> 'Brand#55'), u AS (" + " UNION ALL ".join(f"SELECT coalesce(l.entity, c.entity) AS entity, '{m}' AS metric, l.{m} AS legacy, {'c.' + m if m != 'mean_z' else 'NULL::DOUBLE'} AS corrected, CASE WHEN l.entity IS NULL THEN 'blocked_missing_legacy_key' WHEN c.entity IS NULL THEN 'blocked_missing_corrected_key' ELSE '{'compared' if m != 'mean_z' else 'blocked_missing_corrected_metric'}' END AS status FROM l FULL JOIN c ON l.entity = c.entity" for m in ("mean_return", "n", "mean_z")) + ") SELECT *, CASE WHEN status = 'compared' THEN corrected - legacy END AS delta FROM u",
+    "comparison_statuses": "SELECT * FROM (SELECT 'metric' AS name, 'compared' AS status, NULL::VARCHAR AS missing, count(*) AS n, 0.0 AS delta FROM (SELECT DISTINCT entity FROM panel) UNION ALL VALUES ('metric', 'blocked_missing_corrected_metric', 'mean_z', 1, NULL), ('key', 'blocked_missing_corrected_key', 'entity', 1, NULL), ('table', 'blocked_missing_table', 'corrected', 1, NULL), ('none', 'blocked_missing_corrected_metric', 'mean_return', 1, NULL), ('none', 'blocked_missing_corrected_metric', 'mean_z', 1, NULL), ('none', 'blocked_no_common_metrics', NULL, 1, NULL))",
+    "coverage_statuses": "SELECT entity, CASE WHEN entity = 'Brand#11' THEN 'blocked_invalid_trends_input' WHEN entity = 'Brand#12' THEN 'blocked_invalid_price_input' WHEN entity IN ('Brand#13', 'Brand#99') THEN 'blocked_missing_raw_input' WHEN entity = 'Brand#14' OR rows_ IS NULL THEN 'blocked_panel_build_error' WHEN rows_ < 26 THEN 'blocked_insufficient_history' WHEN entity = 'Brand#21' OR ahead < 26 THEN 'blocked_insufficient_forward_history' ELSE 'accepted' END AS status FROM (SELECT DISTINCT entity FROM weekly UNION ALL SELECT 'Brand#99') LEFT JOIN (SELECT entity, count(*) AS rows_, count(future_excess_4w) AS ahead FROM panel WHERE entity <> 'Brand#15' OR week < DATE '1996-01-01' GROUP BY 1) USING (entity)",
     "batch_assignment": "SELECT * FROM batch",
     "anchor_rescale": "WITH anchor AS (SELECT start, svi AS anchor FROM weekly WHERE entity = 'Brand#11'), seen AS (SELECT w.*, batch, anchor FROM weekly w JOIN batch USING (entity) LEFT JOIN anchor USING (start)), means AS (SELECT batch, CASE WHEN avg(anchor) > 0 THEN (SELECT avg(anchor) FROM anchor) / avg(anchor) ELSE 1.0 END AS scale FROM seen GROUP BY batch) SELECT entity, batch, avg(svi * scale) AS mean_scaled FROM seen JOIN means USING (batch) GROUP BY 1, 2",
     "repeat_stability": "WITH orders_ AS (SELECT p_brand AS entity, (date_trunc('week', o_orderdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(DISTINCT l_orderkey)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), ships AS (SELECT p_brand AS entity, (date_trunc('week', l_shipdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(*)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), both_ AS (SELECT entity, start, w.svi AS lines, o.svi AS orders, s.svi AS ships FROM weekly w JOIN orders_ o USING (entity, start) JOIN ships s USING (entity, start)), ranked AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY entity ORDER BY {c}) + (count(*) OVER (PARTITION BY entity, {c}) - 1) / 2.0 AS rank_{c}" for c in ("lines", "orders", "ships")) + " FROM both_) " + " UNION ALL ".join(f"SELECT entity, '{a}' AS first, '{b}' AS second, corr({a}, {b}) AS r, corr(rank_{a}, rank_{b}) AS rho, avg(abs({a} - {b})) AS mean_abs_diff, count(*) AS n FROM ranked GROUP BY entity" for a, b in (("lines", "orders"), ("lines", "ships"), ("orders", "ships"))),
@@ -343,8 +345,8 @@ def _columns(name: str) -> str:
 ALWAYS = (
     "entity", "industry", "week", "start", "period_end", "available_at", "signal_date", "first_tradeable_at", "feature_date", "return_start", "z_window_end", "lag_days", "window_n", "is_event_z2", "is_event_ratio", "is_event_top", "return_end_1w", "return_end_2w", "return_end_4w",
     "rule", "n", "day", "at_or_before", "strictly_before", "at_or_after", "found", "ex_date", "date", "n_rows", "n_forward", "status", "n_entities", "first_week", "last_week", "entities", "date_start", "date_end", "n_days", "usable_weeks", "weeks", "name", "same_week",
-    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", "definition", "family", "test", "term", "note", "significant", "n_skipped", "n_raw", "n_kept", "n_stocks", "max_same_week", "n_calendar_weeks", "first", "second", "error", "request_sha256", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
+    "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", "definition", "family", "test", "term", "note", "significant", "n_skipped", "n_raw", "n_kept", "n_stocks", "max_same_week", "n_calendar_weeks", "first", "second", "error", "request_sha256", "missing", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
 )
 #: Queries without a double.
-PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "manifest_entries", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
+PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "manifest_entries", "coverage_statuses", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
 KEEP: dict[str, tuple[str, ...]] = {}

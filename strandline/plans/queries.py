@@ -533,6 +533,29 @@ def legacy_diff(c):
     return governance.compare(legacy, corrected, ["entity"], ["mean_return", "n", "mean_z"])
 
 
+@query
+def comparison_statuses(c):
+    """Statuses of comparisons that lack a metric, a key column, a table, or any metric in common."""
+    base = c.panel.groupBy("entity").agg(F.avg("past_4w").alias("mean_return"), F.avg("z").alias("mean_z"))
+    pairs = {"metric": (base, base.drop("mean_z")), "key": (base, base.withColumnRenamed("entity", "stock")), "table": (base, None), "none": (base, base.select("entity"))}
+    out = None
+    for name, (a, b) in pairs.items():
+        df = governance.compare_tables(c.spark, a, b, ["entity"], ["mean_return", "mean_z"]).withColumn("name", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy("name", "status", "missing").agg(F.count(F.lit(1)).alias("n"), F.sum("delta").alias("delta"))
+
+
+@query
+def coverage_statuses(c):
+    """Coverage from raw inputs that are broken on purpose: late starts, a close without value, no prices, a short panel."""
+    universe = c.weekly.select("entity").distinct().unionByName(c.spark.createDataFrame([("Brand#99",)], "entity string"))
+    interest = c.weekly.withColumn("start", F.when(F.col("entity") == "Brand#11", F.date_add("start", 1)).otherwise(F.col("start")))
+    prices = c.prices.filter("entity <> 'Brand#13'").withColumn("close", F.when(F.col("entity") != "Brand#12", F.col("close")))
+    rows = c.panel.filter("entity <> 'Brand#14' and (entity <> 'Brand#15' or week < date '1996-01-01')")
+    rows = rows.withColumn("future_excess_4w", F.when(F.col("entity") != "Brand#21", F.col("future_excess_4w")))
+    return panel.input_coverage(universe, interest, prices, c.market, rows)
+
+
 @query
 def batch_assignment(c):
     return governance.batches(c.weekly.select("entity").distinct(), "Brand#11")

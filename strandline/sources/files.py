@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.asof import assert_contract
+
 
 def _entity() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"_([^_/]+)\.[a-z]+$", 1)
@@ -38,12 +40,12 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(entity, date, close, volume, money); of several rows of a day the last in the file stands."""
+    """(entity, date, close, volume, money); of several rows of a day the last stands, by file name and place in the file."""
     raw = _csv(spark, require(spark, path, "prices"))
     if missing := {"date", "close"} - set(raw.columns):
         raise ValueError(f"price columns are missing: {sorted(missing)}")
     number = lambda c: (F.col(c) if c in raw.columns else F.lit(None)).cast("double")
-    df = raw.select("entity", F.to_date("date").alias("date"), number("close").alias("close"), number("Trading_Volume").alias("volume"), number("Trading_money").alias("money"), F.monotonically_increasing_id().alias("__at"))
+    df = raw.select("entity", F.to_date("date").alias("date"), number("close").alias("close"), number("Trading_Volume").alias("volume"), number("Trading_money").alias("money"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("__at"))
     last = F.row_number().over(Window.partitionBy("entity", "date").orderBy(F.desc("__at")))
     return df.withColumn("__n", last).filter("__n = 1").drop("__n", "__at")
 
@@ -81,17 +83,28 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(entity, ...) of a JSON manifest of entries by entity."""
+    """(entity, ...) of a JSON manifest of entries by entity: one document, or a line for each entry."""
     entry = "struct<path:string,scale_factor:double,timeframe:string,geo:string,request_sha256:string,file_sha256:string,error:string>"
-    raw = spark.read.option("multiLine", True).schema(f"entries map<string,{entry}>").json(require(spark, path, "manifest"))
+    lines = not path.endswith(".json")  # a single document may be spread over lines
+    raw = spark.read.option("multiLine", not lines).schema(f"entries map<string,{entry}>").json(require(spark, path, "manifest"))
     return raw.select(F.explode("entries").alias("entity", "e")).select("entity", "e.*")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Entries by entity as one JSON document; a manifest has a row for each entity."""
+    """One JSON line for each entity's entry, so that no task holds all of them; read_manifest reads them."""
     fields = [c for c in manifest.columns if c != "entity"]
-    entries = F.map_from_entries(F.collect_list(F.struct("entity", F.struct(*fields))))
-    manifest.agg(entries.alias("entries")).write.mode("overwrite").json(path)
+    entries = F.create_map(F.col("entity"), F.struct(*fields))
+    manifest.select(entries.alias("entries")).write.mode("overwrite").json(path)
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A stored panel; rows that break the look-ahead contract stop the job that reads them."""
+    return assert_contract(spark.read.parquet(require(spark, path, "panel")))
+
+
+def safe_name(path: str) -> str:
+    """The path under which a table made by the as-of contract is stored, beside the one that it supersedes."""
+    return path.rstrip("/") if path.rstrip("/").endswith("_asof_safe") else path.rstrip("/") + "_asof_safe"
 
 
 def write_table(df: DataFrame, path: str, csv: bool = False) -> None:

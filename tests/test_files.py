@@ -56,3 +56,16 @@ def test_sinks(spark, tmp_path):
     m = spark.createDataFrame([("a", "p", 1.0, "t", "g", "r", "f", None)], "entity string, path string, scale_factor double, timeframe string, geo string, request_sha256 string, file_sha256 string, error string")
     files.write_manifest(m, str(tmp_path / "m"))
     assert files.read_manifest(spark, str(tmp_path / "m")).collect() == m.collect()
+
+
+def test_panel_is_asserted_when_read(spark, tmp_path):
+    d = dt.date(2022, 1, 2)
+    row = (d, d + dt.timedelta(6), d + dt.timedelta(14), d + dt.timedelta(14), d + dt.timedelta(15), d + dt.timedelta(14), d + dt.timedelta(15))
+    kind = "start date, period_end date, available_at date, signal_date date, first_tradeable_at date, feature_date date, return_start date"
+    good, bad = files.safe_name(f"{tmp_path}/good/"), f"{tmp_path}/bad"
+    assert good.endswith("good_asof_safe") and files.safe_name(good) == good
+    spark.createDataFrame([row], kind).write.parquet(good)
+    spark.createDataFrame([(*row[:5], row[6], row[6])], kind).write.parquet(bad)
+    assert files.read_panel(spark, good).count() == 1
+    with pytest.raises(Exception, match="look-ahead"):
+        files.read_panel(spark, bad).collect()

@@ -181,6 +181,32 @@ def test_repeat_stability(spark):
     assert got["one", "two"].mean_abs_diff == pytest.approx(8 / 3) and got["one", "part"].r == pytest.approx(1)
 
 
+def test_comparison_of_tables(spark):
+    old = spark.createDataFrame([("m1", 0.1, 2.0), ("m2", 0.2, 3.0)], "model string, coefficient double, t double")
+    status = lambda a, b: sorted((r.status, r.missing) for r in governance.compare_tables(spark, a, b, ["model"], ["coefficient", "t"]).collect())
+    assert status(None, old) == [("blocked_missing_table", "legacy")]
+    assert status(old.drop("model"), old) == [("blocked_missing_legacy_key", "model")]
+    assert status(old, old.drop("t").limit(1)) == [("blocked_missing_corrected_key", None), ("blocked_missing_corrected_metric", "t"), ("compared", None)]
+    assert ("blocked_no_common_metrics", None) in status(old.drop("t"), old.drop("coefficient"))
+    assert status(old.limit(0), old.limit(0)) == [("blocked_no_common_keys", None)]
+
+
+def test_provenance_of_superseded_files(spark, tmp_path):
+    for name in ("a.csv", "a_asof_safe.csv", "b.csv"):
+        (tmp_path / name).write_text(name)
+    files = governance.file_hashes(spark, str(tmp_path), "*.csv")
+    at = lambda x: f"{tmp_path}/{x}"
+    rows = [("x", at("a.csv"), at("a_asof_safe.csv"), None), ("y", at("b.csv"), None, "no data"), ("z", at("c.csv"), at("c_asof_safe.csv"), None)]
+    inventory = spark.createDataFrame(rows, "claim_area string, legacy string, corrected string, reason string")
+    got = {r.claim_area: r for r in governance.legacy_provenance(inventory, files).collect()}
+    assert [got[k].headline_status for k in "xyz"] == ["corrected_counterpart_available", "blocked_not_regenerated", "blocked_corrected_counterpart_missing"]
+    assert got["x"].legacy_present and got["x"].corrected_sha256 and not got["z"].legacy_present
+    found = files.select(F.col("path").alias("name"))
+    governance.assert_inventory_complete(inventory.select(F.col("legacy").alias("name")), found)
+    with pytest.raises(ValueError, match="b.csv"):
+        governance.assert_inventory_complete(inventory.filter("claim_area = 'x'").select(F.col("legacy").alias("name")), found)
+
+
 def test_missing_artifacts(spark):
     one = spark.createDataFrame([("a",), ("b",)], "name string")
     assert [r.name for r in governance.missing_artifacts(one, one.filter("name = 'a'")).collect()] == ["b"]
