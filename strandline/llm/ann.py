@@ -9,7 +9,7 @@ scored exactly, in double precision, on the original vectors.
 
 How many lists to probe is set on the sample: the fewest that hold ``recall`` of its true neighbours. There is a list
 for each ``list_rows`` vectors, up to ``most_lists``, and the sample has 16 vectors a list or more (131,072 at most).
-Index and search cover every row. Scale: rows are dealt to cells (list, part of the list, part of its queries) of bounded size, so that a
+Index and search cover every row; a query whose lists hold fewer than k others probes further ones. Scale: rows are dealt to cells (list, part of the list, part of its queries) of bounded size, so that a
 hot list or many equal vectors are split; each cell returns k rows a query at
 most, and beyond the nearest lists only what reaches their k-th score, merged by a rank per query.
 """
@@ -95,7 +95,7 @@ def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float, known: float) -> np.ndarray:
     """Places of candidates that survive: partial distances by column block, a test after each.
 
-    ``known``: a squared distance within which k candidates are known already.
+    ``known``: a squared distance within which k candidates are known already; without one, k survive at least.
     """
     n, d = columns[0].shape[1], sum(len(c) for c in columns)
     if n <= 2 * k:
@@ -112,6 +112,9 @@ def scan(query: np.ndarray, columns: list[np.ndarray], k: int, error: float, kno
         at += len(c)
         # The scaled partial distance errs by a factor of about 1 +- error / sqrt(at) either way.
         keep = part * (d / at) <= limit * (1 + (error / np.sqrt(at) if at < d else 1e-4)) ** 2
+        if np.count_nonzero(keep) < k:  # too many abandoned, as the test may err: the nearest so far stay
+            best = np.argsort(part, kind="stable")[:k]
+            keep[best[part[best] <= known * (1 + 1e-4)]] = True
         alive, part = alive[keep], part[keep]
         if len(alive) > k and at < d:
             limit = min(limit, np.partition(part, k - 1)[k - 1] * (d / at) * (1 + error / np.sqrt(at)) ** 2)
@@ -147,15 +150,23 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
             near = nearest(x, m["centres"], 1)[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary()), pa.array(near.astype(np.int32))], names=["id", "v", "x", "list"])
 
+    index = save(rows.mapInArrow(place, "id bigint, v array<double>, x binary, list int"), folder, "index")
+    held = np.zeros(len(model["centres"]), np.int64)
+    for r in index.groupBy("list").count().collect():  # a row for each list
+        held[r["list"]] = r["count"]
+    sizes = spark.sparkContext.broadcast(held)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             x = turn(_matrix(batch.column(1)), None, m["rotation"])
-            near = nearest(x, m["centres"], m["probe"])
-            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1], pa.array(near.astype(np.int32).ravel()))
+            order = nearest(x, m["centres"], len(m["centres"]))
+            # The lists that the sample asks for, and further ones until they hold k others, if there are so many.
+            enough = (np.cumsum(sizes.value[order], axis=1) <= k).sum(axis=1) + 1
+            n = np.minimum(np.maximum(enough, m["probe"]), order.shape[1])
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(order[np.arange(order.shape[1]) < n[:, None]].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary()), lists], names=["id", "v", "x", "lists"])
 
-    index = save(rows.mapInArrow(place, "id bigint, v array<double>, x binary, list int"), folder, "index")
     queries = save(rows.filter(F.col("id") % every == 0).mapInArrow(probe, "id bigint, v array<double>, x binary, lists array<int>"), folder, "queries")
     # First the nearest lists; their k-th score is the bar for what the other lists return.
     near = max(1, model["probe"] // 4)

@@ -306,9 +306,102 @@ def test_estimate_matches_expectation_maximisation_by_rows():
     assert share == pytest.approx(0.8, abs=0.03) and all(abs(r[-1][0] - 0.7) < 0.1 and abs(r[1][1] - 0.9) < 0.05 for r in rates)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.9])
+def test_estimate_is_expectation_maximisation_by_rows(share):
+    rng = np.random.default_rng(7)
+    good = rng.random(3000) < share
+    votes = np.stack([np.where(good, rng.choice([-1, 0, 1], 3000, p=[0.05, 0.25, 0.7]), rng.choice([-1, 0, 1], 3000, p=[0.7, 0.2, 0.1])) for _ in range(5)], axis=1)
+    got, rates = quality_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 5, rounds=30)
+    prior, weight = {-1: (0.3, 0.02), 0: (0.6, 0.38), 1: (0.1, 0.6)}, 1 + 0.02 * 3000
+    belief = np.where((votes == -1).any(axis=1), 0.15, 0.95)
+    for _ in range(30):  # one row at a time in spirit: no counts of patterns
+        pi = (belief.sum() + 1) / (len(belief) + 2)
+        table = [{v: (((1 - belief)[votes[:, r] == v].sum() + weight * prior[v][0]) / ((1 - belief).sum() + weight), (belief[votes[:, r] == v].sum() + weight * prior[v][1]) / (belief.sum() + weight)) for v in (-1, 0, 1)} for r in range(5)]
+        z = np.full(len(votes), np.log(pi / (1 - pi)))
+        for r in range(5):
+            for v in (-1, 0, 1):
+                x = np.log(table[r][v][1] / table[r][v][0])
+                z[votes[:, r] == v] += min(0, x) if v < 0 else max(0, x) if v > 0 else x
+        belief = 1 / (1 + np.exp(-z))
+    assert got == pytest.approx(pi, rel=1e-6) and abs(got - share) < 0.05
+    assert all(rates[r][v] == pytest.approx(table[r][v], rel=1e-6) for r in range(5) for v in (-1, 0, 1))
+
+
+def test_quality_classifier_trains_on_posteriors(spark, monkeypatch):
+    docs, labels = junk_and_prose(spark)
+    real = quality_rules.estimate
+    swapped = lambda *a, **k: (real(*a, **k)[0], [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in real(*a, **k)[1]])
+    before = {r.doc_id: r.quality for r in quality_model.classify(docs, labels).collect()}
+    monkeypatch.setattr(quality_rules, "estimate", swapped)
+    after = {r.doc_id: r.quality for r in quality_model.classify(docs, labels).collect()}
+    assert np.mean([abs(before[i] - after[i]) > 0.1 for i in range(400)]) > 0.15
+
+
+def test_language_id_against_brute_force(spark):
+    rng, rows = random.Random(11), []
+    for i in range(90):
+        parts = [["kora", "mitu", "salo"], ["brunk", "stelz", "dorf"], ["elio", "aunei", "oua"]][i % 3]
+        rows.append((i, " ".join(rng.choice(parts) + rng.choice(["", "n", "s", "x" * 70]) for _ in range(9)), "abc"[i % 3] * 2))
+    rows += [(i, t, "aa") for i, t in ((90, "korastelz unknown zzz"), (91, "ou kor bru"), (92, "elio! 99 (mitu)"))]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    counts = [Counter() for _ in range(5)]
+    for _, text, lang in learned:
+        for chunk in text.split():
+            for w in langid.pieces(langid.clean(chunk)):
+                counts[0][w, lang] += 1
+                for n in langid.LENGTHS:
+                    for g in langid.grams(w, n):
+                        counts[n][g, lang] += 1
+    langs = sorted({r[2] for r in learned})
+    items = [{x for x, _ in c} for c in counts]
+    log = lambda n, x: np.array([np.log((counts[n][x, lang] + 0.5) / (sum(c for (_, g), c in counts[n].items() if g == lang) + 0.5 * (len(items[n]) + 1))) for lang in langs])
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    for i, text, _ in rows[::7] + rows[-3:]:
+        z = np.zeros(len(langs))
+        for chunk in text.split():
+            for w in langid.pieces(langid.clean(chunk)):
+                if w in items[0]:
+                    z += log(0, w)
+                else:
+                    known = next((k for n in langid.LENGTHS if (k := [log(n, g) for g in langid.grams(w, n) if g in items[n]])), [np.zeros(len(langs))])
+                    z += np.mean(known, axis=0)
+        assert got[i].lang_pred == langs[int(z.argmax())] and got[i].score == pytest.approx(1 / np.exp(z - z.max()).sum(), rel=1e-3)
+
+
+def test_language_sample_is_shared_out():
+    assert langid.shares({"a": 1_000_000, "b": 50, "c": 3_000}, 1_000) == pytest.approx({"b": 1, "c": 475 / 3_000, "a": 475 / 1_000_000})
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    many = " ".join(f"w{rng.randrange(50_000)}" + ("\n" if k % 40 == 0 else "") for k in range(250_000))
+    texts = [many, "x" * 1_000_000, many + " end"]
+    docs = table(spark, texts)
+    n = [len(words(t)) for t in texts]
+    got = {r.doc_id: r for r in jaccard_join.similar_texts(docs).collect()}
+    assert [got[i].component_id for i in range(3)] == [0, 1, 0] and got[1].n_shingles == 1
+    assert [r.n_words for r in quality_rules.judge(docs).orderBy("doc_id").collect()] == n
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs, digest=True).orderBy("doc_id").collect()] == [n[0], 0, n[0]]
+    assert [r.n_removed > 0 for r in line_dedup.remove_lines(docs).orderBy("doc_id").collect()] == [False, False, True]
+    assert [r.decoded_sha256 for r in bpe.encode_documents(docs, RANKS, P.PATTERN, digest=True).orderBy("doc_id").collect()] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert token_files.round_trip(docs, WORDS).count() == 3 and langid.identify(docs).count() == 3 and quality_model.classify(docs).count() == 3
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_equal_rows_are_told_apart(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(100)), "a", x) for x in "pqr"] + [(2, "z " * 60, "b", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, key string")
+    taken = Counter()
+    for r in mixing.mix(docs, block_words=8).collect():
+        taken[r.doc_id] += r.taken
+    held = Counter()
+    for r in mixing.mixed_documents(docs, block_words=8).collect():
+        held[r.doc_id] += len(words(r.text))
+    assert held == taken
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, block_words=8, shard_words=700).collect()
     sizes = Counter((r.doc_id, r.source, r.size) for r in got)
@@ -390,6 +483,34 @@ def test_nearest_neighbours(spark, n):
     assert set(got) == set(range(0, n, 20)) and hits >= 0.9 * total
 
 
+def test_equal_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 64)).astype(np.float32)
+    v = base[rng.integers(0, 40, 1000)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(1000)], "vec_id bigint, embedding array<float>")
+    of, hits, total = [tuple(x) for x in v.tolist()], 0, 0
+    for q, rows in _by_query(ann.search(df, "vec_id", "embedding", list_rows=100)).items():
+        assert [(-s, i) for _, i, s in rows] == sorted((-s, i) for _, i, s in rows) and len(rows) == 20
+        scores = {}
+        for _, i, s in rows:
+            assert scores.setdefault(of[i], s) == s  # equal vectors, equal scores
+        exact = ann.inner(v.astype(float), v[q].astype(float))
+        assert all(exact[i] == s for _, i, s in rows)
+        for c in scores:  # of equal vectors those of smallest id
+            mine = [i for _, i, _ in rows if of[i] == c]
+            assert mine == [i for i in range(1000) if of[i] == c and i != q][: len(mine)]
+        hits += sum(s >= np.sort(np.delete(exact, q))[-20] for _, _, s in rows)
+        total += 20
+    assert hits >= 0.9 * total
+
+
+def _by_query(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(rows) for q, rows in got.items()}
+
+
 def test_nearest_neighbours_of_nothing(spark):
     assert ann.search(spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<float>"), "vec_id", "embedding").count() == 0
 

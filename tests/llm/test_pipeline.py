@@ -1,6 +1,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm import quality_rules
@@ -49,5 +50,22 @@ def test_stages(spark, folder):
             assert sorted(map(str, [(r.doc_id, r.text) for r in b])) == sorted(map(str, [(r.doc_id, r.text) for r in a]))
 
 
+def test_other_columns_pass_through(spark, folder):
+    names = ["n_words", "kept", "quality", "vote_length", "__key", "key", "n_lines", "n_removed", "row", "size", "taken", "copy", "starts", "of", "a.b"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns[-len(names) :] == names
+        assert docs.count() and all(list(r)[-len(names) :] == names for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0 and len(corpus_pipeline.STAGES) == 5
