@@ -187,8 +187,25 @@ class Context:
         return self.keep(raw.join(kept, "definition").join(naive, "definition").join(clustered, "definition"))
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of what lies in the folder: other data, another context."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _contexts:
+    """The context of a session and folder; a new one, and the old one's tables removed, where the data have changed."""
+    key, stamp = (spark.sparkContext.applicationId, sf_dir), _stamp(spark, sf_dir)
+    if key not in _contexts or _contexts[key].stamp != stamp:
+        forget(spark, sf_dir)
         _contexts[key] = Context(spark, sf_dir)
+        _contexts[key].stamp = stamp
     return _contexts[key]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Remove the stored tables of a session and folder."""
+    old = _contexts.pop((spark.sparkContext.applicationId, sf_dir), None)
+    if old is not None:
+        store.remove(spark, old.folder)
