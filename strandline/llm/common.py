@@ -108,13 +108,14 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
-def whole(df: DataFrame) -> Column:
-    """The whole row of ``df`` as one column ``row``: other columns of an operator cannot clash with names inside it."""
-    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+def whole(df: DataFrame, *without: str) -> Column:
+    """The row of ``df``, or all but some columns, as one column ``row``: its columns cannot clash with an operator's names."""
+    held = [F.col(quoted(c)) for c in df.columns if c not in without]
+    return F.struct(*(held or [F.lit(True).alias("none")])).alias("row")
 
 
 def unwrapped(df: DataFrame, **instead: Column) -> list[Column]:
-    """The columns of ``df`` from the column ``row`` that ``whole`` made, some of them replaced."""
+    """The columns of ``df`` from the column ``row`` that ``whole`` made, some of them from elsewhere."""
     return [(instead[c] if c in instead else F.col("row")[c]).alias(c) for c in df.columns]
 
 

@@ -70,8 +70,9 @@ def remove_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     folder = work_dir(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.select(whole(docs), "text", "doc_id", row_key("doc_id", "text").alias("key"))
-    later = later_runs(keyed.select("key", "doc_id", "text"), folder, run).select(F.col("key").alias("of"), "starts")
+    key = row_key("doc_id", "text").alias("key")
+    keyed = docs.select(whole(docs, "text"), "text", key)
+    later = later_runs(docs.select(key, "doc_id", "text"), folder, run).select(F.col("key").alias("of"), "starts")
     # The same plan at every size: a small table of deletions would be broadcast, a large one not.
     joined = keyed.join(later.hint("merge"), F.col("key") == F.col("of"), "left").select("row", "text", "starts")
     joined = joined.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))

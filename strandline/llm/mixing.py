@@ -109,7 +109,7 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     counts. Words of a partly taken row are joined by one space. Rows equal in doc_id, source and text are numbered, and
     each gets the taken words of its number.
     """
-    keyed = docs.select(whole(docs), "text", row_key("doc_id", "source", "text").alias("key"))
+    keyed = docs.select(whole(docs, "text"), "text", row_key("doc_id", "source", "text").alias("key"))
     alike = Window.partitionBy("key")
     keyed = keyed.withColumn("n", F.row_number().over(alike.orderBy(F.xxhash64("row"))))
     taken = mix(docs, **how).select("key", "size", "taken")
