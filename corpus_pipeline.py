@@ -46,22 +46,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeated runs of lines go, and documents of which no word is left."""
-    out = line_dedup.remove_lines(docs.select(whole(docs), "doc_id", "text"))
+    out = line_dedup.remove_lines(docs.select(whole(docs, "doc_id", "text"), "doc_id", "text"))
     out = out.filter((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(WHITE)) != ""))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
-    return out.select(*unwrapped(docs, text=F.col("text"), n_chars=length))
+    return out.select(*unwrapped(docs, doc_id=F.col("doc_id"), text=F.col("text"), n_chars=length))
 
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each group of linked documents the one of smallest doc_id stays."""
     folder = work_dir(spark)
-    keyed = docs.select(whole(docs), "doc_id", "text", row_key("doc_id", "text").alias("key"))
+    keyed = docs.select(whole(docs, "doc_id", "text"), "doc_id", "text", row_key("doc_id", "text").alias("key"))
     ids = save(keyed.select("doc_id", "key"), folder, "ids")
     groups = jaccard_join.similar_texts(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")).distinct()
     best = ids.join(groups, "key").groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
     stay = save(best.select("best.key"), folder, "stay")
-    return keyed.join(stay.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*unwrapped(docs))
+    return keyed.join(stay.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*unwrapped(docs, doc_id=F.col("doc_id"), text=F.col("text")))
 
 
 @_stage
