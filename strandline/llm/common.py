@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-#: Rows in a batch between the JVM and Python workers.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch between the JVM and Python workers, at most (or one larger row).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 #: Work folders in order of making.
 made: list[str] = []
@@ -27,10 +27,16 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the library's modules to the executors (once per application), for functions that run in Python there."""
+    """Send the library's modules to the executors (once per application), for functions that run in Python there.
+
+    Bounds the session's Arrow batches too, where it has not set smaller ones: in rows, and in bytes if that was left at
+    its default.
+    """
     # Texts can be long: batches of the default 10,000 of them would take a worker's memory by themselves.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
