@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, langid, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_files
+from . import ann, bpe, filter_audit, jaccard_join, langid, line_dedup, mixing, packing, phrases, quality_model, quality_rules, substring_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,84 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_OP11_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), fails AS (
+    SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM texts
+), masks AS (
+    SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM fails LEFT JOIN (SELECT doc_id AS of, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) ON of = doc_id
+), counts AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY 1, 2
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), permutations AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+    SELECT filter_order, step::INT AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM permutations, range(1, 6) s(step)
+), done AS (
+    SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+    FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM done
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir))
+
+
+_OP12_SQL = r"""
+WITH tokens AS (
+    SELECT doc_id, lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
+        SELECT doc_id, lang, generate_subscripts(p, 1) AS piece, list_filter(string_split_regex(unnest(p), '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+            SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents))
+), ahead AS (
+    SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4, lead(word, 4) OVER p AS w5
+    FROM tokens WINDOW p AS (PARTITION BY doc_id, piece ORDER BY k)
+), counts AS (
+    SELECT lang, w, count(*) AS a FROM (
+        SELECT lang, unnest([[w1], [w1, w2], [w1, w2, w3], [w1, w2, w3, w4], [w1, w2, w3, w4, w5]][1:1 + (w2 IS NOT NULL)::INT + (w3 IS NOT NULL)::INT + (w4 IS NOT NULL)::INT + (w5 IS NOT NULL)::INT]) AS w FROM ahead)
+    GROUP BY 1, 2
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE len(w) = 1 GROUP BY 1
+), often AS (
+    SELECT * FROM counts WHERE a >= 100
+), inside AS (
+    SELECT s.lang, s.w FROM often s JOIN often b ON s.lang = b.lang AND s.a <= b.a AND len(b.w) = len(s.w) + 1 AND (b.w[1:len(s.w)] = s.w OR b.w[2:] = s.w)
+), cuts AS (
+    SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM often ANTI JOIN inside USING (lang, w) WHERE len(w) > 1
+), scores AS (
+    SELECT c.lang, array_to_string(c.w, ' ') AS phrase, c.a, x.a AS l, y.a AS r, n, k, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+    FROM cuts c JOIN totals t ON t.lang = c.lang JOIN often x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN often y ON y.lang = c.lang AND y.w = c.w[k + 1:]
+), best AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -130,4 +208,4 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM dead GROUP BY 1) b ON b.doc_id = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op7_substring_dedup": _OP7_SQL}
+    return {"op11_filter_audit": _OP11_SQL, "op12_phrases": _OP12_SQL, "op1_jaccard_join": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op7_substring_dedup": _OP7_SQL}

@@ -43,7 +43,7 @@ MARKS = b".,;:!?*%&$#"
 _coders: dict[str, WordCoder] = {}
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -77,7 +77,7 @@ class WordCoder(dict):
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         self.by_words = all(settings.get(k) == v for k, v in BY_WORDS.items())
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(MARKS)
