@@ -51,21 +51,23 @@ def common_days(prices: DataFrame, market: DataFrame) -> DataFrame:
     return prices.join(market.select("date"), "date", "left_semi")
 
 
-def windows(events: DataFrame, prices: DataFrame, market: DataFrame, spine: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
+def windows(events: DataFrame, prices: DataFrame, market: DataFrame, calendar: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
     """(entity, week, offset, start, end, stock_return, market_return, ar) of raw closes, for each event (entity, week).
 
-    ``spine`` is that of common_days. Offsets from 1 count weeks from the anchor (return_start); offset 0 ends on the last day before it and earlier ones
+    ``calendar`` has the prices of common_days, or their spine. Offsets from 1 count weeks from the anchor (return_start); offset 0 ends on the last day before it and earlier ones
     each end where the next begins, a week before. Rows without bounds or a return are left out.
     """
     days = common_days(prices, market)
     both = days.select("entity", "date", "close").join(market.select("date", F.col("close").alias("mclose")), "date")
     ev = events.select("entity", "week", "return_start").distinct()
-    after = ev.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(post))))
-    after = asof.snap(after, spine, "entity", F.expr("date_add(return_start, 7 * (offset - 1))"), start="at_or_after")
-    after = asof.snap(after, spine, "entity", F.expr("date_add(return_start, 7 * offset)"), end="at_or_after")
-    chain = asof.snap(ev, spine, "entity", F.col("return_start"), t0="strictly_before")
+    # Each offset ends where the next begins: one lookup of all ends, and the one before from the row before.
+    after = ev.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(post))))
+    after = asof.snap(after, calendar, "entity", F.expr("date_add(return_start, 7 * offset)"), end="at_or_after")
+    after = after.withColumn("start", F.lag("end").over(Window.partitionBy("entity", "week", "return_start").orderBy("offset"))).filter("offset > 0")
+    after = after.select("entity", "week", "return_start", "offset", "start", "end")
+    chain = asof.snap(ev, calendar, "entity", F.col("return_start"), t0="strictly_before")
     for k in range(pre + 1):
-        chain = asof.snap(chain, spine, "entity", F.date_sub(f"t{k}", 7), **{f"t{k + 1}": "at_or_before"})
+        chain = asof.snap(chain, calendar, "entity", F.date_sub(f"t{k}", 7), **{f"t{k + 1}": "at_or_before"})
     hops = F.array(*[F.struct(F.lit(-k).alias("offset"), F.col(f"t{k + 1}").alias("start"), F.col(f"t{k}").alias("end")) for k in range(pre + 1)])
     before = chain.select("entity", "week", "return_start", F.explode(hops).alias("h")).select("entity", "week", "return_start", "h.*")
     bounds = after.unionByName(before).filter(F.col("end") > F.col("start"))

@@ -22,13 +22,13 @@ def attention(weekly: DataFrame) -> DataFrame:
 def adjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
     """Adds ``adj``: close times after / before of every action with a later ex-date.
 
-    Actions join the days they fall on as a product of their factors, and one reversed window multiplies them up; an
+    Actions join the days they fall on as a product of their factors, and one window from the last day on multiplies them up; an
     action on a day without a price falls on the next day that has one, whose earlier days it adjusts all the same.
     """
     good = actions.filter((F.col("before_price") > 0) & (F.col("after_price") > 0))
     factors = good.groupBy("entity", F.col("ex_date").alias("date")).agg(F.product(F.col("after_price") / F.col("before_price")).alias("factor"))
     line = prices.withColumn("__price", F.lit(True)).join(factors, ["entity", "date"], "full")
-    later = Window.partitionBy("entity").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("entity").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows
     line = line.withColumn("adj", F.col("close") * F.coalesce(F.product("factor").over(later), F.lit(1.0)))
     return line.filter("__price").drop("__price", "factor")
 

@@ -35,11 +35,11 @@ def rolled(flows: DataFrame, volume: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def panel_flows(panel: DataFrame, rolled_: DataFrame, flow_spine: DataFrame, raw_spine: DataFrame) -> DataFrame:
-    """The panel with each week's flows (``flow_spine``: days with flows; ``raw_spine``: raw closes) as of its feature date: sums, shares of volume, and value at the raw close."""
+def panel_flows(panel: DataFrame, rolled_: DataFrame, flow_prices: DataFrame, raw_prices: DataFrame) -> DataFrame:
+    """The panel with each week's flows (``flow_prices``: days with flows; ``raw_prices``: raw closes) as of its feature date: sums, shares of volume, and value at the raw close."""
     keys = panel.select("entity", "week", "feature_date")
-    keys = asof.snap(keys, flow_spine, "entity", F.col("feature_date"), flow_date="at_or_before")
-    keys = asof.snap(keys, raw_spine, "entity", F.col("feature_date"), px="price_before")
+    keys = asof.snap(keys, flow_prices, "entity", F.col("feature_date"), flow_date="at_or_before")
+    keys = asof.snap(keys, raw_prices, "entity", F.col("feature_date"), px="price_before")
     got = keys.join(rolled_.withColumnRenamed("date", "flow_date"), ["entity", "flow_date"])
     out = ["entity", "week"]
     for n in NETS:

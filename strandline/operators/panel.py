@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.expressions import ratio, rounded, wide
@@ -13,40 +13,70 @@ from . import asof, features
 PAST, AHEAD = (1, 4, 8, 12, 26), (1, 2, 4)
 
 
-def signals(attention: DataFrame, spine: DataFrame) -> DataFrame:
+def signals(attention: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weeks that can be traded: mean known, a trading day at or after the signal, and one before that."""
     df = attention.filter(F.col("ma52").isNotNull()).withColumn("week", F.col("signal_date"))
-    df = asof.snap(df, spine, "entity", F.col("signal_date"), first_tradeable_at="at_or_after")
-    df = asof.snap(df, spine, "entity", F.col("first_tradeable_at"), feature_date="strictly_before")
+    df = asof.snap(df, calendar, "entity", F.col("signal_date"), first_tradeable_at="at_or_after")
+    df = asof.snap(df, calendar, "entity", F.col("first_tradeable_at"), feature_date="strictly_before")
     df = df.filter(F.col("first_tradeable_at").isNotNull() & F.col("feature_date").isNotNull())
     return df.withColumn("return_start", F.col("first_tradeable_at")).withColumn("z_window_end", F.col("period_end"))
 
 
-def past_returns(sig: DataFrame, spine: DataFrame, weeks: tuple[int, ...] = PAST) -> DataFrame:
+def _at_once(df: DataFrame, prices: DataFrame, targets: dict[str, Column], day: str, price: str) -> DataFrame:
+    """(entity, week, <name>_day and <name>_price for each target day): all targets of a row are rows of one lookup."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), d.alias("target")) for k, d in targets.items()]))
+    long = df.select("entity", "week", each.alias("x")).select("entity", "week", "x.*")
+    long = asof.lookup(long, prices, "entity", F.col("target"), found=day, close=price)
+    names = list(targets)
+    return long.groupBy("entity", "week").agg(*wide("what", F.col("found"), names, "{}_day"), *wide("what", F.col("close"), names, "{}_price"))
+
+
+def past_returns(sig: DataFrame, calendar: DataFrame, weeks: tuple[int, ...] = PAST) -> DataFrame:
     """Trailing returns for all horizons at once: horizons are rows, looked up together, then turned into columns."""
     long = sig.select("entity", "week", "feature_date", F.explode(F.array(*map(F.lit, weeks))).alias("n"))
-    long = asof.trailing_return(long, spine, "entity", "feature_date", "n", "r")
+    long = asof.trailing_return(long, calendar, "entity", "feature_date", "n", "r")
     return long.groupBy("entity", "week").agg(*wide("n", rounded(F.col("r"), 4), list(weeks), "past_{}w"))
 
 
-def ahead_returns(sig: DataFrame, spine: DataFrame, weeks: tuple[int, ...] = AHEAD) -> DataFrame:
+def looking_back(sig: DataFrame, prices: DataFrame, weeks: tuple[int, ...] = PAST, total: int = 52, skip: int = 4) -> DataFrame:
+    """(entity, week, past_{n}w, weekly_return, market_weekly_return, past_52w_skip4w): returns up to the feature date.
+
+    The date is snapped once; then the starts of all horizons, counted from there, and both ends of the return that skips
+    the last weeks, counted from the date itself, are looked up together.
+    """
+    one = asof.lookup(sig.select("entity", "week", "feature_date"), prices, "entity", F.col("feature_date"), t1="at_or_before", p1="price_before")
+    starts = {f"n{n}": F.date_sub("t1", 7 * n) for n in {*weeks, 1}}
+    found = _at_once(one, prices, {**starts, "total": F.date_sub("feature_date", 7 * total), "skip": F.date_sub("feature_date", 7 * skip)}, "at_or_before", "price_before")
+    one = asof.lookup_one(one, prices, MARKET, F.col("feature_date"), m1="at_or_before", q1="price_before")
+    one = asof.lookup_one(one, prices, MARKET, F.date_sub("m1", 7), m0="at_or_before", q0="price_before")
+    one = one.join(found, ["entity", "week"])
+    back = {f"past_{n}w": rounded(asof.window_return(f"n{n}_day", "t1", f"n{n}_price", "p1"), 4) for n in weeks}
+    return one.select(
+        "entity", "week", *[c.alias(n) for n, c in back.items()],
+        rounded(asof.window_return("n1_day", "t1", "n1_price", "p1"), 4).alias("weekly_return"), rounded(asof.window_return("m0", "m1", "q0", "q1"), 4).alias("market_weekly_return"),
+        rounded(asof.window_return("total_day", "skip_day", "total_price", "skip_price"), 4).alias("past_52w_skip4w"),
+    )
+
+
+def ahead_returns(sig: DataFrame, prices: DataFrame, weeks: tuple[int, ...] = AHEAD) -> DataFrame:
     """Forward returns of entity and market (each on its own calendar), excess of the unrounded two, end days."""
-    long = sig.select("entity", "week", "first_tradeable_at", F.explode(F.array(*map(F.lit, weeks))).alias("n"))
-    long = asof.forward_return(long, spine, "entity", "first_tradeable_at", "n", "r", "e")
-    long = asof.forward_return(long, spine, F.lit(MARKET), "first_tradeable_at", "n", "m", "me")
-    cols = [*wide("n", F.col("e"), list(weeks), "return_end_{}w"), *wide("n", rounded(F.col("r"), 4), list(weeks), "future_{}w"), *wide("n", rounded(F.col("r") - F.col("m"), 4), list(weeks), "future_excess_{}w")]
-    return long.groupBy("entity", "week").agg(*cols)
-
-
-def build(attention: DataFrame, spine: DataFrame, prices: DataFrame) -> DataFrame:
-    """The panel. ``prices`` has price_features and industry; ``spine`` holds the entities and the market."""
-    sig = signals(attention, spine)
-    one = sig.select("entity", "week", "feature_date", F.lit(1).alias("n"))
-    one = asof.trailing_return(one, spine, "entity", "feature_date", "n", "w")
-    one = asof.trailing_return(one, spine, F.lit(MARKET), "feature_date", "n", "m")
-    one = asof.skip_return(one, spine, "entity", "feature_date", 52, 4, "s")
-    one = one.select("entity", "week", rounded("w", 4).alias("weekly_return"), rounded("m", 4).alias("market_weekly_return"), rounded("s", 4).alias("past_52w_skip4w"))
-    one = one.withColumn("weekly_excess", rounded(F.col("weekly_return") - F.col("market_weekly_return"), 4))
+    one = asof.lookup(sig.select("entity", "week", "first_tradeable_at"), prices, "entity", F.col("first_tradeable_at"), t0="at_or_after", p0="price_after")
+    found = _at_once(one, prices, {f"n{n}": F.date_add("t0", 7 * n) for n in weeks}, "at_or_after", "price_after")
+    one = asof.lookup_one(one, prices, MARKET, F.col("first_tradeable_at"), m0="at_or_after", q0="price_after").join(found, ["entity", "week"])
+    ends, own, excess = [], [], []
+    for n in weeks:
+        one = asof.lookup_one(one, prices, MARKET, F.date_add("m0", 7 * n), **{f"m{n}_day": "at_or_after", f"m{n}_price": "price_after"})
+        r, m = asof.window_return("t0", f"n{n}_day", "p0", f"n{n}_price"), asof.window_return("m0", f"m{n}_day", "q0", f"m{n}_price")
+        ends.append(F.col(f"n{n}_day").alias(f"return_end_{n}w"))
+        own.append(rounded(r, 4).alias(f"future_{n}w"))
+        excess.append(rounded(r - m, 4).alias(f"future_excess_{n}w"))
+    return one.select("entity", "week", *ends, *own, *excess)
+
+
+def build(attention: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
+    """The panel. ``prices`` has price_features and industry; ``calendar`` (entity, date, close) the entities and the market."""
+    sig = signals(attention, calendar)
+    back = looking_back(sig, calendar).withColumn("weekly_excess", rounded(F.col("weekly_return") - F.col("market_weekly_return"), 4))
     day = prices.select(
         "entity", "industry", F.col("date").alias("feature_date"),
         rounded(F.when(F.col("vol_ma20") > 0, ratio(F.col("volume"), F.col("vol_ma20"))), 4).alias("volume_ratio_4w"),
@@ -59,12 +89,12 @@ def build(attention: DataFrame, spine: DataFrame, prices: DataFrame) -> DataFram
         "is_event_z2": F.coalesce(F.col("z") > 2.0, F.lit(False)), "is_event_ratio": F.coalesce(F.col("shock") > 1.0, F.lit(False)),
         "z": rounded("z", 4), "shock": rounded("shock", 4), "ma52": rounded("ma52", 3), "std52": rounded("std52", 3), "lag_days": F.datediff("available_at", "start"),
     })
-    df = df.join(one, ["entity", "week"]).join(past_returns(sig, spine), ["entity", "week"]).join(ahead_returns(sig, spine), ["entity", "week"])
+    df = df.join(back, ["entity", "week"]).join(ahead_returns(sig, calendar), ["entity", "week"])
     df = df.join(day, ["entity", "feature_date"], "left")
     return df.withColumn("liquidity_rank", average_rank("turnover", ["week"]))
 
 
-def average_rank(column: str, by: list[str], descending: bool = True) -> F.Column:
+def average_rank(column: str, by: list[str], descending: bool = True) -> Column:
     """Rank within ``by``, ties sharing their mean rank, null where the value is."""
     x = F.col(column)
     w = Window.partitionBy(*by)

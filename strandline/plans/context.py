@@ -54,24 +54,19 @@ class Context:
     def attention(self) -> DataFrame:
         return features.attention(asof.annotate(self.weekly))
 
-    @cached_property
-    def spine(self) -> DataFrame:
+    @property
+    def calendar(self) -> DataFrame:
         """Adjusted prices of the entities and the market's closes."""
-        prices = self.adjusted.select("entity", "date", F.col("adj").alias("close")).unionByName(self.market)
-        return self.keep(asof.spine(prices))
-
-    @cached_property
-    def raw_spine(self) -> DataFrame:
-        return self.keep(asof.spine(self.prices.select("entity", "date", "close")))
+        return self.adjusted.select("entity", "date", F.col("adj").alias("close")).unionByName(self.market.select("entity", "date", "close"))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self.keep(panel.signals(self.attention, self.spine))
+        return self.keep(panel.signals(self.attention, self.calendar))
 
     @cached_property
     def panel(self) -> DataFrame:
         """Asserted to look nowhere ahead before anything reads it."""
-        return self.keep(asof.assert_contract(panel.build(self.attention, self.spine, self.features)))
+        return self.keep(asof.assert_contract(panel.build(self.attention, self.calendar, self.features)))
 
     @cached_property
     def residual_panel(self) -> DataFrame:
@@ -84,8 +79,8 @@ class Context:
 
     @cached_property
     def panel4(self) -> DataFrame:
-        days = self.keep(asof.spine(self.flow_days.select("entity", "date", F.lit(0.0).alias("close"))))
-        return self.keep(flows.panel_flows(self.panel, flows.rolled(self.flow_days, self.prices), days, self.raw_spine))
+        days = self.flow_days.select("entity", "date", F.lit(0.0).alias("close"))
+        return self.keep(flows.panel_flows(self.panel, flows.rolled(self.flow_days, self.prices), days, self.prices.select("entity", "date", "close")))
 
     @cached_property
     def raw_events(self) -> DataFrame:
@@ -104,7 +99,7 @@ class Context:
     def all_windows(self) -> DataFrame:
         """Event windows of all definitions; an event of several is looked up once."""
         days = events.common_days(self.prices, self.market).select("entity", "date", "close")
-        rows = events.windows(self.all_events, self.prices, self.market, self.keep(asof.spine(days)))
+        rows = events.windows(self.all_events, self.prices, self.market, days)
         return self.keep(self.all_events.select("definition", "event_id", "entity", "week").join(rows, ["entity", "week"]))
 
     @cached_property

@@ -66,11 +66,11 @@ def contract_violations_broken(c):
 
 @query
 def trading_spine(c):
-    return c.spine.filter(F.col("entity") != facts.MARKET).select("entity", "day", "at_or_before", "strictly_before", "at_or_after")
+    return asof.spine(c.prices.select("entity", "date", "close")).select("entity", "day", "at_or_before", "strictly_before", "at_or_after")
 
 
 def _targets(c: Context, column: str) -> DataFrame:
-    return asof.snap(c.attention.select("entity", "start", "signal_date"), c.spine, "entity", F.col("signal_date"), found=column)
+    return asof.snap(c.attention.select("entity", "start", "signal_date"), c.calendar, "entity", F.col("signal_date"), found=column)
 
 
 @query
@@ -90,17 +90,17 @@ def asof_strict(c):
 
 @query
 def trailing_returns(c):
-    return panel.past_returns(c.signals, c.spine)
+    return panel.past_returns(c.signals, c.calendar)
 
 
 @query
 def skip_momentum(c):
-    return asof.skip_return(c.signals.select("entity", "week", "feature_date"), c.spine, "entity", "feature_date", 52, 4, "r").select("entity", "week", "r")
+    return asof.skip_return(c.signals.select("entity", "week", "feature_date"), c.calendar, "entity", "feature_date", 52, 4, "r").select("entity", "week", "r")
 
 
 @query
 def forward_returns(c):
-    return panel.ahead_returns(c.signals, c.spine)
+    return panel.ahead_returns(c.signals, c.calendar)
 
 
 @query
@@ -484,8 +484,8 @@ def placebo_lag(c):
 def placebo_strict(c):
     """Correlation of attention with the return of the week before the observation began."""
     df = c.signals.select("entity", "week", "start")
-    df = asof.snap(df, c.spine, "entity", F.date_sub("start", 1), anchor="strictly_before").withColumn("n", F.lit(1))
-    df = asof.trailing_return(df, c.spine, "entity", "anchor", "n", "prior").select("entity", "week", "prior")
+    df = asof.snap(df, c.calendar, "entity", F.date_sub("start", 1), anchor="strictly_before").withColumn("n", F.lit(1))
+    df = asof.trailing_return(df, c.calendar, "entity", "anchor", "n", "prior").select("entity", "week", "prior")
     return crosssec.rank_correlation(c.panel.join(df, ["entity", "week"]), "z", "prior").agg(*inference.t_test(F.col("ic")))
 
 
