@@ -21,7 +21,8 @@ is shuffled has been counted in a shard before, so that a passage in a third of
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import drop, save, ship, work_dir
 #: Distinct words that a task counts, and word places whose pairs it counts, before it hands the counts on.
 MOST_WORDS, MOST_PLACES = 250_000, 2_000_000
 #: Words of the distinct runs in one automaton, at most (or one longer run), and distinct words that a task knows by number.
-SHARD_WORDS, KNOWN = 120_000, 400_000
+SHARD_WORDS, KNOWN = 60_000, 250_000
 
 #: Characters that end a piece become line feeds, a tab a space.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -50,9 +51,10 @@ class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
-        self.where: list[tuple[tuple[int, ...], int]] = [((), 0)]  # a sequence and one end place in it
+        self.where = [0]  # one end place, in all sequences one after another
+        self.text: list[int] = []
 
-    def _state(self, length: int, where: tuple[tuple[int, ...], int], following: dict[int, int], link: int) -> int:
+    def _state(self, length: int, where: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
         self.link.append(link)
         self.length.append(length)
@@ -72,13 +74,13 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def add(self, sequence: tuple[int, ...], weight: int) -> None:
+    def add(self, sequence: Sequence[int], weight: int) -> None:
         last = 0
-        for place, c in enumerate(sequence):
+        for place, c in enumerate(sequence, len(self.text)):
             if c in self.next[last]:  # known from an earlier sequence
                 last = self._split(last, c)
             else:
-                state, p = self._state(self.length[last] + 1, (sequence, place), {}, 0), last
+                state, p = self._state(self.length[last] + 1, place, {}, 0), last
                 while p >= 0 and c not in self.next[p]:
                     self.next[p][c] = state
                     p = self.link[p]
@@ -86,6 +88,7 @@ class SuffixAutomaton:
                     self.link[state] = self._split(p, c)
                 last = state
             self.count[last] += weight
+        self.text += sequence
 
     def counted(self) -> None:
         """Give each state the number of its end places; once, after the last sequence."""
@@ -105,8 +108,7 @@ class SuffixAutomaton:
                     if self.count[u] == self.count[v]:
                         after = c
                 if 0 < n < self.length[v]:  # longer substrings end in all the same places
-                    sequence, place = self.where[v]
-                    before = sequence[place - n]
+                    before = self.text[self.where[v] - n]
             if n >= shortest:
                 yield string, self.count[v], before, after
 
@@ -239,25 +241,21 @@ def count_phrases(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, longe
     places, so that a phrase longer by one, of ``longest`` words at most, occurs as often.
     """
 
-    def enumerated(numbers: _Numbers, lang: str, runs: Counter[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
-        words = numbers.words
-        automaton = SuffixAutomaton()
+    def enumerated(numbers: _Numbers, lang: str, runs: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        words, automaton = numbers.words, SuffixAutomaton()
         for run, weight in runs.items():
-            automaton.add(run, weight)
+            automaton.add(np.frombuffer(run, np.int32).tolist(), weight)
+        runs.clear()
         automaton.counted()
-        phrases, counts, before, after = [], [], [], []
-        for string, n, a, b in automaton.substrings(2, longest):
-            phrases.append(b" ".join([words[c] for c in string]))
-            counts.append(n)
-            before.append(None if a is None else words[a])
-            after.append(None if b is None else words[b])
-        for k in range(0, len(phrases), 50_000):
-            s = slice(k, k + 50_000)
-            columns = [pa.array([lang] * len(phrases[s])), pa.array(phrases[s], pa.binary()).cast(pa.string()), pa.array(counts[s], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x[s], pa.binary()).cast(pa.string()) for x in (before, after)]], names=["lang", "phrase", "n", "before", "after"])
+        found = automaton.substrings(2, longest)
+        while rows := list(islice(found, 20_000)):
+            strings, counts, before, after = zip(*rows)
+            columns = [pa.array([lang] * len(rows)), pa.array([b" ".join([words[c] for c in x]) for x in strings], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+            columns += [pa.array([None if c is None else words[c] for c in x], pa.binary()).cast(pa.string()) for x in (before, after)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "after"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[tuple[int, ...]]] = {}
+        held: dict[str, Counter[bytes]] = {}  # runs as bytes of 32-bit numbers
         sizes: Counter[str] = Counter()
         last = None
         for shard in _shards(batches, frequent.value):
@@ -272,15 +270,14 @@ def count_phrases(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, longe
                 if not len(at):
                     continue
                 cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                places, runs = x.tolist(), held.setdefault(lang, Counter())
+                places, runs = x.tobytes(), held.setdefault(lang, Counter())
                 for a, b in zip(at[np.concatenate([[0], cuts])].tolist(), at[np.concatenate([cuts - 1, [len(at) - 1]])].tolist()):
-                    run = tuple(places[a : b + 2])
+                    run = places[4 * a : 4 * b + 8]
                     if run not in runs:
-                        sizes[lang] += len(run)
+                        sizes[lang] += b + 2 - a
                     runs[run] += 1
                     if sizes[lang] > SHARD_WORDS:
                         yield from enumerated(last, lang, runs)
-                        runs.clear()
                         sizes[lang] = 0
         for lang, runs in held.items():
             yield from enumerated(last, lang, runs)
