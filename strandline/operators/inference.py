@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fits
+
 
 def slope_by_week(panel: DataFrame, y: str, x: str, by: str = "week") -> DataFrame:
     """(week, coef, n, r2) of y on x with a constant, for weeks of 7 complete pairs or more whose x varies."""
@@ -19,34 +21,15 @@ def slope_by_week(panel: DataFrame, y: str, x: str, by: str = "week") -> DataFra
 
 
 def least_squares(panel: DataFrame, y: str, terms: list[str], by: str = "week", dummies: str | None = None, residual: bool = False) -> DataFrame:
-    """Ordinary least squares in each group, an Arrow grouped map.
+    """Ordinary least squares in each group: (week, term, coef, n, r2), or with ``residual`` (week, entity, residual).
 
-    Returns (week, term, coef, n, r2), or with ``residual`` (week, entity, residual). Groups with fewer than k + 5
-    complete rows (k counts the constant and dummies) or without full rank are left out. ``dummies`` names a category,
-    whose first value by name is the base and whose null is all zeros.
+    Groups with fewer than k + 5 complete rows (k counts the constant and dummies) or without full rank are left out.
+    ``dummies`` names a category, whose first value by name is the base and whose null is all zeros.
     """
-    keep = [by, "entity", y, *terms, *([dummies] if dummies else [])]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y, *terms])
-        x = [np.ones(len(pdf)), *[pdf[t].to_numpy(float) for t in terms]]
-        if dummies:
-            x += [(pdf[dummies] == d).to_numpy(float) for d in sorted(pdf[dummies].dropna().unique())[1:]]
-        x = np.column_stack(x) if len(pdf) else np.zeros((0, len(x)))
-        if len(pdf) < x.shape[1] + 5 or np.linalg.matrix_rank(x) < x.shape[1]:
-            return pd.DataFrame(columns=[c for c, _ in fields])
-        v = pdf[y].to_numpy(float)
-        beta = np.linalg.lstsq(x, v, rcond=None)[0]
-        rest = v - x @ beta
-        if residual:
-            return pd.DataFrame({by: pdf[by].to_numpy(), "entity": pdf["entity"].to_numpy(), "residual": rest})
-        total = ((v - v.mean()) ** 2).sum()
-        r2 = 1 - (rest**2).sum() / total if total > 0 else None
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(terms), "term": terms, "coef": beta[1 : len(terms) + 1], "n": len(pdf), "r2": r2})
-
-    kind = dict(panel.dtypes)[by]
-    fields = [(by, kind), ("entity", "string"), ("residual", "double")] if residual else [(by, kind), ("term", "string"), ("coef", "double"), ("n", "bigint"), ("r2", "double")]
-    return panel.select(*keep).groupBy(by).applyInPandas(one, ", ".join(f"{a} {b}" for a, b in fields))
+    if residual:
+        return fits.residuals(panel, y, terms, by).filter(F.col("residual").isNotNull()).select(by, "entity", "residual")
+    models = [fits.Model({"model": y}, y, terms, dummies)]
+    return fits.coefficients(fits.weekly_fits(panel, models, by), models).select(by, "term", "coef", "n", "r2")
 
 
 def hac_mean(series: DataFrame, by: list[str], value: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.expressions import rounded
-from strandline.operators import asof, crosssec, events, features, flows, inference, panel
+from strandline.operators import asof, crosssec, events, features, fits, flows, inference, panel
 from strandline.sources import facts, store
 
 _contexts: dict[tuple[str, str], Context] = {}
@@ -70,8 +70,7 @@ class Context:
 
     @cached_property
     def residual_panel(self) -> DataFrame:
-        rest = inference.least_squares(self.panel, "z", CONTROLS, residual=True).withColumnRenamed("residual", "residual_z")
-        return self.keep(self.panel.join(rest, ["entity", "week"], "left"))
+        return self.keep(fits.residuals(self.panel, "z", CONTROLS).withColumnRenamed("residual", "residual_z"))
 
     @cached_property
     def flow_days(self) -> DataFrame:
@@ -106,21 +105,25 @@ class Context:
     def event_windows(self) -> DataFrame:
         return self.all_windows.filter("definition = 'top'")
 
-    def regressions(self, frame: DataFrame, models: dict[str, list[str]], dummies: dict[str, str] | None = None, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-        """(model, horizon, week, term, coef, n, r2) of each model's weekly regressions of forward excess returns."""
-        out = None
-        for model, terms in models.items():
-            for n in horizons:
-                df = inference.least_squares(frame, f"future_excess_{n}w", terms, dummies=(dummies or {}).get(model))
-                df = df.withColumn("model", F.lit(model)).withColumn("horizon", F.lit(n))
-                out = df if out is None else out.unionByName(df)
-        return out
+    def fits(self, frame: DataFrame, models: dict[str, list[str]], effects: dict[str, str] | None = None, horizons: tuple[int, ...] = HORIZONS) -> tuple[DataFrame, list[fits.Model]]:
+        """Each model's weekly regressions of forward excess returns at each horizon, all from one pass over ``frame``."""
+        specs = [fits.Model({"model": m, "horizon": n}, f"future_excess_{n}w", terms, (effects or {}).get(m)) for m, terms in models.items() for n in horizons]
+        return self.keep(fits.weekly_fits(frame, specs)), specs
+
+    def regressions(self, frame: DataFrame, models: dict[str, list[str]]) -> DataFrame:
+        """(model, horizon, week, term, coef, n, r2) of ``fits``."""
+        return fits.coefficients(*self.fits(frame, models))
 
     @cached_property
-    def attention_models(self) -> DataFrame:
-        """Weekly coefficients of attention: alone, with momentum, volume and volatility, liquidity rank and industry effects."""
+    def attention_fits(self) -> tuple[DataFrame, list[fits.Model]]:
+        """Attention alone, with momentum, volume and volatility, liquidity rank and industry effects."""
         models = {"M1": ["z"], "M2": ["z", *CONTROLS[:2]], "M3": ["z", *CONTROLS[:4]], "M4": ["z", *CONTROLS]}
-        return self.keep(self.regressions(self.panel, models, {"M4": "industry"}))
+        return self.fits(self.panel, models, {"M4": "industry"})
+
+    @cached_property
+    def attention_models(self) -> DataFrame:
+        """Weekly coefficients of the attention models."""
+        return fits.coefficients(*self.attention_fits)
 
     @cached_property
     def flow_models(self) -> DataFrame:
@@ -130,12 +133,12 @@ class Context:
             "D": [*base, "total_ratio_4w", "volume_ratio_4w", "volatility_12w"],
             "flow_shares": [*base, "total_value_4w"], "flow_money": [*base, "total_money_4w"], "flow_ratio": [*base, "total_ratio_4w"],
         }
-        return self.keep(self.regressions(self.panel4, models))
+        return self.regressions(self.panel4, models)
 
     @cached_property
     def interaction_models(self) -> DataFrame:
         df = self.panel4.withColumn("z_x_past", F.col("z") * F.col("past_4w")).withColumn("z_x_flow", F.col("z") * F.col("total_ratio_4w"))
-        return self.keep(self.regressions(df, {"E": ["z", *CONTROLS[:2], "total_ratio_4w", "z_x_past", "z_x_flow"]}))
+        return self.regressions(df, {"E": ["z", *CONTROLS[:2], "total_ratio_4w", "z_x_past", "z_x_flow"]})
 
     @cached_property
     def winsorized(self) -> DataFrame:

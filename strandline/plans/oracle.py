@@ -88,6 +88,19 @@ def _ols(source: str, y: str, target: str, others: list[str], effects: str | Non
 HAVING count(*) >= {k} + count(DISTINCT effect) - 1 + 5 AND min(low) > 1e-13 AND sum(x * x) > 1e-13 * sum(x_raw * x_raw)"""
 
 
+def _skipped(source: str, models: dict[str, list[str]], effects: dict[str, str]) -> str:
+    """Weeks of ``source`` in which a model has too few complete rows, or regressors of which one is the others' combination."""
+    out = []
+    for m, terms in models.items():
+        for n in AHEAD:
+            held = " AND ".join(f"{c} IS NOT NULL" for c in (f"future_excess_{n}w", *terms))
+            effect = effects.get(m, "NULL::VARCHAR")
+            counts = f"(SELECT week, count(*) FILTER ({held}) AS n, {1 + len(terms)} + greatest(0, count(DISTINCT CASE WHEN {held} THEN {effect} END) - 1) AS k FROM {source} GROUP BY week)"
+            fitted = f"(SELECT week FROM ({_ols(source, f'future_excess_{n}w', terms[0], terms[1:], effects.get(m))}))"
+            out.append(f"SELECT '{m}' AS model, {n} AS horizon, week, n, CASE WHEN n < k + 5 THEN 'insufficient_obs n=' || n || ' k=' || k ELSE 'rank_deficient' END AS reason FROM {counts} WHERE week NOT IN {fitted}")
+    return " UNION ALL ".join(out)
+
+
 def _models(source: str, models: dict[str, list[str]], target: str = "z", effects: dict[str, str] | None = None, label: str = "model") -> str:
     return " UNION ALL ".join(f"SELECT *, '{m}' AS {label}, {n} AS horizon FROM ({_ols(source, f'future_excess_{n}w', target, others, (effects or {}).get(m))})" for m, others in models.items() for n in AHEAD)
 
@@ -246,6 +259,7 @@ FINAL = {
     "fm_weekly_controls": "SELECT * FROM fm WHERE model IN ('M2', 'M3')",
     "fm_weekly_industry": "SELECT * FROM fm WHERE model = 'M4'",
     "fm_summary": _fm("fm", "model, horizon", "panel"),
+    "fm_skipped_weeks": _skipped("(SELECT * REPLACE (CASE WHEN z > 0.5 THEN z END AS z) FROM panel)", {"M1": ["z"], "M2": ["z", *CTRL[:2]]}, {}),
     "fm_interaction": "SELECT *, 'E' AS model FROM inter",
     "interaction_summary": _fm("inter", "horizon, term", "panel4"),
     "flow_regressions": "SELECT * FROM flow_fm WHERE model NOT LIKE 'flow_%'",
@@ -348,5 +362,5 @@ ALWAYS = (
     "event_id", "offset", "start_day", "end_day", "n_events", "momentum", "attention", "flow", "model", "horizon", "reject_10", "reject_05", "metric", "batch", "n_weeks", "event_type", "definition", "family", "test", "term", "note", "significant", "n_skipped", "n_raw", "n_kept", "n_stocks", "max_same_week", "n_calendar_weeks", "first", "second", "error", "request_sha256", "missing", *[f"future_excess_{k}w_count" for k in AHEAD], *[f"count_{k}w" for k in AHEAD],
 )
 #: Queries without a double.
-PLAIN = ("event_counts", "contract_violations", "contract_violations_broken", "manifest_entries", "coverage_statuses", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
+PLAIN = ("fm_skipped_weeks", "event_counts", "contract_violations", "contract_violations_broken", "manifest_entries", "coverage_statuses", "trading_spine", "asof_backward", "asof_forward", "asof_strict", "coverage_manifest", "panel_provenance", "event_flags", "calendar_clustering", "weekly_terciles", "batch_assignment")
 KEEP: dict[str, tuple[str, ...]] = {}

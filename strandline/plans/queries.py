@@ -12,7 +12,7 @@ from strandline.operators import asof, crosssec, events, flows, governance, infe
 from strandline.sources import facts
 from strandline.streaming.activity import activity
 
-from .context import HORIZONS, Context, context
+from .context import CONTROLS, HORIZONS, Context, context
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -356,6 +356,14 @@ def fm_summary(c):
     return inference.summary(c.attention_models.filter("term = 'z'"), ["model", "horizon"], c.panel)
 
 
+@query
+def fm_skipped_weeks(c):
+    """Weeks without a fit among rows of high attention alone, each with its reason."""
+    high = c.panel.withColumn("z", F.when(F.col("z") > 0.5, F.col("z")))
+    found, _ = c.fits(high, {"M1": ["z"], "M2": ["z", *CONTROLS[:2]]})
+    return found.filter("reason is not null").select("model", "horizon", "week", "n", "reason")
+
+
 @query
 def fm_interaction(c):
     return c.interaction_models.filter("term not in ('past_4w', 'past_12w')")
