@@ -1,13 +1,15 @@
 """Collocations: phrases of up to five words that occur often and more than their parts let one expect.
 
-Three passes over the texts, none of which holds more than a shard of them:
+Three passes over the texts, none of which holds more than a shard of them, and what they leave:
 
 1. Words are counted in each task and then over all. A Bloom filter of the frequent ones goes to the tasks.
 2. Pairs of neighbouring frequent words are counted by 64-bit hashes, which gives a Bloom filter of pairs that may be
    frequent. A phrase is frequent only if all its words and pairs are, so pieces are cut wherever a pair is not.
-3. What is left of a shard (runs of words, equal ones once with their number) goes into a generalised suffix automaton.
-   Its states are sets of end places; their sizes, summed along suffix links from the longest, are the counts of all
-   substrings, which a walk of bounded depth enumerates. Counts of shards are summed by the phrases themselves.
+3. Equal runs of words between the cuts are counted. Triples of words in them are then counted as pairs were, and runs cut
+   on at those that are not frequent, so that the middle word ends one part and begins the next.
+4. The parts of a shard go into a generalised suffix automaton. Its states are sets of end places; their sizes, summed
+   along suffix links from the longest, are the counts of all substrings, which a walk of bounded depth enumerates.
+   Counts of shards are summed by the phrases themselves.
 
 A phrase is subsumed by a longer one that occurs as often. Then every one of its places is followed, or is preceded, by the
 same word, in each shard. In an automaton it is preceded by one word where it is not the longest of its state (its suffix
@@ -22,10 +24,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -234,18 +237,88 @@ def count_pairs(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     return texts.mapInArrow(work, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def count_phrases(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, longest: int = 5) -> DataFrame:
-    """(lang, phrase, a, before, after) of phrases of 2 to ``longest`` words all whose words and pairs pass the filters.
+def count_runs(texts: DataFrame, frequent: Broadcast, pairs: Broadcast) -> DataFrame:
+    """(lang, run, n): longest runs of words all whose words and pairs pass the filters, joined by spaces, and how often each is there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter[bytes]] = {}  # runs as bytes of 32-bit numbers
+        last: _Numbers | None = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, found in held.items():
+                items = iter(found.items())
+                while rows := list(islice(items, 20_000)):
+                    runs = [b" ".join([last.words[c] for c in np.frombuffer(x, np.int32).tolist()]) for x, _ in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(runs, pa.binary()).cast(pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["lang", "run", "n"])
+            held.clear()
+
+        for shard in _shards(batches, frequent.value):
+            if last is not None and (shard.numbers is not last or sum(map(len, held.values())) > MOST_WORDS):
+                yield from out()
+            last = shard.numbers
+            for lang, x, at, found in shard.parts():
+                at = at[pairs.value.held(found)]
+                if len(at):
+                    cuts = np.flatnonzero(np.diff(at) > 1) + 1
+                    places = x.tobytes()
+                    ends = zip(at[np.concatenate([[0], cuts])].tolist(), at[np.concatenate([cuts - 1, [len(at) - 1]])].tolist())
+                    held.setdefault(lang, Counter()).update([places[4 * a : 4 * b + 8] for a, b in ends])
+        yield from out()
+
+    return texts.mapInArrow(work, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+
+
+def _triples(lang: str, runs: list[bytes], numbers: _Numbers) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """Runs as numbers, the keys of their neighbouring triples one after another, and the number of triples of each run."""
+    places = [[numbers[w] for w in r.split(b" ")] for r in runs]
+    counts = np.array([max(0, len(p) - 2) for p in places], np.int64)
+    flat = np.fromiter(chain.from_iterable(places), np.int64, sum(map(len, places)))
+    lengths = np.array([len(p) for p in places], np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))  # words from here to the run's end
+    at = np.flatnonzero(left >= 3)
+    hashes = np.array(numbers.hashes, np.uint64)[flat]
+    first = pair_keys(lang, hashes[at], hashes[at + 1]).view(np.uint64)
+    return places, wordhash.mix(first * _PAIR + hashes[at + 2]).view(np.int64), counts
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(language, runs, numbers of each) of portions of batches (lang, run, n)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            part = batch.slice(k, most)
+            langs = part.column(0).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                here = part.filter(pc.equal(langs.indices, code))
+                yield lang, here.column(1).cast(pa.binary()).to_pylist(), here.column(2).to_numpy()
+
+
+def count_triples(runs: DataFrame) -> DataFrame:
+    """(f, n): occurrences of three neighbouring words in the runs (lang, run, n), by key."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, found, n in _by_lang(batches):
+            _, keys, counts = _triples(lang, found, _Numbers())
+            if len(keys):
+                keys, place = np.unique(keys, return_inverse=True)
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, place, np.repeat(n, counts))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], names=["f", "n"])
+
+    return runs.mapInArrow(work, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def count_phrases(runs: DataFrame, triples: Broadcast, longest: int = 5) -> DataFrame:
+    """(lang, phrase, a, before, after) of phrases of 2 to ``longest`` words of the runs (lang, run, n) all whose triples pass the filter.
 
     Words of a phrase are joined by spaces. ``before`` and ``after``: whether one word precedes or follows it at all its
     places, so that a phrase longer by one, of ``longest`` words at most, occurs as often.
     """
 
-    def enumerated(numbers: _Numbers, lang: str, runs: Counter[bytes]) -> Iterator[pa.RecordBatch]:
-        words, automaton = numbers.words, SuffixAutomaton()
-        for run, weight in runs.items():
-            automaton.add(np.frombuffer(run, np.int32).tolist(), weight)
-        runs.clear()
+    def enumerated(words: list[bytes], lang: str, held: Counter[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton()
+        for run, weight in held.items():
+            automaton.add(run, weight)
+        held.clear()
         automaton.counted()
         found = automaton.substrings(2, longest)
         while rows := list(islice(found, 20_000)):
@@ -255,34 +328,36 @@ def count_phrases(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, longe
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "after"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[bytes]] = {}  # runs as bytes of 32-bit numbers
-        sizes: Counter[str] = Counter()
-        last = None
-        for shard in _shards(batches, frequent.value):
-            if last is not None and shard.numbers is not last:  # numbers begin anew
-                for lang, runs in held.items():
-                    yield from enumerated(last, lang, runs)
-                held.clear()
+        numbers, held, sizes = _Numbers(), {}, Counter()
+        for lang, found, n in _by_lang(batches):
+            if len(numbers) > KNOWN:  # begin anew
+                for other, runs_ in held.items():
+                    yield from enumerated(numbers.words, other, runs_)
+                numbers = _Numbers()
                 sizes.clear()
-            last = shard.numbers
-            for lang, x, at, found in shard.parts():
-                at = at[pairs.value.held(found)]
-                if not len(at):
-                    continue
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                places, runs = x.tobytes(), held.setdefault(lang, Counter())
-                for a, b in zip(at[np.concatenate([[0], cuts])].tolist(), at[np.concatenate([cuts - 1, [len(at) - 1]])].tolist()):
-                    run = places[4 * a : 4 * b + 8]
-                    if run not in runs:
-                        sizes[lang] += b + 2 - a
-                    runs[run] += 1
-                    if sizes[lang] > SHARD_WORDS:
-                        yield from enumerated(last, lang, runs)
-                        sizes[lang] = 0
-        for lang, runs in held.items():
-            yield from enumerated(last, lang, runs)
-
-    rows = texts.mapInArrow(work, "lang string, phrase string, n bigint, before string, after string")
+            places, keys, counts = _triples(lang, found, numbers)
+            good = triples.value.held(keys).tolist()
+            own, at = held.setdefault(lang, Counter()), 0
+            for run, k, weight in zip(places, counts.tolist(), n.tolist()):
+                # Cut where three words are not frequent together: the middle one ends a part and begins the next.
+                start = 0
+                for i in range(k):
+                    if not good[at + i]:
+                        own[tuple(run[start : i + 2])] += weight
+                        sizes[lang] += i + 2 - start
+                        start = i + 1
+                at += k
+                own[tuple(run[start:])] += weight
+                sizes[lang] += len(run) - start
+                if sizes[lang] > SHARD_WORDS and sum(map(len, own)) > SHARD_WORDS:
+                    yield from enumerated(numbers.words, lang, own)
+                    sizes[lang] = 0
+                elif sizes[lang] > SHARD_WORDS:
+                    sizes[lang] = sum(map(len, own))
+        for lang, own in held.items():
+            yield from enumerated(numbers.words, lang, own)
+
+    rows = runs.mapInArrow(work, "lang string, phrase string, n bigint, before string, after string")
 
     def one(word: str) -> Column:
         """The same word in all shards."""
@@ -334,7 +409,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     pairs = save(count_pairs(texts, frequent).filter(F.col("n") >= least).select("f"), folder, "pairs")
     often = spark.sparkContext.broadcast(Bloom.of(pairs, pairs.count()))
     drop(spark, f"{folder}/pairs")
-    phrases = save(count_phrases(texts, frequent, often, longest).filter(F.col("a") >= least), folder, "phrases")
+    runs = save(count_runs(texts, frequent, often), folder, "runs")
+    triples = save(count_triples(runs).filter(F.col("n") >= least).select("f"), folder, "triples")
+    threes = spark.sparkContext.broadcast(Bloom.of(triples, triples.count()))
+    phrases = save(count_phrases(runs, threes, longest).filter(F.col("a") >= least), folder, "phrases")
+    drop(spark, f"{folder}/runs")
     parts = words.select("lang", F.col("word").alias("phrase"), "a").unionByName(phrases.select("lang", "phrase", "a"))
     ranked = scored(phrases.filter(~F.col("before") & ~F.col("after")).select("lang", "phrase", "a"), parts, totals)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
