@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, ship, work_dir
+from .common import sampled, save, ship, work_dir
 
 BLOCK = 16
 #: Vectors of the sample for each list, at least.
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, id_column: str, column: str, every: int = 20, k:
         return spark.createDataFrame([], kind).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     lists = max(1, min(total // list_rows, most_lists))
     sample = max(sample, SAMPLE_LIST * lists)
-    picked = rows if total <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
+    picked = rows if total <= sample else rows.filter(sampled(F.xxhash64(F.lit(seed), "id"), sample / total))
     model = fit(_matrix(picked.orderBy("id").limit(2 * sample).select("v").toArrow()["v"]), norm, lists, k, recall, seed)
     shared = spark.sparkContext.broadcast(model)
 

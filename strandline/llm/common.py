@@ -114,6 +114,16 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
+def threshold(share: float) -> int:
+    """The 64-bit hash below which ``share`` of all hashes lie: as fine as the hashes are, so that no share comes to nothing."""
+    return max(-(2**63) + 1, min(2**63 - 1, int(share * 2**64) - 2**63))
+
+
+def sampled(mark: Column, share: float) -> Column:
+    """Whether a row with the 64-bit hash ``mark`` is among ``share`` (0 to 1) of all rows."""
+    return F.lit(True) if share >= 1 else mark < F.lit(threshold(share))
+
+
 def whole(df: DataFrame, *without: str) -> Column:
     """The row of ``df``, or all but some columns, as one column ``row``: its columns cannot clash with an operator's names."""
     held = [F.col(quoted(c)) for c in df.columns if c not in without]

@@ -4,9 +4,10 @@ A known word adds its log frequency in each language. An unseen word falls back
 boundaries): of the longest length of which any is known, the mean log frequencies of the known ones, then shorter.
 A long chunk, as in scripts without spaces, counts as several words: pieces that overlap by three characters.
 
-Training counts the words and n-grams of at most about ``sample`` labelled documents, combined before the shuffle. Each
-language has an equal part of the sample (chosen by a hash of the doc_id); what a small language cannot fill goes to the
-others, so that a hot language pushes out no item of a small one. All items of the sample are kept. Prediction is one
+Training counts the words and n-grams of about ``sample`` labelled documents, or 30 of each language if that is more,
+combined before the shuffle. Each language has an equal part of the sample (chosen by a 64-bit hash of the doc_id); what
+a small language cannot fill goes to the others, so that a hot language pushes out no item of a small one. All languages
+and all items of the sample are kept, each item with the languages that have it: the model is bounded by the sample. Prediction is one
 pass over the texts without a shuffle.
 """
 
@@ -22,12 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, threshold
 
 LENGTHS = (4, 3, 2, 1)
 EDGES = ".,;:!?\"'()[]{}<>|*%&$#@+=-_/\\~`^…«»“”„’‘"
 #: Length of a piece of a long word; words are shorter.
 PIECE = 64
+#: Documents of a language that are sampled at least, so that none comes out empty.
+LEAST = 30
+#: Cells of a worker's matrix of log frequencies, at most; rows beyond are made when a word asks for them.
+CELLS = 32_000_000
 #: Entries that a worker's cache of words holds before it starts afresh.
 CACHE = 500_000
 
@@ -55,28 +60,30 @@ def grams(piece: str, n: int) -> list[str]:
     return found if n > 1 else [g for g in found if g not in "\x02\x03"]
 
 
-def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
-    """The share of each language's documents that are sampled: equal numbers, as far as there are so many."""
+def shares(counts: dict[str, int], sample: int, least: int = LEAST) -> dict[str, float]:
+    """The share of each language's documents that are sampled: equal numbers, as far as there are so many.
+
+    Where ``sample`` gives each of many languages fewer than ``least`` documents, each has that many all the same.
+    """
     out, left = {}, sample
     for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
-        take = min(n, left / (len(counts) - k))
+        take = min(n, max(least, left / (len(counts) - k)))
         out[lang], left = take / n, left - take
     return out
 
 
-def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
+def train(docs: DataFrame, sample: int = 8_000) -> dict:
     """Model from the rows of ``docs`` (text, lang, mark) whose text and lang are not null; mark is a 64-bit hash.
 
-    Of more than ``most_langs`` languages those with the most documents are learned.
+    Every language is learned. One of whose documents none is sampled is an error: marks are not evenly spread then.
     """
     ship(docs.sparkSession)
     rows = docs.select("text", "lang", "mark").filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
-    share = shares({r["lang"]: r["count"] for r in counts.collect()}, sample)
+    share = shares({r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}, sample)  # a row for each language
     if not share:
-        return {"id": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}, "logs": np.zeros((0, 0), np.float32)}
-    part = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(1_000_000 * part))])
-    rows = rows.filter(F.pmod(F.col("mark"), F.lit(1_000_000)) < part[F.col("lang")])
+        return {"id": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}, "starts": np.zeros(1, np.int64), "at": np.zeros(0, np.int64), "gain": np.zeros(0, np.float32), "kind": np.zeros(0, np.int8), "base": np.zeros((len(LENGTHS) + 1, 0), np.float32)}
+    parts = docs.sparkSession.createDataFrame([(lang, threshold(part), part >= 1) for lang, part in share.items()], "of string, below bigint, every boolean")
+    rows = rows.join(parts, (F.col("lang") == F.col("of")) & (F.col("every") | (F.col("mark") < F.col("below")))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -84,7 +91,7 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
             tally: Counter = Counter()
             for (word, lang), c in held.items():
                 tally[0, word, lang] += c
-                for n in LENGTHS:
+                for n in LENGTHS if word else ():
                     for g in grams(word, n):
                         tally[n, g, lang] += c
             keys = list(tally)
@@ -94,6 +101,7 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
         held: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held["", lang] += 1  # the document itself: no word is empty
                 for w, c in Counter(text.split()).items():
                     for word in pieces(clean(w)):
                         held[word, lang] += c
@@ -104,21 +112,30 @@ def train(docs: DataFrame, sample: int = 8_000, most_langs: int = 256) -> dict:
 
     counts = rows.select("text", "lang").mapInArrow(count, "kind int, item string, lang string, n bigint")
     table = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).toArrow()  # items of the sample
-    kinds, seen = table["kind"].to_numpy(), table["n"].to_numpy()
     langs = sorted(share)
+    met = pc.equal(table["item"], "")
+    if none := sorted({*langs} - {*table.filter(met)["lang"].to_pylist()}):
+        raise ValueError(f"no document of these languages is in the sample: {none[:10]}")
+    table = table.filter(pc.invert(met)).combine_chunks()
+    kinds, seen = table["kind"].to_numpy(), table["n"].to_numpy()
     lang = pc.index_in(table["lang"], pa.array(langs)).to_numpy()
     model: dict = {"id": uuid.uuid4().hex, "langs": langs, "words": {}, "grams": {}}
-    logs = []
-    for kind in (0, *LENGTHS):
+    # Of each item only the languages that have it are held; in others its frequency is that of its kind's unseen items.
+    starts, at, gain, kind_of, base = [np.zeros(1, np.int64)], [], [], [], []
+    for k, kind in enumerate((0, *LENGTHS)):
         mine = np.flatnonzero(kinds == kind)
         items = table["item"].take(pa.array(mine)).combine_chunks().dictionary_encode()
-        found = np.zeros((len(items.dictionary), len(langs)), np.float32)
-        np.add.at(found, (items.indices.to_numpy(), lang[mine]), seen[mine].astype(np.float32))
-        at = sum(map(len, logs))
-        model["grams" if kind else "words"].update(zip(items.dictionary.to_pylist(), range(at, at + len(found))))
-        logs.append(np.log((found + 0.5) / (found.sum(axis=0) + 0.5 * (len(found) + 1))).astype(np.float32))
-    model["logs"] = np.concatenate(logs)
-    return model
+        codes = items.indices.to_numpy()
+        order = np.lexsort((lang[mine], codes))
+        first = sum(map(len, kind_of))
+        model["grams" if kind else "words"].update(zip(items.dictionary.to_pylist(), range(first, first + len(items.dictionary))))
+        starts.append(starts[-1][-1] + np.cumsum(np.bincount(codes, minlength=len(items.dictionary))))
+        at.append(lang[mine][order].astype(np.int64))
+        gain.append(np.log(2.0 * seen[mine][order] + 1).astype(np.float32))
+        kind_of.append(np.full(len(items.dictionary), k, np.int8))
+        totals = np.bincount(lang[mine], weights=seen[mine], minlength=len(langs))
+        base.append(np.log(0.5 / (totals + 0.5 * (len(items.dictionary) + 1))).astype(np.float32))
+    return model | {"starts": np.concatenate(starts), "at": np.concatenate(at), "gain": np.concatenate(gain), "kind": np.concatenate(kind_of), "base": np.array(base)}
 
 
 class Scorer(dict):
@@ -130,17 +147,22 @@ class Scorer(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model, self.base = model, len(model["logs"])
-        self.rows = np.zeros((self.base + 4096, len(model["langs"]) + 1), np.float32)
-        self.rows[: self.base, :-1] = model["logs"]
-        self.rows[: self.base, -1] = 1
+        langs, items = len(model["langs"]), len(model["kind"])
+        self.model = model
+        self.base = items if items * (langs + 1) <= CELLS else 0  # items that have rows from the beginning
+        self.most = min(CACHE, CELLS // (langs + 1))
+        self.rows = np.zeros((self.base + 4096, langs + 1), np.float32)
+        if self.base:
+            self.rows[:items, :-1] = model["base"][model["kind"]]
+            self.rows[np.repeat(np.arange(items), np.diff(model["starts"])), model["at"]] += model["gain"]
+            self.rows[:items, -1] = 1
         self.free = self.base + 1
 
     def __missing__(self, chunk: str) -> int:
         known, parts = self.model["words"], pieces(clean(chunk)) if len(chunk) < PIECE else [chunk]
         if not parts:
             at = self.base
-        elif len(parts) > 1 or (at := known.get(parts[0])) is None:
+        elif len(parts) > 1 or (at := known.get(parts[0])) is None or not self.base:
             at = self.free
             if at == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows[self.base :])])
@@ -150,14 +172,25 @@ class Scorer(dict):
         self[chunk] = at
         return at
 
+    def logs(self, items: list[int]) -> np.ndarray:
+        """Sum of the log frequencies of items of one kind."""
+        if self.base:
+            return self.rows[items, :-1].sum(axis=0)
+        m = self.model
+        out = m["base"][m["kind"][items[0]]] * np.float32(len(items))
+        for i in items:
+            a, b = m["starts"][i], m["starts"][i + 1]
+            out[m["at"][a:b]] += m["gain"][a:b]
+        return out
+
     def one(self, word: str) -> np.ndarray | np.float32:
         """Log frequencies of one word, by its n-grams if it is unseen."""
-        logs, known = self.model["logs"], self.model["grams"]
+        known = self.model["grams"]
         if (i := self.model["words"].get(word)) is not None:
-            return logs[i]
+            return self.logs([i])
         for n in LENGTHS:
             if hits := [known[g] for g in grams(word, n) if g in known]:
-                return logs[hits].sum(axis=0) / len(hits)
+                return self.logs(hits) / len(hits)
         return np.float32(0)
 
     def forget(self) -> None:
@@ -170,7 +203,7 @@ class Scorer(dict):
             chunks = [p for c in chunks for p in ([c] if len(c) < PIECE else pieces(clean(c)))]
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         sums = self.rows[at].sum(axis=0, dtype=np.float64)
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.forget()
         if not sums[-1] or not self.model["langs"]:
             return "und", 0.0

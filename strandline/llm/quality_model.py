@@ -6,8 +6,10 @@ included: a human label is one vote more, with a prior of few errors, and may be
 on which any labeller votes is its training label, for quality and for civility apart. A logistic model over hashed
 word, word-start and shape features learns from these and scores every whole text.
 
-Insult words are not a fixed list alone: where labels are given, words that stand in far more toxic documents than
-others join it, at most ``most_words`` of them, in whatever language.
+Civility is judged by a short list of insults and, where labels are given, by words that stand in far more toxic documents
+than others, in whatever language: a labeller of its own, learned on one half of the labelled documents to vote on the
+other, so that a document's words and its human label err apart. Without labels the list votes alone: its rates are then
+the prior's.
 
 Fitting sees at most about ``sample`` documents with and without human labels, chosen by a hash of doc_id; their
 features (hashes of distinct words, not texts) meet in one task of bounded size. The model is two numbers for each of at
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from .common import save, ship, work_dir
+from .common import sampled, save, ship, work_dir
 
 FAMILIES = ("quality", "civility")
 #: Insults that the word labellers look for, with or without labels.
@@ -41,9 +43,10 @@ def labellers(labelled: bool) -> dict[str, dict[str, Column]]:
     hits = F.col("insults")
     found = {
         "quality": quality_rules.votes(),
-        "civility": {"insult": F.when(hits >= 1, -1).otherwise(0), "insults": F.when(hits >= 3, -1).otherwise(0)},
+        "civility": {"insult": F.when(hits >= 1, -1).otherwise(0)},
     }
     if labelled:
+        found["civility"]["learned"] = F.when(F.col("learned") >= 1, -1).otherwise(0)
         found["quality"]["label"] = F.when(F.col("given_quality") == 0, -1).when(F.col("given_quality") == 1, 1).otherwise(0)
         found["civility"]["label"] = F.when(F.col("given_toxic") == 1, -1).when(F.col("given_toxic") == 0, 1).otherwise(0)
     return found
@@ -119,8 +122,11 @@ def spoken(text: str) -> Column:
     return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
 
 
-def insult_words(told: DataFrame, most_words: int) -> list[str]:
-    """Words of far more toxic than other documents of ``told`` (text, given_toxic): 5 times the share, and no chance find."""
+def insult_words(told: DataFrame) -> list[str]:
+    """Words of far more toxic than other documents of ``told`` (text, given_toxic): 5 times the share, and no chance find.
+
+    All of them: at most one for each five words of the toxic documents of the sample.
+    """
     totals = told.groupBy("given_toxic").count().collect()
     n = {r["given_toxic"]: r["count"] for r in totals}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -131,7 +137,7 @@ def insult_words(told: DataFrame, most_words: int) -> list[str]:
     base = F.lit(bad / (bad + good))
     z = (F.col("b") - (F.col("b") + F.col("g")) * base) / F.sqrt((F.col("b") + F.col("g")) * base * (1 - base) + 1)
     often = (F.col("b") / bad >= 5 * (F.col("g") + 1) / good) & (z >= 5)
-    return [r["w"] for r in each.filter(often).orderBy(z.desc(), "w").limit(most_words).collect()]
+    return [r["w"] for r in each.filter(often).orderBy("w").collect()]
 
 
 def posteriors(rows: DataFrame, families: dict[str, dict[str, Column]]) -> list[Column]:
@@ -152,20 +158,29 @@ def posteriors(rows: DataFrame, families: dict[str, dict[str, Column]]) -> list[
     return beliefs
 
 
-def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, bits: int, most_words: int = 200) -> dict:
+def train(docs: DataFrame, labels: DataFrame | None, folder: str, sample: int, bits: int) -> dict:
     """The scorer's weights from a bounded sample of ``docs`` (doc_id, text)."""
     pool = docs.filter(F.col("doc_id").isNotNull())
     total = pool.select("doc_id").count()
     if total > sample:
-        pool = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
+        pool = pool.filter(sampled(F.xxhash64("doc_id"), sample / total))
     if labels is not None:
         given = labels.select(F.col("doc_id").alias("of"), F.col("quality").alias("given_quality"), F.col("toxic").alias("given_toxic")).filter("of is not null")
         given = given.groupBy("of").agg(F.min("given_quality").alias("given_quality"), F.max("given_toxic").alias("given_toxic"))
         pool = pool.join(given, F.col("doc_id") == F.col("of"), "left").drop("of")
     pool = save(pool, folder, "pool")
-    known = [] if labels is None else insult_words(pool.select("text", "given_toxic").filter("given_toxic is not null"), most_words)
-    lexicon = sorted({*INSULTS, *known})
-    pool = pool.withColumn("insults", F.size(F.filter(spoken("text"), lambda w: w.isin(*lexicon))))
+    if total and pool.isEmpty():
+        raise ValueError("no document is in the sample")
+    said = spoken("text")
+    hits = lambda lexicon: F.size(F.filter(said, lambda w: w.isin(*lexicon))) if lexicon else F.lit(0)
+    pool = pool.withColumn("insults", hits(INSULTS))
+    if labels is not None:
+        # Words are learned on one half of the labelled documents and vote on the other, so that no document is judged
+        # by words that its own label has picked.
+        half = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(2))
+        told = pool.select("text", "given_toxic", half.alias("half")).filter("given_toxic is not null")
+        lexicons = [sorted({*insult_words(told.filter(F.col("half") == 1 - k))} - {*INSULTS}) for k in (0, 1)]
+        pool = pool.withColumn("learned", F.when(half == 0, hits(lexicons[0])).otherwise(hits(lexicons[1])))
     rows = save(quality_rules.measures(pool, pool.columns), folder, "measured")
     families = labellers(labels is not None)
     votes = {f"{f}_{name}": v for f, given in families.items() for name, v in given.items()}

@@ -369,6 +369,7 @@ def test_language_id_against_brute_force(spark):
 
 
 def test_language_sample_is_shared_out():
+    assert langid.shares({"a": 10**11, "b": 10**11}, 8_000) == {"a": 4_000 / 10**11, "b": 4_000 / 10**11}
     assert langid.shares({"a": 1_000_000, "b": 50, "c": 3_000}, 1_000) == pytest.approx({"b": 1, "c": 475 / 3_000, "a": 475 / 1_000_000})
 
 
@@ -530,3 +531,41 @@ def test_substring_dedup(docs, empty, window, anchor):
     got = substring_dedup.remove_repeats(docs, window, anchor).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == want
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_samples_of_very_large_tables_are_not_empty(spark):
+    """Of 10 ** 11 documents a language, and of 10 ** 15 vectors, the thresholds still let the sample's share through."""
+    from strandline.llm.common import sampled, threshold
+
+    for n in (10**4, 10**9, 10**11, 10**15):
+        share = 4_000 / n if n > 4_000 else 1
+        below = threshold(share)
+        assert -(2**63) < below < 2**63 and abs((below + 2**63) / 2**64 * n - 4_000) < 1
+    marks = spark.range(1000).select((F.lit(-(2**63) + 1) + F.col("id") * (2**64 // 10**11)).alias("mark"))
+    assert marks.filter(sampled(F.col("mark"), 400 / 10**11)).count() in (400, 401)  # the step is rounded down
+    assert marks.filter(sampled(F.col("mark"), 1)).count() == 1000
+
+
+def test_many_languages(spark, monkeypatch):
+    """300 languages, one of them with nine tenths of the rows: all are learned, whether rows are made at once or when asked for."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    rows = [(f"l{k:03d}", " ".join(letters[3 * k + rng.randrange(3)] * rng.randrange(1, 4) for _ in range(12))) for k in range(300) for _ in range(3)]
+    rows += [("l000", " ".join(letters[rng.randrange(3)] for _ in range(10))) for _ in range(8_000)]
+    train = spark.createDataFrame(rows, "lang string, text string").withColumn("mark", F.xxhash64(F.monotonically_increasing_id()))
+    model = langid.train(train, 500)
+    assert len(model["langs"]) == 300
+    found = []
+    for cells in (langid.CELLS, 10):
+        monkeypatch.setattr(langid, "CELLS", cells if cells > 10 else 300 * 400)
+        scorer = langid.Scorer(model)
+        assert bool(scorer.base) == (cells > 10)
+        found.append([scorer.score(text) for _, text in rows[:900]])
+    assert [a for a, _ in found[0]] == [b for b, _ in found[1]] == [lang for lang, _ in rows[:900]]
+    assert np.allclose([a for _, a in found[0]], [b for _, b in found[1]], atol=1e-5)
+
+
+def test_a_language_without_a_sample_is_an_error(spark):
+    rows = spark.createDataFrame([("aa", "some words", 2**63 - 1)] * 100_000, "lang string, text string, mark bigint")
+    with pytest.raises(ValueError, match="aa"):
+        langid.train(rows, 100)
