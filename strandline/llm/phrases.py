@@ -40,8 +40,9 @@ from .common import drop, save, ship, work_dir
 
 #: Distinct words that a task counts, and word places whose pairs it counts, before it hands the counts on.
 MOST_WORDS, MOST_PLACES = 250_000, 2_000_000
-#: Words of the distinct runs in one automaton, at most (or one longer run), and distinct words that a task knows by number.
-SHARD_WORDS, KNOWN = 60_000, 250_000
+#: Words of the distinct runs in one automaton, at most (or one longer run); distinct words that a task knows by number, and
+#: phrases whose counts it holds, before it hands the counts on.
+SHARD_WORDS, KNOWN, MOST_PHRASES = 60_000, 250_000, 250_000
 
 #: Characters that end a piece become line feeds, a tab a space.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -314,48 +315,64 @@ def count_phrases(runs: DataFrame, triples: Broadcast, longest: int = 5) -> Data
     places, so that a phrase longer by one, of ``longest`` words at most, occurs as often.
     """
 
-    def enumerated(words: list[bytes], lang: str, held: Counter[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton()
-        for run, weight in held.items():
-            automaton.add(run, weight)
-        held.clear()
-        automaton.counted()
-        found = automaton.substrings(2, longest)
-        while rows := list(islice(found, 20_000)):
-            strings, counts, before, after = zip(*rows)
-            columns = [pa.array([lang] * len(rows)), pa.array([b" ".join([words[c] for c in x]) for x in strings], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-            columns += [pa.array([None if c is None else words[c] for c in x], pa.binary()).cast(pa.string()) for x in (before, after)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "after"])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, held, sizes = _Numbers(), {}, Counter()
+        # What the automata of this task have counted: by phrase, its number and the words about it, if they all name one.
+        counted: dict[str, dict[tuple[int, ...], list[int | None]]] = {}
+
+        def count(lang: str) -> None:
+            automaton, known = SuffixAutomaton(), counted.setdefault(lang, {})
+            for run, weight in held[lang].items():
+                automaton.add(run, weight)
+            held[lang].clear()
+            sizes[lang] = 0
+            automaton.counted()
+            for string, n, before, after in automaton.substrings(2, longest):
+                if (seen := known.get(string)) is None:
+                    known[string] = [n, before, after]
+                else:
+                    seen[0] += n
+                    seen[1] = before if seen[1] == before else None
+                    seen[2] = after if seen[2] == after else None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = numbers.words
+            for lang, known in counted.items():
+                found = iter(known.items())
+                while rows := list(islice(found, 20_000)):
+                    strings, facts = zip(*rows)
+                    counts, before, after = zip(*facts)
+                    columns = [pa.array([lang] * len(rows)), pa.array([b" ".join([words[c] for c in x]) for x in strings], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+                    columns += [pa.array([None if c is None else words[c] for c in x], pa.binary()).cast(pa.string()) for x in (before, after)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "after"])
+            counted.clear()
+
         for lang, found, n in _by_lang(batches):
-            if len(numbers) > KNOWN:  # begin anew
-                for other, runs_ in held.items():
-                    yield from enumerated(numbers.words, other, runs_)
+            if len(numbers) > KNOWN or sum(map(len, counted.values())) > MOST_PHRASES:  # begin anew
+                for other in held:
+                    count(other)
+                yield from out()
                 numbers = _Numbers()
-                sizes.clear()
             places, keys, counts = _triples(lang, found, numbers)
             good = triples.value.held(keys).tolist()
             own, at = held.setdefault(lang, Counter()), 0
             for run, k, weight in zip(places, counts.tolist(), n.tolist()):
                 # Cut where three words are not frequent together: the middle one ends a part and begins the next.
-                start = 0
+                parts, start = [], 0
                 for i in range(k):
                     if not good[at + i]:
-                        own[tuple(run[start : i + 2])] += weight
-                        sizes[lang] += i + 2 - start
+                        parts.append(tuple(run[start : i + 2]))
                         start = i + 1
                 at += k
-                own[tuple(run[start:])] += weight
-                sizes[lang] += len(run) - start
-                if sizes[lang] > SHARD_WORDS and sum(map(len, own)) > SHARD_WORDS:
-                    yield from enumerated(numbers.words, lang, own)
-                    sizes[lang] = 0
-                elif sizes[lang] > SHARD_WORDS:
-                    sizes[lang] = sum(map(len, own))
-        for lang, own in held.items():
-            yield from enumerated(numbers.words, lang, own)
+                for part in (*parts, tuple(run[start:])):
+                    if part not in own:
+                        sizes[lang] += len(part)
+                    own[part] += weight
+                if sizes[lang] > SHARD_WORDS:
+                    count(lang)
+        for lang in held:
+            count(lang)
+        yield from out()
 
     rows = runs.mapInArrow(work, "lang string, phrase string, n bigint, before string, after string")
 
