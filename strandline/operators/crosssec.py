@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import average_rank
+from .quantiles import exact_quantiles
 
 
 def tercile(df: DataFrame, column: str, labels: tuple[str, str, str], out: str, by: str = "week") -> DataFrame:
@@ -40,13 +41,11 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: str = "week", least: int
 
 
 def winsorized(df: DataFrame, columns: list[str], tail: float) -> DataFrame:
-    """Columns clipped at their pooled quantiles ``tail`` and 1 - ``tail``."""
+    """Columns clipped at their pooled quantiles ``tail`` and 1 - ``tail``, which are selected over the cluster at once."""
     if not tail:
         return df
-    cuts = df.agg(*[F.percentile(c, F.array(F.lit(tail), F.lit(1 - tail))).alias(f"__{c}") for c in columns])
-    df = df.crossJoin(F.broadcast(cuts))  # one row
-    clipped = {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"__{c}")[1]), F.col(f"__{c}")[0])) for c in columns}
-    return df.withColumns(clipped).drop(*[f"__{c}" for c in columns])
+    cuts = {c: q for c, q in exact_quantiles(df, columns, [tail, 1 - tail]).items() if q[0] is not None}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(high)), F.lit(low))) for c, (low, high) in cuts.items()})
 
 
 def clustering(events: DataFrame, by: str = "week") -> Column:

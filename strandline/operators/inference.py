@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fits
+from .graph import components
 
 
 def slope_by_week(panel: DataFrame, y: str, x: str, by: str = "week") -> DataFrame:
@@ -111,42 +111,78 @@ def bh(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     return df.withColumn("p_fdr", F.least(F.lit(1.0), F.min("__a").over(later))).drop("__r", "__a")
 
 
-def two_way_fe(rows: DataFrame, by: list[str], y: str, x: str, controls: list[str], keep: Callable[[DataFrame], DataFrame], steps: int = 40, each: int = 4) -> DataFrame:
+def _without_effects(df: DataFrame, by: list[str], names: list[str], keep: Callable[[DataFrame], DataFrame], steps: int, each: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """``df`` with entity and week effects taken out of ``names``, and (by, residue) of each regression's solution.
+
+    Entity effects leave by demeaning. Week effects then solve a system with a row for each week, whose matrix is never
+    built: conjugate gradients, scaled by the weeks' numbers of rows, of all variables at once. A step spreads a value for
+    each week over the table of (entity, week) counts and back; ``each`` steps stand between stored tables. ``residue``
+    is what is left of the system's right side, relative, of the variable that is furthest from its solution.
+    """
+    counts = keep(df.groupBy(*by, "entity", "week").agg(F.count(F.lit(1)).alias("__c")))
+    counts = keep(counts.withColumn("__s", F.col("__c") / F.sum("__c").over(Window.partitionBy(*by, "entity"))))
+    own = Window.partitionBy(*by, "entity")
+    centred = df.withColumns({c: F.col(c) - F.avg(c).over(own) for c in names})
+    group = Window.partitionBy(*by)
+    dot = lambda a, b: F.sum(a * b).over(group)
+    start = centred.groupBy(*by, "week").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"r_{c}") for c in names])
+    start = start.withColumns({f"p_{c}": F.col(f"r_{c}") / F.col("__n") for c in names}).withColumns({f"b_{c}": F.lit(0.0) for c in names})
+    state = start.withColumns({f"z_{c}": dot(F.col(f"r_{c}"), F.col(f"p_{c}")) for c in names})
+    state = keep(state.withColumns({f"o_{c}": F.col(f"z_{c}") for c in names}))
+    residue = F.greatest(F.lit(0.0), *[F.sqrt(F.greatest(F.lit(0.0), F.col(f"z_{c}")) / F.greatest(F.col(f"o_{c}"), F.lit(1e-300))) for c in names])
+    for _ in range(0, steps, each):
+        q = state
+        for _ in range(each):
+            spread = counts.join(q.select(*by, "week", *[f"p_{c}" for c in names]), [*by, "week"])
+            means = spread.groupBy(*by, "entity").agg(*[F.sum(F.col("__s") * F.col(f"p_{c}")).alias(f"m_{c}") for c in names])
+            back = counts.join(means, [*by, "entity"]).groupBy(*by, "week").agg(*[F.sum(F.col("__c") * F.col(f"m_{c}")).alias(f"m_{c}") for c in names])
+            q = q.join(back, [*by, "week"]).withColumns({f"a_{c}": F.col("__n") * F.col(f"p_{c}") - F.col(f"m_{c}") for c in names})
+            # Without variation left, or once it is solved, nothing moves.
+            go = {c: F.when(F.col(f"z_{c}") > F.col(f"o_{c}") * least**2, F.col(f"z_{c}") / F.nullif(dot(F.col(f"p_{c}"), F.col(f"a_{c}")), F.lit(0.0))) for c in names}
+            q = q.withColumns({f"g_{c}": F.coalesce(x, F.lit(0.0)) for c, x in go.items()})
+            q = q.withColumns({**{f"b_{c}": F.col(f"b_{c}") + F.col(f"g_{c}") * F.col(f"p_{c}") for c in names}, **{f"r_{c}": F.col(f"r_{c}") - F.col(f"g_{c}") * F.col(f"a_{c}") for c in names}})
+            q = q.withColumns({f"y_{c}": dot(F.col(f"r_{c}"), F.col(f"r_{c}") / F.col("__n")) for c in names})
+            q = q.withColumns({f"p_{c}": F.col(f"r_{c}") / F.col("__n") + F.coalesce(F.col(f"y_{c}") / F.nullif(f"z_{c}", F.lit(0.0)), F.lit(0.0)) * F.col(f"p_{c}") for c in names})
+            q = q.select(*by, "week", "__n", *[F.col(f"{k}_{c}") for c in names for k in "bpro"], *[F.col(f"y_{c}").alias(f"z_{c}") for c in names])
+        state = keep(q)
+        left = state.agg(F.max(residue)).first()[0]
+        if left is None or left <= 10 * least:
+            break
+    weeks = state.select(*by, "week", *[f"b_{c}" for c in names])
+    free = centred.join(weeks, [*by, "week"]).withColumns({c: F.col(c) - F.col(f"b_{c}") for c in names}).drop(*[f"b_{c}" for c in names])
+    return keep(free.withColumns({c: F.col(c) - F.avg(c).over(own) for c in names})), keep(state.groupBy(*by).agg(F.max(residue).alias("__residue")))
+
+
+def two_way_fe(rows: DataFrame, by: list[str], y: str, x: str, controls: list[str], keep: Callable[[DataFrame], DataFrame], steps: int = 240, each: int = 4, least: float = 1e-12) -> DataFrame:
     """(by, coef, se, t, n, r2, note) of x for each regression: entity and week effects, errors clustered by week.
 
-    ``rows`` has a row for each regression (``by``), entity and week. Effects leave by demeaning over weeks and entities
-    in turn, ``each`` times between stored tables (``keep``), until nothing changes; controls leave by the sums of
-    products of what is left, a few numbers for each regression. A regression without enough rows or without variation
-    of x gives nulls and a note.
+    ``rows`` has a row for each regression (``by``), entity and week. Effects leave by conjugate gradients (at most
+    ``steps``, until what is left is ``least`` of the start); controls leave by the sums of products of what is left, a
+    few numbers for each regression. Each component of entities and weeks that share no row has effects of its own, which the
+    degrees of freedom count. A regression without enough rows or without variation of x gives nulls and a note; one
+    whose effects have not converged gives its figures and says so.
     """
     names = [y, x, *controls]
     df = rows.select(*by, "entity", "week", *names).dropna()
     df = keep(df.withColumn("__y", F.col(y)))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("s"), F.countDistinct("week").alias("g"), F.var_pop("__y").alias("__var"), *[F.stddev_pop(c).alias(f"__{c}") for c in names])
-    for _ in range(steps):
-        q = df.select(*df.columns, *[F.col(c).alias(f"__was_{c}") for c in names])
-        for _ in range(each):
-            for unit in ("week", "entity"):
-                w = Window.partitionBy(*by, unit)
-                q = q.withColumns({c: F.col(c) - F.avg(c).over(w) for c in names})
-        q = keep(q)
-        change = q.groupBy(*by).agg(*[F.max(F.abs(F.col(c) - F.col(f"__was_{c}"))).alias(f"d_{c}") for c in names]).join(sizes, by)
-        moved = change.agg(F.max(F.greatest(*[F.col(f"d_{c}") / F.greatest(F.col(f"__{c}"), F.lit(1e-300)) for c in names]))).first()[0]
-        df = q.select(*df.columns)
-        if moved is None or moved < 1e-11:
-            break
+    ends = df.select(*by, F.concat(F.lit("e"), F.col("entity").cast("string")).alias("a"), F.concat(F.lit("w"), F.col("week").cast("string")).alias("b"))
+    parts = components(ends.distinct(), by, keep).groupBy(*by).agg(F.countDistinct("root").alias("__parts"))
+    df, residue = _without_effects(df, by, names, keep, steps, each, least)
+    sizes = sizes.join(parts, by).join(residue, by)
     products = {(i, j): F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
     found = []
     for r in df.groupBy(*by).agg(*products.values()).join(sizes, by).collect():  # a row for each regression
         gram = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
-        k = 1 + len(names) - 1 + r["s"] - 1 + r["g"] - 1
+        k = len(names) - 1 + r["s"] + r["g"] - r["__parts"]
         scale = np.array([r[f"__{c}"] ** 2 * r["n"] for c in names])
         note = "too few rows" if r["n"] <= k or r["g"] < 2 else "no variation" if (np.diag(gram)[1:] <= 1e-12 * scale[1:]).any() else None
+        slow = "not converged" if not note and r["__residue"] > 1e-8 else None
         take = np.linalg.lstsq(gram[2:, 2:], gram[2:, :2], rcond=None)[0] if controls and not note else np.zeros((len(controls), 2))
-        found.append((*[r[c] for c in by], r["n"], r["g"], k, r["__var"], note, *map(float, take[:, 0]), *map(float, take[:, 1])))
+        found.append((*[r[c] for c in by], r["n"], r["g"], k, r["__var"], note or slow, note is None, *map(float, take[:, 0]), *map(float, take[:, 1])))
     kinds = dict(df.dtypes)
     parts = [f"__{side}{j}" for side in "yx" for j in range(len(controls))]
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "n bigint, g bigint, k bigint, __var double, note string", *[f"{p} double" for p in parts]])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "n bigint, g bigint, k bigint, __var double, note string, __good boolean", *[f"{p} double" for p in parts]])
     small = df.sparkSession.createDataFrame(found, schema)
     free = df.join(F.broadcast(small), by)  # a row for each regression
     for side, c in (("y", y), ("x", x)):
@@ -161,26 +197,38 @@ def two_way_fe(rows: DataFrame, by: list[str], y: str, x: str, controls: list[st
     total = weekly.groupBy(*by).agg(F.sum(F.col("__score") * F.col("__score")).alias("__meat"), F.sum("__ssr").alias("__ssr"))
     out = small.join(slope, by, "left").join(total, by, "left")
     n, g, k = (F.col(c) for c in ("n", "g", "k"))
-    good = F.col("note").isNull()
+    good = F.col("__good")
     se = F.sqrt(F.col("__meat")) / F.col("__sxx") * F.sqrt(g / (g - 1) * (n - 1) / (n - k))
     out = out.withColumn("coef", F.when(good, F.col("coef"))).withColumn("se", F.when(good, se))
     out = out.withColumn("t", F.col("coef") / F.nullif("se", F.lit(0.0))).withColumn("r2", F.when(good, 1 - F.col("__ssr") / F.nullif(F.col("__var") * n, F.lit(0.0))))
     return out.select(*by, "coef", "se", "t", "n", "r2", "note")
 
 
+def draw(seed: int, resample: Column, place: Column, n: Column) -> Column:
+    """A place from 0 to n - 1, drawn by a counter: 48 bits of a digest of the seed, the resample and the draw's number."""
+    text = F.concat_ws(" ", F.lit(seed), resample, place)
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % n
+
+
 def bootstrap(values: DataFrame, value: str, key: str, by: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """(by, low, high): percentile interval of the mean by resampling in order of ``key``; null below two values."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(key)[value].dropna().to_numpy(float)
-        if len(v) < 2:
-            return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [None], "high": [None]})
-        rng = np.random.default_rng(seed)
-        means = [rng.choice(v, size=len(v), replace=True).mean() for _ in range(n)]
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [low], "high": [high]})
-
-    return values.select(by, key, value).groupBy(by).applyInPandas(one, f"{by} string, low double, high double")
+    """(by, low, high): percentile interval of the mean by resampling; null below two values.
+
+    Values are numbered in order of ``key``; draw j of resample i takes the value whose number a digest of (seed, i, j)
+    gives. So every draw is a row of its own, made and counted anywhere, and any engine draws the same.
+    """
+    known = values.select(by, key, value).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    held = known.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = known.select(by, F.col(value).cast("double").alias("__v"), (F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1).cast("long").alias("__k")).join(held, by)
+    # Each value's row makes one draw of every resample: the draw's number is its own.
+    draws = numbered.select(by, "__n", "__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__i"))
+    draws = draws.select(by, "__i", draw(seed, F.col("__i"), F.col("__k"), F.col("__n")).alias("__k"))
+    times = draws.groupBy(by, "__i", "__k").agg(F.count(F.lit(1)).alias("__times"))
+    means = times.join(numbered, [by, "__k"]).groupBy(by, "__i").agg((F.sum(F.col("__times") * F.col("__v")) / F.first("__n")).alias("__mean"))
+    # n means of a group meet, whatever the number of values.
+    cuts = means.groupBy(by).agg(F.percentile("__mean", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
+    out = values.select(by).distinct().join(held, by, "left").join(cuts, by, "left")
+    enough = F.col("__n") >= 2
+    return out.select(by, F.when(enough, F.col("__q")[0]).alias("low"), F.when(enough, F.col("__q")[1]).alias("high"))
 
 
 def rolling_hac(coefs: DataFrame, value: str = "coef", order: str = "week", window: int = 52, least: int = 10) -> DataFrame:

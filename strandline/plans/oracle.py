@@ -259,6 +259,7 @@ FINAL = {
     "fm_weekly_controls": "SELECT * FROM fm WHERE model IN ('M2', 'M3')",
     "fm_weekly_industry": "SELECT * FROM fm WHERE model = 'M4'",
     "fm_summary": _fm("fm", "model, horizon", "panel"),
+    "bootstrap_ci": "WITH v AS (SELECT definition, car, row_number() OVER (PARTITION BY definition ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY definition) AS n FROM final_cars WHERE car IS NOT NULL), d AS (SELECT definition, i, ('0x' || substr(md5('42 ' || i || ' ' || k), 1, 12))::BIGINT % n AS k FROM v, range(2000) r(i)), m AS (SELECT definition, i, avg(car) AS mean FROM d JOIN v USING (definition, k) GROUP BY 1, 2) SELECT definition, CASE WHEN any_value(n) >= 2 THEN quantile_cont(mean, 0.025) END AS low, CASE WHEN any_value(n) >= 2 THEN quantile_cont(mean, 0.975) END AS high FROM m JOIN (SELECT definition, count(*) AS n FROM v GROUP BY 1) USING (definition) GROUP BY 1",
     "fm_skipped_weeks": _skipped("(SELECT * REPLACE (CASE WHEN z > 0.5 THEN z END AS z) FROM panel)", {"M1": ["z"], "M2": ["z", *CTRL[:2]]}, {}),
     "fm_interaction": "SELECT *, 'E' AS model FROM inter",
     "interaction_summary": _fm("inter", "horizon, term", "panel4"),

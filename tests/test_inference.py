@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 
 import numpy as np
@@ -123,10 +124,15 @@ def test_two_way_fixed_effects(spark, tmp_path):
 def test_bootstrap(spark):
     v = np.random.default_rng(5).normal(size=30)
     df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)] + [("b", 99, 1.0)], "g string, k int, v double")
-    rng = np.random.default_rng(42)
-    means = [rng.choice(v, size=30, replace=True).mean() for _ in range(2000)]
     got = {r.g: r for r in inference.bootstrap(df, "v", "k", "g").collect()}
+    # The same draws made one by one ...
+    place = lambda i, j: int(hashlib.md5(f"42 {i} {j}".encode()).hexdigest()[:12], 16) % 30
+    means = [np.mean([v[place(i, j)] for j in range(30)]) for i in range(2000)]
     assert [got["a"].low, got["a"].high] == pytest.approx(np.percentile(means, [2.5, 97.5])) and got["b"].low is None
+    # ... and an interval like that of another generator.
+    rng = np.random.default_rng(42)
+    others = [rng.choice(v, size=30, replace=True).mean() for _ in range(2000)]
+    assert [got["a"].low, got["a"].high] == pytest.approx(np.percentile(others, [2.5, 97.5]), abs=0.05)
 
 
 def test_terciles(spark):
