@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.expressions import half_width, ratio, rounded
-from strandline.operators import asof, crosssec, events, flows, governance, inference, panel
+from strandline.operators import asof, collection, crosssec, events, flows, governance, inference, panel
 from strandline.sources import facts
 from strandline.streaming.activity import activity
 
@@ -593,6 +593,56 @@ def manifest_entries(c):
     return governance.manifest_entries(c.weekly, {"geo": "TW", "timeframe": "today 5-y"}, least=26)
 
 
+#: The request of the study's collection, and one that asks for an earlier use of the same values.
+ASKED = {"timeframe": "today 5-y", "geo": "TW", "availability_policy": "start+14d"}
+EARLIER = {**ASKED, "availability_policy": "start+7d"}
+
+
+def _collected(c: Context, request: dict, at: int) -> DataFrame:
+    """Entries of all series: their file is what their weeks say, their scale is that of their batch."""
+    weeks = asof.annotate(c.weekly)
+    said = F.concat_ws("|", "entity", F.count(F.lit(1)), F.sum("svi").cast("long"))
+    files = c.weekly.groupBy("entity").agg(F.sha2(said, 256).alias("file_sha256")).withColumn("raw_file_sha256", F.lit(None).cast("string"))
+    scales = governance.batches(c.weekly.select("entity").distinct(), "Brand#11").withColumn("scale_factor", F.col("batch") + 1.0)
+    return collection.success_entries(weeks, files, scales, request, at)
+
+
+@query
+def collection_errors(c):
+    """Why files of series must not be read, of a state with series that failed, were left out, or were collected otherwise."""
+    whole = _collected(c, ASKED, 1)
+    of = lambda *names: F.col("entity").isin(*names)
+    state = whole.filter(~of("Brand#12"))
+    state = state.withColumns({
+        "scale_factor": F.when(~of("Brand#13", "Brand#14"), F.col("scale_factor")), "error": F.when(of("Brand#13"), "timeout").otherwise(F.col("error")),
+        "availability_policy": F.when(of("Brand#15", "Brand#21"), EARLIER["availability_policy"]).otherwise(F.col("availability_policy")),
+        "geo": F.when(~of("Brand#21"), F.col("geo")), "request_sha256": F.when(of("Brand#22"), governance.request_hash(EARLIER)).otherwise(F.col("request_sha256")),
+        "file_sha256": F.when(of("Brand#23"), F.lit("0")).otherwise(F.col("file_sha256")),
+    })
+    found = whole.filter(~of("Brand#24")).select("entity", "file_sha256")
+    header = c.spark.createDataFrame([(collection.VERSION, governance.request_hash(ASKED))], "version int, request_sha256 string")
+    old = c.spark.createDataFrame([(collection.VERSION, governance.request_hash(EARLIER))], "version int, request_sha256 string")
+    out = None
+    for name, head in (("current", header), ("earlier", old), ("none", header.limit(0))):
+        df = collection.errors(found, state, head, ASKED).withColumn("name", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query
+def collection_state(c):
+    """The state after three rounds: all series, failures of some, and successes of some of those; under either request."""
+    first = _collected(c, ASKED, 1)
+    failed = first.filter("batch % 2 = 0").select("entity", "batch", F.lit("timeout").alias("error"))
+    again = _collected(c, ASKED, 3).filter("batch % 4 = 0")
+    state = collection.upsert(collection.upsert(first, collection.error_entries(failed, ASKED, 2)), again)
+    header = c.spark.createDataFrame([(collection.VERSION, governance.request_hash(ASKED))], "version int, request_sha256 string")
+    kept = collection.current(state, header, ASKED).withColumn("name", F.lit("same"))
+    reset = collection.upsert(collection.current(state, header, EARLIER), _collected(c, EARLIER, 4).filter("batch = 1")).withColumn("name", F.lit("changed"))
+    both = kept.unionByName(reset)
+    return both.select("name", "entity", "batch", "scale_factor", "availability_policy", "request_sha256", "date_start", "date_end", "available_at_end", "n_rows", "file_sha256", "collected_at", "error")
+
+
 @query
 def strategy_metrics(c):
     """Weekly mean excess return of each attention tercile: total, annualised, ratio to deviation, win rate, drawdown."""
