@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources import store
+
 from . import asof
 from .crosssec import quantile_flag
 
@@ -25,14 +29,36 @@ def defined(panel: DataFrame) -> DataFrame:
     return panel.withColumn("definition", F.explode(F.array_compact(names))).select("definition", "entity", "week", "return_start", "z")
 
 
-def non_overlapping(events: DataFrame, gap: int = GAP_DAYS, by: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """Events of an entity at least ``gap`` days after the last one kept: a fold over its ordered weeks."""
-    def step(kept, week):
-        return F.when((F.size(kept) == 0) | (F.datediff(week, F.element_at(kept, -1)) >= gap), F.concat(kept, F.array(week))).otherwise(kept)
+def non_overlapping(events: DataFrame, gap: int = GAP_DAYS, by: tuple[str, ...] = ("entity",), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Events of an entity at least ``gap`` days after the last one kept, the first one being kept.
 
-    weeks = events.groupBy(*by).agg(F.array_sort(F.collect_set("week")).alias("w"))
-    kept = weeks.select(*by, F.explode(F.aggregate("w", F.array().cast("array<date>"), step)).alias("week"))
-    return events.join(kept, [*by, "week"])
+    Each week with an event points to the first one ``gap`` days or more later. What is kept is what can be reached from
+    the first, found by doubling: in each round the reached weeks reach on by their pointers, and pointers become pointers
+    of pointers. So an entity's events need not meet in a row or task, and rounds are the logarithm of what is kept.
+    Tables between rounds are stored (``keep``; in a folder of its own if None). Events of a null week are not kept.
+    """
+    if keep is None:
+        spark, made = events.sparkSession, []
+        folder = store.folder(spark)
+
+        def keep(df: DataFrame) -> DataFrame:
+            made.append(f"{folder}/{len(made)}")
+            return store.save(df, made[-1])
+
+    key = F.struct(*by)  # as a struct so that nulls in it match
+    weeks = events.filter(F.col("week").isNotNull()).select(*by, "week").distinct().withColumn("entity_", key)
+    days = weeks.select(F.col("entity_").alias("entity"), F.col("week").alias("date"), F.lit(0.0).alias("close"))
+    jump = keep(asof.lookup(weeks, days, "entity_", F.date_add("week", gap), next="at_or_after").select("entity_", "week", "next"))
+    reached = keep(jump.groupBy("entity_").agg(F.min("week").alias("week")))
+    jump = jump.filter(F.col("next").isNotNull())
+    while True:
+        step = keep(reached.join(jump, ["entity_", "week"]).select("entity_", F.col("next").alias("week")))
+        if step.isEmpty():
+            break
+        reached = keep(reached.union(step).distinct())
+        onward = jump.select("entity_", F.col("week").alias("next"), F.col("next").alias("after"))
+        jump = keep(jump.join(onward, ["entity_", "next"]).select("entity_", "week", F.col("after").alias("next")))
+    return events.withColumn("entity_", key).join(reached, ["entity_", "week"], "left_semi").select(*events.columns)
 
 
 def numbered(events: DataFrame) -> DataFrame:

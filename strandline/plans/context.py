@@ -88,7 +88,7 @@ class Context:
     @cached_property
     def all_events(self) -> DataFrame:
         """Kept events of all definitions, numbered."""
-        return self.keep(events.numbered(events.non_overlapping(self.raw_events, by=("definition", "entity"))))
+        return self.keep(events.numbered(events.non_overlapping(self.raw_events, by=("definition", "entity"), keep=self.keep)))
 
     @cached_property
     def kept_events(self) -> DataFrame:
