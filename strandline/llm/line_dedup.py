@@ -3,10 +3,10 @@
 DataFrame functions only. Lines without a word are left alone and stand in no run. Of every ``run`` consecutive lines of
 a text the one of smallest hash (leftmost on ties) is selected: the selected places are the text's fingerprints, of which
 any run of that length holds one. Equal runs select equal fingerprints, so only places whose fingerprint stands at
-another place too are joined. From each of them the match is extended both ways, over the lines before and after the
-fingerprint that stand in a window that selected it, by comparing two independent hashes of every line; of equal windows
-the first by (doc_id, place) stays and the lines that the later ones cover are deleted. Windows overlap, so a longer run
-goes as a whole.
+another place too are joined. Each of them carries the windows that selected it, the lines before and after it, as two
+independent hashes of all their lines; of equal windows the first by (doc_id, place) stays and the lines that the later
+ones cover are deleted. Windows overlap, so a longer run goes as a whole. Matches are not followed further from pair to
+pair: every window that equals an earlier one anywhere must go, which would take all pairs of a fingerprint's places.
 
 Scale: one row for each selected place is stored, about half of the lines; most are dropped after counting fingerprints
 (combined before the shuffle). Tables are stored between joins, so hot lines are split by the skewed-join rule. The
