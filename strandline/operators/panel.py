@@ -113,22 +113,36 @@ def coverage(panel: DataFrame, universe: DataFrame, least: int = 26) -> DataFram
 
 
 def input_coverage(universe: DataFrame, interest: DataFrame, prices: DataFrame, market: DataFrame, panel: DataFrame, least: int = 26) -> DataFrame:
-    """(entity, status) of every entity of the universe, from its raw inputs to its rows in the panel.
+    """(entity, status, reason, trends_present, price_present, benchmark_present, n_rows, n_forward, least) of the universe.
 
     Checked in turn: a benchmark at all, a valid interest series (starts on Sundays), valid prices (dated, with a
-    close), both there, rows in the panel, enough of them, enough with a forward return.
+    close), both there, rows in the panel, enough of them (``least``), enough with a forward return. ``reason`` says what
+    was found, and is empty for an accepted entity; rows are counted only of entities whose inputs are there and valid.
     """
-    bad = interest.groupBy("entity").agg(F.max((F.coalesce(F.weekday("start") != 6, F.lit(True))).cast("int")).alias("bad_interest"))
-    closes = prices.groupBy("entity").agg(F.max((F.col("date").isNull() | F.col("close").isNull()).cast("int")).alias("bad_price"))
-    got = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"), F.count("future_excess_4w").alias("n_forward"))
+    bad = interest.groupBy("entity").agg(F.count_if(F.coalesce(F.weekday("start") != 6, F.lit(True))).alias("bad_weeks"))
+    closes = prices.groupBy("entity").agg(F.count_if(F.col("date").isNull() | F.col("close").isNull()).alias("bad_days"))
+    got = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("rows"), F.count("future_excess_4w").alias("ahead"))
     known = market.select(F.lit(1).alias("one")).limit(1).agg(F.count("one").alias("benchmark"))
     df = universe.select("entity").distinct().join(bad, "entity", "left").join(closes, "entity", "left").join(got, "entity", "left").crossJoin(F.broadcast(known))  # one row
-    n, ahead = F.coalesce("n_rows", F.lit(0)), F.coalesce("n_forward", F.lit(0))
+    n, ahead = F.coalesce("rows", F.lit(0).cast("long")), F.coalesce("ahead", F.lit(0).cast("long"))
+    trends, price = F.col("bad_weeks").isNotNull(), F.col("bad_days").isNotNull()
     # Names of the statuses.
-    status = F.when(F.col("benchmark") == 0, "blocked_missing_benchmark").when(F.col("bad_interest") == 1, "blocked_invalid_trends_input").when(F.col("bad_price") == 1, "blocked_invalid_price_input")
-    status = status.when(F.col("bad_interest").isNull() | F.col("bad_price").isNull(), "blocked_missing_raw_input").when(n == 0, "blocked_panel_build_error")
-    status = status.when(n < least, "blocked_insufficient_history").when(ahead < least, "blocked_insufficient_forward_history").otherwise("accepted")
-    return df.select("entity", status.alias("status"))
+    found = [
+        (F.col("benchmark") == 0, "blocked_missing_benchmark", F.lit("no benchmark")),
+        (F.col("bad_weeks") > 0, "blocked_invalid_trends_input", F.format_string("%d weeks do not start on a Sunday", "bad_weeks")),
+        (F.col("bad_days") > 0, "blocked_invalid_price_input", F.format_string("%d days without a date or close", "bad_days")),
+        (~(trends & price), "blocked_missing_raw_input", F.concat(F.lit("missing: "), F.concat_ws(", ", F.when(~trends, "trends"), F.when(~price, "price")))),
+        (n == 0, "blocked_panel_build_error", F.lit("no row in the panel")),
+        (n < least, "blocked_insufficient_history", F.format_string("only %d rows in the panel", n)),
+        (ahead < least, "blocked_insufficient_forward_history", F.format_string("only %d rows with a forward return", ahead)),
+    ]
+    status, reason = F.lit("accepted"), F.lit("")
+    for condition, name, text in reversed(found):
+        status, reason = F.when(condition, name).otherwise(status), F.when(condition, text).otherwise(reason)
+    raw = ("blocked_missing_benchmark", "blocked_invalid_trends_input", "blocked_invalid_price_input", "blocked_missing_raw_input")
+    df = df.withColumn("status", status).withColumn("reason", reason)
+    counted = lambda c: F.when(~F.col("status").isin(*raw), c).otherwise(F.lit(0).cast("long"))
+    return df.select("entity", "status", "reason", trends.alias("trends_present"), price.alias("price_present"), (F.col("benchmark") > 0).alias("benchmark_present"), counted(n).alias("n_rows"), counted(ahead).alias("n_forward"), F.lit(least).alias("least"))
 
 
 def assert_complete(coverage_: DataFrame, expected: int) -> None:

@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.expressions import rounded
 from strandline.operators import asof, crosssec, events, features, fits, flows, inference, panel
 from strandline.sources import facts, store
 
@@ -168,8 +167,7 @@ class Context:
         inter = inference.summary(self.interaction_models.filter("term not in ('past_4w', 'past_12w')"), ["term", "horizon"], self.panel4)
         fm = fm.select(F.lit("fama_macbeth").alias("family"), F.col("model").alias("test"), "horizon", "p")
         inter = inter.select(F.lit("interaction_model").alias("family"), F.col("term").alias("test"), "horizon", "p")
-        # p-values enter the correction rounded, so that ties do not hang on the last bits of a sum.
-        return self.keep(car.unionByName(fm).unionByName(inter).withColumn("p", rounded("p", 9)))
+        return self.keep(car.unionByName(fm).unionByName(inter))
 
     @cached_property
     def event_tests(self) -> DataFrame:

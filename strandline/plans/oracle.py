@@ -205,7 +205,7 @@ GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT model, horizon, count(*) AS n, cou
     "shock_all": _each(lambda n: _ic("panel", "shock", f"future_excess_{n}w"), "shock"),
     "placebo_panel": "SELECT *, lag(future_excess_1w) OVER (PARTITION BY entity ORDER BY week) AS placebo FROM panel",
     "prior": f"SELECT p.*, CASE WHEN a.date > b.date THEN a.px / nullif(b.px, 0) - 1 END AS prior FROM panel p ASOF LEFT JOIN {_PX} a ON p.entity = a.entity AND p.start - 1 > a.date ASOF LEFT JOIN {_PX} b ON p.entity = b.entity AND a.date - 7 >= b.date",
-    "tests": "SELECT family, test, horizon, floor(p * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS p FROM (SELECT 'event_study_caar' AS family, definition AS test, 8 AS horizon, p_clustered AS p FROM event_tests UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM (" + _fm("fm", "model, horizon", "panel") + ") UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM fe_tests WHERE model = 'M5' UNION ALL SELECT 'interaction_model', term, horizon, p FROM (" + _fm("inter", "term, horizon", "panel4") + "))",
+    "tests": "SELECT family, test, horizon, p FROM (SELECT 'event_study_caar' AS family, definition AS test, 8 AS horizon, p_clustered AS p FROM event_tests UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM (" + _fm("fm", "model, horizon", "panel") + ") UNION ALL SELECT 'fama_macbeth', model, horizon, p FROM fe_tests WHERE model = 'M5' UNION ALL SELECT 'interaction_model', term, horizon, p FROM (" + _fm("inter", "term, horizon", "panel4") + "))",
     "pooled": "SELECT family, test, horizon, p, least(1.0, min(a) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS a, row_number() OVER (ORDER BY p) AS k FROM tests)",
     "batch": "SELECT entity, floor((row_number() OVER (ORDER BY entity) - 1) / 4)::BIGINT AS batch FROM (SELECT DISTINCT entity FROM weekly WHERE entity <> 'Brand#11')",
 }
@@ -307,13 +307,13 @@ SELECT week, mean, CASE WHEN s > 0 THEN mean / (sqrt(s) / 52) END AS t FROM p"""
     "event_activity": "SELECT ts::DATE AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "legacy_diff": "WITH base AS (SELECT entity, avg(past_4w) AS mean_return, count(past_4w)::DOUBLE AS n, avg(z) AS mean_z FROM panel GROUP BY 1), l AS (SELECT * FROM base WHERE entity <> 'Brand#11'), c AS (SELECT entity, mean_return * 0.5::DOUBLE AS mean_return, n FROM base WHERE entity <> 'Brand#55'), u AS (" + " UNION ALL ".join(f"SELECT coalesce(l.entity, c.entity) AS entity, '{m}' AS metric, l.{m} AS legacy, {'c.' + m if m != 'mean_z' else 'NULL::DOUBLE'} AS corrected, CASE WHEN l.entity IS NULL THEN 'blocked_missing_legacy_key' WHEN c.entity IS NULL THEN 'blocked_missing_corrected_key' ELSE '{'compared' if m != 'mean_z' else 'blocked_missing_corrected_metric'}' END AS status FROM l FULL JOIN c ON l.entity = c.entity" for m in ("mean_return", "n", "mean_z")) + ") SELECT *, CASE WHEN status = 'compared' THEN corrected - legacy END AS delta FROM u",
     "comparison_statuses": "WITH base AS (SELECT entity, avg(past_4w) AS mean_return, avg(z) AS mean_z FROM panel GROUP BY 1), wanted AS (SELECT unnest(['mean_return', 'mean_z']) AS m), tables AS (SELECT 'metric' AS name, true AS there, ['entity', 'mean_return'] AS has UNION ALL SELECT 'key', true, ['stock', 'mean_return', 'mean_z'] UNION ALL SELECT 'table', false, [] UNION ALL SELECT 'none', true, ['entity']), keyed AS (SELECT *, there AND list_contains(has, 'entity') AS comparable FROM tables), stopped AS (SELECT name, 'blocked_missing_table' AS status, 'corrected' AS missing FROM keyed WHERE NOT there UNION ALL SELECT name, 'blocked_missing_corrected_key', 'entity' FROM keyed WHERE there AND NOT comparable UNION ALL SELECT name, 'blocked_missing_corrected_metric', m FROM keyed, wanted WHERE comparable AND NOT list_contains(has, m) UNION ALL SELECT name, 'blocked_no_common_metrics', NULL FROM keyed WHERE comparable AND NOT list_has_any(has, ['mean_return', 'mean_z'])), long AS (UNPIVOT base ON mean_return, mean_z INTO NAME m VALUE v), cells AS (SELECT k.name, b.entity, w.m, a.v AS legacy, c.v AS corrected FROM keyed k, base b, wanted w LEFT JOIN long a ON a.entity = b.entity AND a.m = w.m LEFT JOIN long c ON c.entity = b.entity AND c.m = w.m WHERE k.comparable AND list_contains(k.has, w.m)) SELECT name, 'compared' AS status, NULL::VARCHAR AS missing, count(*) AS n, sum(corrected - legacy) AS delta FROM cells GROUP BY 1 UNION ALL SELECT name, status, missing, count(*), NULL FROM stopped GROUP BY 1, 2, 3",
-    "coverage_statuses": "WITH interest AS (SELECT entity, CASE WHEN entity = 'Brand#11' THEN start + 1 ELSE start END AS start FROM weekly), quotes AS (SELECT entity, date, CASE WHEN entity <> 'Brand#12' THEN close END AS close FROM prices WHERE entity <> 'Brand#13'), rows_ AS (SELECT entity, CASE WHEN entity <> 'Brand#21' THEN future_excess_4w END AS ahead FROM panel WHERE entity <> 'Brand#14' AND (entity <> 'Brand#15' OR week < DATE '1996-01-01')), universe AS (SELECT DISTINCT entity FROM weekly UNION ALL SELECT 'Brand#99'), facts AS (SELECT u.entity, (SELECT count(*) FROM market) AS benchmark, (SELECT count(*) FROM interest i WHERE i.entity = u.entity) AS weeks, (SELECT count(*) FROM interest i WHERE i.entity = u.entity AND dayofweek(i.start) <> 0) AS odd_weeks, (SELECT count(*) FROM quotes q WHERE q.entity = u.entity) AS days, (SELECT count(*) FROM quotes q WHERE q.entity = u.entity AND (q.date IS NULL OR q.close IS NULL)) AS empty_days, (SELECT count(*) FROM rows_ r WHERE r.entity = u.entity) AS n, (SELECT count(r.ahead) FROM rows_ r WHERE r.entity = u.entity) AS n_ahead FROM universe u) SELECT entity, CASE WHEN benchmark = 0 THEN 'blocked_missing_benchmark' WHEN odd_weeks > 0 THEN 'blocked_invalid_trends_input' WHEN empty_days > 0 THEN 'blocked_invalid_price_input' WHEN weeks = 0 OR days = 0 THEN 'blocked_missing_raw_input' WHEN n = 0 THEN 'blocked_panel_build_error' WHEN n < 26 THEN 'blocked_insufficient_history' WHEN n_ahead < 26 THEN 'blocked_insufficient_forward_history' ELSE 'accepted' END AS status FROM facts",
+    "coverage_statuses": "WITH interest AS (SELECT entity, CASE WHEN entity = 'Brand#11' THEN start + 1 ELSE start END AS start FROM weekly), quotes AS (SELECT entity, date, CASE WHEN entity <> 'Brand#12' THEN close END AS close FROM prices WHERE entity <> 'Brand#13'), rows_ AS (SELECT entity, CASE WHEN entity <> 'Brand#21' THEN future_excess_4w END AS ahead FROM panel WHERE entity <> 'Brand#14' AND (entity <> 'Brand#15' OR week < DATE '1996-01-01')), universe AS (SELECT DISTINCT entity FROM weekly UNION ALL SELECT 'Brand#99'), facts AS (SELECT u.entity, (SELECT count(*) FROM market) AS benchmark, (SELECT count(*) FROM interest i WHERE i.entity = u.entity) AS weeks, (SELECT count(*) FROM interest i WHERE i.entity = u.entity AND dayofweek(i.start) <> 0) AS odd_weeks, (SELECT count(*) FROM quotes q WHERE q.entity = u.entity) AS days, (SELECT count(*) FROM quotes q WHERE q.entity = u.entity AND (q.date IS NULL OR q.close IS NULL)) AS empty_days, (SELECT count(*) FROM rows_ r WHERE r.entity = u.entity) AS n, (SELECT count(r.ahead) FROM rows_ r WHERE r.entity = u.entity) AS n_ahead FROM universe u), judged AS (SELECT *, CASE WHEN benchmark = 0 THEN 'blocked_missing_benchmark' WHEN odd_weeks > 0 THEN 'blocked_invalid_trends_input' WHEN empty_days > 0 THEN 'blocked_invalid_price_input' WHEN weeks = 0 OR days = 0 THEN 'blocked_missing_raw_input' WHEN n = 0 THEN 'blocked_panel_build_error' WHEN n < 26 THEN 'blocked_insufficient_history' WHEN n_ahead < 26 THEN 'blocked_insufficient_forward_history' ELSE 'accepted' END AS status FROM facts), counted AS (SELECT *, status NOT IN ('blocked_missing_benchmark', 'blocked_invalid_trends_input', 'blocked_invalid_price_input', 'blocked_missing_raw_input') AS raw FROM judged) SELECT entity, status, CASE status WHEN 'blocked_missing_benchmark' THEN 'no benchmark' WHEN 'blocked_invalid_trends_input' THEN odd_weeks || ' weeks do not start on a Sunday' WHEN 'blocked_invalid_price_input' THEN empty_days || ' days without a date or close' WHEN 'blocked_missing_raw_input' THEN 'missing: ' || concat_ws(', ', CASE WHEN weeks = 0 THEN 'trends' END, CASE WHEN days = 0 THEN 'price' END) WHEN 'blocked_panel_build_error' THEN 'no row in the panel' WHEN 'blocked_insufficient_history' THEN 'only ' || n || ' rows in the panel' WHEN 'blocked_insufficient_forward_history' THEN 'only ' || n_ahead || ' rows with a forward return' ELSE '' END AS reason, weeks > 0 AS trends_present, days > 0 AS price_present, benchmark > 0 AS benchmark_present, CASE WHEN raw THEN n ELSE 0 END AS n_rows, CASE WHEN raw THEN n_ahead ELSE 0 END AS n_forward, 26 AS least FROM counted",
     "collection_errors": " UNION ALL ".join(f"SELECT coalesce(f.entity, s.entity) AS entity, CASE WHEN {h} IS NULL THEN 'no manifest' WHEN {h} <> {_ASKED} THEN 'manifest of another request' WHEN s.entity IS NULL THEN 'no entry' WHEN scale_factor IS NULL THEN 'failed: ' || coalesce(nullif(error, ''), 'no successful collection recorded') WHEN timeframe IS DISTINCT FROM 'today 5-y' OR geo IS DISTINCT FROM 'TW' OR availability_policy IS DISTINCT FROM 'start+14d' OR request_sha256 IS DISTINCT FROM {_ASKED} THEN 'stale/incompatible: ' || concat_ws(', ', CASE WHEN timeframe IS DISTINCT FROM 'today 5-y' THEN 'timeframe' END, CASE WHEN geo IS DISTINCT FROM 'TW' THEN 'geo' END, CASE WHEN availability_policy IS DISTINCT FROM 'start+14d' THEN 'availability_policy' END, CASE WHEN request_sha256 IS DISTINCT FROM {_ASKED} THEN 'request_sha256' END) WHEN f.entity IS NULL THEN 'no file' WHEN f.file_sha256 IS DISTINCT FROM s.file_sha256 THEN 'file hash mismatch' END AS error, '{name}' AS name FROM (SELECT entity, file_sha256 FROM collected WHERE entity <> 'Brand#24') f FULL JOIN spoilt s ON f.entity = s.entity" for name, h in (("current", _ASKED), ("earlier", _EARLIER), ("none", "NULL::VARCHAR"))),
     "collection_state": f"SELECT name, entity, batch, scale_factor, availability_policy, request_sha256, date_start, date_end, available_at_end, n_rows, file_sha256, collected_at::BIGINT AS collected_at, error FROM (SELECT 'same' AS name, * FROM (SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY entity ORDER BY collected_at DESC) = 1) UNION ALL SELECT 'changed', * REPLACE ('start+7d' AS availability_policy, {_EARLIER} AS request_sha256), 4 FROM collected WHERE batch = 1)",
     "batch_assignment": "SELECT * FROM batch",
     "anchor_rescale": "WITH anchor AS (SELECT start, svi AS anchor FROM weekly WHERE entity = 'Brand#11'), seen AS (SELECT w.*, batch, anchor FROM weekly w JOIN batch USING (entity) LEFT JOIN anchor USING (start)), means AS (SELECT batch, CASE WHEN avg(anchor) > 0 THEN (SELECT avg(anchor) FROM anchor) / avg(anchor) ELSE 1.0 END AS scale FROM seen GROUP BY batch) SELECT entity, batch, avg(svi * scale) AS mean_scaled FROM seen JOIN means USING (batch) GROUP BY 1, 2",
     "repeat_stability": "WITH orders_ AS (SELECT p_brand AS entity, (date_trunc('week', o_orderdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(DISTINCT l_orderkey)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), ships AS (SELECT p_brand AS entity, (date_trunc('week', l_shipdate::DATE + INTERVAL 1 DAY) - INTERVAL 1 DAY)::DATE AS start, count(*)::DOUBLE AS svi FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), both_ AS (SELECT entity, start, w.svi AS lines, o.svi AS orders, s.svi AS ships FROM weekly w JOIN orders_ o USING (entity, start) JOIN ships s USING (entity, start)), ranked AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY entity ORDER BY {c}) + (count(*) OVER (PARTITION BY entity, {c}) - 1) / 2.0 AS rank_{c}" for c in ("lines", "orders", "ships")) + " FROM both_) " + " UNION ALL ".join(f"SELECT entity, '{a}' AS first, '{b}' AS second, corr({a}, {b}) AS r, corr(rank_{a}, rank_{b}) AS rho, avg(abs({a} - {b})) AS mean_abs_diff, count(*) AS n FROM ranked GROUP BY entity" for a, b in (("lines", "orders"), ("lines", "ships"), ("orders", "ships"))),
-    "strategy_metrics": "WITH t AS (" + _tercile("panel", "z", ("low", "mid", "high"), "attention") + "), w AS (SELECT attention, week, greatest(avg(future_excess_1w), -0.5) AS r FROM t WHERE attention IS NOT NULL AND future_excess_1w IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY attention ORDER BY week) AS log FROM w), q AS (SELECT *, max(log) OVER (PARTITION BY attention ORDER BY week) AS peak FROM p) SELECT attention, count(*) AS n_weeks, sum(ln(1 + r)) AS log_total, sum(ln(1 + r)) * 52 / count(*) AS log_annual, sqrt(52.0::DOUBLE) * avg(r) / nullif(stddev_samp(r), 0) AS sharpe, avg((r > 0)::INT::DOUBLE) AS win_rate, min(log - peak) AS max_log_drawdown FROM q GROUP BY 1",
+    "strategy_metrics": "WITH t AS (" + _tercile("panel", "z", ("low", "mid", "high"), "attention") + "), w AS (SELECT attention, week, greatest(avg(future_excess_1w), -0.5) AS r FROM t WHERE attention IS NOT NULL AND future_excess_1w IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY attention ORDER BY week) AS log FROM w), q AS (SELECT *, max(log) OVER (PARTITION BY attention ORDER BY week) AS peak FROM p) SELECT attention, count(*) AS n_weeks, sum(ln(1 + r)) AS log_total, sum(ln(1 + r)) * 52 / count(*) AS log_annual, sqrt(52.0::DOUBLE) * avg(r) / nullif(stddev_samp(r), 0) AS sharpe, avg((r > 0)::INT::DOUBLE) AS win_rate, min(log - peak) AS max_log_drawdown, exp(min(log - peak)) - 1 AS max_drawdown FROM q GROUP BY 1",
 }
 
 

@@ -652,7 +652,7 @@ def strategy_metrics(c):
     path = weekly.withColumn("r", F.greatest(F.col("r"), F.lit(-0.5))).withColumn("log", F.sum(F.log1p("r")).over(w))
     path = path.withColumn("peak", F.max("log").over(w))
     n = F.count(F.lit(1))
-    return path.groupBy("attention").agg(n.alias("n_weeks"), F.sum(F.log1p("r")).alias("log_total"), (F.sum(F.log1p("r")) * 52 / n).alias("log_annual"), (F.sqrt(F.lit(52.0)) * F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.min(F.col("log") - F.col("peak")).alias("max_log_drawdown"))
+    return path.groupBy("attention").agg(n.alias("n_weeks"), F.sum(F.log1p("r")).alias("log_total"), (F.sum(F.log1p("r")) * 52 / n).alias("log_annual"), (F.sqrt(F.lit(52.0)) * F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.min(F.col("log") - F.col("peak")).alias("max_log_drawdown")).withColumn("max_drawdown", F.exp("max_log_drawdown") - 1)
 
 
 @query
