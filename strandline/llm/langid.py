@@ -31,6 +31,8 @@ EDGES = ".,;:!?\"'()[]{}<>|*%&$#@+=-_/\\~`^…«»“”„’‘"
 PIECE = 64
 #: Documents of a language that are sampled at least, so that none comes out empty.
 LEAST = 30
+#: Languages whose thresholds are broadcast, a row each.
+SENT = 100_000
 #: Cells of a worker's matrix of log frequencies, at most; rows beyond are made when a word asks for them.
 CELLS = 32_000_000
 #: Entries that a worker's cache of words holds before it starts afresh.
@@ -83,6 +85,8 @@ def train(docs: DataFrame, sample: int = 8_000) -> dict:
     if not share:
         return {"id": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}, "starts": np.zeros(1, np.int64), "at": np.zeros(0, np.int64), "gain": np.zeros(0, np.float32), "kind": np.zeros(0, np.int8), "base": np.zeros((len(LENGTHS) + 1, 0), np.float32)}
     parts = docs.sparkSession.createDataFrame([(lang, threshold(part), part >= 1) for lang, part in share.items()], "of string, below bigint, every boolean")
+    if len(share) <= SENT:  # texts stay where they are; beyond that they are joined by language
+        parts = F.broadcast(parts)
     rows = rows.join(parts, (F.col("lang") == F.col("of")) & (F.col("every") | (F.col("mark") < F.col("below")))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
