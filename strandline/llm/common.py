@@ -9,6 +9,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows and bytes in a batch between the JVM and Python workers, at most (or one larger row).
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-#: Work folders in order of making.
-made: list[str] = []
+#: Work folders made inside the enclosing ``noted`` block of this thread or task, if there is one.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 _shipped: set[str] = set()
 
@@ -66,11 +69,25 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
     path = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-    made.append(path)
+    if (within := _noted.get()) is not None:
+        within.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The work folders made inside the block, and in no other thread's or block's."""
+    folders: list[str] = []
+    token = _noted.set(folders)
+    try:
+        yield folders
+    finally:
+        _noted.reset(token)
+        if (around := _noted.get()) is not None:
+            around.extend(folders)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -88,12 +105,13 @@ def save(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a stored table, or a whole work folder, that no later plan reads.
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables, or whole work folders, that no later plan reads.
 
     Shuffle files of finished jobs go only when the driver collects its garbage; that is asked for here too.
     """
-    _remove(spark, path)
+    for path in paths:
+        _remove(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -131,22 +131,34 @@ def test_components(spark, tmp_path):
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("run", [1, 3])
-def test_line_dedup(docs, run):
-    rows = sorted(set(texts_of(docs)), key=lambda x: (x[0] is None, x[0]))
+def without_repeated_lines(rows, run=3, long_words=None):
+    """{(doc_id, text): (lines with a word, lines removed, text left)} by looking at every window in order."""
     seen, want = set(), {}
-    for i, t in rows:
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0])):
         lines = (t or "").split("\n")
         at = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
         dead = set()
-        for k in range(len(at) - run + 1):
-            w = tuple(lines[at[k + j]] for j in range(run))
-            dead |= {at[k + j] for j in range(run)} if w in seen else set()
-            seen.add(w)
-        want[i] = (len(at), len(dead), t if not dead else "\n".join(x for k, x in enumerate(lines) if k not in dead))
-    got = line_dedup.remove_lines(docs, run)
+        for n in range(1 if long_words else run, run + 1):
+            for k in range(len(at) - n + 1):
+                w = tuple(lines[at[k + j]] for j in range(n))
+                if n < run and sum(len(words(x)) for x in w) < long_words:
+                    continue
+                dead |= {at[k + j] for j in range(n)} if w in seen else set()
+                seen.add(w)
+        want[i, t] = (len(at), len(dead), t if not dead else "\n".join(x for k, x in enumerate(lines) if k not in dead))
+    return want
+
+
+@pytest.mark.parametrize("run,long_words", [(1, None), (3, None), (3, 12), (4, 30)])
+def test_line_dedup(spark, docs, run, long_words):
+    long = [f"{name} " + " ".join(f"w{k}" for k in range(n)) for name, n in (("a", 11), ("b", 5), ("c", 29), ("d", 40))]
+    more = [long[3], f"x\n{long[3]}", long[0], f"{long[0]}\ny", f"{long[1]}\n\n{long[1]}\nz", f"q\n{long[1]}\n{long[1]}", f"{long[2]}\n{long[3]}", f"{long[1]}\n{long[2]}\n{long[1]}"]
+    docs = docs.union(table(spark, more, range(1000, 1000 + len(more))))
+    want = without_repeated_lines(texts_of(docs), run, long_words)
+    by_id = {i: x for (i, _), x in want.items()}
+    got = line_dedup.remove_lines(docs, run, long_words)
     assert got.columns == [*[c for c in docs.columns], "n_lines", "n_removed"]
-    assert all((r.n_lines, r.n_removed, r.text) == want[r.doc_id] for r in got.collect()) and got.count() == docs.count()
+    assert all((r.n_lines, r.n_removed, r.text) == by_id[r.doc_id] for r in got.collect()) and got.count() == docs.count()
 
 
 def test_line_dedup_of_nothing(empty):
@@ -291,6 +303,52 @@ def test_quality_measures(docs):
     assert all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and not (r.base_failed and r.kept) for r in got)
 
 
+def verdicts(texts):
+    """Whether each text is kept: votes, expectation-maximisation and posterior row by row, in numpy."""
+    votes, failed = [], []
+    for t in texts:
+        t = t or ""
+        w = [x.decode() for x in words(t)]
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeated = len({i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)})
+        lines, symbols, n = [x for x in t.split("\n") if words(x)], sum(c in "#*$%&|<>" for c in t), max(1, len(w))
+        ended = sum(x.strip(" \t\n\x0b\x0c\r")[-1] in ".!?:;\"')…。]" for x in lines)
+        twice, mean, m = len(lines) - len(set(lines)), sum(map(len, w)) / n, max(1, len(lines))
+        failed.append(len(w) < 50 or 2 * repeated > len(w))
+        votes.append([
+            -(len(w) < 50), -(mean < 2.5 or mean > 12), -(symbols > 0.1 * n), -(twice > 0.3 * m and twice >= 3), -(repeated > 0.4 * n),
+            -1 if ended < 0.1 * m else int(ended >= 0.5 * m), int(3 <= mean <= 9 and symbols <= 0.02 * n and repeated <= 0.35 * n),
+        ])
+    votes = np.array(votes)
+    prior, weight = {-1: (0.3, 0.02), 0: (0.6, 0.38), 1: (0.1, 0.6)}, 1 + 0.02 * len(votes)
+    belief = np.where((votes == -1).any(axis=1), 0.15, 0.95)
+    for _ in range(50):
+        share, z = (belief.sum() + 1) / (len(belief) + 2), 0
+        for r in range(votes.shape[1]):
+            rate = {v: (((1 - belief)[votes[:, r] == v].sum() + weight * prior[v][0]) / ((1 - belief).sum() + weight), (belief[votes[:, r] == v].sum() + weight * prior[v][1]) / (belief.sum() + weight)) for v in (-1, 0, 1)}
+            odds = {v: np.log(good / bad) for v, (bad, good) in rate.items()}
+            z = z + np.select([votes[:, r] == -1, votes[:, r] == 1], [min(0, odds[-1]), max(0, odds[1])], odds[0])
+        belief = 1 / (1 + np.exp(-(z + np.log(share / (1 - share)))))
+    return [bool(b >= 0.5 and not f) for b, f in zip(belief, failed)]
+
+
+def test_quality_verdict_against_brute_force(spark, docs):
+    rng, made = random.Random(5), texts_of(docs)
+    kinds = {  # documents of several kinds between good and bad, so that the posterior decides
+        "prose": lambda: "\n".join(" ".join(rng.choice(["river", "stone", "lamp", "under", "seven", "garden", f"n{rng.randrange(999)}"]) for _ in range(12)) + "." for _ in range(7)),
+        "open": lambda: "\n".join(" ".join(f"word{rng.randrange(9999)}" for _ in range(9)) for _ in range(8)),
+        "marks": lambda: " ".join(rng.choice(["#", "a%", "$x|", f"k{rng.randrange(99)}"]) for _ in range(80)),
+        "long": lambda: ". ".join("z" * rng.randrange(9, 20) + str(k) for k in range(60)) + ".",
+        "twice": lambda: "\n".join(f"line {k % 5} of {rng.randrange(2)} again." for k in range(20)),
+        "short": lambda: " ".join(f"s{rng.randrange(99)}" for _ in range(rng.randrange(40, 60))),
+    }
+    made += [(2000 + k, kinds[rng.choice([*kinds, "prose", "prose"])]()) for k in range(300)]
+    got = quality_rules.judge(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    want = Counter((i, v) for (i, _), v in zip(made, verdicts([t for _, t in made])))
+    assert Counter((r.doc_id, r.kept) for r in got) == want and 50 < sum(r.kept for r in got) < 290
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
 def test_quality_rules_catch_junk(spark, empty):
     docs, _ = junk_and_prose(spark)
     got = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
