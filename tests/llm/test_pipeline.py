@@ -102,11 +102,10 @@ def test_empty_tables(spark, folder):
 def test_of_rows_equal_in_id_and_text_the_same_stays(spark):
     rows = [(1, "one two three four five six", x, {"k": y}) for x, y in (("b", 1), ("a", 2), (None, 3), ("a", 1))]
     rows += [(None, "seven eight nine ten eleven", "z", None), (None, None, "y", None), (None, None, "x", None)]
-    for part in (1, 4):
-        for order in (rows, rows[::-1]):
-            docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, more map<string, int>").repartition(part)
-            got = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
-            assert sorted(((r.doc_id, r.lang, r.more) for r in got), key=str) == [(1, "a", {"k": 1}), (None, "x", None), (None, "z", None)]
+    for part, order in ((1, rows), (4, rows[::-1])):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, more map<string, int>").repartition(part)
+        got = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+        assert sorted(((r.doc_id, r.lang, r.more) for r in got), key=str) == [(1, "a", {"k": 1}), (None, "x", None), (None, "z", None)]
 
 
 def test_two_runs_in_one_driver(spark, folder):
