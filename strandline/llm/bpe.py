@@ -5,8 +5,8 @@ has not met become token-position rows; a recursive query joins neighbouring tok
 each word's leftmost minimum-rank pair until none is left. Ids of a text are looked up piece by piece. Decoding joins
 token-position rows with the vocabulary and concatenates the bytes of a text in order of position.
 
-Scale: no shuffle at all; a task's memory is bounded by the batch and two bounded caches. Ranks are read on each
-executor from a file path.
+Scale: no shuffle at all; a task's memory is bounded by the batch and two bounded caches, and at its end DuckDB's is
+given back. Ranks are read on each executor from a file path.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+if TYPE_CHECKING:
+    import duckdb
+
 # A row is a token: its word, place, the next token's place and id, and rank and place of the pair they make (as one
 # number, so that the least is the leftmost of the least rank). Only a contracted token and the one before it look
 # their pairs up again.
@@ -101,17 +106,35 @@ LONG_PIECE, HEAP_PIECE = 1000, 16_384
 ROUND_ROWS = 6_000_000
 #: Tokens of one decoding query.
 DECODE_TOKENS = 1_500_000
-#: Entries that a worker's caches of pieces and of space-delimited chunks hold before they start afresh.
-CACHE = 1_000_000
+#: Entries of one generation of a worker's caches of pieces and of space-delimited chunks. A cache holds two generations
+#: (a few hundred bytes an entry) and what one batch adds; workers stay alive between tasks and stages, beside the JVM.
+CACHE = 400_000
 
 _coders: dict[tuple[str, str], Coder] = {}
 
 
+class Cache(dict[str, bytes]):
+    """Ids of strings, as a dictionary of those in use and the generation before it: what is in use again moves over."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Which of ``wanted`` are in neither generation; the others are in this one from now on."""
+        if len(self) > CACHE:
+            self.before = self.copy()
+            self.clear()
+        rest = wanted - self.keys()
+        old = rest & self.before.keys()
+        self.update((x, self.before[x]) for x in old)
+        return rest - old
+
+
 class Coder:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
     def __init__(self, rank_file: str, pattern: str):
-        import duckdb
         import regex
 
         with open(rank_file, "rb") as f:
@@ -127,19 +150,33 @@ class Coder:
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b)
                     ranks.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int32())}))
         # Bytes stand as characters U+0000 to U+00FF, so that strings can hold any of them.
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "text": [t.decode("latin-1") for t in self.ranks]})
-        self._load("vocabulary", vocabulary)
+        self.tables = {"merges": pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int32())}), "vocabulary": vocabulary}
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces, self.chunks = Cache(), Cache()
 
-    def _load(self, name: str, table: pa.Table) -> None:
-        self.db.register("given", table)
-        self.db.execute(f"CREATE TABLE {name} AS FROM given")
-        self.db.unregister("given")
+    @cached_property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """DuckDB with the merge table and the vocabulary; opened when first asked for, and again after ``rest``."""
+        import duckdb
+
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        for name, table in self.tables.items():
+            db.register("given", table)
+            db.execute(f"CREATE TABLE {name} AS FROM given")
+            db.unregister("given")
+        return db
+
+    def rest(self) -> None:
+        """Between tasks, give back what only a running task needs: DuckDB's memory and Arrow's free pages.
+
+        A worker outlives its stage (by a minute), beside stages that need the executor's memory for the JVM.
+        """
+        if "db" in self.__dict__:
+            self.db.close()
+            del self.db
+        pa.default_memory_pool().release_unused()
 
     def merge_all(self, new: list[str]) -> None:
         """Put the ids of each new piece into the cache, as little-endian unsigned 32-bit integers."""
@@ -213,15 +250,10 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cuts = [self._cut(t) for t in texts]
-        unseen = set().union(*cuts) - self.chunks.keys()
+        unseen = self.chunks.missing(set().union(*cuts))
         if unseen:
-            if len(self.chunks) > CACHE:
-                self.chunks.clear()
-                unseen = set().union(*cuts)
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
             split = {c: [c] if self.by_spaces and c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.split(c) for c in unseen}
-            self.merge_all(list(set().union(*split.values()) - self.pieces.keys()))
+            self.merge_all(list(self.pieces.missing(set().union(*split.values()))))
             get = self.pieces.__getitem__
             self.chunks.update((c, b"".join(map(get, s))) for c, s in split.items())
         get = self.chunks.__getitem__
@@ -291,19 +323,22 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, carry: list[
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(rank_file, pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for a, b in runs(texts.to_pylist()):
-                part = texts.slice(a, b - a).to_pylist()
-                ids = c.encode(part)
-                back = c.decode(ids)
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digest:
-                    two = [pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, back)]
-                else:
-                    two = [pa.array(y, pa.binary()) for y in (ids, back)]
-                front = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*front, n, *two], names=[*batch.schema.names[:-1], *ends])
+        try:
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1)
+                for a, b in runs(texts.to_pylist()):
+                    part = texts.slice(a, b - a).to_pylist()
+                    ids = c.encode(part)
+                    back = c.decode(ids)
+                    n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    if digest:
+                        two = [pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, back)]
+                    else:
+                        two = [pa.array(y, pa.binary()) for y in (ids, back)]
+                    front = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays([*front, n, *two], names=[*batch.schema.names[:-1], *ends])
+        finally:
+            c.rest()
 
     out = inner.mapInArrow(work, f"{kinds}, n_tokens bigint, `{ends[1]}` {kind}, `{ends[2]}` {kind}")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], *ends)
