@@ -17,15 +17,15 @@ def test_coder_keeps_what_is_in_use_and_little_else(monkeypatch):
     contract = coder._contract
     coder._contract = lambda part, query: (merged.extend(s for s, _ in part), contract(part, query))
     for k in range(12):  # each text has 100 words of its own and one that all texts have
-        text = " zzyzxqvj" + "".join(f" qx{k}vz{i}j" for i in range(100))
+        text = " zzyzxqvj" + "".join(f" qx{chr(97 + k)}vz{chr(97 + i // 10)}{chr(97 + i % 10)}j" for i in range(100))
         ids = coder.encode([text, "", text])
         assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in ids] == [own.encode_ordinary(text), [], own.encode_ordinary(text)]
         assert coder.decode(ids) == [text.encode(), b"", text.encode()]
         for cache in (coder.chunks, coder.pieces):
             # Two generations, each overrun by one batch at most.
-            assert len(cache) + len(cache.before) <= 2 * (300 + 400)
-        coder.rest()
-    assert len(coder.chunks) + len(coder.chunks.before) < 12 * 101  # some have gone
+            assert len(cache) + len(getattr(cache, "before", ())) <= 2 * (300 + 400)
+        getattr(coder, "rest", int)()
+    assert len(coder.chunks) + len(getattr(coder.chunks, "before", ())) < 12 * 101  # some have gone
     assert merged.count(" zzyzxqvj") == 1  # but none in use
 
 
